@@ -112,26 +112,57 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words (A-Z lowered, split at ASCII white space) and words per text."""
+_PIECE = 1 << 20
+_ALNUM = np.ones(256, bool)
+_ALNUM[:128] = [chr(c).isalnum() for c in range(128)]
+
+
+def word_hashes(texts: list[str], alnum: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words, A-Z lowered, in text order, and the number of words per text.
+
+    Words are split at ASCII white space, or with ``alnum`` at every ASCII byte that is neither letter
+    nor digit.  The buffer is worked through in pieces cut between words, so memory stays bounded
+    by the text itself however long a document is.
+    """
     raw = [t.encode("utf-8", "surrogatepass") for t in texts]
     sizes = np.fromiter(map(len, raw), np.int64, len(raw))
     buf = np.frombuffer(b" ".join(raw), np.uint8)
-    if not len(buf):
-        return np.zeros(0, np.uint64), np.zeros(len(raw), np.int64)
-    inside = ~_SPACE[buf]
-    edge = np.diff(inside.astype(np.int8), prepend=0)
-    starts = np.flatnonzero(edge == 1)
-    if not len(starts):
+    word_byte = _ALNUM if alnum else ~_SPACE
+    hashes, starts, at = [], [], 0
+    while at < len(buf):
+        end = min(len(buf), at + _PIECE)
+        while end < len(buf) and word_byte[buf[end]]:
+            cut = np.flatnonzero(~word_byte[buf[end : end + _PIECE]])
+            end = end + int(cut[0]) if len(cut) else min(len(buf), end + _PIECE)
+        part = buf[at:end]
+        inside = word_byte[part]
+        begins = inside.copy()
+        begins[1:] &= ~inside[:-1]
+        first = np.flatnonzero(begins)
+        if len(first):
+            origin = np.zeros(len(part), np.int64)
+            origin[first] = first
+            place = np.arange(len(part)) - np.maximum.accumulate(origin)
+            value = np.where(inside, _FOLDED[part] * powers(int(place.max()) + 1)[place], np.uint64(0))
+            hashes.append(mix(np.add.reduceat(value, first)))
+            starts.append(first + at)
+        at = end
+    if not starts:
         return np.zeros(0, np.uint64), np.zeros(len(raw), np.int64)
-    place = np.arange(len(buf)) - np.repeat(starts, np.diff(np.append(starts, len(buf))))[: len(buf)] if starts[0] == 0 else np.concatenate(
-        [np.zeros(starts[0], np.int64), np.arange(starts[0], len(buf)) - np.repeat(starts, np.diff(np.append(starts, len(buf))))]
-    )
-    value = np.where(inside, _FOLDED[buf] * powers(int(place.max()) + 1)[place], np.uint64(0))
-    hashes = mix(np.add.reduceat(value, starts))
-    ends = np.cumsum(sizes + 1)
-    counts = np.diff(np.searchsorted(starts, ends), prepend=0)
-    return hashes, counts
+    begin = np.concatenate(starts)
+    return np.concatenate(hashes), np.diff(np.searchsorted(begin, np.cumsum(sizes + 1)), prepend=0)
+
+
+def slices(texts: list[str], limit: int = 1 << 22):
+    """Index ranges of consecutive texts of about ``limit`` code points together, one text at least."""
+    at, total = 0, 0
+    for i, t in enumerate(texts):
+        if total and total + len(t) > limit:
+            yield at, i
+            at, total = i, 0
+        total += len(t)
+    if at < len(texts):
+        yield at, len(texts)
 
 
 def environment_path() -> str:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from casewright.llm import html_extract, language_id
+from casewright.llm import chat_format, html_extract, language_id, toxicity
 
 QUERIES = {
     "op1_html_extraction": html_extract.query,
+    "op2_toxicity": toxicity.query,
     "op4_language_id": language_id.query,
+    "op6_chat_formatting": chat_format.query,
 }
 
 ORACLES: dict[str, str] = {}
