@@ -3,8 +3,9 @@
 Small transducers (insult, threat, target, negation, reported speech) read the token classes of a
 clause in step; their composition emits weighted matches, and a document's score is the noisy-or of
 its matched clauses.  The insult lexicon (whole words and word beginnings) and the weights of the
-modifiers are learned from labelled rows.  Support is counted in distinct contexts (the neighbours
-of a word), so that copies of one document count once.
+modifiers are learned from labelled rows.  A pattern's support is the smaller of its documents and
+its distinct contexts (the neighbours of a word), so neither copies of one document nor repetition
+within one count as evidence.
 
 Edge cases: null and empty texts, and texts without a match, score the smoothed rate of label 1
 among training rows without a match; repeated and conflicting label rows all count as evidence;
@@ -144,19 +145,26 @@ def train(rows: list[tuple[str | None, int]]) -> Model:
     """
     if not rows:
         return Model({}, {}, {}, 0.0)
-    seen: tuple[dict, dict] = ({}, {})
     texts = [((t or "").lower(), int(y)) for t, y in rows]
-    for text, label in texts:
+    support: dict[str, list[set[int]]] = {}
+    against: dict[str, list[set[int]]] = {}
+    for number, (text, label) in sorted(enumerate(texts), key=lambda x: -x[1][1]):
         words = _WORD.findall(text)
         for before, word, after in zip(["", *words], words, [*words[1:], ""]):
             if len(word) >= 3:
-                context = hash((before, after))
                 for key in (word + "$", *(word[:n] for n in PREFIXES if len(word) >= n)):
-                    seen[label].setdefault(key, set()).add(context)
-    n1 = {k: len(v) for k, v in seen[1].items()}
-    n0 = {k: len(v) for k, v in seen[0].items() if k in n1}
-    tried = max(2, len(seen[0].keys() | seen[1].keys()))
-    del seen
+                    if label:
+                        found = support.setdefault(key, [set(), set()])
+                    elif key in support:
+                        found = against.setdefault(key, [set(), set()])
+                    else:
+                        continue
+                    found[0].add(number)
+                    found[1].add(hash((before, after)))
+    n1 = {k: min(map(len, v)) for k, v in support.items()}
+    n0 = {k: min(map(len, v)) for k, v in against.items()}
+    del support, against
+    tried = max(2, len(n1))
     base = min(0.5, max(0.01, sum(y for _, y in texts) / len(texts)))
     words, prefixes = {}, {}
     for key, a in n1.items():
