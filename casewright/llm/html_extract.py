@@ -243,12 +243,18 @@ def template_subtrees(pages: DataFrame, min_pages: int = 10, min_share: float =
     )
 
 
-def extract_main_text(pages: DataFrame, min_pages: int = 10, min_share: float = 0.5) -> DataFrame:
-    """``page_id, url, text`` for every row of ``pages(page_id, url, html)``."""
+def extract_main_text(pages: DataFrame, min_pages: int = 10, min_share: float = 0.5, salts: int = 64) -> DataFrame:
+    """``page_id, url, text`` for every row of ``pages(page_id, url, html)``.
+
+    Pages meet their host's template under ``salts`` keys per host, so that a host with a third of
+    all pages is read by many tasks; the template's one row per host is what is repeated.
+    """
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#:]+)", 1)), F.lit(""))
     own = pages.select("page_id", "url", "html", host.alias("host"))
     template = template_subtrees(own, min_pages, min_share)
-    return own.join(template, "host", "left").select("page_id", "url", "html", "template").mapInArrow(_text_batches, "page_id bigint, url string, text string")
+    spread = template.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    salted = own.withColumn("salt", F.pmod(F.xxhash64("page_id", "url", F.lit(9)), F.lit(salts)).cast("int"))
+    return salted.join(spread, ["host", "salt"], "left").select("page_id", "url", "html", "template").mapInArrow(_text_batches, "page_id bigint, url string, text string")
 
 
 def query(spark, sf_dir) -> DataFrame:
