@@ -13,6 +13,7 @@ all every text is ``und``; other empty or very short texts fall back to the clas
 from __future__ import annotations
 
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -127,15 +128,13 @@ def predict(texts: list[str | None], model: dict) -> tuple[list[str], np.ndarray
 def fit(docs: DataFrame, sample: int = 6000, **settings) -> dict:
     """Train on at most ``sample`` labelled rows of ``docs(doc_id, text, lang)``, taken by hash order.
 
-    The bound keeps the driver's share fixed; everything else reads all rows.
+    Ids are picked first, so that no task sends more texts than the sample holds.  The bound keeps
+    the driver's share fixed; everything else reads all rows.
     """
-    rows = (
-        docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-        .orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id", F.xxhash64("text"))
-        .limit(sample)
-        .select("text", "lang")
-        .collect()
-    )
+    labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    ids = labelled.select("doc_id").distinct().orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id").limit(sample)
+    rows = labelled.join(F.broadcast(ids), "doc_id").select("doc_id", "text", "lang").limit(sample).collect()
+    rows = [(r.text, r.lang) for r in sorted(rows, key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.doc_id, r.text))]
     return train([r[0] for r in rows], [r[1] for r in rows], **settings)
 
 
