@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from casewright.llm import chat_format, decontaminate, html_extract, language_id, toxicity
+from casewright.llm import chat_format, decontaminate, html_extract, language_id, sentencepiece_scan, toxicity
 
 QUERIES = {
     "op1_html_extraction": html_extract.query,
     "op2_toxicity": toxicity.query,
     "op4_language_id": language_id.query,
     "op6_chat_formatting": chat_format.query,
+    "op7_sentencepiece": sentencepiece_scan.query,
     "op8_decontamination": decontaminate.query,
 }
 
