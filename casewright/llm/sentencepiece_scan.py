@@ -6,7 +6,8 @@ at a chunk boundary is how far the piece that crosses it reaches, so a chunk is
 from entry states to exit states; matrices combine associatively, which fixes every boundary state,
 and each chunk then traces its own path back, independent of the others.
 
-The path depends on the text alone, not on the chunk size.  With a merge-trained (BPE) vocabulary
+The score reached depends on the text alone, not on the chunk size; among paths of equal score a
+chunk boundary may pick another one.  With a merge-trained (BPE) vocabulary
 the highest-scoring path may differ from the order of merges; any decoder of the vocabulary restores
 the text exactly either way.  A literal U+2581 is spelled in bytes, so that it survives too.
 
@@ -66,23 +67,25 @@ class Vocabulary:
             raise ValueError("the vocabulary has no byte fallback")
         self.byte_score = lowest - 10.0
         self.longest = max(map(len, self.scores), default=1)
-        self.prefixes = {p[:n] for p in self.scores for n in range(1, len(p))}
+        # What a lookup may meet on its way to a piece: a piece, or only the beginning of one (-1).
+        self.grow = {p[:n]: (0.0, -1) for p in self.scores for n in range(1, len(p))} | self.scores
         crossing = any(" " in p.lstrip(" ") for p in self.scores if p.strip(" "))
         # Where no piece crosses a boundary, the best path is made of the best paths of its units.
         line = "\n" if "\n" not in joined else ""
         self.unit = re.compile(rf" *[^ {line}]+| +" + (f"|{line}" if line else "")) if not crossing else re.compile(r"(?s).+")
-        self._known: dict[str, bytes] = {}
+        self._known: dict[str, bytes] = {}  # the current generation of unit encodings, and the one before
+        self._before: dict[str, bytes] = {}
 
     def steps(self, text: str, at: int):
         """(length, score, id) of the pieces that begin at ``at``; length 0 stands for byte fallback of one code point."""
         found = False
         for n in range(1, min(self.longest, len(text) - at) + 1):
-            part = text[at : at + n]
-            if hit := self.scores.get(part):
+            hit = self.grow.get(text[at : at + n])
+            if hit is None:
+                break
+            if hit[1] >= 0:
                 found |= n == 1
                 yield n, *hit
-            if part not in self.prefixes:
-                break
         if not found:
             yield 0, self.byte_score * len(text[at].encode("utf-8", "surrogatepass")), -1
 
@@ -94,22 +97,37 @@ class Vocabulary:
         end = len(text) if end is None else end
         last_start = end if last_start is None else last_start
         best = [LOWEST] * (end + 1)
-        back: list[tuple[int, int]] = [(0, 0)] * (end + 1)
+        piece_at, from_at = [-1] * (end + 1), [0] * (end + 1)
         best[entry] = 0.0
+        grow, size = self.grow, len(text)
         for at in range(entry, min(end, last_start)):
             here = best[at]
-            if here > LOWEST:
-                for n, score, piece in self.steps(text, at):
-                    to = at + (n or 1)
+            if here == LOWEST:
+                continue
+            to, spelled = at, False
+            while to < size:
+                to += 1
+                hit = grow.get(text[at:to])
+                if hit is None:
+                    break
+                score, piece = hit
+                if piece >= 0:
+                    spelled |= to == at + 1
                     if to <= end and here + score > best[to]:
-                        best[to], back[to] = here + score, (at, piece)
-        ids: list[list[int]] = []
+                        best[to], piece_at[to], from_at[to] = here + score, piece, at
+            if not spelled:
+                score = here + self.byte_score * len(text[at].encode("utf-8", "surrogatepass"))
+                if score > best[at + 1]:
+                    best[at + 1], piece_at[at + 1], from_at[at + 1] = score, -1, at
+        ids: list[int] = []
         at = end
         while at > entry:
-            before, piece = back[at]
-            ids.append([piece] if piece >= 0 else self._spell(text[before]))
-            at = before
-        return [i for part in reversed(ids) for i in part]
+            if piece_at[at] >= 0:
+                ids.append(piece_at[at])
+            else:
+                ids.extend(reversed(self._spell(text[from_at[at]])))
+            at = from_at[at]
+        return ids[::-1]
 
     def transfer(self, text: str, size: int) -> np.ndarray:
         """Max-plus matrix from entry offsets to offsets beyond ``size``; pieces begin before ``size``.
@@ -134,14 +152,16 @@ class Vocabulary:
         """Little-endian 32-bit ids of a text that is short enough for one task's plain pass."""
         if not text:
             return b""
-        known, parts = self._known, []
+        if len(self._known) >= 200_000:
+            self._before, self._known = self._known, {}
+        known, before, parts = self._known, self._before, []
         for unit in self.unit.findall(" " + text):
             ids = known.get(unit)
             if ids is None:
-                ids = np.array(self.path(unit), "<u4").tobytes()
+                ids = before.get(unit)
+                if ids is None:
+                    ids = np.array(self.path(unit), "<u4").tobytes()
                 if len(unit) <= 64:
-                    if len(known) >= 200_000:
-                        known.clear()
                     known[unit] = ids
             parts.append(ids)
         return b"".join(parts)
