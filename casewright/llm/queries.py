@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from casewright.llm import chat_format, decontaminate, html_extract, language_id, sentencepiece_scan, toxicity
+from casewright.llm import chat_format, decontaminate, html_extract, language_id, sentencepiece_scan, simhash, toxicity
 
 QUERIES = {
     "op1_html_extraction": html_extract.query,
     "op2_toxicity": toxicity.query,
     "op4_language_id": language_id.query,
+    "op5_simhash": simhash.query,
     "op6_chat_formatting": chat_format.query,
     "op7_sentencepiece": sentencepiece_scan.query,
     "op8_decontamination": decontaminate.query,
