@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from casewright.llm import chat_format, decontaminate, html_extract, language_id, sentencepiece_scan, simhash, toxicity
+from casewright.llm import chat_format, decontaminate, html_extract, language_id, sentencepiece_scan, simhash, toxicity, weighted_fingerprint
 
 QUERIES = {
     "op1_html_extraction": html_extract.query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_chat_formatting": chat_format.query,
     "op7_sentencepiece": sentencepiece_scan.query,
     "op8_decontamination": decontaminate.query,
+    "op9_fingerprints": weighted_fingerprint.query,
 }
 
 ORACLES: dict[str, str] = {}
