@@ -137,6 +137,18 @@ def score(text: str | None, model: Model, finder: ahocorasick.Automaton | None)
     return max(model.rest, 1 - miss)
 
 
+def _patterns(text: str):
+    """Every word and word beginning of a text with a hash of the word's neighbours."""
+    words = _WORD.findall(text)
+    for before, word, after in zip(["", *words], words, [*words[1:], ""]):
+        if len(word) >= 3:
+            context = hash((before, after))
+            yield word + "$", context
+            for n in PREFIXES:
+                if len(word) >= n:
+                    yield word[:n], context
+
+
 def train(rows: list[tuple[str | None, int]]) -> Model:
     """Learn from ``(text, toxic)`` rows.
 
@@ -146,25 +158,27 @@ def train(rows: list[tuple[str | None, int]]) -> Model:
     if not rows:
         return Model({}, {}, {}, 0.0)
     texts = [((t or "").lower(), int(y)) for t, y in rows]
-    support: dict[str, list[set[int]]] = {}
-    against: dict[str, list[set[int]]] = {}
-    for number, (text, label) in sorted(enumerate(texts), key=lambda x: -x[1][1]):
-        words = _WORD.findall(text)
-        for before, word, after in zip(["", *words], words, [*words[1:], ""]):
-            if len(word) >= 3:
-                for key in (word + "$", *(word[:n] for n in PREFIXES if len(word) >= n)):
-                    if label:
-                        found = support.setdefault(key, [set(), set()])
-                    elif key in support:
-                        found = against.setdefault(key, [set(), set()])
-                    else:
-                        continue
+    support: dict[str, tuple[set[int], set[int]]] = {}
+    for number, (text, label) in enumerate(texts):
+        if label:
+            for key, context in _patterns(text):
+                found = support.setdefault(key, (set(), set()))
+                found[0].add(number)
+                found[1].add(context)
+    tried = max(2, len(support))
+    n1 = {k: n for k, v in support.items() if (n := min(map(len, v))) >= 3}  # fewer never pass the bound
+    del support
+    against: dict[str, tuple[set[int], set[int]]] = {}
+    for number, (text, label) in enumerate(texts):
+        if not label:
+            for key, context in _patterns(text):
+                if key in n1:
+                    found = against.setdefault(key, (set(), set()))
                     found[0].add(number)
-                    found[1].add(hash((before, after)))
-    n1 = {k: min(map(len, v)) for k, v in support.items()}
+                    found[1].add(context)
+                    if min(map(len, found)) * 3 > n1[key]:  # its rate can no longer reach 0.8
+                        del n1[key], against[key]
     n0 = {k: min(map(len, v)) for k, v in against.items()}
-    del support, against
-    tried = max(2, len(n1))
     base = min(0.5, max(0.01, sum(y for _, y in texts) / len(texts)))
     words, prefixes = {}, {}
     for key, a in n1.items():
