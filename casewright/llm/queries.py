@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from casewright.llm import chat_format, decontaminate, html_extract, language_id, sentencepiece_scan, simhash, toxicity, weighted_fingerprint
+from casewright.llm import chat_format, decontaminate, html_extract, language_id, sentencepiece_scan, simhash, suffix_dedup, toxicity, weighted_fingerprint
 
 QUERIES = {
     "op1_html_extraction": html_extract.query,
     "op2_toxicity": toxicity.query,
+    "op3_suffix_dedup": suffix_dedup.query,
     "op4_language_id": language_id.query,
     "op5_simhash": simhash.query,
     "op6_chat_formatting": chat_format.query,
