@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 #: UTC sessions make timestamps compare equal across engines; LAST_WIN gives maps dict semantics.
@@ -23,3 +28,21 @@ def build_session(master: str | None = None, app: str = "casewright", **conf: st
     for key, value in settings.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give Python workers this package where they would not find it by their own path."""
+    root = Path(__file__).resolve().parent.parent
+    reachable = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]
+    context = spark.sparkContext
+    if context.applicationId in _shipped or any(p and Path(p).resolve() == root for p in reachable):
+        return
+    archive = Path(tempfile.mkdtemp(prefix="casewright-")) / "casewright.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for source in sorted((root / "casewright").rglob("*.py")):
+            out.write(source, source.relative_to(root))
+    context.addPyFile(str(archive))
+    _shipped.add(context.applicationId)
