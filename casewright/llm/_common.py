@@ -12,6 +12,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from casewright.session import ship_package
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _LOWER = {c: c + 32 for c in range(65, 91)}
 _staged: list[tuple[SparkSession, str]] = []
@@ -19,6 +21,7 @@ _staged: list[tuple[SparkSession, str]] = []
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """The named columns of one table, so that extra columns never clash with ours."""
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
