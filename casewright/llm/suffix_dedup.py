@@ -169,7 +169,9 @@ def common_prefixes(buf: np.ndarray, sa: np.ndarray, limit: int, stride: int = 3
             have[live[same]] += 8
             rest, y = live[~same], x[~same]
             if len(rest):
-                have[rest] += 7 - (np.frexp(y.astype(np.float64) * (1 - 2**-53))[1] - 1) // 8
+                high = y >> np.uint64(32)
+                top = np.where(high > 0, high, y & np.uint64(0xFFFFFFFF)).astype(np.float64)
+                have[rest] += np.where(high > 0, 3, 7) - (np.frexp(top)[1] - 1) // 8
             live = live[same]
             live = live[have[live] < limit]
         reach = n - np.maximum(at, other)
@@ -297,7 +299,8 @@ def repeat_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard_
 
     marks = staged(own.mapInArrow(find, "h bigint, key_id bigint, key_text bigint, first bigint, n int"), "segments")
     again = marks.groupBy("h").agg(F.count("*").alias("members")).where("members > 1")
-    wanted = marks.join(again, "h").groupBy("key_id", "key_text").agg(F.collect_list(F.struct("h", "members", "first", "n")).alias("cuts"))
+    # Rows with equal id and text share a key; as a set their cuts stand once for each of them.
+    wanted = marks.join(again, "h").groupBy("key_id", "key_text").agg(F.collect_set(F.struct("h", "members", "first", "n")).alias("cuts"))
 
     def cut(batches):
         for batch in batches:
