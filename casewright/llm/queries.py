@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from casewright.llm import chat_format, decontaminate, html_extract, language_id, sentencepiece_scan, simhash, suffix_dedup, toxicity, weighted_fingerprint
+from casewright.llm import chat_format, decontaminate, html_extract, language_id, pitman_yor, sentencepiece_scan, simhash, suffix_dedup, toxicity, weighted_fingerprint
 
 QUERIES = {
     "op1_html_extraction": html_extract.query,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_sentencepiece": sentencepiece_scan.query,
     "op8_decontamination": decontaminate.query,
     "op9_fingerprints": weighted_fingerprint.query,
+    "op10_pitman_yor": pitman_yor.query,
 }
 
 ORACLES: dict[str, str] = {}
