@@ -111,15 +111,35 @@ def overlaps(texts: list[str], index: Index, min_tokens: int, min_share: float)
     return sorted(best.values())
 
 
+def _blocks(items: DataFrame, block_chars: int):
+    """The test items in blocks by hash, each of about ``block_chars`` code points at most."""
+    items = items.select("item_id", F.coalesce("text", F.lit("")).alias("text"))
+    total = items.agg(F.coalesce(F.sum(F.char_length("text")), F.lit(0))).first()[0]
+    blocks = -(-total // block_chars) * 2 if total > block_chars else 1
+    for block in range(blocks):
+        yield [tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect()]  # one block
+
+
+def drop_contaminated(docs: DataFrame, items: DataFrame, min_tokens: int = 13, min_share: float = 0.8, block_chars: int = 1 << 23) -> DataFrame:
+    """The rows of ``docs`` that overlap no test item, with all their columns; one narrow pass per block."""
+    for part in _blocks(items, block_chars):
+        shared = docs.sparkSession.sparkContext.broadcast(part)
+
+        def run(batches, shared=shared):
+            index = Index(shared.value)
+            for batch in batches:
+                hit = {row[0] for row in overlaps([t or "" for t in batch["text"].to_pylist()], index, min_tokens, min_share)}
+                yield batch.filter(pa.array([i not in hit for i in range(batch.num_rows)], pa.bool_()))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
+
+
 def find_overlaps(docs: DataFrame, items: DataFrame, min_tokens: int = 13, min_share: float = 0.8, block_chars: int = 1 << 23) -> DataFrame:
     """One row per document and test item of which it holds ``min_tokens`` aligned tokens (or the whole
     item, if shorter), ``min_share`` of them equal."""
-    items = items.select("item_id", F.coalesce("text", F.lit("")).alias("text"))
-    total = items.agg(F.coalesce(F.sum(F.char_length("text")), F.lit(0))).first()[0]
-    blocks = max(1, -(-total // block_chars) * 2 if total > block_chars else 1)
     spark, found = docs.sparkSession, None
-    for block in range(blocks):
-        part = [tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect()]  # a block, bounded by block_chars
+    for part in _blocks(items, block_chars):
         shared = spark.sparkContext.broadcast(part)
 
         def run(batches, shared=shared):

@@ -276,6 +276,20 @@ def default_model() -> bytes:
     return read_model(os.path.join(environment_path(), "piece_bpe_32k.model"))
 
 
+def token_rows(docs: DataFrame, model: bytes, chunk: int = CHUNK) -> DataFrame:
+    """``doc_id, n_tokens, ids`` with the ids as an array."""
+
+    def run(batches):
+        for batch in batches:
+            raw = batch["ids"].to_pylist()
+            sizes = np.fromiter((len(x) // 4 for x in raw), np.int32, len(raw))
+            offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(raw), "<i4")))
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(sizes.astype(np.int64)), ids], ["doc_id", "n_tokens", "ids"])
+
+    return encode_documents(docs, model, chunk).select("doc_id", "ids").mapInArrow(run, "doc_id bigint, n_tokens bigint, ids array<int>")
+
+
 def query(spark, sf_dir) -> DataFrame:
     done = encode_documents(table(spark, sf_dir, "documents", "doc_id", "text"), default_model())
     return done.select(

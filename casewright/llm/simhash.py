@@ -112,6 +112,102 @@ def near_duplicates(docs: DataFrame, width: int = 3, distance: int = 2, hot: int
     return prints.join(classes, "fp", "left").select("doc_id", "fp", "component_id")
 
 
+# --- groups at a wider similarity, for the pipeline --------------------------------------------
+
+#: Eight blocks of eight bits; three together make a key of 24 bits, which close pairs share.
+TRIPLES = tuple((i, j, k) for i in range(8) for j in range(i + 1, 8) for k in range(j + 1, 8))
+
+
+def _triple_keys(fp: str = "near"):
+    part = lambda i: F.shiftrightunsigned(fp, 8 * i).bitwiseAND(F.lit(0xFF))
+    joined = lambda i, j, k: F.shiftleft(part(i), 16).bitwiseOR(F.shiftleft(part(j), 8)).bitwiseOR(part(k))
+    return F.array(*(joined(*t) + F.lit(n << 24) for n, t in enumerate(TRIPLES)))
+
+
+def _crowd_links(near: np.ndarray, wide: np.ndarray, nodes: np.ndarray, near_bits: int, wide_bits: int) -> list[tuple[int, int]]:
+    """A spanning star per connected part of one crowded block; pairs are compared, never listed."""
+    n = len(nodes)
+    root = np.arange(n)
+    for at in range(n):
+        # Labels only fall to smaller positions, so one pass over later members per member suffices.
+        hit = (np.bitwise_count(near[at + 1 :] ^ near[at]) <= near_bits) & (np.bitwise_count(wide[at + 1 :] ^ wide[at]) <= wide_bits)
+        others = np.unique(root[at + 1 :][hit])
+        others = others[others != root[at]]
+        if len(others):
+            low = min(int(others[0]), int(root[at]))
+            root[np.isin(root, np.append(others, root[at]))] = low
+    return [(int(nodes[i]), int(nodes[r])) for i, r in enumerate(root) if i != r]
+
+
+def similar_groups(docs: DataFrame, near_bits: int = 8, wide_bits: int = 12, hot: int = 64) -> DataFrame:
+    """``doc_id, component_id`` at about 0.8 similarity of five-word shingles.
+
+    Fingerprints of word pairs give the blocks: pairs within five bits are sure to share one of the 56
+    keys, pairs within eight bits usually do.  A pair is linked when its word-pair fingerprints differ
+    in at most ``near_bits`` bits and its five-word fingerprints in at most ``wide_bits`` (a similarity
+    of 0.8 means 9.7 bits on average, with a spread of about three).
+    """
+
+    def run(batches):
+        for batch in batches:
+            near, wide = (np.fromiter((fingerprint(t.as_py(), w) for t in batch["text"]), np.uint64, batch.num_rows) for w in (2, 5))
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(near.astype(np.int64)), pa.array(wide.astype(np.int64))], ["doc_id", "near", "wide"])
+
+    prints = staged(docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, near bigint, wide bigint"), "fingerprints")
+    nodes = prints.groupBy("near", "wide").agg(F.min("doc_id").alias("node"))
+    keyed = nodes.where("node IS NOT NULL").select("node", "near", "wide", F.explode(_triple_keys()).alias("key"))
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    met = staged(keyed.join(sizes, "key"), "blocks")
+    small = met.where(F.col("n") <= hot)
+    other = small.select("key", F.col("node").alias("b"), F.col("near").alias("near_b"), F.col("wide").alias("wide_b"))
+    pairs = (
+        small.join(other, "key")
+        .where(F.col("node") < F.col("b"))
+        .where((F.bit_count(F.col("near").bitwiseXOR(F.col("near_b"))) <= near_bits) & (F.bit_count(F.col("wide").bitwiseXOR(F.col("wide_b"))) <= wide_bits))
+        .select(F.col("node").alias("a"), "b")
+    )
+
+    def crowds(batches):
+        held, key = [], None
+
+        def links_():
+            near, wide, nodes_ = (np.concatenate([h[i] for h in held]) for i in range(3))
+            found = _crowd_links(near.astype(np.uint64), wide.astype(np.uint64), nodes_, near_bits, wide_bits)
+            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], ["a", "b"])
+
+        for batch in batches:
+            keys = batch["key"].to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero(np.diff(keys)) + 1).tolist(), len(keys)]
+            columns = [batch[c].to_numpy(zero_copy_only=False) for c in ("near", "wide", "node")]
+            for a, b in zip(cuts, cuts[1:]):
+                if held and keys[a] != key:
+                    yield links_()
+                    held = []
+                key = keys[a]
+                held.append([c[a:b] for c in columns])
+        if held:
+            yield links_()
+
+    crowd = met.where(F.col("n") > hot).select("key", "near", "wide", "node").repartition("key").sortWithinPartitions("key", "node")
+    joined = components(pairs.unionByName(crowd.mapInArrow(crowds, "a bigint, b bigint"))).withColumnRenamed("component", "component_id")
+    classes = nodes.join(joined, "node", "left").select("near", "wide", F.coalesce("component_id", "node").alias("component_id"))
+    return prints.join(classes, ["near", "wide"], "left").select("doc_id", "component_id")
+
+
+def keep_one_of_each(docs: DataFrame, **settings) -> DataFrame:
+    """The rows of ``docs`` whose id is the smallest of its group, one row per id.
+
+    Rows with a null id cannot be told apart by it and all stay; any other columns are carried along.
+    """
+    from pyspark.sql import Window
+
+    groups = similar_groups(docs, **settings)
+    stays = groups.where("doc_id = component_id").select("doc_id").distinct()
+    one = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
+    kept = docs.where("doc_id IS NOT NULL").join(stays, "doc_id", "left_semi").withColumn("#row", one).where(F.col("#row") == 1).drop("#row")
+    return kept.unionByName(docs.where("doc_id IS NULL"))
+
+
 def query(spark, sf_dir) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

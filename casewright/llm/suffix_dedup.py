@@ -396,6 +396,26 @@ def with_spans(docs: DataFrame, **settings) -> DataFrame:
     return _keyed(docs).join(repeat_spans(docs, **settings), ["key_id", "key_text"], "left").drop("key_id", "key_text")
 
 
+def remove_repeats(docs: DataFrame, **settings) -> DataFrame:
+    """The rows and columns of ``docs`` with repeated passages cut out of ``text``, whole characters only,
+    and ``n_chars``, where there is one, counted anew.  Null texts stay null."""
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for text, spans in zip(batch["text"].to_pylist(), batch["spans"].to_pylist()):
+                if text and spans:
+                    raw = text.encode()
+                    text = keep(raw, whole_characters(raw, merge_spans(spans))).decode()
+                out.append(text)
+            columns = {n: batch[n] for n in names} | {"text": pa.array(out, pa.string())}
+            yield pa.RecordBatch.from_arrays([columns[n] for n in names], names)
+
+    names = docs.columns
+    cut = with_spans(docs, **settings).select(*names, "spans").mapInArrow(run, docs.schema)
+    return cut.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(*names) if "n_chars" in names else cut
+
+
 def query(spark, sf_dir) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
 

@@ -233,6 +233,19 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, score double")
 
 
+def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
+    """The rows of ``docs`` that score under ``threshold``, with all their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast((model.words, model.prefixes, model.factors, model.rest))
+
+    def run(batches):
+        model = Model(*shared.value)
+        finder = model.finder() if model.words or model.prefixes else None
+        for batch in batches:
+            yield batch.filter(pa.array([score(t, model, finder) < threshold for t in batch["text"].to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def query(spark, sf_dir) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     labels = table(spark, sf_dir, "labels", "doc_id", "toxic").where(fold("doc_id", 3) != 1)
