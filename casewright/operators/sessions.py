@@ -86,3 +86,9 @@ def session_class(kind: Column) -> Column:
     for name, (prefix, scan) in SESSION_CLASSES.items():
         pick = F.when(kind == name, F.struct(F.lit(prefix).alias("prefix"), F.lit(scan).alias("scan"))).otherwise(pick)
     return pick
+
+
+def first_of_batch(files: DataFrame, digest: str, *order: str) -> DataFrame:
+    """The first row of every hash in the given order."""
+    rank = F.row_number().over(Window.partitionBy(digest).orderBy(*order))
+    return files.withColumn("__rank", rank).where("__rank = 1").drop("__rank")
