@@ -18,7 +18,8 @@ def collect_in_order(df: DataFrame, key: str, order: str, *values: str) -> DataF
     """Per key the values as lists in the order of ``order``."""
     rows = F.array_sort(F.collect_list(F.struct(order, *values)))
     grouped = df.groupBy(key).agg(rows.alias("__rows"))
-    return grouped.select(key, *(F.transform("__rows", lambda r, v=v: r[v]).alias(v) for v in values))
+    pick = lambda name: F.transform("__rows", lambda row: row[name]).alias(name)
+    return grouped.select(key, *map(pick, values))
 
 
 def segment_numbers(df: DataFrame, key: str, *order: str, out: str = "segment") -> DataFrame:
