@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 SIZE = 256
 SIMILAR = 0.9
@@ -62,7 +63,7 @@ def is_template(image: np.ndarray, template: np.ndarray) -> bool:
     return similarity(resize(stretch(grayscale(image))), template) > SIMILAR
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def image_hash(height: pd.Series, width: pd.Series, channels: pd.Series, data: pd.Series) -> pd.Series:
     """Fingerprint of raw 8-bit pixels as the image source gives them."""
     return pd.Series([fingerprint(np.frombuffer(d, np.uint8).reshape(h, w, c)) for h, w, c, d in zip(height, width, channels, data)])

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import TimestampType
 
 ZONE = "America/Chicago"
 #: Formats tried in order; a named zone is converted, a naive time is local wall clock.
@@ -62,7 +63,7 @@ def sheet_date(text: Column) -> Column:
     return F.split(text, " ")[0].try_cast("date")
 
 
-@F.pandas_udf("timestamp")
+@F.pandas_udf(TimestampType())
 def fuzzy(values: pd.Series) -> pd.Series:
     """What the listed formats miss, by a tolerant parser; nonsense is null."""
     from dateutil import parser

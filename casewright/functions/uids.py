@@ -7,6 +7,7 @@ import uuid
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Fixed value: dotted numbers without leading zeros.
 UID_PATTERN = r"^(0|[1-9][0-9]*)(\.(0|[1-9][0-9]*))*$"
@@ -24,7 +25,7 @@ def is_valid_uid(uid: Column) -> Column:
     return dotted(uid).rlike(UID_PATTERN) & (F.length(uid) <= 64)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def new_uid(seed: pd.Series) -> pd.Series:
     """A fresh identifier per row; 128-bit decimals have no built-in."""
     return seed.map(lambda _: f"2_25_{uuid.uuid4().int}")

@@ -9,6 +9,7 @@ import zipfile
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from casewright.operators.paths import build_path
 
@@ -24,7 +25,7 @@ def payload_plan(files: DataFrame, project: str) -> DataFrame:
     )
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(BinaryType())
 def zipped(names: pd.Series, contents: pd.Series) -> pd.Series:
     """The files of one payload as zip bytes, dated alike so that equal input gives equal bytes."""
 

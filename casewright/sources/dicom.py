@@ -4,12 +4,21 @@ from __future__ import annotations
 
 import struct
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _LONG = frozenset(b"OB OD OF OL OW SQ UC UN UR UT".split())
-HEADER = "struct<tags:map<string,struct<vr:string,value:string>>,rows:int,cols:int,pixels:binary>"
+_ELEMENT = T.StructType([T.StructField("vr", T.StringType()), T.StructField("value", T.StringType())])
+HEADER = T.StructType(
+    [
+        T.StructField("tags", T.MapType(T.StringType(), _ELEMENT)),
+        T.StructField("rows", T.IntegerType()),
+        T.StructField("cols", T.IntegerType()),
+        T.StructField("pixels", T.BinaryType()),
+    ]
+)
 
 
 def parse(raw: bytes) -> tuple[dict[str, tuple[str, str]], int | None, int | None, bytes | None]:
@@ -53,11 +62,18 @@ def build(tags: dict[str, tuple[str, str]], rows: int, cols: int, pixels: bytes)
     return b"".join(parts)
 
 
-@F.pandas_udf(HEADER)
-def _parsed(content: pd.Series) -> pd.DataFrame:
-    found = [parse(bytes(c)) for c in content]
-    tags = [[(k, {"vr": v[0], "value": v[1]}) for k, v in f[0].items()] for f in found]
-    return pd.DataFrame({"tags": tags, "rows": [f[1] for f in found], "cols": [f[2] for f in found], "pixels": [f[3] for f in found]})
+_ARROW = pa.struct(
+    [("tags", pa.map_(pa.string(), pa.struct([("vr", pa.string()), ("value", pa.string())]))), ("rows", pa.int32()), ("cols", pa.int32()), ("pixels", pa.binary())]
+)
+
+
+@F.arrow_udf(HEADER)
+def _parsed(content: pa.Array) -> pa.Array:
+    rows = []
+    for raw in content.to_pylist():
+        tags, height, width, pixels = parse(raw or b"")
+        rows.append({"tags": [(k, {"vr": v[0], "value": v[1]}) for k, v in tags.items()], "rows": height, "cols": width, "pixels": pixels})
+    return pa.array(rows, _ARROW)
 
 
 def decode(content: Column) -> Column:
