@@ -298,7 +298,8 @@ def repeat_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard_
             )
 
     marks = staged(own.mapInArrow(find, "h bigint, key_id bigint, key_text bigint, first bigint, n int"), "segments")
-    again = marks.groupBy("h").agg(F.count("*").alias("members")).where("members > 1")
+    # Written first: a join of two plain exchanges is one that Spark can split where a hash is hot.
+    again = staged(marks.groupBy("h").agg(F.count("*").alias("members")).where("members > 1"), "repeated")
     # Rows with equal id and text share a key; as a set their cuts stand once for each of them.
     wanted = marks.join(again, "h").groupBy("key_id", "key_text").agg(F.collect_set(F.struct("h", "members", "first", "n")).alias("cuts"))
 
