@@ -108,7 +108,8 @@ def near_duplicates(docs: DataFrame, width: int = 3, distance: int = 2, hot: int
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("node"))
     found = links(nodes.where("node IS NOT NULL"), distance, hot)
     joined = components(found).withColumnRenamed("component", "component_id")
-    classes = nodes.join(joined, "node", "left").select("fp", F.coalesce("component_id", "node").alias("component_id"))
+    # Written first, so that Spark can split the join below where many copies share a fingerprint.
+    classes = staged(nodes.join(joined, "node", "left").select("fp", F.coalesce("component_id", "node").alias("component_id")), "classes")
     return prints.join(classes, "fp", "left").select("doc_id", "fp", "component_id")
 
 
@@ -190,7 +191,7 @@ def similar_groups(docs: DataFrame, near_bits: int = 8, wide_bits: int = 12, hot
 
     crowd = met.where(F.col("n") > hot).select("key", "near", "wide", "node").repartition("key").sortWithinPartitions("key", "node")
     joined = components(pairs.unionByName(crowd.mapInArrow(crowds, "a bigint, b bigint"))).withColumnRenamed("component", "component_id")
-    classes = nodes.join(joined, "node", "left").select("near", "wide", F.coalesce("component_id", "node").alias("component_id"))
+    classes = staged(nodes.join(joined, "node", "left").select("near", "wide", F.coalesce("component_id", "node").alias("component_id")), "classes")
     return prints.join(classes, ["near", "wide"], "left").select("doc_id", "component_id")
 
 
