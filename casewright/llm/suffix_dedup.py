@@ -404,7 +404,7 @@ def remove_repeats(docs: DataFrame, **settings) -> DataFrame:
     def run(batches):
         for batch in batches:
             out = []
-            for text, spans in zip(batch["text"].to_pylist(), batch["spans"].to_pylist()):
+            for text, spans in zip(batch["text"].to_pylist(), batch["#spans"].to_pylist()):
                 if text and spans:
                     raw = text.encode()
                     text = keep(raw, whole_characters(raw, merge_spans(spans))).decode()
@@ -413,7 +413,8 @@ def remove_repeats(docs: DataFrame, **settings) -> DataFrame:
             yield pa.RecordBatch.from_arrays([columns[n] for n in names], names)
 
     names = docs.columns
-    cut = with_spans(docs, **settings).select(*names, "spans").mapInArrow(run, docs.schema)
+    packed = docs.select("doc_id", "text", F.struct(*(F.col(f"`{n}`") for n in names)).alias("row"))  # so that no column clashes
+    cut = with_spans(packed, **settings).select("row.*", F.col("spans").alias("#spans")).mapInArrow(run, docs.schema)
     return cut.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(*names) if "n_chars" in names else cut
 
 

@@ -215,7 +215,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 12000) -> Model:
         .orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id", "toxic")
         .limit(sample)
     )
-    rows = docs.join(F.broadcast(own), "doc_id").select("doc_id", "text", "toxic").collect()  # at most ``sample`` label rows are sent
+    rows = docs.select("doc_id", "text").join(F.broadcast(own), "doc_id").collect()  # at most ``sample`` label rows are sent
     return train([(r.text, r.toxic) for r in sorted(rows, key=lambda r: (r.doc_id, r.text or "", r.toxic))])
 
 
