@@ -134,20 +134,58 @@ class Vocabulary:
 
         ``text`` is the chunk and the following ``longest - 1`` code points.
         """
-        width = self.longest
+        width, end = self.longest, min(size, len(text))
         ahead = np.full((len(text) + 1, width), LOWEST)
         for k in range(min(width, len(text) + 1)):
             ahead[k, k] = 0.0
-        for at in range(min(size, len(text))):
+        at, gaps = 0, None
+        while at < end and gaps is None:
             row = ahead[at]
             if row.max() > LOWEST:
                 for n, score, _ in self.steps(text, at):
                     np.maximum(ahead[at + (n or 1)], row + score, out=ahead[at + (n or 1)])
+            at += 1
+            if at >= width and at % 16 == 0:
+                gaps = self._gaps(ahead[at : at + width])
+        if gaps is not None:  # all entries follow one path from here on, each at its own distance
+            lead = int(np.argmax(gaps))
+            best = ahead[:, lead].tolist()
+            grow, total = self.grow, len(text)
+            for at in range(at, end):
+                here = best[at]
+                if here == LOWEST:
+                    continue
+                to, spelled = at, False
+                while to < total:
+                    to += 1
+                    hit = grow.get(text[at:to])
+                    if hit is None:
+                        break
+                    if hit[1] >= 0:
+                        spelled |= to == at + 1
+                        if here + hit[0] > best[to]:
+                            best[to] = here + hit[0]
+                if not spelled:
+                    best[at + 1] = max(best[at + 1], here + self.byte_score * len(text[at].encode("utf-8", "surrogatepass")))
+            tail = np.array(best[size : size + width])
+            reach = np.where(tail[:, None] > LOWEST, tail[:, None] + gaps[None, :], LOWEST)
+        else:
+            reach = ahead[size : size + width]
         out = np.full((width, width), LOWEST)
-        reach = ahead[size : size + width]
-        out[:, : len(reach)] = reach.T
+        out[:, : len(reach)] = np.maximum(reach, LOWEST).T
         return out
 
+    @staticmethod
+    def _gaps(window: np.ndarray) -> np.ndarray | None:
+        """How far each entry lies behind the best one, if that is the same at every position ahead."""
+        open_ = window.max(1) > LOWEST
+        rows = window[open_]
+        if not len(rows):
+            return None
+        gaps = rows - rows.max(1, keepdims=True)
+        gaps[rows <= LOWEST / 2] = LOWEST
+        return gaps[0] if np.allclose(gaps, gaps[0], rtol=0, atol=1e-6) else None
+
     def encode(self, text: str) -> bytes:
         """Little-endian 32-bit ids of a text that is short enough for one task's plain pass."""
         if not text:
