@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from casewright.llm._common import environment_path, staged, table
 
 CHUNK = 1 << 15
+STRETCH = 300
 LOWEST = -1e18
 
 
@@ -38,6 +39,47 @@ def read_model(path: str) -> bytes:
         return f.read()
 
 
+def as_unigram(model: bytes) -> bytes:
+    """The vocabulary file with its search set to the best-scoring path (field 3 of the trainer's settings)."""
+
+    def varint(data: bytes, at: int) -> tuple[int, int]:
+        value = shift = 0
+        while True:
+            value |= (data[at] & 127) << shift
+            shift, at = shift + 7, at + 1
+            if data[at - 1] < 128:
+                return value, at
+
+    def fields(data: bytes):
+        at = 0
+        while at < len(data):
+            begin = at
+            key, at = varint(data, at)
+            if key & 7 == 0:
+                _, end = varint(data, at)
+            elif key & 7 == 2:
+                size, at = varint(data, at)
+                end = at + size
+            else:
+                end = at + {1: 8, 5: 4}[key & 7]
+            yield key >> 3, key & 7, data[begin:at], data[at:end]
+            at = end
+
+    def size(n: int) -> bytes:
+        out = b""
+        while n > 127:
+            out, n = out + bytes([n & 127 | 128]), n >> 7
+        return out + bytes([n])
+
+    out = []
+    for number, _, head, body in fields(model):
+        if number == 2:
+            body = b"\x18\x01" + b"".join(h + b for k, _, h, b in fields(body) if k != 3)
+            head = b"\x12" + size(len(body))
+        out.append(head + body)
+    return b"".join(out)
+
+
 class Vocabulary:
     """Pieces with a plain space for U+2581, their scores, and the prefixes that can still grow."""
 
@@ -72,9 +114,9 @@ class Vocabulary:
         crossing = any(" " in p.lstrip(" ") for p in self.scores if p.strip(" "))
         # Where no piece crosses a boundary, the best path is made of the best paths of its units.
         line = "\n" if "\n" not in joined else ""
+        self.splits = not crossing and all(s == int(s) for s, _ in self.scores.values())
         self.unit = re.compile(rf" *[^ {line}]+| +" + (f"|{line}" if line else "")) if not crossing else re.compile(r"(?s).+")
-        self._known: dict[str, bytes] = {}  # the current generation of unit encodings, and the one before
-        self._before: dict[str, bytes] = {}
+        self.lattice = sentencepiece.SentencePieceProcessor(model_proto=as_unigram(model))
 
     def steps(self, text: str, at: int):
         """(length, score, id) of the pieces that begin at ``at``; length 0 stands for byte fallback of one code point."""
@@ -87,7 +129,7 @@ class Vocabulary:
                 found |= n == 1
                 yield n, *hit
         if not found:
-            yield 0, self.byte_score * len(text[at].encode("utf-8", "surrogatepass")), -1
+            yield 0, self.byte_score, -1
 
     def _spell(self, char: str) -> list[int]:
         return [self.bytes[b] for b in char.encode("utf-8", "surrogatepass")]
@@ -116,7 +158,7 @@ class Vocabulary:
                     if to <= end and here + score > best[to]:
                         best[to], piece_at[to], from_at[to] = here + score, piece, at
             if not spelled:
-                score = here + self.byte_score * len(text[at].encode("utf-8", "surrogatepass"))
+                score = here + self.byte_score
                 if score > best[at + 1]:
                     best[at + 1], piece_at[at + 1], from_at[at + 1] = score, -1, at
         ids: list[int] = []
@@ -166,7 +208,7 @@ class Vocabulary:
                         if here + hit[0] > best[to]:
                             best[to] = here + hit[0]
                 if not spelled:
-                    best[at + 1] = max(best[at + 1], here + self.byte_score * len(text[at].encode("utf-8", "surrogatepass")))
+                    best[at + 1] = max(best[at + 1], here + self.byte_score)
             tail = np.array(best[size : size + width])
             reach = np.where(tail[:, None] > LOWEST, tail[:, None] + gaps[None, :], LOWEST)
         else:
@@ -190,19 +232,28 @@ class Vocabulary:
         """Little-endian 32-bit ids of a text that is short enough for one task's plain pass."""
         if not text:
             return b""
-        if len(self._known) >= 200_000:
-            self._before, self._known = self._known, {}
-        known, before, parts = self._known, self._before, []
-        for unit in self.unit.findall(" " + text):
-            ids = known.get(unit)
-            if ids is None:
-                ids = before.get(unit)
-                if ids is None:
-                    ids = np.array(self.path(unit), "<u4").tobytes()
-                if len(unit) <= 64:
-                    known[unit] = ids
-            parts.append(ids)
-        return b"".join(parts)
+        if "▁" not in text and self.splits:
+            # The library's own lattice search over the same pieces and scores, in compiled code.  It adds
+            # up in single precision, so it is given stretches whose sums stay exact.
+            parts = self._stretches(text)
+            if max(map(len, parts)) <= 3 * STRETCH:
+                ids = np.array([i for part in self.lattice.encode(parts) for i in part], "<u4").tobytes()
+                if self.decode(ids) == text.encode("utf-8", "surrogatepass"):
+                    return ids
+        return np.array([i for unit in self.unit.findall(" " + text) for i in self.path(unit)], "<u4").tobytes()
+
+    def _stretches(self, text: str) -> list[str]:
+        """The text cut at spaces after ``STRETCH`` code points; each stretch gets its space back as its prefix."""
+        parts, start = [], 0
+        while True:
+            at = text.find(" ", start + STRETCH)
+            while at > 0 and text[at - 1] == " ":
+                at = text.find(" ", at + 1)
+            # A stretch must not be empty: the library gives an empty text no prefix.
+            if at < 0 or at + 1 >= len(text):
+                return [*parts, text[start:]]
+            parts.append(text[start:at])
+            start = at + 1
 
     def decode(self, ids: bytes) -> bytes:
         """UTF-8 of the text behind ``ids``."""

@@ -179,14 +179,18 @@ def test_chunks_reach_the_same_score(vocabulary, body, chunk):
 
     v, spaced = vocabulary, " " + body
     scores = {i: s for s, i in v.scores.values()}
-    total = lambda ids: sum(scores.get(i, v.byte_score) for i in ids)
+    tail = {i for b, i in enumerate(v.bytes) if 0x80 <= b < 0xC0}  # a code point spelled in bytes counts once
+    total = lambda ids: sum(scores.get(i, v.byte_score) for i in ids if i not in tail)
     parts = [spaced[i : i + chunk + v.longest - 1] for i in range(0, len(spaced), chunk)]
     sizes = [min(chunk, len(p)) if i < len(parts) - 1 else len(p) for i, p in enumerate(parts)]
     states = sentencepiece_scan.boundary_states([v.transfer(p, s) for p, s in zip(parts, sizes)])
     ids = [i for p, s, a, b in zip(parts, sizes, states, states[1:]) for i in v.path(p, a, s + b, s)]
     assert v.decode(np.array(ids, "<u4").tobytes()).decode() == body
     assert total(ids) == pytest.approx(total(v.path(spaced)))
-    assert v.decode(v.encode(body)).decode() == body
+    plain = v.encode(body)
+    assert v.decode(plain).decode() == body
+    if body:
+        assert total(np.frombuffer(plain, "<u4").tolist()) == pytest.approx(total(ids))
 
 
 def test_library_decodes_the_ids(vocabulary):
