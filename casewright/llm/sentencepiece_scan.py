@@ -20,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+import struct
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,7 @@ from casewright.llm._common import environment_path, staged, table
 
 CHUNK = 1 << 15
 STRETCH = 300
+NEVER = -1e6
 LOWEST = -1e18
 
 
@@ -40,7 +42,10 @@ def read_model(path: str) -> bytes:
 
 
 def as_unigram(model: bytes) -> bytes:
-    """The vocabulary file with its search set to the best-scoring path (field 3 of the trainer's settings)."""
+    """The vocabulary file with its search set to the best-scoring path (field 3 of the trainer's settings).
+
+    Scores under ``NEVER``, marks of pieces that merges made last, become ten less than the lowest other.
+    """
 
     def varint(data: bytes, at: int) -> tuple[int, int]:
         value = shift = 0
@@ -71,8 +76,14 @@ def as_unigram(model: bytes) -> bytes:
             out, n = out + bytes([n & 127 | 128]), n >> 7
         return out + bytes([n])
 
+    def score(piece: bytes) -> float:
+        return next((struct.unpack("<f", b)[0] for k, _, _, b in fields(piece) if k == 2), 0.0)
+
+    floor = struct.pack("<f", min(s for n, _, _, b in fields(model) if n == 1 and (s := score(b)) > NEVER) - 10)
     out = []
     for number, _, head, body in fields(model):
+        if number == 1 and score(body) <= NEVER:
+            body = b"".join(h + (floor if k == 2 else b) for k, _, h, b in fields(body))
         if number == 2:
             body = b"\x18\x01" + b"".join(h + b for k, _, h, b in fields(body) if k != 3)
             head = b"\x12" + size(len(body))
@@ -86,7 +97,7 @@ class Vocabulary:
     def __init__(self, model: bytes) -> None:
         import sentencepiece
 
-        model_ = sentencepiece.SentencePieceProcessor(model_proto=model)
+        model_ = self.lattice = sentencepiece.SentencePieceProcessor(model_proto=as_unigram(model))
         self.spelled: list[bytes] = []
         self.scores: dict[str, tuple[float, int]] = {}
         self.bytes: list[int] = [-1] * 256
@@ -116,7 +127,6 @@ class Vocabulary:
         line = "\n" if "\n" not in joined else ""
         self.splits = not crossing and all(s == int(s) for s, _ in self.scores.values())
         self.unit = re.compile(rf" *[^ {line}]+| +" + (f"|{line}" if line else "")) if not crossing else re.compile(r"(?s).+")
-        self.lattice = sentencepiece.SentencePieceProcessor(model_proto=as_unigram(model))
 
     def steps(self, text: str, at: int):
         """(length, score, id) of the pieces that begin at ``at``; length 0 stands for byte fallback of one code point."""
@@ -230,17 +240,22 @@ class Vocabulary:
 
     def encode(self, text: str) -> bytes:
         """Little-endian 32-bit ids of a text that is short enough for one task's plain pass."""
+        return self.encode_checked(text)[0]
+
+    def encode_checked(self, text: str) -> tuple[bytes, bytes]:
+        """The ids of a text and the UTF-8 that they decode to."""
         if not text:
-            return b""
+            return b"", b""
         if "▁" not in text and self.splits:
             # The library's own lattice search over the same pieces and scores, in compiled code.  It adds
             # up in single precision, so it is given stretches whose sums stay exact.
             parts = self._stretches(text)
-            if max(map(len, parts)) <= 3 * STRETCH:
-                ids = np.array([i for part in self.lattice.encode(parts) for i in part], "<u4").tobytes()
-                if self.decode(ids) == text.encode("utf-8", "surrogatepass"):
-                    return ids
-        return np.array([i for unit in self.unit.findall(" " + text) for i in self.path(unit)], "<u4").tobytes()
+            if max(map(len, parts)) <= STRETCH + 100:
+                ids = np.array([i for part in self.lattice.encode(parts, num_threads=1) for i in part], "<u4").tobytes()
+                if (back := self.decode(ids)) == text.encode("utf-8", "surrogatepass"):
+                    return ids, back
+        ids = np.array([i for unit in self.unit.findall(" " + text) for i in self.path(unit)], "<u4").tobytes()
+        return ids, self.decode(ids)
 
     def _stretches(self, text: str) -> list[str]:
         """The text cut at spaces after ``STRETCH`` code points; each stretch gets its space back as its prefix."""
@@ -277,11 +292,6 @@ def boundary_states(matrices: list[np.ndarray]) -> list[int]:
     return [*reversed(states + [0])] if len(matrices) else [0]
 
 
-def _record(batch, ids: list[bytes], model: Vocabulary) -> pa.RecordBatch:
-    decoded = [model.decode(x) for x in ids]
-    return pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(ids, pa.binary()), pa.array(decoded, pa.binary())], ["doc_id", "ids", "decoded"])
-
-
 def encode_documents(docs: DataFrame, model: bytes, chunk: int = CHUNK) -> DataFrame:
     """``doc_id``, ``ids`` (little-endian 32-bit) and ``decoded`` (UTF-8 bytes) of ``docs(doc_id, text)``."""
     own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
@@ -292,7 +302,9 @@ def encode_documents(docs: DataFrame, model: bytes, chunk: int = CHUNK) -> DataF
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                yield _record(part, [vocabulary.encode(t) for t in part["text"].to_pylist()], vocabulary)
+                found = [vocabulary.encode_checked(t) for t in part["text"].to_pylist()]
+                columns = (pa.array([f[k] for f in found], pa.binary()) for k in (0, 1))
+                yield pa.RecordBatch.from_arrays([part["doc_id"], *columns], ["doc_id", "ids", "decoded"])
 
     small = own.where(F.char_length("text") <= chunk).mapInArrow(whole, "doc_id bigint, ids binary, decoded binary")
     return small.unionByName(_encode_giants(own.where(F.char_length("text") > chunk), shared, chunk))
