@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import difflib
-import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -142,5 +141,18 @@ def map_headers(present: list[str], wanted: list[str], cutoff: float = 0.25) ->
     return out
 
 
-def predicate_pattern(text: str) -> str:
-    return re.escape(text)
+
+
+def register_task_pairs(spark) -> None:
+    """``task_pairs(text)`` as a table function of (k, v) for SQL users."""
+    from pyspark.sql.functions import udtf
+
+    @udtf(returnType="k string, v string")
+    class TaskPairs:
+        def eval(self, text: str):
+            for part in (text or "").translate({39: None, 34: None}).strip().removeprefix("{").removesuffix("}").split(";"):
+                key, colon, value = part.partition(":")
+                if colon:
+                    yield key.strip().lower(), value.strip()
+
+    spark.udtf.register("task_pairs", TaskPairs)

@@ -35,3 +35,18 @@ def two_hop(df: DataFrame, digest: str, hashes: DataFrame, subjects: DataFrame)
 
 def batch_id(path: Column) -> Column:
     return F.regexp_extract(path, r"Batch_(\d+)_batch_results\.csv", 1)
+
+
+#: What every label header says of itself.
+SEGMENT_HEADER = {"Modality": "SEG", "SeriesDescription": "crowd labels", "ContentLabel": "SEGMENTATION"}
+
+
+def segment_headers(df: DataFrame, key: str, order: str, worker: str, title: str) -> DataFrame:
+    """One header map per key: fixed entries, the first row's title, and its segments in order."""
+    lists = collect_in_order(df, key, order, worker, title)
+    fixed = [x for k, v in SEGMENT_HEADER.items() for x in (F.lit(k), F.lit(v))]
+    header = F.create_map(
+        *fixed, F.lit("StudyDescription"), F.get(title, F.lit(0)), F.lit("NumberOfFrames"), F.size(worker).cast("string"),
+        F.lit("SegmentSequence"), F.array_join(F.transform(worker, lambda w, i: F.concat_ws(":", i.cast("string"), w)), ";"),
+    )
+    return lists.select(key, header.alias("header"))

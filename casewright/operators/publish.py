@@ -101,3 +101,18 @@ class Commit:
 def write_form(forms: DataFrame, folder: str) -> None:
     """One JSON document per row of ``forms(name, value)``, under a folder per name."""
     forms.select("name", "value").write.mode("append").partitionBy("name").text(folder)
+
+
+def failure_row(spark: SparkSession, subject: str, step: str, message: str, at: Column) -> DataFrame:
+    """What a failed publication leaves in the log."""
+    return spark.createDataFrame([(subject, step, message)], "subject string, step string, message string").withColumn("at", at)
+
+
+def log_failure(row: DataFrame, path: str) -> None:
+    row.write.mode("append").parquet(path)
+
+
+def write_summary(lines: DataFrame, path: str) -> None:
+    """The sorted report lines as one text file."""
+    text = lines.agg(F.array_join(F.array_sort(F.collect_list("line")), "\n").alias("value"))
+    text.write.mode("overwrite").text(path)

@@ -129,3 +129,15 @@ class Catalog:
         if self.exists(name):
             raise ValueError(f"registry {name.upper()!r} exists")
         return self.with_table(name, spark.createDataFrame([], registry_schema(*(e.upper() for e in extras))))
+
+
+def register_user(users: DataFrame, librarians: DataFrame, caller: str, name: str, uid: str, now: Column) -> DataFrame:
+    """A librarian adds a user; adding one twice changes nothing."""
+    guard(caller, users, librarians)
+    candidate = users.sparkSession.createDataFrame([(name, uid, 1)], "NAME string, UID string, ordinal int")
+    return insert_if_absent(users, candidate, caller.upper(), now)[0]
+
+
+def delete_subjects(keys: DataFrame, key: str, subjects: DataFrame, hashes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Subjects go together with their image hashes."""
+    return delete_keys(subjects, "UID", keys, key), delete_keys(hashes, "SUBJECT", keys, key)

@@ -200,4 +200,17 @@ def login_mask(spark, sf_dir):
     return table(spark, sf_dir, "supplier").select("s_suppkey", F.repeat(F.lit("*"), F.length("s_name")).alias("masked"), F.contains("s_name", F.lit("0")).alias("has_zero"))
 
 
+@plans.add("""
+SELECT 'subject' AS kind, count(*) AS n FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 350000)
+UNION ALL SELECT 'hash', count(*) FROM orders WHERE o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 350000)
+""")
+def registry_cascade_delete(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    gone = o.where("o_totalprice > 350000").select(F.col("o_custkey").alias("k"))
+    subjects = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("UID"))
+    left, hashes = R.delete_subjects(gone, "k", subjects, o.select(F.col("o_custkey").alias("SUBJECT")))
+    count = lambda df, kind: df.agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), "n")
+    return count(left, "subject").unionByName(count(hashes, "hash"))
+
+
 QUERIES, ORACLES = plans.queries, plans.oracles

@@ -216,4 +216,16 @@ def label_sample(spark, sf_dir):
     return table(spark, sf_dir, "events").orderBy(F.rand(7)).limit(1).select("event_id", "event_type")
 
 
+@plans.add("""
+SELECT conv_id, 'ContentLabel=SEGMENTATION|Modality=SEG|NumberOfFrames=' || count(*) || '|SegmentSequence=' ||
+  string_agg(CAST(n AS VARCHAR) || ':' || role, ';' ORDER BY n) || '|SeriesDescription=crowd labels|StudyDescription=' || min_by(role, n) AS header
+FROM (SELECT conv_id, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role) - 1 AS n FROM conversations) GROUP BY conv_id
+""")
+def label_headers(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.col("role").alias("title"))
+    headers = L.segment_headers(c, "conv_id", "turn", "role", "title")
+    entries = F.array_sort(F.transform(F.map_entries("header"), lambda e: F.concat(e["key"], F.lit("="), e["value"])))
+    return headers.select("conv_id", F.array_join(entries, "|").alias("header"))
+
+
 QUERIES, ORACLES = plans.queries, plans.oracles

@@ -282,3 +282,39 @@ def test_seen_hash_stream(spark, tmp_path):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(landing))
         seen_hash_stream(spark, str(landing), spark.createDataFrame([], schema).schema, reg, str(tmp_path / "cp")).awaitTermination()
         assert spark.read.parquet(reg).count() == (2, 3)[i]
+
+
+def test_user_registration(spark):
+    people, librarians = users(spark, "ann", "lib"), users(spark, "lib")
+    after = registry.register_user(people, librarians, "lib", "new", "2_25_9", F.lit("now"))
+    assert registry.register_user(after, librarians, "lib", "NEW", "2_25_8", F.lit("now")).count() == 3
+    with pytest.raises(PermissionError):
+        registry.register_user(people, librarians, "ann", "x", "2_25_7", F.lit("now"))
+
+
+def test_crowd_results(spark, tmp_path):
+    import base64
+
+    from casewright.sources import crowd
+
+    image = np.arange(48, dtype=np.uint8).reshape(4, 4, 3)
+    row = {c: "" for c in crowd.COLUMNS} | {"HITId": "h1", "WorkerId": "w", "AcceptTime": "Tue Jul 05 10:00:00 PDT 2022", "SubmitTime": "Tue Jan 04 10:00:00 PST 2022", "Input.image_url": "s3://x/y.png"}
+    row["Answer.task.labeledImage.pngImageData"] = base64.b64encode(png.encode_png(image)).decode()
+    path = tmp_path / "Batch_77_batch_results.csv"
+    path.write_text(",".join(row) + "\n" + ",".join(row.values()) + "\n")
+    found = crowd.read_results(spark, str(path)).withColumn("pixels", png.label_image(F.col("image_base64"), 4)).first()
+    assert found.batch == "77" and bytes(found.pixels) == image.tobytes() and found.Input_image_url == "s3://x/y.png"
+    assert (found.AcceptTime.hour, found.SubmitTime.hour) == (17, 18)
+    path.write_text("HITId\nx\n")
+    with pytest.raises(ValueError, match="missing columns"):
+        crowd.read_results(spark, str(path))
+
+
+def test_logs_summaries_and_pairs(spark, tmp_path):
+    publish.log_failure(publish.failure_row(spark, "s", "zip", "disk full", F.lit("now")), str(tmp_path / "log"))
+    publish.log_failure(publish.failure_row(spark, "t", "zip", "disk full", F.lit("now")), str(tmp_path / "log"))
+    assert spark.read.parquet(str(tmp_path / "log")).count() == 2
+    publish.write_summary(spark.createDataFrame([("b",), ("a",)], "line string"), str(tmp_path / "s"))
+    assert [r.value for r in spark.read.text(str(tmp_path / "s")).collect()] == ["a", "b"]
+    text.register_task_pairs(spark)
+    assert [tuple(r) for r in spark.sql("SELECT * FROM task_pairs('{S1: cut; s2: \"sew\"}')").collect()] == [("s1", "cut"), ("s2", "sew")]
