@@ -17,6 +17,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Iterable
 
 import ahocorasick
 import pyarrow as pa
@@ -149,35 +150,39 @@ def _patterns(text: str):
                     yield word[:n], context
 
 
-def train(rows: list[tuple[str | None, int]]) -> Model:
+def train(rows: Iterable[tuple[str | None, int]]) -> Model:
     """Learn from ``(text, toxic)`` rows.
 
     A pattern joins the lexicon when the log-likelihood ratio of its label rate against the base
     rate beats the number of patterns tried (a Bonferroni bound) and its smoothed rate is 0.9 or more.
+    Sets of contexts are kept only for patterns that can still qualify, so that memory stays small.
     """
-    if not rows:
-        return Model({}, {}, {}, 0.0)
     texts = [((t or "").lower(), int(y)) for t, y in rows]
-    support: dict[str, tuple[set[int], set[int]]] = {}
-    for number, (text, label) in enumerate(texts):
+    if not texts:
+        return Model({}, {}, {}, 0.0)
+    documents: Counter = Counter()
+    for text, label in texts:
         if label:
-            for key, context in _patterns(text):
-                found = support.setdefault(key, (set(), set()))
-                found[0].add(number)
-                found[1].add(context)
-    tried = max(2, len(support))
-    n1 = {k: n for k, v in support.items() if (n := min(map(len, v))) >= 3}  # fewer never pass the bound
-    del support
+            documents.update({key for key, _ in _patterns(text)})
+    tried = max(2, len(documents))
+    documents = {k: n for k, n in documents.items() if n >= 3}  # fewer never pass the bound
     against: dict[str, tuple[set[int], set[int]]] = {}
     for number, (text, label) in enumerate(texts):
         if not label:
             for key, context in _patterns(text):
-                if key in n1:
+                if key in documents:
                     found = against.setdefault(key, (set(), set()))
                     found[0].add(number)
                     found[1].add(context)
-                    if min(map(len, found)) * 3 > n1[key]:  # its rate can no longer reach 0.8
-                        del n1[key], against[key]
+                    if min(map(len, found)) * 3 > documents[key]:  # its rate can no longer reach 0.8
+                        del documents[key], against[key]
+    contexts: dict[str, set[int]] = {}
+    for text, label in texts:
+        if label:
+            for key, context in _patterns(text):
+                if key in documents:
+                    contexts.setdefault(key, set()).add(context)
+    n1 = {k: min(documents[k], len(v)) for k, v in contexts.items()}
     n0 = {k: min(map(len, v)) for k, v in against.items()}
     base = min(0.5, max(0.01, sum(y for _, y in texts) / len(texts)))
     words, prefixes = {}, {}
@@ -207,7 +212,7 @@ def train(rows: list[tuple[str | None, int]]) -> Model:
     return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 12000) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 8000) -> Model:
     """Learn from at most ``sample`` labelled rows, taken by hash order; the bound is on the fit alone."""
     own = (
         labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
@@ -216,7 +221,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 12000) -> Model:
         .limit(sample)
     )
     rows = docs.select("doc_id", "text").join(F.broadcast(own), "doc_id").collect()  # at most ``sample`` label rows are sent
-    return train([(r.text, r.toxic) for r in sorted(rows, key=lambda r: (r.doc_id, r.text or "", r.toxic))])
+    rows.sort(key=lambda r: (r.doc_id, r.text or "", r.toxic), reverse=True)
+    return train((r.text, r.toxic) for r in iter(lambda: rows.pop() if rows else None, None))  # rows go as they are read
 
 
 def score_documents(docs: DataFrame, model: Model) -> DataFrame:
