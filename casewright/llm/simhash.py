@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casewright.llm._common import WORD, drop_staged, lower_ascii, staged, table
+from casewright.llm._common import WORD, lower_ascii, mix, staged, table
 from casewright.llm.components import components
 
 BITS = 64
@@ -37,20 +37,26 @@ def _bit_counts(hashes: np.ndarray) -> np.ndarray:
     return total
 
 
-def fingerprint(text: str | None, width: int = 3) -> int:
-    """The 64-bit SimHash of a text's word shingles; bit set in over half of the hashes."""
+def wide_fingerprint(text: str | None, width: int, parts: int) -> list[int]:
+    """``parts`` SimHashes of 64 bits each; the first is over the shingles' own hashes, the others over
+    hashes of those.  A bit is set in over half of the hashes."""
     words = WORD.findall(lower_ascii(text or ""))
     if not words:
-        return 0
-    if len(words) < width:
-        return xxhash.xxh64_intdigest(" ".join(words).encode("utf-8", "surrogatepass"), 42)
-    digest, total = xxhash.xxh64_intdigest, np.zeros(BITS, np.int64)
-    n = len(words) - width + 1
+        return [0] * parts
+    digest, totals = xxhash.xxh64_intdigest, np.zeros((parts, BITS), np.int64)
+    n = max(1, len(words) - width + 1)
     for at in range(0, n, 1 << 17):  # a bounded number of shingles at a time, however long the text
         part = words[at : at + (1 << 17) + width - 1]
-        shingles = map(" ".join, zip(*(part[k : len(part) - width + 1 + k] for k in range(width))))
-        total += _bit_counts(np.fromiter((digest(s, 42) for s in shingles), np.uint64, min(1 << 17, n - at)))
-    return int((np.uint64(1) << _SHIFTS)[total * 2 > n].sum(dtype=np.uint64))
+        shingles = map(" ".join, zip(*(part[k : len(part) - width + 1 + k] for k in range(width)))) if len(words) >= width else [" ".join(words)]
+        hashes = np.fromiter((digest(s.encode("utf-8", "surrogatepass"), 42) for s in shingles), np.uint64, min(1 << 17, n - at))
+        for k in range(parts):
+            totals[k] += _bit_counts(hashes if k == 0 else mix(hashes ^ np.uint64(0x9E3779B97F4A7C15 * k % (1 << 64))))
+    return [int((np.uint64(1) << _SHIFTS)[t * 2 > n].sum(dtype=np.uint64)) for t in totals]
+
+
+def fingerprint(text: str | None, width: int = 3) -> int:
+    """The 64-bit SimHash of a text's word shingles; fewer words make one shingle."""
+    return wide_fingerprint(text, width, 1)[0]
 
 
 def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
@@ -125,46 +131,55 @@ def _triple_keys(fp: str = "near"):
     return F.array(*(joined(*t) + F.lit(n << 24) for n, t in enumerate(TRIPLES)))
 
 
-def _crowd_links(near: np.ndarray, wide: np.ndarray, nodes: np.ndarray, near_bits: int, wide_bits: int) -> list[tuple[int, int]]:
-    """A spanning star per connected part of one crowded block; pairs are compared, never listed."""
+#: 256 bits of five-word fingerprints: a similarity of 0.8 means 38.8 differing bits on average, spread 5.7.
+WIDE = ("wide0", "wide1", "wide2", "wide3")
+
+
+def _crowd_links(prints: np.ndarray, nodes: np.ndarray, near_bits: int, wide_bits: int) -> list[tuple[int, int]]:
+    """A spanning star per connected part of one crowded block; pairs are compared, never listed.
+
+    ``prints`` has the word-pair fingerprint and the four parts of the wide one of every member.
+    """
     n = len(nodes)
     root = np.arange(n)
     for at in range(n):
-        # Labels only fall to smaller positions, so one pass over later members per member suffices.
-        hit = (np.bitwise_count(near[at + 1 :] ^ near[at]) <= near_bits) & (np.bitwise_count(wide[at + 1 :] ^ wide[at]) <= wide_bits)
-        others = np.unique(root[at + 1 :][hit])
-        others = others[others != root[at]]
+        later = at + 1 + np.flatnonzero(np.bitwise_count(prints[at + 1 :, 0] ^ prints[at, 0]) <= near_bits)
+        later = later[root[later] != root[at]]
+        apart = np.bitwise_count(prints[later, 1:] ^ prints[at, 1:]).sum(1, dtype=np.int64)
+        others = np.unique(root[later[apart <= wide_bits]])
         if len(others):
             low = min(int(others[0]), int(root[at]))
             root[np.isin(root, np.append(others, root[at]))] = low
     return [(int(nodes[i]), int(nodes[r])) for i, r in enumerate(root) if i != r]
 
 
-def similar_groups(docs: DataFrame, near_bits: int = 8, wide_bits: int = 12, hot: int = 64) -> DataFrame:
+def similar_groups(docs: DataFrame, near_bits: int = 10, wide_bits: int = 46, hot: int = 64) -> DataFrame:
     """``doc_id, component_id`` at about 0.8 similarity of five-word shingles.
 
     Fingerprints of word pairs give the blocks: pairs within five bits are sure to share one of the 56
-    keys, pairs within eight bits usually do.  A pair is linked when its word-pair fingerprints differ
-    in at most ``near_bits`` bits and its five-word fingerprints in at most ``wide_bits`` (a similarity
-    of 0.8 means 9.7 bits on average, with a spread of about three).
+    keys, pairs within ten bits mostly do.  A pair is linked when its word-pair fingerprints differ in
+    at most ``near_bits`` of 64 bits and its five-word fingerprints in at most ``wide_bits`` of 256.
     """
+    names = ("near", *WIDE)
 
     def run(batches):
         for batch in batches:
-            near, wide = (np.fromiter((fingerprint(t.as_py(), w) for t in batch["text"]), np.uint64, batch.num_rows) for w in (2, 5))
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(near.astype(np.int64)), pa.array(wide.astype(np.int64))], ["doc_id", "near", "wide"])
+            found = [wide_fingerprint(t.as_py(), 2, 1) + wide_fingerprint(t.as_py(), 5, len(WIDE)) for t in batch["text"]]
+            columns = np.array(found, np.uint64).reshape(-1, len(names)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], *(pa.array(columns[:, k]) for k in range(len(names)))], ["doc_id", *names])
 
-    prints = staged(docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, near bigint, wide bigint"), "fingerprints")
-    nodes = prints.groupBy("near", "wide").agg(F.min("doc_id").alias("node"))
-    keyed = nodes.where("node IS NOT NULL").select("node", "near", "wide", F.explode(_triple_keys()).alias("key"))
+    prints = staged(docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, " + ", ".join(f"{n} bigint" for n in names)), "fingerprints")
+    nodes = prints.groupBy(*names).agg(F.min("doc_id").alias("node"))
+    keyed = nodes.where("node IS NOT NULL").select("node", *names, F.explode(_triple_keys()).alias("key"))
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     met = staged(keyed.join(sizes, "key"), "blocks")
     small = met.where(F.col("n") <= hot)
-    other = small.select("key", F.col("node").alias("b"), F.col("near").alias("near_b"), F.col("wide").alias("wide_b"))
+    other = small.select("key", F.col("node").alias("b"), *(F.col(n).alias(f"{n}_b") for n in names))
+    apart = lambda n: F.bit_count(F.col(n).bitwiseXOR(F.col(f"{n}_b")))
     pairs = (
         small.join(other, "key")
         .where(F.col("node") < F.col("b"))
-        .where((F.bit_count(F.col("near").bitwiseXOR(F.col("near_b"))) <= near_bits) & (F.bit_count(F.col("wide").bitwiseXOR(F.col("wide_b"))) <= wide_bits))
+        .where((apart("near") <= near_bits) & (sum((apart(n) for n in WIDE[1:]), apart(WIDE[0])) <= wide_bits))
         .select(F.col("node").alias("a"), "b")
     )
 
@@ -172,27 +187,27 @@ def similar_groups(docs: DataFrame, near_bits: int = 8, wide_bits: int = 12, hot
         held, key = [], None
 
         def links_():
-            near, wide, nodes_ = (np.concatenate([h[i] for h in held]) for i in range(3))
-            found = _crowd_links(near.astype(np.uint64), wide.astype(np.uint64), nodes_, near_bits, wide_bits)
+            columns = np.concatenate(held)
+            found = _crowd_links(columns[:, 1:].astype(np.uint64), columns[:, 0], near_bits, wide_bits)
             return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], ["a", "b"])
 
         for batch in batches:
             keys = batch["key"].to_numpy(zero_copy_only=False)
             cuts = [0, *(np.flatnonzero(np.diff(keys)) + 1).tolist(), len(keys)]
-            columns = [batch[c].to_numpy(zero_copy_only=False) for c in ("near", "wide", "node")]
+            columns = np.stack([batch[c].to_numpy(zero_copy_only=False) for c in ("node", *names)], 1)
             for a, b in zip(cuts, cuts[1:]):
                 if held and keys[a] != key:
                     yield links_()
                     held = []
                 key = keys[a]
-                held.append([c[a:b] for c in columns])
+                held.append(columns[a:b])
         if held:
             yield links_()
 
-    crowd = met.where(F.col("n") > hot).select("key", "near", "wide", "node").repartition("key").sortWithinPartitions("key", "node")
+    crowd = met.where(F.col("n") > hot).select("key", "node", *names).repartition("key").sortWithinPartitions("key", "node")
     joined = components(pairs.unionByName(crowd.mapInArrow(crowds, "a bigint, b bigint"))).withColumnRenamed("component", "component_id")
-    classes = staged(nodes.join(joined, "node", "left").select("near", "wide", F.coalesce("component_id", "node").alias("component_id")), "classes")
-    return prints.join(classes, ["near", "wide"], "left").select("doc_id", "component_id")
+    classes = staged(nodes.join(joined, "node", "left").select(*names, F.coalesce("component_id", "node").alias("component_id")), "classes")
+    return prints.join(classes, list(names), "left").select("doc_id", "component_id")
 
 
 def keep_one_of_each(docs: DataFrame, **settings) -> DataFrame:
