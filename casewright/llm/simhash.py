@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casewright.llm._common import WORD, lower_ascii, mix, staged, table
+from casewright.llm._common import WORD, lower_ascii, mix, powers, slices, staged, table, word_hashes
 from casewright.llm.components import components
 
 BITS = 64
@@ -121,93 +121,128 @@ def near_duplicates(docs: DataFrame, width: int = 3, distance: int = 2, hot: int
 
 # --- groups at a wider similarity, for the pipeline --------------------------------------------
 
-#: Eight blocks of eight bits; three together make a key of 24 bits, which close pairs share.
-TRIPLES = tuple((i, j, k) for i in range(8) for j in range(i + 1, 8) for k in range(j + 1, 8))
-
-
-def _triple_keys(fp: str = "near"):
-    part = lambda i: F.shiftrightunsigned(fp, 8 * i).bitwiseAND(F.lit(0xFF))
-    joined = lambda i, j, k: F.shiftleft(part(i), 16).bitwiseOR(F.shiftleft(part(j), 8)).bitwiseOR(part(k))
-    return F.array(*(joined(*t) + F.lit(n << 24) for n, t in enumerate(TRIPLES)))
-
-
-#: 256 bits of five-word fingerprints: a similarity of 0.8 means 38.8 differing bits on average, spread 5.7.
-WIDE = ("wide0", "wide1", "wide2", "wide3")
-
-
-def _crowd_links(prints: np.ndarray, nodes: np.ndarray, near_bits: int, wide_bits: int) -> list[tuple[int, int]]:
-    """A spanning star per connected part of one crowded block; pairs are compared, never listed.
-
-    ``prints`` has the word-pair fingerprint and the four parts of the wide one of every member.
-    """
+#: 32 keys of four minima each: a pair at 0.8 shares none with a chance of (1 - 0.8**4)**32 = 5e-8.
+BANDS, ROWS, WIDTH = 32, 4, 5
+_TURN = np.random.default_rng(57).integers(1, 2**63, (2, BANDS * ROWS), dtype=np.uint64) | np.uint64(1)
+
+
+def shingle_sets(texts: list[str]):
+    """The sorted distinct hashes of each text's five-word shingles; fewer words make one shingle."""
+    for a, b in slices(texts, 1 << 18):
+        words, counts = word_hashes(texts[a:b])
+        ends = np.cumsum(counts)
+        if len(words) >= WIDTH:
+            n = len(words) - WIDTH + 1
+            joined = np.zeros(n, np.uint64)
+            for k, w in enumerate(powers(WIDTH + 1)[1:]):
+                joined += words[k : k + n] * w
+            joined = mix(joined)
+        for end, count in zip(ends.tolist(), counts.tolist()):
+            if count >= WIDTH:
+                yield np.unique(joined[end - count : end - WIDTH + 1])
+            elif count:
+                yield mix((words[end - count : end] * powers(count + 1)[1:]).sum(keepdims=True, dtype=np.uint64) + np.uint64(count))
+            else:
+                yield np.zeros(0, np.uint64)
+
+
+def band_keys(shingles: np.ndarray) -> np.ndarray:
+    """The ``BANDS`` keys of one set, each over ``ROWS`` of its minima under fixed orders."""
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(shingles), 256):  # small blocks stay in the cache
+        least = np.minimum(least, ((shingles[at : at + 256, None] ^ _TURN[0]) * _TURN[1]).min(0))
+    return mix((least.reshape(BANDS, ROWS) * powers(ROWS + 1)[1:]).sum(1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64))
+
+
+def alike(shared, size_a, size_b, similarity: float):
+    """Whether sets of these sizes with so many elements in common are that similar."""
+    return shared >= similarity * (size_a + size_b - shared) - 1e-9
+
+
+def _crowd_links(sets: list[np.ndarray], nodes: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """A spanning star per connected part of one crowded key, by the exact similarity of all pairs that
+    are not connected yet; pairs are counted from an inverted index, never listed."""
     n = len(nodes)
-    root = np.arange(n)
+    root, sizes = np.arange(n), np.array([len(s) for s in sets])
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(n, dtype=np.int32), sizes)
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
     for at in range(n):
-        later = at + 1 + np.flatnonzero(np.bitwise_count(prints[at + 1 :, 0] ^ prints[at, 0]) <= near_bits)
-        later = later[root[later] != root[at]]
-        apart = np.bitwise_count(prints[later, 1:] ^ prints[at, 1:]).sum(1, dtype=np.int64)
-        others = np.unique(root[later[apart <= wide_bits]])
+        if (root[at + 1 :] == root[at]).all():
+            continue
+        low, high = np.searchsorted(flat, sets[at]), np.searchsorted(flat, sets[at], "right")
+        shared = np.bincount(np.concatenate([owner[a:b] for a, b in zip(low, high)]), minlength=n)
+        others = np.unique(root[alike(shared, sizes, sizes[at], similarity) & (root != root[at])])
         if len(others):
-            low = min(int(others[0]), int(root[at]))
-            root[np.isin(root, np.append(others, root[at]))] = low
-    return [(int(nodes[i]), int(nodes[r])) for i, r in enumerate(root) if i != r]
+            root[np.isin(root, np.append(others, root[at]))] = min(int(others[0]), int(root[at]))
+    return [(int(nodes[i]), int(nodes[r])) for i, r in enumerate(root) if nodes[i] != nodes[r]]
+
 
+def _edges(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-def similar_groups(docs: DataFrame, near_bits: int = 10, wide_bits: int = 46, hot: int = 64) -> DataFrame:
-    """``doc_id, component_id`` at about 0.8 similarity of five-word shingles.
 
-    Fingerprints of word pairs give the blocks: pairs within five bits are sure to share one of the 56
-    keys, pairs within ten bits mostly do.  A pair is linked when its word-pair fingerprints differ in
-    at most ``near_bits`` of 64 bits and its five-word fingerprints in at most ``wide_bits`` of 256.
+def similar_groups(docs: DataFrame, similarity: float = 0.8, hot: int = 16) -> DataFrame:
+    """``doc_id, component_id`` at ``similarity`` (Jaccard) or more of the sets of five-word shingles.
+
+    Equal sets are collapsed.  Candidates share one of ``BANDS`` keys of minima, and are linked only by the
+    exact similarity of their sets, which are made again from the texts of the candidates alone.  A
+    key with more than ``hot`` sets is compared in one task, which emits a spanning star.
     """
-    names = ("near", *WIDE)
 
     def run(batches):
         for batch in batches:
-            found = [wide_fingerprint(t.as_py(), 2, 1) + wide_fingerprint(t.as_py(), 5, len(WIDE)) for t in batch["text"]]
-            columns = np.array(found, np.uint64).reshape(-1, len(names)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], *(pa.array(columns[:, k]) for k in range(len(names)))], ["doc_id", *names])
+            sets = list(shingle_sets([t or "" for t in batch["text"].to_pylist()]))
+            fp = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64).astype(np.int64)
+            keys = pa.array([band_keys(s).astype(np.int64) for s in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(fp), pa.array([len(s) for s in sets], pa.int32()), keys], ["doc_id", "fp", "size", "keys"])
 
-    prints = staged(docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, " + ", ".join(f"{n} bigint" for n in names)), "fingerprints")
-    nodes = prints.groupBy(*names).agg(F.min("doc_id").alias("node"))
-    keyed = nodes.where("node IS NOT NULL").select("node", *names, F.explode(_triple_keys()).alias("key"))
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    met = staged(keyed.join(sizes, "key"), "blocks")
-    small = met.where(F.col("n") <= hot)
-    other = small.select("key", F.col("node").alias("b"), *(F.col(n).alias(f"{n}_b") for n in names))
-    apart = lambda n: F.bit_count(F.col(n).bitwiseXOR(F.col(f"{n}_b")))
-    pairs = (
-        small.join(other, "key")
-        .where(F.col("node") < F.col("b"))
-        .where((apart("near") <= near_bits) & (sum((apart(n) for n in WIDE[1:]), apart(WIDE[0])) <= wide_bits))
-        .select(F.col("node").alias("a"), "b")
-    )
-
-    def crowds(batches):
-        held, key = [], None
+    def remake(batches):
+        for batch in batches:
+            sets = [s.tobytes() for s in shingle_sets([t or "" for t in batch["text"].to_pylist()])]
+            fp = np.array([xxhash.xxh3_64_intdigest(s) for s in sets], np.uint64).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(fp), pa.array(sets, pa.binary())], ["fp", "shingles"])
 
-        def links_():
-            columns = np.concatenate(held)
-            found = _crowd_links(columns[:, 1:].astype(np.uint64), columns[:, 0], near_bits, wide_bits)
-            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], ["a", "b"])
+    def verify(batches):
+        for batch in batches:
+            found = []
+            for a, b, x, y in zip(*(batch[c].to_pylist() for c in ("a", "b", "shingles", "shingles_b"))):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                if alike(len(np.intersect1d(x, y, True)), len(x), len(y), similarity):
+                    found.append((a, b))
+            yield _edges(found)
 
+    def crowds(batches):
+        key, nodes, sets = None, [], []
         for batch in batches:
-            keys = batch["key"].to_numpy(zero_copy_only=False)
-            cuts = [0, *(np.flatnonzero(np.diff(keys)) + 1).tolist(), len(keys)]
-            columns = np.stack([batch[c].to_numpy(zero_copy_only=False) for c in ("node", *names)], 1)
-            for a, b in zip(cuts, cuts[1:]):
-                if held and keys[a] != key:
-                    yield links_()
-                    held = []
-                key = keys[a]
-                held.append(columns[a:b])
-        if held:
-            yield links_()
-
-    crowd = met.where(F.col("n") > hot).select("key", "node", *names).repartition("key").sortWithinPartitions("key", "node")
-    joined = components(pairs.unionByName(crowd.mapInArrow(crowds, "a bigint, b bigint"))).withColumnRenamed("component", "component_id")
-    classes = staged(nodes.join(joined, "node", "left").select(*names, F.coalesce("component_id", "node").alias("component_id")), "classes")
-    return prints.join(classes, list(names), "left").select("doc_id", "component_id")
+            for k, node, s in zip(*(batch[c].to_pylist() for c in ("key", "node", "shingles"))):
+                if k != key:
+                    if nodes:
+                        yield _edges(_crowd_links(sets, np.array(nodes), similarity))
+                    key, nodes, sets = k, [], []
+                nodes.append(node)
+                sets.append(np.frombuffer(s, np.uint64))
+        if nodes:
+            yield _edges(_crowd_links(sets, np.array(nodes), similarity))
+
+    texts = docs.select("doc_id", "text")
+    prints = staged(texts.mapInArrow(run, "doc_id bigint, fp bigint, size int, keys array<bigint>"), "minima")
+    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("node"), F.first("size").alias("size"), F.first("keys").alias("keys"))
+    keyed = nodes.where("node IS NOT NULL").select("node", "fp", "size", F.explode("keys").alias("key"))
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    met = staged(keyed.join(sizes, "key"), "bands")
+    wanted = met.select(F.col("node").alias("doc_id")).distinct()
+    sets = staged(texts.join(wanted, "doc_id", "left_semi").mapInArrow(remake, "fp bigint, shingles binary").groupBy("fp").agg(F.first("shingles").alias("shingles")), "sets")
+    small = met.where(F.col("n") <= hot).drop("n")
+    other = small.select("key", F.col("node").alias("b"), F.col("fp").alias("fp_b"), F.col("size").alias("size_b"))
+    near = (F.col("size") >= F.col("size_b") * similarity - 1e-6) & (F.col("size_b") >= F.col("size") * similarity - 1e-6)
+    pairs = small.join(other, "key").where((F.col("fp") < F.col("fp_b")) & near).select(F.col("node").alias("a"), "b", "fp", "fp_b").distinct()
+    both = pairs.join(sets, "fp").join(sets.select(F.col("fp").alias("fp_b"), F.col("shingles").alias("shingles_b")), "fp_b")
+    crowd = met.where(F.col("n") > hot).join(sets, "fp").select("key", "node", "shingles").repartition("key").sortWithinPartitions("key", "node")
+    edges = "a bigint, b bigint"
+    joined = components(both.mapInArrow(verify, edges).unionByName(crowd.mapInArrow(crowds, edges))).withColumnRenamed("component", "component_id")
+    classes = staged(nodes.select("fp", "node").join(joined, "node", "left").select("fp", F.coalesce("component_id", "node").alias("component_id")), "classes")
+    return prints.select("doc_id", "fp").join(classes, "fp", "left").select("doc_id", "component_id")
 
 
 def keep_one_of_each(docs: DataFrame, **settings) -> DataFrame:

@@ -136,6 +136,31 @@ def test_near_copies_leave_one(spark, frame):
     assert simhash.keep_one_of_each(frame([])).count() == 0
 
 
+@pytest.mark.parametrize("hot", [1, 64])
+def test_near_copies_are_those_of_exact_similarity(spark, frame, hot):
+    """All pairs at 0.8 or more of scattered and contiguous edits are found, none under 0.8 is linked."""
+    r = random.Random(8)
+    shingles = lambda t: {tuple(t[k : k + 5]) for k in range(len(t) - 4)}
+    rows, want = [], {}
+    for g in range(240):
+        own = [f"v{r.randrange(5000)}" for _ in range(300)]
+        copy, share = list(own), r.uniform(0.03, 0.15)
+        if g % 3 == 0:
+            for k in r.sample(range(300), int(share * 300 / 5) + 1):
+                copy[k] = "edited"
+        elif g % 3 == 1:
+            at, n = r.randrange(250), int(share * 300)
+            copy[at : at + n] = [f"z{r.randrange(5000)}" for _ in range(n)]
+        else:
+            copy = copy[: int((1 - share * 2) * 300)]
+        a, b = shingles(own), shingles(copy)
+        want[2 * g + 1] = 2 * g + (len(a & b) < 0.8 * len(a | b))
+        rows += [(2 * g, " ".join(own)), (2 * g + 1, " ".join(copy))]
+    got = {x.doc_id: x.component_id for x in simhash.similar_groups(frame(rows), hot=hot).collect()}
+    assert len(set(want) - {k for k, c in want.items() if k == c}) > 100 and sum(k == c for k, c in want.items()) > 20
+    assert {k: got[k] for k in want} == want
+
+
 # --- suffix arrays -----------------------------------------------------------------------------------
 
 
