@@ -120,8 +120,9 @@ _ALNUM = np.ones(256, bool)
 _ALNUM[:128] = [chr(c).isalnum() for c in range(128)]
 
 
-def word_hashes(texts: list[str], alnum: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words, A-Z lowered, in text order, and the number of words per text.
+def word_hashes(texts: list[str], alnum: bool = False, fold: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words, A-Z lowered unless ``fold`` is off, in text order, and the number of
+    words per text.
 
     Words are split at ASCII white space, or with ``alnum`` at every ASCII byte that is neither letter
     nor digit.  The buffer is worked through in pieces cut between words, so memory stays bounded
@@ -130,7 +131,7 @@ def word_hashes(texts: list[str], alnum: bool = False) -> tuple[np.ndarray, np.n
     raw = [t.encode("utf-8", "surrogatepass") for t in texts]
     sizes = np.fromiter(map(len, raw), np.int64, len(raw))
     buf = np.frombuffer(b" ".join(raw), np.uint8)
-    word_byte = _ALNUM if alnum else ~_SPACE
+    word_byte, values = _ALNUM if alnum else ~_SPACE, _FOLDED if fold else _BYTE
     hashes, starts, at = [], [], 0
     while at < len(buf):
         end = min(len(buf), at + _PIECE)
@@ -146,7 +147,7 @@ def word_hashes(texts: list[str], alnum: bool = False) -> tuple[np.ndarray, np.n
             origin = np.zeros(len(part), np.int64)
             origin[first] = first
             place = np.arange(len(part)) - np.maximum.accumulate(origin)
-            value = np.where(inside, _FOLDED[part] * powers(int(place.max()) + 1)[place], np.uint64(0))
+            value = np.where(inside, values[part] * powers(int(place.max()) + 1)[place], np.uint64(0))
             hashes.append(mix(np.add.reduceat(value, first)))
             starts.append(first + at)
         at = end
@@ -156,6 +157,12 @@ def word_hashes(texts: list[str], alnum: bool = False) -> tuple[np.ndarray, np.n
     return np.concatenate(hashes), np.diff(np.searchsorted(begin, np.cumsum(sizes + 1)), prepend=0)
 
 
+def word_bounds(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """First byte and end of every word between ASCII white space."""
+    edge = np.diff(np.concatenate([[0], (~_SPACE[np.frombuffer(raw, np.uint8)]).astype(np.int8), [0]]))
+    return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+
+
 def slices(texts: list[str], limit: int = 1 << 22):
     """Index ranges of consecutive texts of about ``limit`` code points together, one text at least."""
     at, total = 0, 0

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casewright.llm._common import mix, staged, table
+from casewright.llm._common import mix, slices, staged, table, word_bounds, word_hashes
 
 LENGTH = 400
 GRAM = 64
@@ -418,6 +418,65 @@ def remove_repeats(docs: DataFrame, **settings) -> DataFrame:
     return cut.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(*names) if "n_chars" in names else cut
 
 
+# --- passages counted in words, for the pipeline ---------------------------------------------------
+
+#: A word's code: six ASCII characters of its hash, so that words are of one length and k words a window.
+CODE = 6
+
+
+def word_codes(texts: list[str]) -> list[str]:
+    """Each text as the codes of its words, case kept; 42 bits tell words apart."""
+    out = []
+    for a, b in slices(texts):
+        hashes, counts = word_hashes(texts[a:b], fold=False)
+        letters = (hashes[:, None] >> np.arange(0, 7 * CODE, 7, dtype=np.uint64) & np.uint64(127)).astype(np.uint8)
+        ends = np.cumsum(counts)
+        out += [letters[end - n : end].tobytes().decode("ascii") for end, n in zip(ends.tolist(), counts.tolist())]
+    return out
+
+
+def word_spans(spans, words: int) -> list[dict[str, int]]:
+    """The spans of codes as spans of words; each is a run of repeated windows, and those that begin
+    within a word do not count."""
+    out = []
+    for s in spans or ():
+        first, last = -(-s["start"] // CODE), s["stop"] // CODE - words
+        if first <= last:
+            out.append({"start": first, "stop": last + words})
+    return out
+
+
+def remove_repeated_words(docs: DataFrame, words: int, gram: int = 10, **settings) -> DataFrame:
+    """The rows and columns of ``docs`` without the passages of ``words`` words or more that also stand
+    elsewhere, from the first word to the last; ``n_chars``, where there is one, is counted anew.
+
+    A passage repeats when its words do, whatever white space is between them.  Null texts stay null.
+    """
+    names = docs.columns
+    packed = docs.select("doc_id", F.struct(*(F.col(f"`{n}`") for n in names)).alias("row"), "text")
+
+    def encode(batches):
+        for batch in batches:
+            codes = word_codes([t or "" for t in batch["text"].to_pylist()])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["row"], pa.array(codes, pa.string())], ["doc_id", "row", "text"])
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for text, spans in zip(batch["text"].to_pylist(), batch["#spans"].to_pylist()):
+                if text and (runs := merge_spans(word_spans(spans, words))):
+                    raw = text.encode()
+                    begins, ends = word_bounds(raw)
+                    text = keep(raw, [(int(begins[a]), int(ends[b - 1])) for a, b in runs]).decode()
+                out.append(text)
+            columns = {n: batch[n] for n in names} | {"text": pa.array(out, pa.string())}
+            yield pa.RecordBatch.from_arrays([columns[n] for n in names], names)
+
+    coded = packed.mapInArrow(encode, packed.schema)
+    cut = with_spans(coded, length=words * CODE, gram=gram * CODE, **settings).select("row.*", F.col("spans").alias("#spans")).mapInArrow(run, docs.schema)
+    return cut.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(*names) if "n_chars" in names else cut
+
+
 def query(spark, sf_dir) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
 

@@ -220,6 +220,31 @@ def test_remove_repeats_keeps_columns_and_characters(spark, frame, odd_rows):
     assert suffix_dedup.whole_characters("aéb".encode(), [(2, 4)]) == [(3, 4)]
 
 
+def test_repeated_passages_are_counted_in_words(spark, frame, odd_rows):
+    """Every passage of 51 words that repeats is cut, however short its words; 50 words stay."""
+    import corpus_pipeline as P
+
+    r = random.Random(6)
+    word = lambda n: "".join(r.choice("abcdefgé") for _ in range(n))
+    passages = {n: " ".join(word(r.randint(1, 4)) for _ in range(n)) for n in (50, 51, 55, 120)}
+    assert len(passages[51].encode()) < 300
+    rows = []
+    for n, p in passages.items():
+        other = p.replace(" ", "\n", 3) if n == 55 else p
+        rows += [(n, f"head{n} {p} tail{n}"), (1000 + n, f"other{n}  {other}\nend{n}")]
+    # Two repeats of 30 words side by side are no passage of 60.
+    x, y = (" ".join(word(5) for _ in range(30)) for _ in range(2))
+    rows += [(1, f"{x} {y}"), (2, f"p {x} q"), (3, f"p {y} q")]
+    docs = frame(rows).selectExpr("*", "0 AS n_chars")
+    got = {d.doc_id: d for d in P.cut_repeats(spark, docs, SF).collect()}
+    for i, t in rows:
+        want = t if i < 4 or i % 1000 == 50 else f"head{i}  tail{i}" if i < 1000 else f"other{i - 1000}  \nend{i - 1000}"
+        assert got[i].text == want and got[i].n_chars == len(want)
+    out = suffix_dedup.remove_repeated_words(frame(odd_rows), 51)
+    texts = {d.doc_id: d.text for d in out.collect()}
+    assert out.columns == frame(odd_rows).columns and texts[3] is None and texts[7] == texts[8] == "" and texts[1] == "a b c d"
+
+
 # --- decontamination ----------------------------------------------------------------------------------
 
 
