@@ -3,7 +3,12 @@
 Fixed masks select some positions of a token window and ignore the others; equal hashes of the
 selected tokens in a test item and in a document are a hit.  Around each hit the item is laid over
 the document on the hit's diagonal and the best stretch, scored +1 per equal token and -2 per other,
-is kept: substitutions are tolerated, chance hits on common words are not.
+is kept: substitutions are tolerated, chance hits on common words are not.  Where that stretch is too
+short, the longest one with enough equal tokens counts.
+
+The masks hit every stretch of 13 tokens or more with 0.8 of them equal: one of 26 or more has such a
+half, and for those of 13 to 25 every pattern of substitutions leaves some mask untouched.  An item of
+under 13 tokens has masks of its own over the whole item, for as many substitutions as are allowed.
 
 Test items are sent to the executors in blocks of at most ``block_chars`` code points, each block a
 pass over the documents, so that nothing unbounded is broadcast whatever the test set's size.
@@ -14,6 +19,8 @@ mask are sought as a whole; repeated items and repeated documents each give thei
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,8 +29,8 @@ from pyspark.sql import functions as F
 from casewright.llm._common import mix, powers, slices, table, word_hashes
 
 #: Selected positions of each mask.
-MASKS = ((0, 1, 3, 4, 6, 8, 9), (0, 2, 3, 4, 7, 8, 9), (0, 1, 2, 5, 6, 7, 9))
-SPAN = 10
+MASKS = ((0, 1, 2, 4, 6, 7), (0, 1, 4, 8, 9, 10), (0, 1, 3, 5, 6, 9), (0, 1, 2, 3, 4, 5))
+SHORT = 13
 MATCH, OTHER = 1, -2
 SCHEMA = "doc_id bigint, item_id bigint, first_token int, n_tokens int, n_equal int"
 
@@ -40,19 +47,30 @@ def _seed(hashes: np.ndarray, mask: tuple[int, ...], number: int) -> np.ndarray:
     return mix(value)
 
 
+def _least(n: int, min_share: float) -> int:
+    """The fewest equal tokens of ``n`` that are enough."""
+    return int(np.ceil(min_share * n - 1e-9))
+
+
+def _short_masks(n: int, others: int) -> list[tuple[int, ...]]:
+    """Masks over a whole item of ``n`` tokens, one of which avoids any ``others`` positions."""
+    parts = 2 * others + 1
+    return [tuple(p for p in range(n) if p % parts not in left_out) for left_out in combinations(range(parts), others)]
+
+
 class Index:
     """The seeds of one block of test items, sorted by hash, with a bitmap before the search."""
 
-    def __init__(self, items: list[tuple[int, str]]) -> None:
+    def __init__(self, items: list[tuple[int, str]], min_share: float = 0.8) -> None:
         self.ids = [i for i, _ in items]
         words, counts = word_hashes([t or "" for _, t in items], alnum=True)
         self.words = np.split(words, np.cumsum(counts)[:-1]) if len(items) else []
-        short = sorted({len(w) for w in self.words if 0 < len(w) < SPAN})
-        self.masks = [*MASKS, *(tuple(range(n)) for n in short)]
+        short = [(n, m) for n in sorted({len(w) for w in self.words if 0 < len(w) < SHORT}) for m in _short_masks(n, n - _least(n, min_share))]
+        self.masks = [*MASKS, *(m for _, m in short)]
         keys, owners, places, kinds = [], [], [], []
         for k, mask in enumerate(self.masks):
             for item, w in enumerate(self.words):
-                if k >= len(MASKS) and len(w) != len(mask):
+                if k >= len(MASKS) and len(w) != short[k - len(MASKS)][0]:
                     continue
                 s = _seed(w, mask, k)
                 keys.append(s)
@@ -93,6 +111,16 @@ def best_stretch(equal: np.ndarray) -> tuple[int, int, int]:
     return start, end - start, int(equal[start:end].sum())
 
 
+def longest_stretch(equal: np.ndarray, min_share: float) -> tuple[int, int, int]:
+    """Start, length and equal tokens of the longest stretch with ``min_share`` of its tokens equal."""
+    gain = np.concatenate([[0.0], np.cumsum(equal - min_share)])
+    low = np.minimum.accumulate(gain)
+    starts = np.searchsorted(-low, -gain - 1e-9)  # where the gain was first no higher
+    end = int(np.argmax(np.arange(len(gain)) - starts))
+    start = int(starts[end])
+    return start, end - start, int(equal[start:end].sum())
+
+
 def overlaps(texts: list[str], index: Index, min_tokens: int, min_share: float) -> list[tuple[int, int, int, int, int]]:
     """(text, item, first token, tokens, equal tokens), the best stretch per text and item."""
     best: dict[tuple[int, int], tuple[int, int, int, int, int]] = {}
@@ -103,8 +131,11 @@ def overlaps(texts: list[str], index: Index, min_tokens: int, min_share: float)
         for doc, item, diagonal in index.search(words, owner):
             own, first = index.words[item], int(begin[doc])
             lo, hi = max(diagonal, first), min(diagonal + len(own), first + int(counts[doc]))
-            start, length, equal = best_stretch(words[lo:hi] == own[lo - diagonal : hi - diagonal])
-            if length >= min(min_tokens, len(own)) and equal >= min_share * length:
+            same = words[lo:hi] == own[lo - diagonal : hi - diagonal]
+            start, length, equal = best_stretch(same)
+            if length < min(min_tokens, len(own)) or equal < _least(length, min_share):
+                start, length, equal = longest_stretch(same, min_share)
+            if length >= min(min_tokens, len(own)):
                 row = (a + doc, item, lo + start - first, length, equal)
                 if (a + doc, item) not in best or (equal, -row[2]) > (best[a + doc, item][4], -best[a + doc, item][2]):
                     best[a + doc, item] = row
@@ -126,7 +157,7 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, min_tokens: int = 13, m
         shared = docs.sparkSession.sparkContext.broadcast(part)
 
         def run(batches, shared=shared):
-            index = Index(shared.value)
+            index = Index(shared.value, min_share)
             for batch in batches:
                 hit = {row[0] for row in overlaps([t or "" for t in batch["text"].to_pylist()], index, min_tokens, min_share)}
                 yield batch.filter(pa.array([i not in hit for i in range(batch.num_rows)], pa.bool_()))
@@ -143,7 +174,7 @@ def find_overlaps(docs: DataFrame, items: DataFrame, min_tokens: int = 13, min_s
         shared = spark.sparkContext.broadcast(part)
 
         def run(batches, shared=shared):
-            index = Index(shared.value)
+            index = Index(shared.value, min_share)
             for batch in batches:
                 ids = batch["doc_id"].to_pylist()
                 rows = overlaps([t or "" for t in batch["text"].to_pylist()], index, min_tokens, min_share)

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -271,6 +272,28 @@ def test_substituted_passages_are_found(spark, frame):
     assert {x.doc_id for x in kept.collect()} == set(range(40)) - {k for k, i in want if i < 3}
 
 
+def test_every_allowed_pattern_of_substitutions_is_found():
+    """Whole copied items of 5 to 25 tokens with all patterns that leave 0.8 of the tokens equal."""
+    r = random.Random(9)
+    for n in [*range(1, 19), 20, 25]:
+        others = n - math.ceil(0.8 * n)
+        patterns = list(itertools.combinations(range(n), others))
+        patterns = patterns if len(patterns) < 1000 else r.sample(patterns, 1000)
+        item = [f"t{k}" for k in range(n)]
+        index = decontaminate.Index([(1, " ".join(item))])
+        texts = [" ".join(["x y", *("changed" if k in p else item[k] for k in range(n)), "z"]) for p in patterns]
+        assert {row[0] for row in decontaminate.overlaps(texts, index, 13, 0.8)} == set(range(len(texts))), n
+        if n >= 5:
+            more = [" ".join("changed" if k in p else item[k] for k in range(n)) for p in itertools.islice(itertools.combinations(range(n), others + 1), 200)]
+            whole = [row for row in decontaminate.overlaps(more, index, n, 0.8)]
+            assert not whole
+    flags = [np.array([r.random() < 0.8 for _ in range(30)]) for _ in range(100)]
+    for equal in flags:
+        want = max((j - i for i in range(30) for j in range(i + 1, 31) if 5 * equal[i:j].sum() >= 4 * (j - i)), default=0)
+        start, length, same = decontaminate.longest_stretch(equal, 0.8)
+        assert length == want and same == equal[start : start + length].sum()
+
+
 def test_decontamination_edges(spark, frame, odd_rows):
     none = spark.createDataFrame([], "item_id bigint, text string")
     assert decontaminate.find_overlaps(frame(odd_rows), none).count() == 0
