@@ -1,6 +1,7 @@
 """Exact substring deduplication with suffix arrays.
 
-Every byte covered by a string of ``length`` bytes that also starts anywhere else is removed.
+Every symbol covered by a string of ``length`` symbols that also starts anywhere else is removed.  A symbol
+is a byte, or a word (its 32-bit code), so passages can be counted in bytes or in words.
 
 Sharding.  Each window of ``length`` bytes is charged to its minimiser, the k-gram with the least
 hash in it; equal windows have equal minimisers.  Consecutive windows with one minimiser form a
@@ -17,7 +18,8 @@ shard then lists its distinct windows as sorted 128-bit fingerprints, cut into r
 meet in one task and are merged by binary search, which finds windows that repeat across shards.
 
 Edge cases: null and empty texts are empty; texts under ``length`` bytes keep everything; rows with
-equal id and text are separate documents and so remove each other; nulls among the ids are one id.
+equal id and text are separate documents and so remove each other; nulls among the ids are one id; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,10 +32,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casewright.llm._common import mix, slices, staged, table, word_bounds, word_hashes
+from casewright.llm._common import drop_staged, mix, slices, staged, table, word_bounds, word_hashes
 
 LENGTH = 400
 GRAM = 64
+PASSAGE_WORDS = 51
 _PIECE = 1 << 20
 _POSITION = np.uint64(_PIECE * 2 - 1)
 _BYTE = np.random.default_rng(31).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
@@ -41,12 +44,22 @@ _BASE = 0x9DDFEA08EB382D69
 _BASE2 = 0xC2B2AE3D27D4EB4F
 
 
+#: Symbols are bytes (8 of them to a machine word) or 32-bit word codes (2); the last value separates texts.
+END = {np.dtype(np.uint8): b"\xff", np.dtype(np.uint32): b"\xff\xff\xff\xff"}
+
+
+def _joined(parts: list[bytes], kind) -> np.ndarray:
+    """The parts as one run of symbols, a separator behind each."""
+    end = END[np.dtype(kind)]
+    return np.frombuffer(end.join(parts) + end, kind)
+
+
 def gram_hashes(buf: np.ndarray, k: int, base: int = _BASE) -> np.ndarray:
-    """Hash of every k-gram of the bytes, by doubling over the binary digits of k."""
+    """Hash of every k-gram of the symbols, by doubling over the binary digits of k."""
     n = len(buf) - k + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    power, block, done, result = 1, _BYTE[buf], 0, None
+    power, block, done, result = 1, _BYTE[buf] if buf.dtype == np.uint8 else mix(buf.astype(np.uint64) + np.uint64(1)), 0, None
     while True:
         if k & power:
             shift = np.uint64(pow(base, power, 1 << 64))
@@ -71,12 +84,12 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[:n], ahead[width - 1 : width - 1 + n])
 
 
-def segments(raw: list[bytes], length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def segments(raw: list[np.ndarray], length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hash of the minimiser, text, first window, windows) of every segment of the texts."""
     out: list[tuple[np.ndarray, ...]] = []
 
-    def work(parts: list[tuple[int, int, bytes]]) -> None:
-        buf = np.frombuffer(b"".join(p[2] for p in parts), np.uint8)
+    def work(parts: list[tuple[int, int, np.ndarray]]) -> None:
+        buf = np.concatenate([p[2] for p in parts])
         sizes = np.array([len(p[2]) for p in parts])
         begin = np.cumsum(sizes) - sizes
         h = mix(gram_hashes(buf, gram))
@@ -91,7 +104,7 @@ def segments(raw: list[bytes], length: int, gram: int) -> tuple[np.ndarray, np.n
         text, offset = np.array([p[0] for p in parts]), np.array([p[1] for p in parts])
         out.append((h[at[rows]], text[part], window[rows] - begin[part] + offset[part], np.diff(np.append(rows, len(window)))))
 
-    pending: list[tuple[int, int, bytes]] = []
+    pending: list[tuple[int, int, np.ndarray]] = []
     total = 0
     for i, body in enumerate(raw):
         for a in range(0, max(0, len(body) - length + 1), _PIECE):
@@ -107,8 +120,8 @@ def segments(raw: list[bytes], length: int, gram: int) -> tuple[np.ndarray, np.n
 
 
 def suffix_array(buf: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes in the order of their first ``depth`` bytes (Larsson-Sadakane: sort by eight bytes, then
-    refine only unsorted groups by the rank of the suffix h further on, doubling h)."""
+    """Suffixes in the order of their first ``depth`` symbols (Larsson-Sadakane: sort by one machine word of
+    symbols, then refine only unsorted groups by the rank of the suffix h further on, doubling h)."""
     n = len(buf)
     word = _words(buf)[:n]
     sa = np.argsort(word, kind="stable")
@@ -119,7 +132,7 @@ def suffix_array(buf: np.ndarray, depth: int) -> np.ndarray:
     rank[sa], rank[n] = group, -1
     alone = starts & np.append(starts[1:], True)
     open_ = np.flatnonzero(~alone)
-    h = 8
+    h = 8 // buf.itemsize
     while h < depth and len(open_):
         s = sa[open_]
         key = rank[s] * (n + 1) + rank[np.minimum(s + h, n)] + 1
@@ -136,10 +149,10 @@ def suffix_array(buf: np.ndarray, depth: int) -> np.ndarray:
 
 
 def _words(buf: np.ndarray) -> np.ndarray:
-    """The eight bytes from every position as one big-endian number."""
-    v = np.concatenate([buf, np.zeros(16, np.uint8)]).astype(np.uint64)
-    for step in (1, 2, 4):
-        v = (v[:-step] << np.uint64(8 * step)) | v[step:]
+    """The eight bytes of symbols from every position as one big-endian number."""
+    v = np.concatenate([buf, np.zeros(16, buf.dtype)]).astype(np.uint64)
+    for step in (1, 2, 4) if buf.itemsize == 1 else (1,):
+        v = (v[:-step] << np.uint64(8 * buf.itemsize * step)) | v[step:]
     return v
 
 
@@ -149,7 +162,7 @@ def common_prefixes(buf: np.ndarray, sa: np.ndarray, limit: int, stride: int = 3
     Kasai: position i + 1 shares at least one byte less than position i.  Blocks of ``stride``
     positions are walked side by side, each from its own first position.
     """
-    n = len(buf)
+    n, per, bits = len(buf), 8 // buf.itemsize, 8 * buf.itemsize
     before = np.full(n, -1, np.int64)
     before[sa[1:]] = sa[:-1]
     word = np.concatenate([_words(buf), np.zeros(limit + 8, np.uint64)])
@@ -166,12 +179,12 @@ def common_prefixes(buf: np.ndarray, sa: np.ndarray, limit: int, stride: int = 3
         while len(live):
             x = word[at[live] + have[live]] ^ word[other[live] + have[live]]
             same = x == 0
-            have[live[same]] += 8
+            have[live[same]] += per
             rest, y = live[~same], x[~same]
             if len(rest):
                 high = y >> np.uint64(32)
                 top = np.where(high > 0, high, y & np.uint64(0xFFFFFFFF)).astype(np.float64)
-                have[rest] += np.where(high > 0, 3, 7) - (np.frexp(top)[1] - 1) // 8
+                have[rest] += np.where(high > 0, per // 2, per) - 1 - (np.frexp(top)[1] - 1) // bits
             live = live[same]
             live = live[have[live] < limit]
         reach = n - np.maximum(at, other)
@@ -180,11 +193,11 @@ def common_prefixes(buf: np.ndarray, sa: np.ndarray, limit: int, stride: int = 3
     return out
 
 
-def repeated_windows(parts: list[bytes], counts: list[int], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def repeated_windows(parts: list[bytes], counts: list[int], length: int, kind=np.uint8) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For the distinct segments of a shard: text position of every window, whether it repeats, and
     whether it is the first of its class in suffix order."""
-    buf = np.frombuffer(b"\xff".join(parts) + b"\xff", np.uint8)
-    sizes = np.array([len(p) for p in parts])
+    buf = _joined(parts, kind)
+    sizes = np.array([len(p) for p in parts]) // buf.itemsize
     begin = np.cumsum(sizes + 1) - sizes - 1
     windows = sizes - length + 1
     at = np.repeat(begin - (np.cumsum(windows) - windows), windows) + np.arange(windows.sum())
@@ -215,10 +228,11 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _SHARD_TYPES)], _SHARD_NAMES)
 
 
-def _shard(group: list[tuple], length: int) -> list[tuple]:
+def _shard(group: list[tuple], length: int, kind) -> list[tuple]:
     """Decisions and, for split minimisers, window lists of one shard's rows (h, salt, salts, digest, count, segment)."""
-    at, repeats, leader = repeated_windows([g[5] for g in group], [g[4] for g in group], length)
-    windows = np.array([len(g[5]) - length + 1 for g in group])
+    at, repeats, leader = repeated_windows([g[5] for g in group], [g[4] for g in group], length, kind)
+    sizes = np.array([len(g[5]) for g in group]) // np.dtype(kind).itemsize
+    windows = sizes - length + 1
     ends = np.cumsum(windows)
     rows: list[tuple] = []
     split: dict[tuple[int, int, int], list[int]] = {}
@@ -230,11 +244,11 @@ def _shard(group: list[tuple], length: int) -> list[tuple]:
         if salts > 1:
             split.setdefault((h, salt, salts), []).append(i)
     for (h, salt, salts), members in split.items():
-        buf = np.frombuffer(b"\xff".join(group[i][5] for i in members) + b"\xff", np.uint8)
+        buf = _joined([group[i][5] for i in members], kind)
         first, second = mix(gram_hashes(buf, length)), mix(gram_hashes(buf, length, _BASE2))
         places = np.concatenate([np.arange(windows[i]) for i in members])
         owners = np.repeat(np.arange(len(members)), windows[members])
-        begin = np.cumsum([len(group[i][5]) + 1 for i in members]) - [len(group[i][5]) + 1 for i in members]
+        begin = np.cumsum(sizes[members] + 1) - sizes[members] - 1
         where = begin[owners] + places
         index = np.concatenate([np.arange(ends[i] - windows[i], ends[i]) for i in members])
         keep = leader[index] | ~repeats[index]
@@ -282,15 +296,38 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select("*", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("key_id"), F.xxhash64(text).alias("key_text"), text.alias("body"))
 
 
-def repeat_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard_rows: int = 4096, shard_bytes: int = 1 << 21) -> DataFrame:
-    """``key_id, key_text, spans`` (byte ranges, unmerged) of the documents that hold repeats."""
-    if not 8 <= gram <= length:
+def byte_symbols(texts: list[str]) -> list[np.ndarray]:
+    """The UTF-8 bytes of each text."""
+    return [np.frombuffer(t.encode(), np.uint8) for t in texts]
+
+
+def word_symbols(texts: list[str]) -> list[np.ndarray]:
+    """The words of each text (between ASCII white space, case kept) as 32-bit codes.
+
+    Two words share a code with a chance of 2**-32, and a false repeat needs that beside an otherwise equal passage.
+    """
+    out: list[np.ndarray] = []
+    for a, b in slices(texts):
+        hashes, counts = word_hashes(texts[a:b], fold=False)
+        codes = np.minimum(hashes >> np.uint64(32), np.uint64(0xFFFFFFFE)).astype(np.uint32)
+        out += np.split(codes, np.cumsum(counts)[:-1])
+    return out
+
+
+SYMBOLS = {"byte": (byte_symbols, np.uint8), "word": (word_symbols, np.uint32)}
+
+
+def repeat_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, unit: str = "byte", shard_rows: int = 4096, shard_bytes: int = 1 << 21) -> DataFrame:
+    """``key_id, key_text, spans`` (ranges of symbols, unmerged) of the documents that hold repeats."""
+    if not 1 <= gram <= length or length < 8:
         raise ValueError("the k-gram must fit the window")
+    symbols, kind = SYMBOLS[unit]
+    size = np.dtype(kind).itemsize
     own = _keyed(docs).select("key_id", "key_text", "body")
 
     def find(batches):
         for batch in batches:
-            h, text, first, n = segments([t.encode() for t in batch["body"].to_pylist()], length, gram)
+            h, text, first, n = segments(symbols(batch["body"].to_pylist()), length, gram)
             take = pa.array(text.astype(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(h.astype(np.int64)), batch["key_id"].take(take), batch["key_text"].take(take), pa.array(first.astype(np.int64)), pa.array(n.astype(np.int32))],
@@ -307,9 +344,9 @@ def repeat_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard_
         for batch in batches:
             rows = []
             for key_id, key_text, body, cuts in zip(*(batch[c].to_pylist() for c in ("key_id", "key_text", "body", "cuts"))):
-                raw = body.encode()
+                raw = symbols([body])[0].tobytes()
                 for c in cuts:
-                    part = raw[c["first"] : c["first"] + c["n"] - 1 + length]
+                    part = raw[size * c["first"] : size * (c["first"] + c["n"] - 1 + length)]
                     rows.append((c["h"], c["members"], key_id, key_text, c["first"], xxhash.xxh3_128_digest(part), part))
                 if len(rows) > 20_000:
                     yield record(rows)
@@ -322,6 +359,8 @@ def repeat_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard_
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["h", "members", "key_id", "key_text", "first", "digest", "part"])
 
     parts = staged(own.join(wanted, ["key_id", "key_text"]).select("key_id", "key_text", "body", "cuts").mapInArrow(cut, "h bigint, members bigint, key_id bigint, key_text bigint, first bigint, digest binary, part binary"), "parts")
+    drop_staged(marks)
+    drop_staged(again)
     distinct = parts.groupBy("h", "digest").agg(F.count("*").alias("n"), F.max("members").alias("members"), F.first("part").alias("part"))
     # A minimiser whose segments are all identical is settled by the count.
     salts = F.greatest(F.lit(1), F.ceil(F.col("members") / F.lit(shard_rows))).cast("int")
@@ -336,18 +375,18 @@ def repeat_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard_
         for batch in batches:
             for row in zip(*(batch[c].to_pylist() for c in ("h", "salt", "salts", "digest", "n", "part"))):
                 if size >= shard_bytes and (row[0], row[1]) != last:
-                    if rows := _shard(group, length):
+                    if rows := _shard(group, length, kind):
                         yield _batch(rows)
                     group, size = [], 0
                 group.append(row)
                 size += len(row[5])
                 last = row[0], row[1]
-        if group and (rows := _shard(group, length)):
+        if group and (rows := _shard(group, length, kind)):
             yield _batch(rows)
 
     decided = staged(mixed.repartition("h", "salt").sortWithinPartitions("h", "salt", "digest").mapInArrow(shard, _SHARD), "shards")
     merged = decided.where("part IS NOT NULL").groupBy("h", "part").applyInArrow(lambda t: _merge(t, length), "h bigint, digest binary, spans array<struct<start:bigint,stop:bigint>>")
-    copies = parts.groupBy("h", "digest").agg(F.count("*").alias("n"), F.max(F.octet_length("part")).alias("size")).where("n > 1")
+    copies = parts.groupBy("h", "digest").agg(F.count("*").alias("n"), F.max(F.octet_length("part") / size).alias("size")).where("n > 1")
     whole = copies.select("h", "digest", F.array(F.struct(F.lit(0).cast("bigint").alias("start"), F.col("size").cast("bigint").alias("stop"))).alias("spans"))
     decisions = decided.where("digest IS NOT NULL").select("h", "digest", "spans").unionByName(merged).unionByName(whole)
     moved = F.transform("spans", lambda s: F.struct((s["start"] + F.col("first")).alias("start"), (s["stop"] + F.col("first")).alias("stop")))
@@ -420,32 +459,6 @@ def remove_repeats(docs: DataFrame, **settings) -> DataFrame:
 
 # --- passages counted in words, for the pipeline ---------------------------------------------------
 
-#: A word's code: six ASCII characters of its hash, so that words are of one length and k words a window.
-CODE = 6
-
-
-def word_codes(texts: list[str]) -> list[str]:
-    """Each text as the codes of its words, case kept; 42 bits tell words apart."""
-    out = []
-    for a, b in slices(texts):
-        hashes, counts = word_hashes(texts[a:b], fold=False)
-        letters = (hashes[:, None] >> np.arange(0, 7 * CODE, 7, dtype=np.uint64) & np.uint64(127)).astype(np.uint8)
-        ends = np.cumsum(counts)
-        out += [letters[end - n : end].tobytes().decode("ascii") for end, n in zip(ends.tolist(), counts.tolist())]
-    return out
-
-
-def word_spans(spans, words: int) -> list[dict[str, int]]:
-    """The spans of codes as spans of words; each is a run of repeated windows, and those that begin
-    within a word do not count."""
-    out = []
-    for s in spans or ():
-        first, last = -(-s["start"] // CODE), s["stop"] // CODE - words
-        if first <= last:
-            out.append({"start": first, "stop": last + words})
-    return out
-
-
 def remove_repeated_words(docs: DataFrame, words: int, gram: int = 10, **settings) -> DataFrame:
     """The rows and columns of ``docs`` without the passages of ``words`` words or more that also stand
     elsewhere, from the first word to the last; ``n_chars``, where there is one, is counted anew.
@@ -453,43 +466,44 @@ def remove_repeated_words(docs: DataFrame, words: int, gram: int = 10, **setting
     A passage repeats when its words do, whatever white space is between them.  Null texts stay null.
     """
     names = docs.columns
-    packed = docs.select("doc_id", F.struct(*(F.col(f"`{n}`") for n in names)).alias("row"), "text")
-
-    def encode(batches):
-        for batch in batches:
-            codes = word_codes([t or "" for t in batch["text"].to_pylist()])
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["row"], pa.array(codes, pa.string())], ["doc_id", "row", "text"])
+    packed = docs.select("doc_id", "text", F.struct(*(F.col(f"`{n}`") for n in names)).alias("row"))
 
     def run(batches):
         for batch in batches:
-            out = []
-            for text, spans in zip(batch["text"].to_pylist(), batch["#spans"].to_pylist()):
-                if text and (runs := merge_spans(word_spans(spans, words))):
-                    raw = text.encode()
-                    begins, ends = word_bounds(raw)
-                    text = keep(raw, [(int(begins[a]), int(ends[b - 1])) for a, b in runs]).decode()
-                out.append(text)
+            out = [cut_words(t, s) if t else t for t, s in zip(batch["text"].to_pylist(), batch["#spans"].to_pylist())]
             columns = {n: batch[n] for n in names} | {"text": pa.array(out, pa.string())}
             yield pa.RecordBatch.from_arrays([columns[n] for n in names], names)
 
-    coded = packed.mapInArrow(encode, packed.schema)
-    cut = with_spans(coded, length=words * CODE, gram=gram * CODE, **settings).select("row.*", F.col("spans").alias("#spans")).mapInArrow(run, docs.schema)
+    cut = with_spans(packed, length=words, gram=gram, unit="word", **settings).select("row.*", F.col("spans").alias("#spans")).mapInArrow(run, docs.schema)
     return cut.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(*names) if "n_chars" in names else cut
 
 
+def cut_words(text: str, spans) -> str:
+    """The text without the given ranges of words, each cut from its first word to its last."""
+    runs = merge_spans(spans)
+    if not runs:
+        return text
+    raw = text.encode()
+    begins, ends = word_bounds(raw)
+    return keep(raw, [(int(begins[a]), int(ends[b - 1])) for a, b in runs]).decode()
+
+
 def query(spark, sf_dir) -> DataFrame:
+    """The contract's columns at 400 bytes, then ``text``: the text without passages of over 50 words that repeat."""
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    spoken = staged(repeat_spans(docs, length=PASSAGE_WORDS, gram=10, unit="word"), "word-spans").withColumnRenamed("spans", "word_spans")
 
     def digest(batches):
         for batch in batches:
             rows = []
-            for body, spans in zip(batch["body"].to_pylist(), batch["spans"].to_pylist()):
+            for body, spans, words in zip(*(batch[c].to_pylist() for c in ("body", "spans", "word_spans"))):
                 raw = body.encode()
                 runs = merge_spans(spans)
                 kept = keep(raw, runs)
-                rows.append((len(raw), len(raw) - len(kept), len(runs), hashlib.sha256(kept).hexdigest()))
-            columns = list(zip(*rows)) or [(), (), (), ()]
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string())
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], *(pa.array(c, k) for c, k in zip(columns, kinds))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+                rows.append((len(raw), len(raw) - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), cut_words(body, words)))
+            columns = list(zip(*rows)) or [()] * 5
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], *(pa.array(c, k) for c, k in zip(columns, kinds))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text"])
 
-    return with_spans(docs).select("doc_id", "body", "spans").mapInArrow(digest, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    keyed = _keyed(docs).join(repeat_spans(docs), ["key_id", "key_text"], "left").join(spoken, ["key_id", "key_text"], "left")
+    return keyed.select("doc_id", "body", "spans", "word_spans").mapInArrow(digest, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, text string")

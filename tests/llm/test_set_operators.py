@@ -194,6 +194,37 @@ def test_suffix_order_and_common_prefixes(raw, depth):
         assert shared[b] == n
 
 
+@given(st.lists(st.integers(1, 3), min_size=1, max_size=200), st.integers(2, 30))
+@settings(max_examples=60, deadline=None)
+def test_suffix_order_of_words(codes, depth):
+    buf = np.array([*codes, 0xFFFFFFFF], np.uint32)
+    sa = suffix_dedup.suffix_array(buf, depth)
+    keys = [buf[i : i + depth].tolist() for i in sa]
+    assert keys == sorted(keys) and sorted(sa.tolist()) == list(range(len(buf)))
+    shared = suffix_dedup.common_prefixes(buf, sa, depth, stride=5)
+    for a, b in zip(sa, sa[1:]):
+        n = 0
+        while n < depth and max(a, b) + n < len(buf) and buf[a + n] == buf[b + n]:
+            n += 1
+        assert shared[b] == n
+
+
+@pytest.mark.parametrize("sizes", [{}, {"shard_rows": 2}, {"shard_rows": 1, "shard_bytes": 100}])
+def test_repeated_words_equal_brute_force(spark, frame, sizes):
+    r = random.Random(4)
+    shared = " ".join(r.choice("abcdef") for _ in range(40))
+    rows = [(i, " ".join([*(r.choice("abcdefghij") for _ in range(r.randint(0, 30))), *shared.split()[r.randint(0, 25) :]])) for i in range(40)]
+    rows += [(3, rows[3][1]), (50, "x  y\n" * 20), (None, None)]
+    words = [(t or "").split() for _, t in rows]
+    seen = collections.Counter(tuple(w[k : k + 9]) for w in words for k in range(len(w) - 8))
+    want = collections.Counter()
+    for (i, _), w in zip(rows, words):
+        gone = {j for k in range(len(w) - 8) if seen[tuple(w[k : k + 9])] > 1 for j in range(k, k + 9)}
+        want[i, " ".join(x for j, x in enumerate(w) if j not in gone)] += 1
+    found = suffix_dedup.remove_repeated_words(frame(rows), 9, gram=4, **sizes).collect()
+    assert collections.Counter((x.doc_id, " ".join((x.text or "").split())) for x in found) == want
+
+
 @pytest.mark.parametrize("sizes", [{}, {"shard_rows": 2}, {"shard_rows": 1, "shard_bytes": 100}])
 def test_repeats_equal_brute_force(spark, frame, sizes):
     r = random.Random(3)
@@ -211,6 +242,15 @@ def test_repeats_equal_brute_force(spark, frame, sizes):
     assert got == want
 
 
+def test_suffix_query_equals_brute_force(spark):
+    rows = {(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
+    ids, texts = zip(*sorted(rows, key=lambda x: x[0]))
+    want = {i: (len((t or "").encode()), hashlib.sha256(k).hexdigest()) for i, t, k in zip(ids, texts, brute_kept(texts, 400))}
+    got = QUERIES["op3_suffix_dedup"](spark, SF).collect()
+    assert len(got) == len(want) and {r.doc_id: (r.n_bytes, r.kept_sha256) for r in got} == want
+    assert all(len(r.text.encode()) <= r.n_bytes for r in got)
+
+
 def test_remove_repeats_keeps_columns_and_characters(spark, frame, odd_rows):
     docs = frame(odd_rows)
     out = suffix_dedup.remove_repeats(docs, length=100)
