@@ -1,26 +1,29 @@
-"""SentencePiece encoding and decoding as a max-plus parallel scan.
+"""SentencePiece encoding and decoding as a parallel scan over chunks.
 
-An encoding is the path over the text whose vocabulary pieces have the highest total score; code
-points without a piece fall back to byte pieces.  A giant document is split into chunks.  The state
-at a chunk boundary is how far the piece that crosses it reaches, so a chunk is a max-plus matrix
-from entry states to exit states; matrices combine associatively, which fixes every boundary state,
-and each chunk then traces its own path back, independent of the others.
+The pieces of a text are those that the vocabulary's own merges give.  A sequence of pieces is that encoding
+exactly if every piece encodes to itself and every two neighbours, joined, encode to the two of them; so it is
+the one path through the lattice of pieces whose steps all weigh 0, where a step between neighbours that merging
+would not leave side by side weighs minus infinity.
 
-The score reached depends on the text alone, not on the chunk size; among paths of equal score a
-chunk boundary may pick another one.  With a merge-trained (BPE) vocabulary
-the highest-scoring path may differ from the order of merges; any decoder of the vocabulary restores
-the text exactly either way.  A literal U+2581 is spelled in bytes, so that it survives too.
+A giant document is split into chunks.  The state at a chunk boundary is the piece that ends at it or crosses it;
+a chunk is a max-plus matrix from entry to exit states (weights 0 and minus infinity, kept as booleans).  Matrices
+combine associatively, in a tree of ``FAN`` chunks a node, which fixes every boundary state, and each chunk then
+traces its own path back, independent of the others.  No piece crosses from a visible character to a space, so a
+chunk's matrix has rank one where it holds such a place, and what lies between its first and its last one is
+encoded by the library in compiled code.  Texts of up to ``chunk`` code points go to the library as a whole; the
+ids are the same for every chunk size.
 
-Edge cases: null and empty texts have no pieces and decode to the empty text; equal rows are all
-kept; a text of one unbroken word is split like any other.
+A literal U+2581 is spelled in bytes, so that it survives decoding.
+
+Edge cases: null and empty texts have no pieces and decode to the empty text; equal rows are all kept; a text of
+one unbroken word is split like any other, through the full matrices; null ids are kept.
 """
 
 from __future__ import annotations
 
 import hashlib
 import os
-import re
-import struct
+from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -30,9 +33,9 @@ from pyspark.sql import functions as F
 from casewright.llm._common import environment_path, staged, table
 
 CHUNK = 1 << 15
-STRETCH = 300
-NEVER = -1e6
-LOWEST = -1e18
+FAN = 64
+START, SPELLED = -2, -1  # the state before a text, and a character without a piece
+_FITS = 1 << 20
 
 
 def read_model(path: str) -> bytes:
@@ -41,234 +44,200 @@ def read_model(path: str) -> bytes:
         return f.read()
 
 
-def as_unigram(model: bytes) -> bytes:
-    """The vocabulary file with its search set to the best-scoring path (field 3 of the trainer's settings).
-
-    Scores under ``NEVER``, marks of pieces that merges made last, become ten less than the lowest other.
-    """
-
-    def varint(data: bytes, at: int) -> tuple[int, int]:
-        value = shift = 0
-        while True:
-            value |= (data[at] & 127) << shift
-            shift, at = shift + 7, at + 1
-            if data[at - 1] < 128:
-                return value, at
-
-    def fields(data: bytes):
-        at = 0
-        while at < len(data):
-            begin = at
-            key, at = varint(data, at)
-            if key & 7 == 0:
-                _, end = varint(data, at)
-            elif key & 7 == 2:
-                size, at = varint(data, at)
-                end = at + size
-            else:
-                end = at + {1: 8, 5: 4}[key & 7]
-            yield key >> 3, key & 7, data[begin:at], data[at:end]
-            at = end
-
-    def size(n: int) -> bytes:
-        out = b""
-        while n > 127:
-            out, n = out + bytes([n & 127 | 128]), n >> 7
-        return out + bytes([n])
-
-    def score(piece: bytes) -> float:
-        return next((struct.unpack("<f", b)[0] for k, _, _, b in fields(piece) if k == 2), 0.0)
-
-    floor = struct.pack("<f", min(s for n, _, _, b in fields(model) if n == 1 and (s := score(b)) > NEVER) - 10)
-    out = []
-    for number, _, head, body in fields(model):
-        if number == 1 and score(body) <= NEVER:
-            body = b"".join(h + (floor if k == 2 else b) for k, _, h, b in fields(body))
-        if number == 2:
-            body = b"\x18\x01" + b"".join(h + b for k, _, h, b in fields(body) if k != 3)
-            head = b"\x12" + size(len(body))
-        out.append(head + body)
-    return b"".join(out)
-
-
 class Vocabulary:
-    """Pieces with a plain space for U+2581, their scores, and the prefixes that can still grow."""
+    """The library's processor, its pieces with a plain space for U+2581, and which pieces may be neighbours."""
 
     def __init__(self, model: bytes) -> None:
         import sentencepiece
 
-        model_ = self.lattice = sentencepiece.SentencePieceProcessor(model_proto=as_unigram(model))
+        lib = self.library = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.spelled: list[bytes] = []
-        self.scores: dict[str, tuple[float, int]] = {}
+        self.texts: list[str] = []
+        self.ranks: dict[str, float] = {}
         self.bytes: list[int] = [-1] * 256
-        lowest, joined = 0.0, set()
-        for i in range(model_.get_piece_size()):
-            piece = model_.id_to_piece(i)
-            if model_.is_control(i) or model_.is_unknown(i) or model_.is_unused(i):
+        # What a lookup may meet on its way to a piece: a piece, or only the beginning of one.
+        self.grow: dict[str, int] = {}
+        for i in range(lib.get_piece_size()):
+            piece = lib.id_to_piece(i)
+            plain = ""
+            if lib.is_control(i) or lib.is_unknown(i) or lib.is_unused(i):
                 self.spelled.append(b"")
-            elif model_.is_byte(i):
+            elif lib.is_byte(i):
                 self.bytes[int(piece[1:-1], 16)] = i
                 self.spelled.append(bytes([int(piece[1:-1], 16)]))
             else:
                 plain = piece.replace("▁", " ")
                 self.spelled.append(plain.encode())
-                self.scores[plain] = model_.get_score(i), i
-                lowest = min(lowest, model_.get_score(i))
-                if len(plain) > 1:
-                    joined.update(plain)
+                self.ranks[plain] = lib.get_score(i)
+                self.grow[plain] = i
+            self.texts.append(plain)
         if min(self.bytes) < 0:
             raise ValueError("the vocabulary has no byte fallback")
-        self.byte_score = lowest - 10.0
-        self.longest = max(map(len, self.scores), default=1)
-        # What a lookup may meet on its way to a piece: a piece, or only the beginning of one (-1).
-        self.grow = {p[:n]: (0.0, -1) for p in self.scores for n in range(1, len(p))} | self.scores
-        crossing = any(" " in p.lstrip(" ") for p in self.scores if p.strip(" "))
-        # Where no piece crosses a boundary, the best path is made of the best paths of its units.
-        line = "\n" if "\n" not in joined else ""
-        self.splits = not crossing and all(s == int(s) for s, _ in self.scores.values())
-        self.unit = re.compile(rf" *[^ {line}]+| +" + (f"|{line}" if line else "")) if not crossing else re.compile(r"(?s).+")
-
-    def steps(self, text: str, at: int):
-        """(length, score, id) of the pieces that begin at ``at``; length 0 stands for byte fallback of one code point."""
-        found = False
-        for n in range(1, min(self.longest, len(text) - at) + 1):
-            hit = self.grow.get(text[at : at + n])
-            if hit is None:
+        for plain in self.ranks:
+            for n in range(1, len(plain)):
+                self.grow.setdefault(plain[:n], -1)
+        self.longest = max(map(len, self.ranks), default=1)
+        self.breaks = not any(" " in p.lstrip(" ") for p in self.ranks if p.strip(" "))
+        self._whole: list[bool | None] = [None] * len(self.texts)
+        self._fits: dict[int, bool] = {}
+
+    # --- which pieces merging leaves as they are ------------------------------------------------
+
+    def _merged(self, text: str) -> list[str]:
+        """The pieces of a short text: the best-ranked pair merges first, the leftmost among equals."""
+        parts = list(text)
+        while len(parts) > 1:
+            ranked = [(-self.ranks[p], k) for k in range(len(parts) - 1) if (p := parts[k] + parts[k + 1]) in self.ranks]
+            if not ranked:
                 break
-            if hit[1] >= 0:
-                found |= n == 1
-                yield n, *hit
+            k = min(ranked)[1]
+            parts[k : k + 2] = [parts[k] + parts[k + 1]]
+        return parts
+
+    def _stays(self, piece: int) -> bool:
+        if self._whole[piece] is None:
+            self._whole[piece] = self._merged(self.texts[piece]) == [self.texts[piece]]
+        return self._whole[piece]
+
+    def fits(self, left: int, right: int) -> bool:
+        """Whether merging leaves these two pieces side by side."""
+        if left < 0 or right < 0:
+            return True
+        key = left << 20 | right
+        known = self._fits.get(key)
+        if known is None:
+            if len(self._fits) >= _FITS:
+                self._fits.clear()
+            a, b = self.texts[left], self.texts[right]
+            known = self._fits[key] = self._merged(a + b) == [a, b]
+        return known
+
+    def pieces(self, text: str, at: int):
+        """(end, piece) of all pieces that begin at ``at``."""
+        grow, found = self.grow, False
+        for end in range(at + 1, min(at + self.longest, len(text)) + 1):
+            piece = grow.get(text[at:end])
+            if piece is None:
+                break
+            if piece >= 0:
+                found |= end == at + 1
+                if self._stays(piece):
+                    yield end, piece
         if not found:
-            yield 0, self.byte_score, -1
-
-    def _spell(self, char: str) -> list[int]:
-        return [self.bytes[b] for b in char.encode("utf-8", "surrogatepass")]
-
-    def path(self, text: str, entry: int = 0, end: int | None = None, last_start: int | None = None) -> list[int]:
-        """Ids of the best path from ``entry`` to ``end`` with pieces that begin before ``last_start``."""
-        end = len(text) if end is None else end
-        last_start = end if last_start is None else last_start
-        best = [LOWEST] * (end + 1)
-        piece_at, from_at = [-1] * (end + 1), [0] * (end + 1)
-        best[entry] = 0.0
-        grow, size = self.grow, len(text)
-        for at in range(entry, min(end, last_start)):
-            here = best[at]
-            if here == LOWEST:
-                continue
-            to, spelled = at, False
-            while to < size:
-                to += 1
-                hit = grow.get(text[at:to])
-                if hit is None:
-                    break
-                score, piece = hit
-                if piece >= 0:
-                    spelled |= to == at + 1
-                    if to <= end and here + score > best[to]:
-                        best[to], piece_at[to], from_at[to] = here + score, piece, at
-            if not spelled:
-                score = here + self.byte_score
-                if score > best[at + 1]:
-                    best[at + 1], piece_at[at + 1], from_at[at + 1] = score, -1, at
+            yield at + 1, SPELLED
+
+    def states(self, text: str, at: int) -> list[tuple[int, int, int]]:
+        """(end, begin, piece) of all pieces that begin before ``at`` and end there or later, in a fixed order."""
+        if at == 0:
+            return [(0, 0, START)]
+        first = max(0, at - self.longest)
+        return sorted((end, b, p) for b in range(first, at) for end, p in self.pieces(text, b) if end >= at)
+
+    def scan(self, text: str, entries, first: int, last: int) -> dict[int, dict[tuple[int, int], int]]:
+        """By end position the (begin, piece) reached and, as bits, from which entries (end, begin, piece, bits);
+        pieces begin from ``first`` to before ``last``."""
+        nodes: dict[int, dict[tuple[int, int], int]] = defaultdict(dict)
+        for end, begin, piece, bits in entries:
+            nodes[end][begin, piece] = nodes[end].get((begin, piece), 0) | bits
+        fits = self.fits
+        for at in range(first, last):
+            here = nodes.get(at)
+            if here:
+                for end, piece in self.pieces(text, at):
+                    bits = 0
+                    for (_, before), reached in here.items():
+                        if fits(before, piece):
+                            bits |= reached
+                    if bits:
+                        nodes[end][at, piece] = bits
+        return nodes
+
+    def _breaks(self, text: str, first: int, last: int) -> tuple[int, int] | None:
+        """The first and the last place in ``first .. last - 1`` where a space follows a visible character."""
+        if not self.breaks:
+            return None
+        low = first
+        while (low := text.find(" ", low, last)) >= 0 and (low == 0 or text[low - 1] == " "):
+            low += 1
+        if low < 0:
+            return None
+        high = last
+        while (high := text.rfind(" ", first, high)) > low and text[high - 1] == " ":
+            pass
+        return low, max(low, high)
+
+    # --- one chunk ----------------------------------------------------------------------------
+
+    def transfer(self, text: str, lead: int, size: int) -> np.ndarray:
+        """Which exit states each entry state reaches; the chunk is ``text[lead : lead + size]``, with up to
+        ``longest`` code points of context on either side."""
+        stop = lead + size
+        entries, exits = self.states(text, lead), self.states(text, stop)
+        out = np.zeros((len(entries), len(exits)), bool)
+        marked = [(*e, 1 << k) for k, e in enumerate(entries)]
+        if places := self._breaks(text, lead, stop):
+            reached = 0
+            for bits in self.scan(text, marked, lead, places[0])[places[0]].values():
+                reached |= bits
+            ahead = self.scan(text, [(places[1], places[1], START, 1)], places[1], stop)
+            ok = np.array([(b, p) in ahead.get(end, ()) for end, b, p in exits], bool)
+            for k in range(len(entries)):
+                if reached >> k & 1:
+                    out[k] = ok
+            return out
+        nodes = self.scan(text, marked, lead, stop)
+        for x, (end, b, p) in enumerate(exits):
+            bits = nodes.get(end, {}).get((b, p), 0)
+            for k in range(len(entries)):
+                out[k, x] = bits >> k & 1
+        return out
+
+    def _path(self, text: str, entry: tuple[int, int, int], leave: tuple[int, int, int] | int) -> list[int]:
+        """Ids after ``entry`` up to and with ``leave``, or up to a position."""
+        stop = leave if isinstance(leave, int) else leave[0]
+        nodes = self.scan(text, [(*entry, 1)], entry[0], stop)
+        if isinstance(leave, int):
+            at, (begin, piece) = stop, min(nodes[stop])  # one way leads there
+        else:
+            at, begin, piece = leave
         ids: list[int] = []
-        at = end
-        while at > entry:
-            if piece_at[at] >= 0:
-                ids.append(piece_at[at])
-            else:
-                ids.extend(reversed(self._spell(text[from_at[at]])))
-            at = from_at[at]
+        while (at, begin, piece) != entry:
+            ids += [piece] if piece >= 0 else [self.bytes[b] for b in reversed(text[begin].encode("utf-8", "surrogatepass"))]
+            at, (begin, piece) = begin, min(x for x in nodes[begin] if self.fits(x[1], piece))
         return ids[::-1]
 
-    def transfer(self, text: str, size: int) -> np.ndarray:
-        """Max-plus matrix from entry offsets to offsets beyond ``size``; pieces begin before ``size``.
-
-        ``text`` is the chunk and the following ``longest - 1`` code points.
-        """
-        width, end = self.longest, min(size, len(text))
-        ahead = np.full((len(text) + 1, width), LOWEST)
-        for k in range(min(width, len(text) + 1)):
-            ahead[k, k] = 0.0
-        at, gaps = 0, None
-        while at < end and gaps is None:
-            row = ahead[at]
-            if row.max() > LOWEST:
-                for n, score, _ in self.steps(text, at):
-                    np.maximum(ahead[at + (n or 1)], row + score, out=ahead[at + (n or 1)])
-            at += 1
-            if at >= width and at % 16 == 0:
-                gaps = self._gaps(ahead[at : at + width])
-        if gaps is not None:  # all entries follow one path from here on, each at its own distance
-            lead = int(np.argmax(gaps))
-            best = ahead[:, lead].tolist()
-            grow, total = self.grow, len(text)
-            for at in range(at, end):
-                here = best[at]
-                if here == LOWEST:
-                    continue
-                to, spelled = at, False
-                while to < total:
-                    to += 1
-                    hit = grow.get(text[at:to])
-                    if hit is None:
-                        break
-                    if hit[1] >= 0:
-                        spelled |= to == at + 1
-                        if here + hit[0] > best[to]:
-                            best[to] = here + hit[0]
-                if not spelled:
-                    best[at + 1] = max(best[at + 1], here + self.byte_score)
-            tail = np.array(best[size : size + width])
-            reach = np.where(tail[:, None] > LOWEST, tail[:, None] + gaps[None, :], LOWEST)
-        else:
-            reach = ahead[size : size + width]
-        out = np.full((width, width), LOWEST)
-        out[:, : len(reach)] = np.maximum(reach, LOWEST).T
-        return out
-
-    @staticmethod
-    def _gaps(window: np.ndarray) -> np.ndarray | None:
-        """How far each entry lies behind the best one, if that is the same at every position ahead."""
-        open_ = window.max(1) > LOWEST
-        rows = window[open_]
-        if not len(rows):
-            return None
-        gaps = rows - rows.max(1, keepdims=True)
-        gaps[rows <= LOWEST / 2] = LOWEST
-        return gaps[0] if np.allclose(gaps, gaps[0], rtol=0, atol=1e-6) else None
+    def _middle(self, text: str) -> list[int]:
+        """Ids of a stretch that begins with a space and ends where nothing crosses; the library adds that space."""
+        if len(text) > 1 and "▁" not in text:
+            return self.library.encode(text[1:], num_threads=1)
+        return self._path(text, (0, 0, START), len(text)) if text else []
+
+    def trace(self, text: str, lead: int, size: int, enters: int, leaves: int) -> list[int]:
+        """Ids of the pieces that begin in the chunk, between its fixed boundary states."""
+        stop = lead + size
+        entry, leave = self.states(text, lead)[enters], self.states(text, stop)[leaves]
+        if leave[1] < lead:
+            return []
+        places = self._breaks(text, entry[0], leave[1] + 1)
+        if not places:
+            return self._path(text, entry, leave)
+        head = self._path(text, entry, places[0]) if entry[0] < places[0] else []
+        return head + self._middle(text[places[0] : places[1]]) + self._path(text, (places[1], places[1], START), leave)
+
+    # --- whole texts ----------------------------------------------------------------------------
 
     def encode(self, text: str) -> bytes:
-        """Little-endian 32-bit ids of a text that is short enough for one task's plain pass."""
-        return self.encode_checked(text)[0]
+        """Little-endian 32-bit ids of a text."""
+        return np.array(self._middle(" " + text) if text else [], "<u4").tobytes()
 
     def encode_checked(self, text: str) -> tuple[bytes, bytes]:
         """The ids of a text and the UTF-8 that they decode to."""
-        if not text:
-            return b"", b""
-        if "▁" not in text and self.splits:
-            # The library's own lattice search over the same pieces and scores, in compiled code.  It adds
-            # up in single precision, so it is given stretches whose sums stay exact.
-            parts = self._stretches(text)
-            if max(map(len, parts)) <= STRETCH + 100:
-                ids = np.array([i for part in self.lattice.encode(parts, num_threads=1) for i in part], "<u4").tobytes()
-                if (back := self.decode(ids)) == text.encode("utf-8", "surrogatepass"):
-                    return ids, back
-        ids = np.array([i for unit in self.unit.findall(" " + text) for i in self.path(unit)], "<u4").tobytes()
-        return ids, self.decode(ids)
-
-    def _stretches(self, text: str) -> list[str]:
-        """The text cut at spaces after ``STRETCH`` code points; each stretch gets its space back as its prefix."""
-        parts, start = [], 0
-        while True:
-            at = text.find(" ", start + STRETCH)
-            while at > 0 and text[at - 1] == " ":
-                at = text.find(" ", at + 1)
-            # A stretch must not be empty: the library gives an empty text no prefix.
-            if at < 0 or at + 1 >= len(text):
-                return [*parts, text[start:]]
-            parts.append(text[start:at])
-            start = at + 1
+        ids = self.encode(text)
+        if (back := self.decode(ids)) != text.encode("utf-8", "surrogatepass"):
+            # The library normalises some characters away; the scan keeps every one.
+            ids = np.array(self._path(" " + text, (0, 0, START), len(text) + 1), "<u4").tobytes()
+            back = self.decode(ids)
+        return ids, back
 
     def decode(self, ids: bytes) -> bytes:
         """UTF-8 of the text behind ``ids``."""
@@ -277,22 +246,23 @@ class Vocabulary:
 
 
 def combine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The max-plus product of two transfer matrices."""
-    return np.maximum((a[:, :, None] + b[None, :, :]).max(1), LOWEST)
+    """The max-plus product of two matrices of 0 (true) and minus infinity (false)."""
+    return (a.astype(np.int32) @ b.astype(np.int32)) > 0
 
 
-def boundary_states(matrices: list[np.ndarray]) -> list[int]:
-    """The state at every boundary on the best path: 0 first and last, one per chunk boundary between."""
-    prefix = [matrices[0]]
-    for m in matrices[1:]:
-        prefix.append(combine(prefix[-1], m))
-    states = [0]
-    for i in range(len(matrices) - 1, 0, -1):
-        states.append(int(np.argmax(prefix[i - 1][0] + matrices[i][:, states[-1]])))
-    return [*reversed(states + [0])] if len(matrices) else [0]
+def boundary_states(matrices: list[np.ndarray], enters: int = 0, leaves: int | None = None) -> list[int]:
+    """The state at every boundary of the one path from ``enters`` to ``leaves`` (any, if not given)."""
+    ahead = [np.arange(matrices[0].shape[0]) == enters]
+    for m in matrices:
+        ahead.append(m[ahead[-1]].any(0))
+    back = ahead[-1] if leaves is None else np.arange(matrices[-1].shape[1]) == leaves
+    states = [int(np.argmax(ahead[-1] & back))]
+    for m, reached in zip(matrices[::-1], ahead[-2::-1]):
+        states.append(int(np.argmax(reached & m[:, states[-1]])))
+    return states[::-1]
 
 
-def encode_documents(docs: DataFrame, model: bytes, chunk: int = CHUNK) -> DataFrame:
+def encode_documents(docs: DataFrame, model: bytes, chunk: int = CHUNK, fan: int = FAN) -> DataFrame:
     """``doc_id``, ``ids`` (little-endian 32-bit) and ``decoded`` (UTF-8 bytes) of ``docs(doc_id, text)``."""
     own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # the vocabulary file, half a megabyte
@@ -307,7 +277,7 @@ def encode_documents(docs: DataFrame, model: bytes, chunk: int = CHUNK) -> DataF
                 yield pa.RecordBatch.from_arrays([part["doc_id"], *columns], ["doc_id", "ids", "decoded"])
 
     small = own.where(F.char_length("text") <= chunk).mapInArrow(whole, "doc_id bigint, ids binary, decoded binary")
-    return small.unionByName(_encode_giants(own.where(F.char_length("text") > chunk), shared, chunk))
+    return small.unionByName(_encode_giants(own.where(F.char_length("text") > chunk), shared, chunk, fan))
 
 
 _vocabularies: dict[bytes, Vocabulary] = {}
@@ -321,52 +291,87 @@ def _vocabulary(model: bytes) -> Vocabulary:
     return _vocabularies[key]
 
 
-def _encode_giants(giants: DataFrame, shared, chunk: int) -> DataFrame:
+def _pack(m: np.ndarray) -> dict:
+    return {"rows": m.shape[0], "cells": np.packbits(m).tobytes()}
+
+
+def _unpack(packed: dict) -> np.ndarray:
+    bits = np.unpackbits(np.frombuffer(packed["cells"], np.uint8)).astype(bool)
+    columns = packed["columns"]
+    return bits[: packed["rows"] * columns].reshape(packed["rows"], columns)
+
+
+_MATRIX = "struct<rows:int,columns:int,cells:binary>"
+_MATRIX_TYPE = pa.struct([("rows", pa.int32()), ("columns", pa.int32()), ("cells", pa.binary())])
+
+
+def _matrices(found: list[np.ndarray]) -> pa.Array:
+    return pa.array([_pack(m) | {"columns": m.shape[1]} for m in found], _MATRIX_TYPE)
+
+
+def _encode_giants(giants: DataFrame, shared, chunk: int, fan: int) -> DataFrame:
     longest = _vocabulary(shared.value).longest
-    n = F.ceil(F.char_length("spaced") / F.lit(chunk)).cast("int")
-    # Each chunk carries the code points that a crossing piece may reach; the table is written once
-    # because its row numbers must be the same in both passes.
-    chunks = staged(
-        giants.select("doc_id", F.concat(F.lit(" "), "text").alias("spaced"), F.monotonically_increasing_id().alias("row"))
-        .select("doc_id", "row", "spaced", n.alias("n_chunks"))
-        .select("doc_id", "row", "spaced", "n_chunks", F.explode(F.sequence(F.lit(0), F.col("n_chunks") - 1)).alias("chunk_no"))
-        .select("doc_id", "row", "n_chunks", "chunk_no", F.substring("spaced", F.col("chunk_no") * chunk + 1, F.lit(chunk + longest - 1)).alias("part")),
-        "chunks",
-    )
-    dealt = chunks.repartition("row", "chunk_no")
+    if chunk < 2 * longest:
+        raise ValueError(f"a chunk holds {2 * longest} code points at least")
+
+    def cut(batches):
+        """Chunks with the code points on either side that a crossing piece may reach."""
+        for batch in batches:
+            for doc, row, text in zip(*(batch[c].to_pylist() for c in ("doc_id", "row", "text"))):
+                full = " " + text
+                for k, at in enumerate(range(0, len(full), chunk)):
+                    lead = min(at, longest)
+                    part = full[at - lead : at + chunk + longest]
+                    yield pa.RecordBatch.from_pylist([{"doc_id": doc, "row": row, "chunk_no": k, "block": k // fan, "lead": lead, "size": min(chunk, len(full) - at), "part": part}], schema=cut_type)
+
+    cut_schema = "doc_id bigint, row bigint, chunk_no int, block int, lead int, size int, part string"
+    cut_type = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("chunk_no", pa.int32()), ("block", pa.int32()), ("lead", pa.int32()), ("size", pa.int32()), ("part", pa.string())])
+    # Written once, because the row numbers must be the same in both passes.
+    chunks = staged(giants.withColumn("row", F.monotonically_increasing_id()).mapInArrow(cut, cut_schema), "chunks")
 
     def transfer(batches):
         vocabulary = _vocabulary(shared.value)
         for batch in batches:
-            sizes = [min(chunk, len(t)) if k < n - 1 else len(t) for t, k, n in zip(*(batch[c].to_pylist() for c in ("part", "chunk_no", "n_chunks")))]
-            found = [vocabulary.transfer(t, s).tobytes() for t, s in zip(batch["part"].to_pylist(), sizes)]
-            yield pa.RecordBatch.from_arrays([batch["row"], batch["chunk_no"], pa.array(found, pa.binary())], ["row", "chunk_no", "matrix"])
-
-    def states(table_: pa.Table) -> pa.Table:
-        table_ = table_.sort_by("chunk_no")
-        found = boundary_states([np.frombuffer(m, np.float64).reshape(longest, longest) for m in table_["matrix"].to_pylist()])
-        return pa.table([table_["row"], table_["chunk_no"], pa.array(found[:-1], pa.int32()), pa.array(found[1:], pa.int32())], names=["row", "chunk_no", "enters", "leaves"])
+            found = [vocabulary.transfer(*x) for x in zip(*(batch[c].to_pylist() for c in ("part", "lead", "size")))]
+            yield pa.RecordBatch.from_arrays([batch["row"], batch["block"], batch["chunk_no"], _matrices(found)], ["row", "block", "chunk_no", "matrix"])
+
+    def product(group: pa.Table) -> pa.Table:
+        group = group.sort_by("chunk_no")
+        found = [_unpack(m) for m in group["matrix"].to_pylist()]
+        whole = found[0]
+        for m in found[1:]:
+            whole = combine(whole, m)
+        return pa.table([group["row"].slice(0, 1), group["block"].slice(0, 1), _matrices([whole])], names=["row", "block", "matrix"])
+
+    def top(group: pa.Table) -> pa.Table:
+        group = group.sort_by("block")
+        states = boundary_states([_unpack(m) for m in group["matrix"].to_pylist()])
+        return pa.table([group["row"], group["block"], pa.array(states[:-1], pa.int32()), pa.array(states[1:], pa.int32())], names=["row", "block", "enters", "leaves"])
+
+    def inner(group: pa.Table) -> pa.Table:
+        group = group.sort_by("chunk_no")
+        states = boundary_states([_unpack(m) for m in group["matrix"].to_pylist()], group["enters"][0].as_py(), group["leaves"][0].as_py())
+        return pa.table([group["row"], group["chunk_no"], pa.array(states[:-1], pa.int32()), pa.array(states[1:], pa.int32())], names=["row", "chunk_no", "enters", "leaves"])
 
     def trace(batches):
         vocabulary = _vocabulary(shared.value)
         for batch in batches:
-            found = []
-            for text, k, n, enters, leaves in zip(*(batch[c].to_pylist() for c in ("part", "chunk_no", "n_chunks", "enters", "leaves"))):
-                size = min(chunk, len(text)) if k < n - 1 else len(text)
-                found.append(np.array(vocabulary.path(text, enters, size + leaves, size), "<u4").tobytes())
+            found = [np.array(vocabulary.trace(*x), "<u4").tobytes() for x in zip(*(batch[c].to_pylist() for c in ("part", "lead", "size", "enters", "leaves")))]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["row"], batch["chunk_no"], pa.array(found, pa.binary())], ["doc_id", "row", "chunk_no", "ids"])
 
-    def join(table_: pa.Table) -> pa.Table:
-        table_ = table_.sort_by("chunk_no")
-        ids = b"".join(table_["ids"].to_pylist())
-        return pa.table([table_["doc_id"].slice(0, 1), pa.array([ids], pa.binary()), pa.array([_vocabulary(shared.value).decode(ids)], pa.binary())], names=["doc_id", "ids", "decoded"])
+    def join(group: pa.Table) -> pa.Table:
+        ids = b"".join(group.sort_by("chunk_no")["ids"].to_pylist())
+        return pa.table([group["doc_id"].slice(0, 1), pa.array([ids], pa.binary()), pa.array([_vocabulary(shared.value).decode(ids)], pa.binary())], names=["doc_id", "ids", "decoded"])
 
-    matrices = dealt.select("row", "n_chunks", "chunk_no", "part").mapInArrow(transfer, "row bigint, chunk_no int, matrix binary")
-    bounds = matrices.groupBy("row").applyInArrow(states, "row bigint, chunk_no int, enters int, leaves int")
+    dealt = chunks.select("row", "block", "chunk_no", "lead", "size", "part").repartition("row", "chunk_no")
+    matrices = staged(dealt.mapInArrow(transfer, f"row bigint, block int, chunk_no int, matrix {_MATRIX}"), "matrices")
+    blocks = matrices.groupBy("row", "block").applyInArrow(product, f"row bigint, block int, matrix {_MATRIX}")
+    tops = blocks.groupBy("row").applyInArrow(top, "row bigint, block int, enters int, leaves int")
+    bounds = matrices.join(tops, ["row", "block"]).groupBy("row", "block").applyInArrow(inner, "row bigint, chunk_no int, enters int, leaves int")
     # One group is one document, whose pieces are one row of the result anyway.
     return (
         chunks.join(bounds, ["row", "chunk_no"])
-        .select("doc_id", "row", "chunk_no", "n_chunks", "part", "enters", "leaves")
+        .select("doc_id", "row", "chunk_no", "lead", "size", "part", "enters", "leaves")
         .mapInArrow(trace, "doc_id bigint, row bigint, chunk_no int, ids binary")
         .groupBy("row")
         .applyInArrow(join, "doc_id bigint, ids binary, decoded binary")
