@@ -1,11 +1,14 @@
 """Main-text extraction from HTML with removal of each host's recurring template subtrees.
 
-Method: every element subtree is hashed; Spark counts, per host, on how many pages each hash
-occurs; subtrees found on at least ``min_share`` of a host's pages (and on ``min_pages``) are
-template and are deleted, beside elements that are never article text (navigation, forms, ...).
+Method: every element subtree is hashed; Spark counts, per host, on how many different pages each hash
+occurs; subtrees found on ``min_pages`` of them or more (and on ``min_share``; inside an article or main
+element, where copies of an article recur too, on ``article_share``) are template and are deleted, beside
+elements that are never article text (navigation, forms, ...).  Pages are parsed once for the hashes and once for the text; what joins them is one
+row per subtree of a page and per template subtree of a host, never a host's list.
 
 Edge cases: null or empty html gives the empty text; broken or unclosed markup is closed where
-HTML closes it; pages without a host form one host; repeated page rows are all kept.
+HTML closes it; pages without a host form one host; repeated page rows are all kept and count as one page;
+an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -16,9 +19,12 @@ import re
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from casewright.llm._common import staged, table
+
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
@@ -48,7 +54,10 @@ DROP_WORDS = frozenset(
     "newsletter subscribe subscription signup login share sharing social related recommended popup modal "
     "overlay search contentinfo complementary".split()
 )
-_SAFE = frozenset("html body main h1 h2 h3 h4 h5 h6".split())
+_SAFE = frozenset("html body main article h1 h2 h3 h4 h5 h6".split())
+#: First parts of a class name that tell about a page's parts, and last parts that name article matter.
+_ABOUT = frozenset("has with without no not is".split())
+_MATTER = frozenset("article articles body content copy text story post price policy result results page".split())
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _SCOPE = frozenset("html body table td th caption button object template article section div ul ol dl".split())
 
@@ -65,14 +74,19 @@ class Page:
         self._digests = {0: xxhash.xxh64(seed=1)}
         self._has_text = {0: False}
         self.textual: list[bool] = [False]
+        self.within: list[bool] = [False]  # inside an article or main element, or one itself
         self._parse(source)
 
     def _open(self, tag: str, attributes: str, stack: list[int]) -> None:
         self.tags.append(tag)
         self.parents.append(stack[-1])
         self.dropped.append(tag in DROP or _boilerplate(tag, attributes))
+        if tag in ("article", "main"):  # an element that holds the article is no boilerplate
+            for node in stack:
+                self.dropped[node] = False
         self.hashes.append(0)
         self.textual.append(False)
+        self.within.append(self.within[stack[-1]] or tag in ("article", "main"))
         node = len(self.tags) - 1
         self._digests[node] = xxhash.xxh64(tag.encode(), seed=1)
         if tag in BLOCK:
@@ -82,7 +96,7 @@ class Page:
     def _close(self, stack: list[int]) -> None:
         node = stack.pop()
         value = self._digests.pop(node).intdigest()
-        self.hashes[node] = value
+        self.hashes[node] = value & ~1 | self.within[node]  # the lowest bit says where the subtree stands
         if stack:
             above = self._digests[stack[-1]]
             above.update(value.to_bytes(8, "little"))
@@ -196,8 +210,13 @@ def _boilerplate(tag: str, attributes: str) -> bool:
     if tag in _SAFE or not attributes or "=" not in attributes:
         return False
     for m in _ATTRIBUTE.finditer(attributes):
-        if any(w in DROP_WORDS for w in _PART.split((m[2] or m[3] or m[4] or "").lower())):
-            return True
+        for name in (m[2] or m[3] or m[4] or "").lower().split():
+            parts = [p for p in _PART.split(name) if p and not p.isdigit()]
+            # A name counts as a whole or by its affixes (``cookie-bar``, ``post-comments``), not when it speaks
+            # of having or lacking a part (``has-sidebar``, ``no-ads``).
+            if parts and parts[0] not in _ABOUT and not (len(parts) > 1 and parts[-1] in _MATTER):
+                if name in DROP_WORDS or parts[0] in DROP_WORDS or parts[-1] in DROP_WORDS:
+                    return True
     return False
 
 
@@ -207,58 +226,53 @@ def _signed(values: set[int]) -> list[int]:
 
 def _hash_batches(batches):
     for batch in batches:
-        hosts, found = [], []
-        for host, source in zip(batch["host"].to_pylist(), batch["html"].to_pylist()):
-            for h in _signed(Page(source or "").subtrees()):
-                hosts.append(host)
-                found.append(h)
-        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(found, pa.int64())], ["host", "subtree"])
+        hosts, pages, found = [], [], []
+        for host, page, source in zip(*(batch[c].to_pylist() for c in ("host", "page", "html"))):
+            own = _signed(Page(source or "").subtrees())
+            hosts += [host] * len(own)
+            pages += [page] * len(own)
+            found += own
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (hosts, pages, found)], ["host", "page", "subtree"])
+
+
+def _pack_batches(batches):
+    """The pages' source compressed, since it is the one large thing that is shuffled."""
+    pack = zstandard.ZstdCompressor(level=3).compress
+    for batch in batches:
+        packed = [pack((x or "").encode("utf-8", "surrogatepass")) for x in batch["html"].to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch["page_id"], batch["url"], batch["page"], pa.array(packed, pa.binary())], ["page_id", "url", "page", "packed"])
 
 
 def _text_batches(batches):
+    unpack = zstandard.ZstdDecompressor().decompress
     for batch in batches:
         texts = [
-            Page(source or "").text(frozenset(np.array(known or [], np.int64).astype(np.uint64).tolist()))
-            for source, known in zip(batch["html"].to_pylist(), batch["template"].to_pylist())
+            Page(unpack(source).decode("utf-8", "surrogatepass")).text(frozenset(np.array(known or [], np.int64).astype(np.uint64).tolist()))
+            for source, known in zip(batch["packed"].to_pylist(), batch["template"].to_pylist())
         ]
-        yield pa.RecordBatch.from_arrays(
-            [batch["page_id"], batch["url"], pa.array(texts, pa.string())], ["page_id", "url", "text"]
-        )
-
-
-def template_subtrees(pages: DataFrame, min_pages: int = 10, min_share: float = 0.5) -> DataFrame:
-    """One row per host with its template hashes.
-
-    A host's list is bounded: a subtree on half of its pages can stand at most twice as often
-    as a page has subtrees on average.  Counts are combined before they are shuffled.
-    """
-    per_host = pages.groupBy("host").agg(F.count("*").alias("n_pages"))
-    counts = pages.select("host", "html").mapInArrow(_hash_batches, "host string, subtree bigint").groupBy("host", "subtree").agg(F.count("*").alias("n"))
-    return (
-        counts.where(F.col("n") >= min_pages)
-        .join(per_host, "host")
-        .where(F.col("n") >= F.col("n_pages") * min_share)
-        .groupBy("host")
-        .agg(F.sort_array(F.collect_list("subtree")).alias("template"))
-    )
-
-
-def extract_main_text(pages: DataFrame, min_pages: int = 10, min_share: float = 0.5, salts: int = 64) -> DataFrame:
-    """``page_id, url, text`` for every row of ``pages(page_id, url, html)``.
-
-    Pages meet their host's template under ``salts`` keys per host, so that a host with a third of
-    all pages is read by many tasks; the template's one row per host is what is repeated.
-    """
+        yield pa.RecordBatch.from_arrays([batch["page_id"], batch["url"], pa.array(texts, pa.string())], ["page_id", "url", "text"])
+
+
+def page_templates(pages: DataFrame, min_pages: int = 10, min_share: float = 0.05, article_share: float = 0.5) -> DataFrame:
+    """``page, template`` (those of its own subtrees that are template) of the pages of ``pages(host, page, html)``
+    that hold any; host and page are hashes, and rows with one page hash are one page."""
+    marks = staged(pages.mapInArrow(_hash_batches, "host bigint, page bigint, subtree bigint").distinct(), "subtrees")
+    per_host = pages.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("n_pages"))
+    counts = marks.groupBy("host", "subtree").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
+    share = F.when(F.col("subtree").bitwiseAND(F.lit(1)) == 1, article_share).otherwise(min_share)
+    template = staged(counts.join(per_host, "host").where(F.col("n") >= F.col("n_pages") * share).select("host", "subtree"), "templates")
+    return marks.join(template, ["host", "subtree"]).groupBy("page").agg(F.collect_list("subtree").alias("template"))
+
+
+def extract_main_text(pages: DataFrame, min_pages: int = 10, min_share: float = 0.05, article_share: float = 0.5) -> DataFrame:
+    """``page_id, url, text`` for every row of ``pages(page_id, url, html)``."""
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#:]+)", 1)), F.lit(""))
-    own = pages.select("page_id", "url", "html", host.alias("host"))
-    template = template_subtrees(own, min_pages, min_share)
-    spread = template.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    salted = own.withColumn("salt", F.pmod(F.xxhash64("page_id", "url", F.lit(9)), F.lit(salts)).cast("int"))
-    return salted.join(spread, ["host", "salt"], "left").select("page_id", "url", "html", "template").mapInArrow(_text_batches, "page_id bigint, url string, text string")
+    own = pages.select("page_id", "url", "html", F.xxhash64(host).alias("host"), F.xxhash64(host, F.coalesce("html", F.lit(""))).alias("page"))
+    template = page_templates(own.select("host", "page", "html"), min_pages, min_share, article_share)
+    packed = own.select("page_id", "url", "page", "html").mapInArrow(_pack_batches, "page_id bigint, url string, page bigint, packed binary")
+    return packed.join(template, "page", "left").select("page_id", "url", "packed", "template").mapInArrow(_text_batches, "page_id bigint, url string, text string")
 
 
 def query(spark, sf_dir) -> DataFrame:
-    from casewright.llm._common import table
-
     pages = table(spark, sf_dir, "pages", "page_id", "url", "html")
     return extract_main_text(pages).withColumn("n_chars", F.char_length("text").cast("bigint"))

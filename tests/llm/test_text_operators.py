@@ -3,6 +3,7 @@
 import functools
 import hashlib
 import random
+import re
 
 import duckdb
 import numpy as np
@@ -56,6 +57,48 @@ def test_recurring_subtrees_go_per_host(spark):
     assert html_extract.extract_main_text(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<article class="post search-result"><p>Kept.</p></article>', '<article id="comment-policy"><p>Kept.</p></article>',
+        '<div class="article has-sidebar"><p>Kept.</p></div>', '<div class="share-price"><p>Kept.</p></div>',
+        '<div class="sidebar"><article><p>Kept.</p></article></div>', '<div class="promo"><main><p>Kept.</p></main></div>',
+        '<div class="cookie-bar">x</div><p>Kept.</p><div id="post-comments">y</div><div role="navigation">z</div>',
+    ],
+)
+def test_articles_are_not_lost_by_class_words(page):
+    assert text(page) == "Kept."
+
+
+def test_repeated_pages_are_one_page(spark):
+    rows = [(i, "http://h.example/1", "<article><p>One article.</p></article>") for i in range(12)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    assert {r.text for r in html_extract.extract_main_text(pages).collect()} == {"One article."}
+
+
+def test_html_query_equals_brute_force(spark):
+    rows = spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "url", "html").collect()
+    rows += [(2 * 10**6 + i, f"http://copies.example/{i}", f"<p>n {i}</p><article><p>copied</p></article>" if i < 12 else f"<article><p>{i}</p></article>") for i in range(40)]
+    rows += [(10**6 + i, f"http://crowd.example/{i}", f"<body><p>own {i}</p><div><i>every second {i % 2}</i></div></body>") for i in range(40)]
+    host = lambda u: m[1].lower() if (m := re.match(r"[A-Za-z][A-Za-z0-9+.\-]*://([^/?#:]+)", u or "")) else ""
+    seen = {}
+    for _, u, h in rows:
+        for x in html_extract.Page(h or "").subtrees():
+            seen.setdefault((host(u), x), set()).add(h or "")
+    pages = {}
+    for _, u, h in rows:
+        pages.setdefault(host(u), set()).add(h or "")
+    template = {}
+    for (o, x), found in seen.items():
+        if len(found) >= 10 and len(found) >= (0.5 if x & 1 else 0.05) * len(pages[o]):
+            template.setdefault(o, set()).add(x)
+    want = {i: html_extract.Page(h or "").text(frozenset(template.get(host(u), ()))) for i, u, h in rows}
+    got = {r.page_id: r.text for r in html_extract.extract_main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert got == want and got[10**6 + 3] == "own 3" and got[2 * 10**6] == "copied"
+    n = {r.page_id: (r.text, r.n_chars) for r in QUERIES["op1_html_extraction"](spark, SF).collect()}
+    assert all(n[i] == (want[i], len(want[i])) for i in n) and len(n) == len(rows) - 80
+
+
 # --- toxicity ----------------------------------------------------------------------------------
 
 
