@@ -6,8 +6,9 @@ Because the model is linear after training, table and softmax fold into one scor
 The temperature is fitted on rows kept out of training and a document whose calibrated top
 probability lies under the threshold that keeps ``keep`` of those rows is marked ``rejected``.
 
-Edge cases: null text and texts without a letter are ``und`` with score 0; with no training row at
-all every text is ``und``; other empty or very short texts fall back to the classes' bias.
+Edge cases: null text and texts without a letter (``str.isalpha``) are ``und`` with score 0; with no training
+row at all every text is ``und``; other empty or very short texts fall back to the classes' bias; very long
+texts are read in pieces that share no n-gram, which gives the same average; repeated rows are learned from once.
 """
 
 from __future__ import annotations
@@ -23,7 +24,8 @@ from pyspark.sql import functions as F
 from casewright.llm._common import fold, mix, table
 
 ORDERS = (2, 3)
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = re.compile(r"[^\W\d_]")  # also matches numerals such as ½, which isalpha refuses
+PIECE = 1 << 20
 _SALT = np.random.default_rng(7).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -31,9 +33,18 @@ _FOLD[65:91] += 32
 _FOLD[[9, 10, 11, 12, 13]] = 32
 
 
-def grams(texts: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket of every n-gram of every text, in text order, and the number of n-grams per text."""
-    raw = [b" " + t.encode("utf-8", "surrogatepass") + b" " * max(ORDERS) for t in texts]
+def has_letter(text: str) -> bool:
+    return any(m[0].isalpha() for m in _LETTER.finditer(text))
+
+
+def pieces(text: str) -> list[bytes]:
+    """The padded bytes of a text in pieces of ``PIECE`` n-gram starts, each with the bytes its last ones reach."""
+    raw = b" " + text.encode("utf-8", "surrogatepass") + b" " * max(ORDERS)
+    return [raw[at : at + PIECE + max(ORDERS)] for at in range(0, len(raw) - max(ORDERS), PIECE)]
+
+
+def grams(raw: list[bytes], buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket of every n-gram of every piece, in order, and the number of n-grams per piece."""
     sizes = np.fromiter(map(len, raw), np.int64, len(raw))
     buf = _FOLD[np.frombuffer(b"".join(raw), np.uint8)]
     h, found, owner = _SALT[buf], [], []
@@ -68,11 +79,12 @@ def train(texts: list[str], langs: list[str], buckets: int = 1 << 16, dim: int =
     bias = np.zeros(len(classes), np.float32)
     y = np.array([classes.index(x) for x in langs])
     rows = []
-    for at in range(0, len(texts), 256):
-        g, n = grams(texts[at : at + 256], buckets)
-        for part in np.split(g, np.cumsum(n)[:-1]):
-            ids, counts = np.unique(part, return_counts=True)
-            rows.append((ids, (counts / max(1, counts.sum())).astype(np.float32)))
+    for text in texts:
+        total = np.zeros(buckets, np.int64)
+        for piece in pieces(text):
+            total += np.bincount(grams([piece], buckets)[0], minlength=buckets)
+        ids = np.flatnonzero(total)
+        rows.append((ids.astype(np.int32), (total[ids] / max(1, total.sum())).astype(np.float32)))
     kept_out = np.arange(len(rows)) % 10 == 9
     learn = np.flatnonzero(~kept_out)
     for epoch in range(epochs):
@@ -108,19 +120,37 @@ def train(texts: list[str], langs: list[str], buckets: int = 1 << 16, dim: int =
 def predict(texts: list[str | None], model: dict) -> tuple[list[str], np.ndarray]:
     """Language and calibrated probability per text."""
     classes = model["classes"]
-    known = np.array([bool(classes) and t is not None and _LETTER.search(t) is not None for t in texts], bool)
     langs, scores = ["und"] * len(texts), np.zeros(len(texts))
-    at = np.flatnonzero(known)
-    sizes = np.array([len(texts[i]) for i in at])
-    for part in np.split(at, np.flatnonzero(np.diff(np.cumsum(sizes) >> 20)) + 1) if len(at) else []:
-        g, n = grams([texts[i] for i in part], len(model["table"]))
+    known = [i for i, t in enumerate(texts) if classes and t is not None and has_letter(t)]
+    sums, counts = np.zeros((len(texts), len(classes))), np.zeros(len(texts), np.int64)
+    owners: list[int] = []
+    parts: list[bytes] = []
+
+    def add() -> None:
+        g, n = grams(parts, len(model["table"]))
         starts = np.cumsum(n) - n
         z = np.stack([np.add.reduceat(model["table"][:, c][g].astype(np.float64), starts) for c in range(len(classes))], 1)
-        z = (z / n[:, None] + model["bias"]) / model["temperature"]
+        np.add.at(sums, owners, z)
+        np.add.at(counts, owners, n)
+        owners.clear()
+        parts.clear()
+
+    size = 0
+    for i in known:
+        for piece in pieces(texts[i]):
+            if parts and size + len(piece) > PIECE:
+                add()
+                size = 0
+            owners.append(i)
+            parts.append(piece)
+            size += len(piece)
+    if parts:
+        add()
+    if known:
+        z = (sums[known] / counts[known][:, None] + model["bias"]) / model["temperature"]
         p = np.exp(z - z.max(1, keepdims=True))
         p /= p.sum(1, keepdims=True)
-        best = p.argmax(1)
-        for i, b, v in zip(part, best, p.max(1)):
+        for i, b, v in zip(known, p.argmax(1), p.max(1)):
             langs[i], scores[i] = classes[b], v
     return langs, scores
 
@@ -128,14 +158,16 @@ def predict(texts: list[str | None], model: dict) -> tuple[list[str], np.ndarray
 def fit(docs: DataFrame, sample: int = 6000, **settings) -> dict:
     """Train on at most ``sample`` labelled rows of ``docs(doc_id, text, lang)``, taken by hash order.
 
-    Ids are picked first, so that no task sends more texts than the sample holds.  The bound keeps
-    the driver's share fixed; everything else reads all rows.
+    Rows are picked by key first, so that no task sends more texts than the sample holds.  The bound keeps
+    the driver's share fixed; everything else reads all rows.  The pick is a total order, so a fit is repeatable.
     """
-    labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    ids = labelled.select("doc_id").distinct().orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id").limit(sample)
-    rows = labelled.join(F.broadcast(ids), "doc_id").select("doc_id", "text", "lang").limit(sample).collect()
-    rows = [(r.text, r.lang) for r in sorted(rows, key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.doc_id, r.text))]
-    return train([r[0] for r in rows], [r[1] for r in rows], **settings)
+    own = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", "lang", F.xxhash64("text").alias("key_text"))
+    keys = ["doc_id", "key_text", "lang"]
+    picked = own.select(*keys).distinct().orderBy(F.xxhash64("doc_id", F.lit(3)), *keys).limit(sample).withColumnsRenamed({k: f"#{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"`#{k}`")) for k in keys]
+    rows = own.join(F.broadcast(picked), same[0] & same[1] & same[2]).select(*keys, "text").dropDuplicates(keys).collect()  # ``sample`` rows at most
+    rows.sort(key=lambda r: (zlib.crc32(str(r.doc_id).encode()), -1 if r.doc_id is None else r.doc_id, r.text, r.lang))
+    return train([r.text for r in rows], [r.lang for r in rows], **settings)
 
 
 def identify(docs: DataFrame, model: dict) -> DataFrame:

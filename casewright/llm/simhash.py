@@ -8,8 +8,8 @@ variants, and sharing a variant means at most two differing bits, so each varian
 65) members to their smallest.  That is exact and linear however large the group.
 
 Edge cases: null and empty texts have fingerprint 0 and link like any other; fewer words than a
-shingle make one shingle of all of them; repeated rows are kept and share their component; a null id
-keeps its row with a null component unless it links to another id.
+shingle make one shingle of all of them; repeated rows are kept and share their component; rows with a null id
+link like any other, and their component is the smallest id reachable, null where there is none.
 """
 
 from __future__ import annotations
@@ -111,14 +111,20 @@ def links(nodes: DataFrame, distance: int = 2, hot: int = 64) -> DataFrame:
 def near_duplicates(docs: DataFrame, width: int = 3, distance: int = 2, hot: int = 64) -> DataFrame:
     """``doc_id, fp, component_id`` for every row of ``docs(doc_id, text)``."""
     prints = staged(fingerprints(docs, width), "fingerprints")
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("node"))
-    found = links(nodes.where("node IS NOT NULL"), distance, hot)
-    joined = components(found).withColumnRenamed("component", "component_id")
+    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("doc"))
+    joined = components(links(nodes.select(F.col("fp").alias("node"), "fp"), distance, hot))
     # Written first, so that Spark can split the join below where many copies share a fingerprint.
-    classes = staged(nodes.join(joined, "node", "left").select("fp", F.coalesce("component_id", "node").alias("component_id")), "classes")
+    classes = staged(_least_ids(nodes, joined), "classes")
     return prints.join(classes, "fp", "left").select("doc_id", "fp", "component_id")
 
 
+def _least_ids(nodes: DataFrame, joined: DataFrame) -> DataFrame:
+    """``fp, component_id``: the smallest ``doc`` of each class of ``nodes(fp, doc)`` under ``joined(node, component)``."""
+    placed = nodes.join(joined, nodes["fp"] == joined["node"], "left").select("fp", "doc", F.coalesce("component", "fp").alias("class"))
+    least = placed.groupBy("class").agg(F.min("doc").alias("component_id"))
+    return placed.join(least, "class").select("fp", "component_id")
+
+
 # --- groups at a wider similarity, for the pipeline --------------------------------------------
 
 #: 32 keys of four minima each: a pair at 0.8 shares none with a chance of (1 - 0.8**4)**32 = 5e-8.
@@ -168,8 +174,8 @@ def _crowd_links(sets: list[np.ndarray], nodes: np.ndarray, similarity: float) -
     order = np.argsort(flat, kind="stable")
     flat, owner = flat[order], owner[order]
     for at in range(n):
-        if (root[at + 1 :] == root[at]).all():
-            continue
+        if (root == root[0]).all():
+            break
         low, high = np.searchsorted(flat, sets[at]), np.searchsorted(flat, sets[at], "right")
         shared = np.bincount(np.concatenate([owner[a:b] for a, b in zip(low, high)]), minlength=n)
         others = np.unique(root[alike(shared, sizes, sizes[at], similarity) & (root != root[at])])
@@ -182,8 +188,9 @@ def _edges(found: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
 
-def similar_groups(docs: DataFrame, similarity: float = 0.8, hot: int = 16) -> DataFrame:
-    """``doc_id, component_id`` at ``similarity`` (Jaccard) or more of the sets of five-word shingles.
+def similar_classes(docs: DataFrame, similarity: float = 0.8, hot: int = 16) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Classes at ``similarity`` (Jaccard) or more of the sets of five-word shingles: the rows with their set's hash
+    (``doc_id, key_text, fp``), the first row of every set (``fp, row``), and ``node, component`` over the sets.
 
     Equal sets are collapsed.  Candidates share one of ``BANDS`` keys of minima, and are linked only by the
     exact similarity of their sets, which are made again from the texts of the candidates alone.  A
@@ -195,7 +202,7 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, hot: int = 16) -> D
             sets = list(shingle_sets([t or "" for t in batch["text"].to_pylist()]))
             fp = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64).astype(np.int64)
             keys = pa.array([band_keys(s).astype(np.int64) for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(fp), pa.array([len(s) for s in sets], pa.int32()), keys], ["doc_id", "fp", "size", "keys"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["key_text"], pa.array(fp), pa.array([len(s) for s in sets], pa.int32()), keys], ["doc_id", "key_text", "fp", "size", "keys"])
 
     def remake(batches):
         for batch in batches:
@@ -215,7 +222,7 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, hot: int = 16) -> D
     def crowds(batches):
         key, nodes, sets = None, [], []
         for batch in batches:
-            for k, node, s in zip(*(batch[c].to_pylist() for c in ("key", "node", "shingles"))):
+            for k, node, s in zip(*(batch[c].to_pylist() for c in ("key", "fp", "shingles"))):
                 if k != key:
                     if nodes:
                         yield _edges(_crowd_links(sets, np.array(nodes), similarity))
@@ -225,38 +232,53 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, hot: int = 16) -> D
         if nodes:
             yield _edges(_crowd_links(sets, np.array(nodes), similarity))
 
-    texts = docs.select("doc_id", "text")
-    prints = staged(texts.mapInArrow(run, "doc_id bigint, fp bigint, size int, keys array<bigint>"), "minima")
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("node"), F.first("size").alias("size"), F.first("keys").alias("keys"))
-    keyed = nodes.where("node IS NOT NULL").select("node", "fp", "size", F.explode("keys").alias("key"))
+    texts = docs.select("doc_id", "text", _text_key().alias("key_text"))
+    prints = staged(texts.mapInArrow(run, "doc_id bigint, key_text bigint, fp bigint, size int, keys array<bigint>"), "minima")
+    nodes = prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key_text")).alias("row"), F.first("size").alias("size"), F.first("keys").alias("keys"))
+    keyed = nodes.select("fp", "row", "size", F.explode("keys").alias("key"))
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     met = staged(keyed.join(sizes, "key"), "bands")
-    wanted = met.select(F.col("node").alias("doc_id")).distinct()
-    sets = staged(texts.join(wanted, "doc_id", "left_semi").mapInArrow(remake, "fp bigint, shingles binary").groupBy("fp").agg(F.first("shingles").alias("shingles")), "sets")
-    small = met.where(F.col("n") <= hot).drop("n")
-    other = small.select("key", F.col("node").alias("b"), F.col("fp").alias("fp_b"), F.col("size").alias("size_b"))
+    # One row of each set that meets another: its shingles are made again.
+    wanted = met.select(F.col("row.doc_id").alias("#id"), F.col("row.key_text").alias("#text")).distinct()
+    again = texts.join(wanted, (F.col("key_text") == F.col("`#text`")) & F.col("doc_id").eqNullSafe(F.col("`#id`")), "left_semi")
+    sets = staged(again.mapInArrow(remake, "fp bigint, shingles binary").groupBy("fp").agg(F.first("shingles").alias("shingles")), "sets")
+    small = met.where(F.col("n") <= hot).select("key", "fp", "size")
+    other = small.select("key", F.col("fp").alias("fp_b"), F.col("size").alias("size_b"))
     near = (F.col("size") >= F.col("size_b") * similarity - 1e-6) & (F.col("size_b") >= F.col("size") * similarity - 1e-6)
-    pairs = small.join(other, "key").where((F.col("fp") < F.col("fp_b")) & near).select(F.col("node").alias("a"), "b", "fp", "fp_b").distinct()
+    pairs = small.join(other, "key").where((F.col("fp") < F.col("fp_b")) & near).select("fp", "fp_b").distinct()
     both = pairs.join(sets, "fp").join(sets.select(F.col("fp").alias("fp_b"), F.col("shingles").alias("shingles_b")), "fp_b")
-    crowd = met.where(F.col("n") > hot).join(sets, "fp").select("key", "node", "shingles").repartition("key").sortWithinPartitions("key", "node")
+    crowd = met.where(F.col("n") > hot).join(sets, "fp").select("key", "fp", "shingles").repartition("key").sortWithinPartitions("key", "fp")
     edges = "a bigint, b bigint"
-    joined = components(both.mapInArrow(verify, edges).unionByName(crowd.mapInArrow(crowds, edges))).withColumnRenamed("component", "component_id")
-    classes = staged(nodes.select("fp", "node").join(joined, "node", "left").select("fp", F.coalesce("component_id", "node").alias("component_id")), "classes")
-    return prints.select("doc_id", "fp").join(classes, "fp", "left").select("doc_id", "component_id")
+    joined = components(both.select(F.col("fp").alias("a"), F.col("fp_b").alias("b"), "shingles", "shingles_b").mapInArrow(verify, edges).unionByName(crowd.mapInArrow(crowds, edges)))
+    return prints.select("doc_id", "key_text", "fp"), nodes.select("fp", "row"), joined
+
+
+def _text_key():
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
+def similar_groups(docs: DataFrame, similarity: float = 0.8, hot: int = 16) -> DataFrame:
+    """``doc_id, component_id``: for every row the smallest id of its class (null where no row has an id)."""
+    prints, nodes, joined = similar_classes(docs, similarity, hot)
+    classes = staged(_least_ids(nodes.select("fp", F.col("row.doc_id").alias("doc")), joined), "classes")
+    return prints.join(classes, "fp", "left").select("doc_id", "component_id")
 
 
 def keep_one_of_each(docs: DataFrame, **settings) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its group, one row per id.
+    """One row of ``docs`` per class, with all its columns: the smallest id, then the least text hash.
 
-    Rows with a null id cannot be told apart by it and all stay; any other columns are carried along.
+    Rows are told apart by id and text, so several texts under one id are several documents; a row with a null id
+    stays only where no row of its class has an id; of equal rows one stays (the least by its other columns).
     """
     from pyspark.sql import Window
 
-    groups = similar_groups(docs, **settings)
-    stays = groups.where("doc_id = component_id").select("doc_id").distinct()
-    one = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-    kept = docs.where("doc_id IS NOT NULL").join(stays, "doc_id", "left_semi").withColumn("#row", one).where(F.col("#row") == 1).drop("#row")
-    return kept.unionByName(docs.where("doc_id IS NULL"))
+    _, nodes, joined = similar_classes(docs, **settings)
+    placed = nodes.join(joined, nodes["fp"] == joined["node"], "left").select("row", F.coalesce("component", "fp").alias("class"))
+    stays = placed.groupBy("class").agg(F.min("row").alias("row")).select(F.col("row.doc_id").alias("#id"), F.col("row.key_text").alias("#text"))
+    keyed = docs.withColumn("#key", _text_key())
+    kept = keyed.join(stays, (F.col("`#key`") == F.col("`#text`")) & F.col("doc_id").eqNullSafe(F.col("`#id`")), "left_semi")
+    order = Window.partitionBy("doc_id", "#key").orderBy(F.xxhash64(*(F.col(f"`{n}`") for n in docs.columns)))
+    return kept.withColumn("#row", F.row_number().over(order)).where(F.col("#row") == 1).drop("#row", "#key")
 
 
 def query(spark, sf_dir) -> DataFrame:

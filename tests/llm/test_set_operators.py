@@ -133,8 +133,26 @@ def test_near_copies_leave_one(spark, frame):
             rows.append((g * 10 + c, " ".join(x)))
     kept = simhash.keep_one_of_each(frame(rows + rows[:3] + [(None, "x"), (None, "x")]))
     ids = sorted(x.doc_id for x in kept.collect() if x.doc_id is not None)
-    assert ids == [g * 10 for g in range(12)] and kept.where("doc_id IS NULL").count() == 2
+    assert ids == [g * 10 for g in range(12)] and kept.where("doc_id IS NULL").count() == 1
     assert simhash.keep_one_of_each(frame([])).count() == 0
+    odd = [(1, "p q r s t u"), (1, "another text under that id"), (1, "p q r s t u"), (2, "p q r s t u"), (None, "p q r s t u"), (None, "alone"), (3, None), (4, "")]
+    left = simhash.keep_one_of_each(frame(odd, extra=False))
+    assert sorted((x.doc_id or 0, x.text or "") for x in left.collect()) == [(0, "alone"), (1, "another text under that id"), (1, "p q r s t u"), (3, "")]
+
+
+def test_null_ids_link(spark, frame):
+    """Two texts that meet only through a row without an id are one class, named by the smaller id."""
+    base = "a b c d e f g h i j k l m n o p q r s t u v w x y z".split()
+    texts, r = {}, random.Random(2)
+    while len(texts) < 4000:
+        w = list(base)
+        for _ in range(r.randint(1, 2)):
+            w[r.randrange(26)] = r.choice("abcdef")
+        texts.setdefault(simhash.fingerprint(" ".join(w)), " ".join(w))
+    near = lambda x, y: (x ^ y).bit_count() <= 2
+    found = next((x, y, z) for y in texts for x in texts for z in texts if x < z and y not in (x, z) and near(x, y) and near(y, z) and not near(x, z))
+    rows = [(5, texts[found[0]]), (None, texts[found[1]]), (3, texts[found[2]])]
+    assert {r.component_id for r in simhash.near_duplicates(frame(rows)).collect()} == {3}
 
 
 @pytest.mark.parametrize("hot", [1, 64])

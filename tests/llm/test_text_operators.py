@@ -159,6 +159,13 @@ def test_language_held_out_accuracy_and_edges(spark, frame, odd_rows):
     model = language_id.train(["the house and", "la casa y el"] * 20, ["en", "es"] * 20)
     got = language_id.predict([None, "", "123 !", "the and"], model)
     assert got[0] == ["und", "und", "und", "en"] and got[1][0] == 0
+    assert language_id.predict(["½ ² ③", "_ 4", "ª"], model)[0][:2] == ["und", "und"]
+    long_ = "the house and " * 5000
+    whole = language_id.predict([long_], model)
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(language_id, "PIECE", 777)
+        cut = language_id.predict([long_, "x"], model)
+    assert cut[0][0] == whole[0][0] and cut[1][0] == pytest.approx(whole[1][0], rel=1e-9)
     nothing = language_id.fit(frame([]).withColumn("lang", F.lit("x")))
     assert {r.lang_pred for r in language_id.identify(frame(odd_rows), nothing).collect()} == {"und"}
     one = language_id.fit(frame(odd_rows).withColumn("lang", F.when(F.col("doc_id") > 1, "x")))
