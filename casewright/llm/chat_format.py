@@ -1,9 +1,10 @@
 """Chat formatting into budgeted, turn-aligned windows with a loss mask.
 
 Rows of a conversation are read in turn order as a stream: a window opens with the system turn (if
-the conversation starts with one) and a limited repeated history, prefix sums of turn tokens decide
-how many new turns fit, and repeated targets are masked out of the loss.  Only one window is in
-memory at a time, so a conversation of any length is formatted by one task in bounded memory; its
+the conversation starts with one) and a limited repeated history; the prefix sums of the turns' tokens say
+how many new turns fit and from which turn on the history does, and repeated targets are masked out of the
+loss.  No window is over the budget unless one new turn alone is; the history gives way first, then the
+system turn.  Only one window is in memory at a time, so a conversation of any length is formatted by one task in bounded memory; its
 order forces a sequence (a digest over all its turns is one chain), but never a collected group.
 
 A turn is ``<|im_start|>role\\ntext<|im_end|>\\n``.  Inside texts and roles every ``<``, k backslashes,
@@ -16,6 +17,7 @@ forms one conversation.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 
@@ -58,32 +60,35 @@ def turn_tokens(text: str) -> int:
 class _Writer:
     """Builds the windows of one conversation from its turns, one after another."""
 
-    def __init__(self, conv_id, budget: int, history_share: float) -> None:
-        self.conv_id, self.budget, self.history_budget = conv_id, budget, int(budget * history_share)
-        self.number, self.system, self.kept, self.new = 0, [], [], []
-        self.used = self.turns = 0
+    def __init__(self, conv_id, budget: int, history_share: float, count=turn_tokens) -> None:
+        self.conv_id, self.budget, self.history_budget, self.count = conv_id, budget, int(budget * history_share), count
+        self.number, self.first, self.system, self.kept, self.new = 0, None, [], [], []
+        self.opened, self.sums = 0, [0]  # tokens of the repeated turns; prefix sums over the new ones
 
     def add(self, role: str, text: str):
         """Take a turn; a finished window comes out if the turn no longer fits."""
-        item = (role, text, turn_tokens(text))
+        item = (role, text, self.count(text))
         done = None
-        if self.new and self.used + item[2] > self.budget:
+        if self.first is None:
+            self.first = [item] if role == "system" else []
+        if self.new and self.opened + self.sums[-1] + item[2] > self.budget:
             done = self._window()
-            if self.number == 1 and self.new[0][0] == "system":
-                self.system = self.new[:1]
-            kept, total = [], sum(x[2] for x in self.system)
-            for turn in reversed(self.new[len(self.system) if self.number == 1 else 0 :]):
-                if total + turn[2] > self.history_budget:
-                    break
-                kept.append(turn)
-                total += turn[2]
-            self.kept, self.new = kept[::-1], []
-            self.used = total
+            self._open(item[2])
         self.new.append(item)
-        self.used += item[2]
-        self.turns += 1
+        self.sums.append(self.sums[-1] + item[2])
         return done
 
+    def _open(self, tokens: int) -> None:
+        """Choose what the next window repeats, which begins with a turn of ``tokens``."""
+        room = self.budget - tokens
+        self.system = self.first if sum(x[2] for x in self.first) <= room else []
+        room = min(self.history_budget, room - sum(x[2] for x in self.system))
+        begin = bisect.bisect_left(self.sums, self.sums[-1] - max(0, room))
+        begin = max(begin, len(self.first) if self.number == 1 else 0)  # the system turn is repeated by itself
+        self.kept = self.new[begin:]
+        self.opened = sum(x[2] for x in self.system) + self.sums[-1] - self.sums[begin]
+        self.new, self.sums = [], [0]
+
     def _window(self):
         parts, spans, at = [], [], 0
         repeated = self.system + self.kept
@@ -108,8 +113,11 @@ def _record(rows) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
 
-def format_conversations(turns: DataFrame, budget: int = 1024, history_share: float = 0.25, partitions: int | None = None) -> DataFrame:
-    """Windows of every conversation of ``turns(conv_id, turn, role, text)``, in order within a partition."""
+def format_conversations(turns: DataFrame, budget: int = 1024, history_share: float = 0.25, partitions: int | None = None, count=turn_tokens) -> DataFrame:
+    """Windows of every conversation of ``turns(conv_id, turn, role, text)``, in order within a partition.
+
+    ``count`` gives the tokens of a turn with that text: by default words in parts of six characters.
+    """
 
     def run(batches):
         writer, rows, size = None, [], 0
@@ -118,7 +126,7 @@ def format_conversations(turns: DataFrame, budget: int = 1024, history_share: fl
                 if writer is None or writer.conv_id != conv:
                     if writer:
                         rows.append(writer.finish())
-                    writer = _Writer(conv, budget, history_share)
+                    writer = _Writer(conv, budget, history_share, count)
                 if done := writer.add(role or "", text or ""):
                     rows.append(done)
                     size += len(done[2])
