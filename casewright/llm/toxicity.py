@@ -1,9 +1,13 @@
 """Toxicity by a weighted finite-state pattern grammar over clauses.
 
-Small transducers (insult, threat, target, negation, reported speech) read the token classes of a
-clause in step; their composition emits weighted matches, and a document's score is the noisy-or of
-its matched clauses.  The insult lexicon (whole words and word beginnings) and the weights of the
-modifiers are learned from labelled rows.  A pattern's support is the smaller of its documents and
+A lexicon turns the words of a clause into symbols; five transducers rewrite them, each reading what the one
+before wrote: insult (marks an insult), threat (a threatening verb and, soon after, a person make a threat),
+target (an insult near a person becomes an aimed one), negation (what lies in its scope is denied; a second
+negation lifts it), reported speech (what follows a verb of saying or a word for a word, or stands between
+quotes, is reported).  Their composition is one transducer.  A clause scores its strongest match: the learned
+weight of its word times the learned factor of its tags (aimed, threat, denied, reported), so the same word
+counts differently alone, aimed, denied or quoted; a document's score is the noisy-or of its matched clauses.
+The insult lexicon (whole words and word beginnings) and the factors are learned from labelled rows.  A pattern's support is the smaller of its documents and
 its distinct contexts (the neighbours of a word), so neither copies of one document nor repetition
 within one count as evidence.
 
@@ -32,45 +36,113 @@ PREFIXES = (4, 5, 6, 7)
 
 TARGETS = frozenset("you your yours he she they him her them du dich dir ihr euch sie tu te toi vous ton usted ustedes tú ti ellos".split())
 NEGATIONS = frozenset("not no never nobody isn aren wasn don doesn didn nicht kein keine nie pas jamais aucun nunca ni".split())
-REPORTS = frozenset("said says say called calls wrote quoted claimed sagte sagt nannte schrieb dit disait appelé écrit dijo dice llamó escribió".split()) | frozenset('"“”«»')
+REPORTS = frozenset("said says say called calls wrote quoted claimed sagte sagt nannte schrieb dit disait appelé écrit dijo dice llamó escribió".split())
+MENTIONS = frozenset("word words term dictionary insult wort begriff mot terme palabra término".split())
+CONTRASTS = frozenset("but yet however aber sondern mais cependant pero sino".split())
+QUOTES = frozenset('"“”«»')
 THREATS = frozenset("kill murder hurt shoot stab burn destroy töte töten umbringen verletzen tuer tuerai frapper matar mataré golpear".split())
+#: How many tokens a threat waits for its person, a person reaches an insult, a negation denies, and a mention reports.
+REACH = {"threat": 5, "target": 6, "negation": 6, "mention": 4}
 
 
 class Transducer:
-    """A deterministic weighted transducer over token classes: state and class give state and tag."""
+    """A deterministic transducer: a state and a symbol give a state and a symbol."""
 
     def __init__(self, start, step):
         self.start, self.step = start, step
 
 
-def _memory(symbol: str, tag: str, reach: int) -> Transducer:
-    """Emits ``tag`` while ``symbol`` lies at most ``reach`` tokens back (0: anywhere before)."""
+def compose(first: Transducer, second: Transducer) -> Transducer:
+    """The transducer that reads what ``first`` reads and writes what ``second`` makes of its output."""
+    known: dict = {}
+
+    def step(state: tuple, symbol: str):
+        key = state, symbol
+        if key not in known:
+            a, middle = first.step(state[0], symbol)
+            b, out = second.step(state[1], middle)
+            known[key] = (a, b), out
+        return known[key]
+
+    return Transducer((first.start, second.start), step)
+
+
+# Symbols: I insult word, T threatening verb, P person, N negation, B contrast, R verb of saying, M word for a word,
+# Q quote, - any other.  A match is written as its tags: "i" an insult, "t" a threat, then "p", "n", "r".
+
 
-    def step(state: int, seen: str):
-        state = 1 if seen == symbol else 0 if not state or (reach and state >= reach) else state + bool(reach)
-        return state, tag if state and seen != symbol else ""
+def _insult() -> Transducer:
+    return Transducer(0, lambda state, x: (0, "i" if x == "I" else x))
+
+
+def _threat(reach: int) -> Transducer:
+    def step(left: int, x: str):
+        if x == "T":
+            return reach, "-"
+        if x == "P" and left:
+            return 0, "t"
+        return max(0, left - 1), x
 
     return Transducer(0, step)
 
 
-def _match(symbol: str, tag: str) -> Transducer:
-    return Transducer(0, lambda state, seen: (0, tag if seen == symbol else ""))
+def _target(reach: int) -> Transducer:
+    """State: tokens since a person and since an insult that no person has met yet."""
 
+    def step(state: tuple[int, int], x: str):
+        person, insult = state
+        if x in ("P", "t"):
+            aimed = "ip" if x == "P" and insult else x  # the person after the insult
+            return (reach, 0), aimed
+        if x == "i":
+            return (max(0, person - 1), 0 if person else reach), "ip" if person else "i"
+        return (max(0, person - 1), max(0, insult - 1)), x
 
-def compose(*parts: Transducer) -> Transducer:
-    """The synchronous product: all parts read the same token; tags join.  States are memoised."""
-    known: dict = {}
+    return Transducer((0, 0), step)
 
-    def step(state: tuple, seen: str):
-        if (state, seen) not in known:
-            moves = [p.step(s, seen) for p, s in zip(parts, state)]
-            known[state, seen] = tuple(m[0] for m in moves), "".join(m[1] for m in moves)
-        return known[state, seen]
 
-    return Transducer(tuple(p.start for p in parts), step)
+def _negation(reach: int) -> Transducer:
+    def step(left: int, x: str):
+        if x == "N":
+            return 0 if left else reach, "-"  # a second negation lifts the first
+        if x == "B":
+            return 0, "-"
+        return max(0, left - 1), x + "n" if left and x[0] in "it" else x
+
+    return Transducer(0, step)
 
 
-GRAMMAR = compose(_match("I", "I"), _match("T", "T"), _memory("P", "p", 0), _memory("N", "n", 3), _memory("R", "r", 0))
+def _report(reach: int) -> Transducer:
+    """State: whether a verb of saying came before, inside quotes, tokens left after a word for a word."""
+
+    def step(state: tuple[bool, bool, int], x: str):
+        said, quoted, left = state
+        if x == "Q":
+            return (said, not quoted, left), "-"
+        if x == "R":
+            return (True, quoted, left), "-"
+        if x == "M":
+            return (said, quoted, reach), "-"
+        out = x + "r" if (said or quoted or left) and x[0] in "it" else x
+        return (said, quoted, max(0, left - 1)), out
+
+    return Transducer((False, False, 0), step)
+
+
+def _grammar() -> Transducer:
+    whole = _insult()
+    for part in (_threat(REACH["threat"]), _target(REACH["target"]), _negation(REACH["negation"]), _report(REACH["mention"])):
+        whole = compose(whole, part)
+    return whole
+
+
+GRAMMAR = _grammar()
+TAGS = tuple(kind + rest for kind in ("i", "ip", "t") for rest in ("", "n", "r", "nr"))
+
+
+def prior(tags: str) -> float:
+    """The factor of a match before any label is seen."""
+    return (0.75 if tags[0] == "t" else 1.0 if "p" in tags else 0.9) * (0.6 if "n" in tags else 1.0) * (0.7 if "r" in tags else 1.0)
 
 
 class Model:
@@ -94,35 +166,32 @@ class Model:
         return automaton
 
 
+_CLASSES = {w: name for name, words in (("P", TARGETS), ("Q", QUOTES), ("B", CONTRASTS), ("M", MENTIONS), ("R", REPORTS), ("N", NEGATIONS), ("T", THREATS)) for w in words}
+
+
 def _symbol(word: str, weight: float) -> str:
-    if weight:
+    if weight and word not in THREATS:
         return "I"
-    for name, words in (("T", THREATS), ("N", NEGATIONS), ("R", REPORTS), ("P", TARGETS)):
-        if word in words:
-            return name
-    return "-"
+    return _CLASSES.get(word, "-")
 
 
 def matches(text: str, model: Model) -> list[tuple[str, float]]:
-    """Per matched clause its modifier tags (``pnr`` in this order) and its strongest weight."""
+    """Per matched clause the tags and the weight of its strongest match."""
     found = []
     for clause in _CLAUSE.split(text):
         words = _WORD.findall(clause)
         weights = [model.weight(w) for w in words]
         if not any(weights) and THREATS.isdisjoint(words):
             continue
-        symbols = [_symbol(w, x) for w, x in zip(words, weights)]
-        after = "P" in symbols
-        state, best = GRAMMAR.start, None
-        for word_weight, symbol in zip(weights, symbols):
-            state, tags = GRAMMAR.step(state, symbol)
-            if "I" in tags or "T" in tags and after:
-                target = "p" if after else ""
-                modifiers = target + "".join(t for t in "nr" if t in tags)
-                weight = word_weight if "I" in tags else 0.75
-                value = weight * model.factors.get(modifiers, 1.0)
+        state, best, last = GRAMMAR.start, None, 0.0
+        for word, weight in zip(words, weights):
+            state, tags = GRAMMAR.step(state, _symbol(word, weight))
+            last = weight or last
+            if tags[0] in "it":
+                value = (last if tags[0] == "i" else 1.0) * model.factors.get(tags, prior(tags))
+                # A person behind an insult aims that insult: what it said alone is replaced, not added to.
                 if best is None or value > best[1]:
-                    best = modifiers, value
+                    best = tags, value
         if best:
             found.append(best)
     return found
@@ -203,24 +272,25 @@ def train(rows: Iterable[tuple[str | None, int]]) -> Model:
             rest[label] += 1
         elif len(kinds) == 1:
             alone.setdefault(kinds.pop(), Counter())[label] += 1
-    # Each modifier's factor starts from a discount and moves to the rate seen in training.
-    for modifiers in ("", "p", "n", "r", "pn", "pr", "nr", "pnr"):
-        prior = 1.0 - 0.4 * ("n" in modifiers) - 0.3 * ("r" in modifiers)
-        count = alone.get(modifiers, Counter())
-        model.factors[modifiers] = (count[1] + 2 * prior) / (count[1] + count[0] + 2)
+    # Each factor starts from its prior and moves to the rate seen in training.
+    for tags in TAGS:
+        count = alone.get(tags, Counter())
+        model.factors[tags] = (count[1] + 2 * prior(tags)) / (count[1] + count[0] + 2)
     model.rest = min(0.6, (rest[1] + 0.5) / (rest[0] + rest[1] + 1))
     return model
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = 8000) -> Model:
     """Learn from at most ``sample`` labelled rows, taken by hash order; the bound is on the fit alone."""
-    own = (
-        labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
-        .select("doc_id", (F.col("toxic") > 0).cast("int").alias("toxic"))
-        .orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id", "toxic")
-        .limit(sample)
-    )
-    rows = docs.select("doc_id", "text").join(F.broadcast(own), "doc_id").collect()  # at most ``sample`` label rows are sent
+    own = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", (F.col("toxic") > 0).cast("int").alias("toxic"))
+    own = own.orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id", "toxic").limit(sample)
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("key_text"))
+    keys = ["doc_id", "key_text", "toxic"]
+    # Repeated documents count once, and of several texts under one id no more than ``sample`` rows are read.
+    picked = keyed.join(F.broadcast(own), "doc_id").select(*keys).distinct().orderBy(F.xxhash64("doc_id", F.lit(5)), *keys).limit(sample)
+    picked = picked.withColumnsRenamed({k: f"#{k}" for k in keys})
+    rows = keyed.join(F.broadcast(picked), (F.col("doc_id") == F.col("`#doc_id`")) & (F.col("key_text") == F.col("`#key_text`")))
+    rows = rows.select("doc_id", "text", "key_text", F.col("`#toxic`").alias("toxic")).dropDuplicates(keys).collect()
     rows.sort(key=lambda r: (r.doc_id, r.text or "", r.toxic), reverse=True)
     return train((r.text, r.toxic) for r in iter(lambda: rows.pop() if rows else None, None))  # rows go as they are read
 

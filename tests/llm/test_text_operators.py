@@ -130,11 +130,40 @@ def test_copies_and_repetition_are_no_evidence():
 
 
 def test_grammar_composes_modifiers():
-    model = toxicity.Model({"scum": 0.99}, {}, {"": 1.0, "p": 1.0, "n": 0.5, "r": 0.6, "pr": 0.6}, 0.01)
-    found = lambda t: toxicity.matches(t, model)
-    assert found("he is not scum") == [("pn", 0.99)] and found("scum. calm.") == [("", 0.99)]
-    assert found("we said that was scum") == [("r", 0.99 * 0.6)]
-    assert found("i will kill you")[0][0] == "p" and found("kill the lights") == []
+    model = toxicity.Model({"scum": 1.0}, {}, {t: toxicity.prior(t) for t in toxicity.TAGS}, 0.01)
+    found = lambda t: [m for m, _ in toxicity.matches(t, model)]
+    assert found("scum. calm.") == ["i"] and found("you are scum") == ["ip"] and found("scum that you are") == ["ip"]
+    assert found("he is not scum") == ["ipn"] and found("not really a very big scum") == ["in"]
+    assert found("not that it is not scum") == ["i"] and found("it is not nice but scum") == ["i"]
+    assert found("we said that was scum") == ["ir"] and found("the word scum in a dictionary") == ["ir"]
+    assert found('it reads "scum" there, scum') == ["i"] and found('"scum"') == ["ir"]
+    assert found("i will kill you") == ["t"] and found("i will not kill you") == ["tn"] and found("kill the lights") == []
+    score = {t: toxicity.matches(t, model)[0][1] for t in ("scum", "you are scum", "he is not scum", "the word scum")}
+    assert score["you are scum"] > score["scum"] > score["the word scum"] > 0.5 and score["he is not scum"] == 0.6
+
+
+def test_factors_follow_the_labels():
+    """Where quoted and denied insults are labelled clean and threats toxic, the factors say so."""
+    r = random.Random(2)
+    calm = lambda n: " ".join(r.choice(["wood", "river", "stone", "cloud", "green", "paper"]) + r.choice("abcdefgh") for _ in range(n))
+    rows = []
+    for i in range(60):
+        rows += [(f"{calm(8)}. {calm(3)} you are scumbag {calm(2)}.", 1), (f"{calm(8)}. the word scumbag {calm(2)}.", 0) if i % 8 == 0 else (calm(20), 0)]
+        rows += [(f"{calm(4)} scumbag {calm(3)}", 1), (f"we will kill you {calm(5)}", 1)]
+    model = toxicity.train(rows)
+    assert model.factors["ip"] > 0.95 and model.factors["ir"] < 0.3 < 0.9 < model.factors["t"]
+    assert toxicity.score(f"{calm(3)} the word scumbag", model, model.finder()) < 0.7 < toxicity.score("you scumbag", model, model.finder())
+
+
+def test_toxicity_query_beats_chance_on_held_out_rows(spark):
+    sf = SF.replace("sf0.001", "sf0.01")
+    got = QUERIES["op2_toxicity"](spark, sf).collect()
+    truth = dict(duckdb.sql(f"SELECT doc_id, toxic FROM '{sf}/labels.parquet'").fetchall())
+    held = [(r.score, truth[r.doc_id]) for r in got if r.held_out and r.doc_id in truth]
+    bad, good = [x for x, y in held if y], [x for x, y in held if not y]
+    auc = sum((a > b) + (a == b) / 2 for a in bad for b in good) / (len(bad) * len(good))
+    assert auc >= 0.85 and sum(x >= 0.7 for x in good) <= 0.02 * len(good)
+    assert all(r.predicted == (r.score >= 0.7) and 0 <= r.score <= 1 for r in got)
 
 
 def test_toxicity_edges(spark, frame, odd_rows):
