@@ -152,6 +152,8 @@ class Model:
         self.words, self.prefixes, self.factors, self.rest = words, prefixes, factors, rest
 
     def weight(self, word: str) -> float:
+        if word in _CLASSES:
+            return 0.0
         found = self.words.get(word, 0.0)
         for n in PREFIXES:
             if len(word) >= n:
@@ -170,7 +172,7 @@ _CLASSES = {w: name for name, words in (("P", TARGETS), ("Q", QUOTES), ("B", CON
 
 
 def _symbol(word: str, weight: float) -> str:
-    if weight and word not in THREATS:
+    if weight:
         return "I"
     return _CLASSES.get(word, "-")
 
@@ -211,7 +213,7 @@ def _patterns(text: str):
     """Every word and word beginning of a text with a hash of the word's neighbours."""
     words = _WORD.findall(text)
     for before, word, after in zip(["", *words], words, [*words[1:], ""]):
-        if len(word) >= 3:
+        if len(word) >= 3 and word not in _CLASSES:  # the grammar's own words are no insults
             context = hash((before, after))
             yield word + "$", context
             for n in PREFIXES:
