@@ -406,6 +406,9 @@ def test_base_scores_are_exact_and_the_model_is_better(spark):
         assert r.n_known == sum(counts[w] > 0 for w in tokens[i])
     out = [i for i in docs if held[i]]
     assert sum(rows[i].score for i in out) > sum(rows[i].base_score for i in out)
+    one = pitman_yor.score_documents(spark.createDataFrame([(1, "a b c d e f", True), (2, "a b c d e f", False), (3, "f d b e c a", False)], "doc_id bigint, text string, trains boolean"))
+    score = {r.doc_id: r.score for r in one.collect()}
+    assert score[1] == score[2] > score[3]  # order counts
 
 
 def test_closed_form_seating():
@@ -422,10 +425,44 @@ def test_closed_form_seating():
             assert own[0] == pytest.approx(math.log(want / s[c, c]) + rising(t) - rising(c))
 
 
-def test_spelling_is_a_distribution():
-    codes, counts = np.unique(pitman_yor.letter_codes(["the cat sat on the mat"] * 20)[0], return_counts=True)
-    spelling = pitman_yor.learn_spelling(codes, counts, np.zeros(256))
-    assert np.allclose((10.0 ** spelling.letters.astype(float)).reshape(-1, pitman_yor.SYMBOLS).sum(1), 1, atol=1e-3)
+def seated_by_hand(texts, trains):
+    """The model with plain dictionaries: log10 probability of a pair, and the vocabulary."""
+    end = int(pitman_yor.END_HASH)
+    tokens = [[int(h) for h in word_hashes([t or ""])[0]] + [end] for t in texts]
+    c = collections.Counter(x for ws, own in zip(tokens, trains) if own for x in zip([end, *ws[:-1]], ws))
+    pairs = sorted(c)
+    context, word = (np.array([x[k] for x in pairs], np.uint64) for k in (0, 1))
+    name = pitman_yor.mix(context * np.uint64(0x9E3779B97F4A7C15) ^ pitman_yor.mix(word))
+    of, dishes, first = collections.Counter(), collections.Counter(x[0] for x in pairs), collections.Counter(x[1] for x in pairs)
+    for (u, _), n in c.items():
+        of[u] += n
+    total = len(pairs)
+    t = pitman_yor.seat(
+        np.array([c[x] for x in pairs]), np.log(np.array([(first[w] - 0.5) / (1 + total) for _, w in pairs])), np.array([dishes[u] - 1.0 for u, _ in pairs]), name
+    )
+    t = dict(zip(pairs, np.rint(t * 1000) / 1000))
+    up, tables = collections.Counter(), collections.Counter()
+    for (u, w), x in t.items():
+        up[w] += x
+        tables[u] += x
+    all_ = sum(up.values())
+    parent = lambda w: ((up[w] - 0.5) if w in up else 1 + 0.5 * len(up)) / (1 + all_)
+    value = lambda u, w: (c[u, w] - 0.5 * t.get((u, w), 0)) / (1 + of[u]) + (1 + 0.5 * tables[u]) / (1 + of[u]) * parent(w)
+    return tokens, value, up, of
+
+
+def test_model_equals_seating_by_hand(spark):
+    docs = [(r.doc_id, r.text, r.doc_id % 5 > 0) for r in spark.read.parquet(f"{SF}/documents.parquet").limit(60).collect()]
+    tokens, value, up, of = seated_by_hand([d[1] for d in docs], [d[2] for d in docs])
+    for u in list(of)[:30] + [12345]:
+        assert sum(value(u, w) for w in up) + value(u, 999) == pytest.approx(1, abs=1e-3)  # 999: any unseen word
+    end = int(pitman_yor.END_HASH)
+    want = {d[0]: sum(math.log10(value(u, w)) for u, w in zip([end, *ws[:-1]], ws)) for d, ws in zip(docs, tokens)}
+    frame_ = spark.createDataFrame(docs, "doc_id bigint, text string, trains boolean")
+    sizes = [{"least_buckets": 1}, {"least_buckets": 7, "chunk_docs": 9}, {"bucket_bytes": 2000, "chunk_chars": 5000}]
+    for size in sizes:
+        got = {r.doc_id: r.score for r in pitman_yor.score_documents(frame_.repartition(3), **size).collect()}
+        assert got.keys() == want.keys() and all(got[i] == pytest.approx(want[i], rel=1e-4) for i in want)
 
 
 def test_language_model_edges(spark, frame, odd_rows):
