@@ -81,3 +81,8 @@ def correlation(a: Column, b: Column) -> Column:
     xx = total(F.transform(a, lambda x: (x.cast("double") - ma) * (x.cast("double") - ma)))
     yy = total(F.transform(b, lambda y: (y.cast("double") - mb) * (y.cast("double") - mb)))
     return xy / F.sqrt(xx * yy)
+
+
+def dummy_image(size: tuple[int, int] = (256, 256)) -> np.ndarray:
+    """An image without content, of not-a-number throughout."""
+    return np.full(size, np.nan)

@@ -18,6 +18,11 @@ def normalise_header(name: str) -> str:
     return name.replace("\n", " ").strip()
 
 
+def fold_header(name: str) -> str:
+    """The inverse: every run of white space as one line end, as the form spells its headers."""
+    return "\n".join(name.split())
+
+
 def normalise_headers(df: DataFrame, drop: tuple[str, ...] = ("Case Name [Optional]",)) -> DataFrame:
     """Line ends in headers become spaces; unnamed columns and those in ``drop`` (by literal name) go."""
     named = df.toDF(*map(normalise_header, df.columns))
@@ -49,7 +54,7 @@ def file_kind(path: Column) -> Column:
     """dicom, jpg, mp4, remote or other, by suffix and prefix."""
     ext = F.lower(extension(path))
     return (
-        F.when(path.startswith("https:") & F.contains(path, F.lit("amazonaws")), "remote")
+        F.when(path.startswith("https://") & F.contains(path, F.lit(".s3.amazonaws.com/")), "remote")
         .when(ext.isin(".dcm", ""), "dicom")
         .when(ext.isin(".jpg", ".jpeg"), "jpg")
         .when(ext == ".mp4", "mp4")
@@ -91,6 +96,14 @@ def task_map(c: Column) -> Column:
     return F.when(readable, last)
 
 
+def task_keys(c: Column) -> Column:
+    """The keys of ``task_map`` alone, in order; null where the text cannot be read."""
+    s = unquoted(c)
+    inner = strip(F.regexp_replace(s, r"^\{|\}$", ""))
+    readable = s.rlike(r"^\{.*\}$") & ~inner.rlike(r"(^|;)\s*[^:;]*(;|$)")
+    return F.when(readable, F.array_distinct(F.transform(F.split(inner, ";"), lambda p: F.lower(strip(F.substring_index(p, ":", 1))))))
+
+
 def task_map_by_comma(c: Column) -> Column:
     """The form's own grammar: ``key: value`` pairs separated by commas; empty tasks are null."""
     keys = F.regexp_extract_all(c, F.lit(r"(\w+)\s*:\s*([^,{}]*)"), F.lit(1))
@@ -101,7 +114,11 @@ def task_map_by_comma(c: Column) -> Column:
 # --- identifiers in free text ------------------------------------------------------------------
 
 
-def encode_ids(c: Column, ids: list[tuple[str, str]], prefix: str = "HAWKID=") -> Column:
+#: Fixed value: what stands before an encoded identifier.
+ENCODED = "HAWKID="
+
+
+def encode_ids(c: Column, ids: list[tuple[str, str]], prefix: str = ENCODED) -> Column:
     """Every known id becomes ``prefix`` and its uid, one id after another in the given order."""
     if not ids:
         return c

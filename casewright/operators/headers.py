@@ -64,3 +64,12 @@ def stash_and_set(names: Column, values: dict[str, Column]) -> Column:
     old = F.map_from_entries(F.array_compact(F.array(*(F.when(F.map_contains_key(names, F.lit(k)), F.struct(F.lit(f"Old{k}").alias("key"), F.element_at(names, F.lit(k)).alias("value"))) for k in values))))
     rest = F.map_filter(names, lambda k, v: ~k.isin(*values))
     return F.map_concat(rest, old, F.create_map(*(x for k, v in values.items() for x in (F.lit(k), v.cast("string")))))
+
+
+#: Fixed value: of several header times the last of these that is present counts.
+SERIES_TIMES = ("SeriesTime", "ContentTime", "StudyTime")
+
+
+def last_time(header: str) -> Column:
+    """The last present of the series, content and study time; null where none is."""
+    return F.coalesce(*(F.element_at(header, F.lit(name)) for name in reversed(SERIES_TIMES)))

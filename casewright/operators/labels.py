@@ -33,6 +33,13 @@ def two_hop(df: DataFrame, digest: str, hashes: DataFrame, subjects: DataFrame)
     return df.join(first, F.upper(F.col(digest)) == F.col("__hash")).join(second, F.col("subject_uid") == F.col("__uid")).drop("__hash", "__uid")
 
 
+def group_validity(labels: DataFrame, key: str, digest: str, hashes: DataFrame) -> DataFrame:
+    """Per key its labels, its different images, and whether the registry (``NAME``) knows every image."""
+    known = hashes.select(F.col("NAME").alias("__known")).distinct()
+    joined = labels.select(key, digest).join(known, F.col(digest) == F.col("__known"), "left")
+    return joined.groupBy(key).agg(F.count("*").alias("n_labels"), F.bool_and(F.col("__known").isNotNull()).alias("is_valid"), F.countDistinct(digest).alias("n_images"))
+
+
 def batch_id(path: Column) -> Column:
     return F.regexp_extract(path, r"Batch_(\d+)_batch_results\.csv", 1)
 

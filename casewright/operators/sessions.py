@@ -33,6 +33,16 @@ def only_seen(files: DataFrame, digest: str, registry: DataFrame, registry_diges
     return files.join(registry.select(F.col(registry_digest).alias("__seen")), F.col(digest) == F.col("__seen"), "left_semi")
 
 
+def valid_new(seen: str, template: str) -> Column:
+    """A source image counts if its hash is new and it is no template."""
+    return ~F.col(seen) & ~F.col(template)
+
+
+def valid_known(seen: str, template: str) -> Column:
+    """A label's image counts if its hash is known and it is no template."""
+    return F.col(seen) & ~F.col(template)
+
+
 def extension_gate(files: DataFrame, path: str, wanted: str = ".dcm", valid: str = "is_valid") -> DataFrame:
     """Files with another extension (case counts) stay as rows but are not valid."""
     return files.withColumn(valid, F.col(valid) & (extension(F.col(path)) == wanted))

@@ -36,6 +36,7 @@ SELECT k AS row_id,
  CASE k % 5 WHEN 0 THEN '' WHEN 1 THEN 'Y' WHEN 2 THEN 'N' ELSE 'Unknown' END AS skills_requested,
  CASE k % 4 WHEN 0 THEN '' WHEN 1 THEN 'surgeon_2' ELSE 'stranger' END AS assessor,
  CASE WHEN k % 16 = 1 THEN 'ask surgeon_4' ELSE '' END AS assessment_details,
+ CASE k % 5 WHEN 0 THEN 'present' WHEN 1 THEN 'Retrospective_Review' WHEN 2 THEN 'rescue' WHEN 3 THEN '' ELSE 'OTHER-SEE_ADDITIONAL_COMMENTS' END AS presence,
  CASE WHEN k % 33 = 0 THEN '' ELSE '/data/' || CAST(k AS STRING) END AS path, k % 34 <> 0 AS path_exists,
  CASE k % 3 WHEN 0 THEN 'Y' WHEN 1 THEN '' ELSE 'N' END AS radiology_contacted,
  CASE WHEN k % 2 = 0 THEN '' ELSE '2001-01-01' END AS radiology_date
@@ -52,13 +53,18 @@ def sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(SHEET.replace("FROM orders JOIN customer", "FROM dq_orders JOIN dq_customer"))
 
 
-def judged(spark: SparkSession, sf_dir: str, legacy: bool = False) -> DataFrame:
+def registries(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     c, o = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
     users = c.where("c_custkey % 3 <> 0").select(F.col("c_name").alias("NAME"))
     sites = c.where("c_mktsegment <> 'BUILDING'").select(F.col("c_mktsegment").alias("NAME"))
     groups = o.where("o_orderpriority <> '5-LOW'").select(F.col("o_orderpriority").alias("NAME"))
     surgeons = table(spark, sf_dir, "nation").where("n_nationkey < 15").select(F.concat(F.lit("surgeon_"), F.col("n_nationkey").cast("string")).alias("NAME"))
-    flagged = Q.join_registries(sheet(spark, sf_dir), users, sites, groups, surgeons)
+    return users, sites, groups, surgeons
+
+
+def judged(spark: SparkSession, sf_dir: str, legacy: bool = False) -> DataFrame:
+    users, sites, groups, surgeons = registries(spark, sf_dir)
+    flagged = Q.with_task_facts(Q.join_registries(Q.spread(sheet(spark, sf_dir)), users, sites, groups, surgeons))
     known = surgeons.agg(F.collect_set(F.lower("NAME")).alias("surgeon_names"))  # one row, the registry
     return Q.with_issues(flagged.crossJoin(known), Q.sheet_rules(IDS, F.col("surgeon_names"), legacy))
 
@@ -75,7 +81,8 @@ def issue_sql() -> str:
     minutes = lambda c: f"(TRY_CAST(split_part({c}, ':', 1) AS INT) * 60 + TRY_CAST(split_part({c}, ':', 2) AS INT))"
     has = lambda c: f"list_contains(keys, lower({c}))"
     fits = "coalesce(len(keys) = TRY_CAST(n_surgeons AS INT), FALSE)"
-    want = f"(NOT {e('skills_requested')} AND NOT {unk('skills_requested')})"
+    broken = f"({tasks} AND NOT {parsed})"
+    want = f"(NOT {broken} AND NOT {e('skills_requested')} AND NOT {unk('skills_requested')})"
     rules = [
         ("R-01", "filer", "E", f"{e('filer')} OR upper(filer) NOT IN (SELECT upper(c_name) FROM customer WHERE c_custkey % 3 <> 0)"),
         ("R-02", "operation_date", "W", f"NOT {e('operation_date')} AND TRY_CAST(operation_date AS DATE) < DATE '2000-01-01'"),
@@ -101,16 +108,16 @@ def issue_sql() -> str:
         ("R-17", "tasks", "W", f"{tasks} AND len(tasks) - len(replace(tasks, ':', '')) <> len(tasks) - len(replace(tasks, ';', '')) + 1"),
         ("R-17", "tasks", "E", f"{tasks} AND NOT {parsed}"),
         ("R-18", "tasks", "E", f"{parsed} AND ({unk('performing')} OR NOT {has('performing')})"),
-        *(("R-19", c, "E", f"{parsed} AND NOT {fits}") for c in ("n_surgeons", "tasks")),
+        ("R-19", "tasks", "E", f"{parsed} AND NOT {fits}"),
         ("R-20", "tasks", "E", f"{parsed} AND {fits} AND len([x FOR x IN keys IF NOT list_contains(known, x)]) > 0"),
         *(("R-22", c, "E", f"{e('tasks')} AND NOT {e('n_surgeons')} AND coalesce(TRY_CAST(n_surgeons AS INT), 0) <> 1") for c in ("n_surgeons", "tasks")),
-        ("R-23", "performing", "E", f"{parsed} AND NOT {e('performing')} AND lower(performing) NOT IN ('unknown', 'not-applicable') AND NOT {has('performing')}"),
-        ("R-24", "supervising", "W", f"{parsed} AND NOT {e('supervising')} AND lower(supervising) NOT IN ('unknown', 'not-applicable') AND NOT {has('supervising')}"),
+        ("R-23", "tasks", "E", f"{parsed} AND NOT {e('performing')} AND lower(performing) NOT IN ('unknown', 'not-applicable') AND NOT {has('performing')}"),
+        ("R-24", "tasks", "W", f"{parsed} AND NOT {e('supervising')} AND lower(supervising) NOT IN ('unknown', 'not-applicable') AND NOT {has('supervising')}"),
         ("R-25", "assessor", "W", f"{want} AND {e('assessor')}"),
         ("R-25", "assessor", "E", f"{want} AND NOT {e('assessor')} AND NOT {reg('assessor')}"),
-        ("R-26", "assessor", "E", f"{want} AND NOT {e('assessor')} AND lower(skills_requested) <> 'y'"),
+        ("R-26", "skills_requested", "E", f"{want} AND NOT {e('assessor')} AND lower(skills_requested) <> 'y'"),
         *(("R-27", "assessment_details", "W", f"{want} AND contains(assessment_details, '{i}')") for i in ("surgeon_3", "surgeon_4")),
-        ("R-28", "radiology_date", "W", f"lower(radiology_contacted) = 'y' AND {e('radiology_date')}"),
+        ("R-28", "radiology_date", "W", f"NOT {broken} AND lower(radiology_contacted) = 'y' AND {e('radiology_date')}"),
     ]
     unions = "\nUNION ALL ".join(f"SELECT row_id, '{r}' AS rule, '{c}' AS col, '{s}' AS severity FROM k WHERE {w}" for r, c, s, w in rules)
     return f"""
@@ -129,7 +136,7 @@ def dq_issues_long(spark, sf_dir):
     return Q.issues_long(judged(spark, sf_dir)).select("row_id", "rule", F.col("column").alias("col"), "severity")
 
 
-MATRIX = ("filer", "operation_date", "supervising", "performing", "tasks", "n_surgeons", "assessor")
+MATRIX = ("filer", "operation_date", "supervising", "performing", "tasks", "n_surgeons", "assessor", "skills_requested")
 
 
 @plans.add(
@@ -197,20 +204,50 @@ def dq_filled(spark, sf_dir):
 
 
 @plans.add(f"""
-WITH s AS ({SHEET}) SELECT row_id, list_aggregate([x FOR x IN [
- CASE WHEN NOT regexp_matches(operation_date, '^\\d{{4}}-\\d{{2}}-\\d{{2}}') THEN 'S-01' END,
- CASE WHEN upper(quality) NOT IN ('UNKNOWN', 'QUESTIONABLE', 'UNUSUABLE', 'USABLE') THEN 'S-02' END,
- CASE WHEN upper(side) NOT IN ('UNKNOWN', 'LEFT', 'RIGHT') THEN 'S-03' END,
- CASE WHEN end_time < start_time THEN 'S-04' END,
- CASE WHEN NOT coalesce(TRY_CAST(years AS INT) BETWEEN 1 AND 50, FALSE) THEN 'S-05' END,
- CASE WHEN NOT coalesce(TRY_CAST(prior_cases AS INT) BETWEEN 0 AND 500, FALSE) THEN 'S-06' END] IF x IS NOT NULL], 'string_agg', ',') AS failed FROM s
+WITH s AS ({SHEET}),
+t AS (SELECT *, (SELECT list('surgeon_' || CAST(n_nationkey AS STRING)) FROM nation WHERE n_nationkey < 15) AS known,
+ list_distinct(regexp_extract_all(tasks, '([a-zA-Z0-9_]+)\\s*:\\s*([^,{{}}]+)', 1)) AS keys FROM s)
+SELECT row_id, list_aggregate([x FOR x IN [
+ CASE WHEN filer NOT IN (SELECT c_name FROM customer WHERE c_custkey % 3 <> 0) THEN 'S-01' END,
+ CASE WHEN operation_date = '' THEN 'S-02' END,
+ CASE WHEN operation_date <> '' AND NOT regexp_matches(operation_date, '^\\d{{4}}-\\d{{2}}-\\d{{2}}') THEN 'S-03' END,
+ CASE WHEN lower(quality) NOT IN ('usable', 'unusable', 'questionable', 'unknown', '') THEN 'S-04' END,
+ CASE WHEN institution NOT IN (SELECT c_mktsegment FROM customer WHERE c_mktsegment <> 'BUILDING') THEN 'S-05' END,
+ CASE WHEN procedure NOT IN (SELECT o_orderpriority FROM orders WHERE o_orderpriority <> '5-LOW') THEN 'S-06' END,
+ CASE WHEN start_time = '' THEN 'S-07' END,
+ CASE WHEN end_time <> '' AND end_time < start_time THEN 'S-08' END,
+ CASE WHEN upper(side) NOT IN ('RIGHT', 'LEFT', 'BOTH', 'UNKNOWN') THEN 'S-09' END,
+ CASE WHEN NOT list_contains(known, lower(supervising)) THEN 'S-10' END,
+ CASE WHEN upper(presence) NOT IN ('PRESENT', 'RETROSPECTIVE_REVIEW', 'OTHER-SEE_ADDITIONAL_COMMENTS') THEN 'S-11' END,
+ CASE WHEN NOT list_contains(known, lower(performing)) THEN 'S-12' END,
+ CASE WHEN NOT coalesce(TRY_CAST(years AS INT) > 0, FALSE) THEN 'S-13' END,
+ CASE WHEN NOT coalesce(TRY_CAST(prior_cases AS INT) >= 0, FALSE) THEN 'S-14' END,
+ CASE WHEN NOT coalesce(TRY_CAST(n_surgeons AS INT) >= 0, FALSE) THEN 'S-15' END,
+ CASE WHEN NOT regexp_matches(tasks, '^\\{{(?:\\s*([a-zA-Z0-9_]+)\\s*:\\s*([^,{{}}]+)\\s*,)*\\s*([a-zA-Z0-9_]+)\\s*:\\s*([^,{{}}]+)\\s*\\}}$') THEN 'S-16' END,
+ CASE WHEN len([k FOR k IN keys IF NOT list_contains(known, k)]) > 0 THEN 'S-17' END,
+ CASE WHEN NOT coalesce(len(keys) = TRY_CAST(n_surgeons AS INT), FALSE) THEN 'S-18' END] IF x IS NOT NULL], 'string_agg', ',') AS failed FROM t
 """)
 def dq_form_checks(spark, sf_dir):
-    checked = Q.with_issues(sheet(spark, sf_dir), Q.form_checks())
-    failed = F.array_join(F.transform("issues", lambda i: i["rule"]), ",")
+    users, sites, groups, surgeons = registries(spark, sf_dir)
+    flagged = Q.join_form_registries(Q.spread(sheet(spark, sf_dir)), users, sites, groups, surgeons)
+    known = surgeons.agg(F.collect_set("NAME").alias("surgeon_names"))  # one row, the registry
+    checked = Q.with_issues(flagged.crossJoin(known), Q.form_checks(F.col("surgeon_names")))
+    failed = F.array_join(F.array_distinct(F.transform("issues", lambda i: i["rule"])), ",")
     return checked.select("row_id", F.when(F.size("issues") > 0, failed).alias("failed"))
 
 
+@plans.add(f"SELECT row_id, coalesce(TRY_CAST(years AS INT) BETWEEN 1 AND 50, FALSE) AS years, coalesce(TRY_CAST(prior_cases AS INT) BETWEEN 0 AND 500, FALSE) AS prior_cases, coalesce(TRY_CAST(n_surgeons AS INT) BETWEEN 1 AND 1000, FALSE) AS n_surgeons FROM ({SHEET}) s")
+def dq_prompt_ranges(spark, sf_dir):
+    return sheet(spark, sf_dir).select("row_id", *(Q.in_prompt_range(c).alias(c) for c in Q.PROMPT_RANGES))
+
+
+@plans.add()
+def dq_suggestions(spark, sf_dir):
+    """Unregistered surgeons with the closest registered one; by matching blocks, which SQL lacks."""
+    issues = Q.issues_long(judged(spark, sf_dir))
+    return Q.with_suggestions(issues, [f"surgeon_{i}" for i in range(15)]).select("row_id", "rule", F.col("column").alias("col"), "value", "suggestion", "message")
+
+
 @plans.add(f"SELECT row_id, CAST(len(tasks) - len(replace(tasks, ':', '')) AS BIGINT) AS colons, CAST(len(tasks) - len(replace(tasks, ';', '')) AS BIGINT) AS semicolons FROM ({SHEET}) s")
 def task_char_counts(spark, sf_dir):
     return sheet(spark, sf_dir).select("row_id", X.count_char(F.col("tasks"), ":").cast("bigint").alias("colons"), X.count_char(F.col("tasks"), ";").cast("bigint").alias("semicolons"))
@@ -221,8 +258,8 @@ def task_char_counts(spark, sf_dir):
 SELECT row_id, CASE WHEN readable THEN array_to_string(list_sort(keys), ',') END AS keys, readable FROM k WHERE tasks <> ''"""
 )
 def taskmap_semicolon(spark, sf_dir):
-    m = X.task_map(F.col("tasks"))
-    return sheet(spark, sf_dir).where("tasks <> ''").select("row_id", F.array_join(F.array_sort(F.map_keys(m)), ",").alias("keys"), m.isNotNull().alias("readable"))
+    parsed = Q.once(sheet(spark, sf_dir).where("tasks <> ''"), m=X.task_map(F.col("tasks")))
+    return parsed.select("row_id", F.array_join(F.array_sort(F.map_keys("m")), ",").alias("keys"), F.col("m").isNotNull().alias("readable"))
 
 
 @plans.add(f"""

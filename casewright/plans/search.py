@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from casewright.operators.positions import numbered
 from casewright.operators.predicates import compile_constraints
 from casewright.sources.tables import table
 
@@ -30,10 +31,8 @@ def search_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
         .where(F.col("operation_date").between(F.lit("1996-01-01").cast("date"), F.lit("1996-12-31").cast("date")))
         .join(subjects, "subject_id", "left")
     )
-    # The global number is the preview's feature; it sorts only what the filters kept.
-    number = F.row_number().over(Window.orderBy("operation_date", "expt_id")).cast("bigint")
-    return found.select(
-        number.alias("row_num"), "expt_id", "procedure", F.col("operation_date").cast("string").alias("operation_date"), "upload_time"
+    return numbered(found, "row_num", F.col("operation_date"), "operation_date", "expt_id").select(
+        "row_num", "expt_id", "procedure", F.col("operation_date").cast("string").alias("operation_date"), "upload_time"
     )
 
 

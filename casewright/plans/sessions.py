@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from casewright.functions import text as X
+from casewright.operators import headers as H
 from casewright.operators import labels as L
 from casewright.operators import publish as P
 from casewright.operators import sessions as S
@@ -205,9 +206,32 @@ def label_batch_id(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", L.batch_id(path).alias("batch"))
 
 
-@plans.add("SELECT conv_id, bool_or(role = 'system') AS registered, count(DISTINCT role) AS n_roles FROM conversations GROUP BY conv_id")
+@plans.add("""
+SELECT l_orderkey, count(*) AS n_labels, bool_and(l_partkey IN (SELECT p_partkey FROM part WHERE p_size > 10)) AS is_valid, count(DISTINCT l_partkey) AS n_images
+FROM lineitem GROUP BY l_orderkey
+""")
 def label_registered(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.bool_or(F.col("role") == "system").alias("registered"), F.countDistinct("role").alias("n_roles"))
+    """A group of labels is valid if every image of it stands in the registry of hashes."""
+    hashes = table(spark, sf_dir, "part").where("p_size > 10").select(F.col("p_partkey").alias("NAME"))
+    labels = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
+    return L.group_validity(labels, "l_orderkey", "l_partkey", hashes).select("l_orderkey", "n_labels", "is_valid", "n_images")
+
+
+@plans.add("""
+SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN '101010' WHEN o_orderkey % 2 = 0 THEN '090909' WHEN o_orderkey % 5 = 0 THEN '080808' END AS series_time,
+ o_orderkey % 7 <> 0 AND o_orderkey % 4 <> 0 AS new_file, o_orderkey % 7 = 0 AND o_orderkey % 4 <> 0 AS known_file FROM orders
+""")
+def session_times(spark, sf_dir):
+    """The last present of three header times; files that are new or known and like no template."""
+    k = F.col("o_orderkey")
+    header = F.map_filter(
+        F.create_map(
+            F.lit("SeriesTime"), F.when(k % 5 == 0, "080808"), F.lit("ContentTime"), F.when(k % 2 == 0, "090909"), F.lit("StudyTime"), F.when(k % 3 == 0, "101010")
+        ),
+        lambda _, v: v.isNotNull(),
+    )
+    files = table(spark, sf_dir, "orders").select("o_orderkey", header.alias("header"), (k % 7 == 0).alias("seen"), (k % 4 == 0).alias("template"))
+    return files.select("o_orderkey", H.last_time("header").alias("series_time"), S.valid_new("seen", "template").alias("new_file"), S.valid_known("seen", "template").alias("known_file"))
 
 
 @plans.add()

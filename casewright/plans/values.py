@@ -10,6 +10,7 @@ from casewright.functions import text as X
 from casewright.functions import timeutil as T
 from casewright.operators import headers as H
 from casewright.operators import paths as A
+from casewright.operators import positions as P
 from casewright.operators.predicates import compile_constraints
 from casewright.plans._register import Plans
 from casewright.sources.tables import table
@@ -160,16 +161,17 @@ def image_depth(spark, sf_dir):
 
 
 @plans.add("""
-SELECT doc_id, upper(source) AS up, regexp_replace(text[1:80], '^\\s+|\\s+$', '', 'g') AS stripped,
- replace(text[1:80], '"', '''') AS quoted, regexp_replace(regexp_replace(text[1:80], '\\s''', '''', 'g'), '''\\s', '''', 'g') AS revised,
+SELECT doc_id, upper(source) AS up, sha256(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) AS stripped,
+ sha256(replace(text, '"', '''')) AS quoted, sha256(regexp_replace(regexp_replace(text, '\\s''', '''', 'g'), '''\\s', '''', 'g')) AS revised,
  contains(text, 'the') AS has_the, starts_with(text, 'The') AS starts_the FROM documents
 """)
 def text_functions(spark, sf_dir):
-    head = F.substring("text", 1, 80)
-    revised = F.regexp_replace(F.regexp_replace(head, r"\s'", "'"), r"'\s", "'")
+    """Over whole texts; the results are compared by digest."""
+    revised = F.regexp_replace(F.regexp_replace("text", r"\s'", "'"), r"'\s", "'")
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
     return table(spark, sf_dir, "documents").select(
-        "doc_id", F.upper("source").alias("up"), X.strip(head).alias("stripped"), F.replace(head, F.lit('"'), F.lit("'")).alias("quoted"),
-        revised.alias("revised"), F.contains("text", F.lit("the")).alias("has_the"), F.startswith("text", F.lit("The")).alias("starts_the"),
+        "doc_id", F.upper("source").alias("up"), digest(X.strip(F.col("text"))).alias("stripped"), digest(F.replace("text", F.lit('"'), F.lit("'"))).alias("quoted"),
+        digest(revised).alias("revised"), F.contains("text", F.lit("the")).alias("has_the"), F.startswith("text", F.lit("The")).alias("starts_the"),
     )
 
 
@@ -262,13 +264,13 @@ def distinct_subjects(spark, sf_dir):
 
 @plans.add("""
 WITH a AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS rn FROM orders WHERE o_orderstatus = 'P'),
-b AS (SELECT c_name, row_number() OVER (ORDER BY c_custkey) AS rn FROM customer WHERE c_custkey <= 200)
+b AS (SELECT c_name, row_number() OVER (ORDER BY c_custkey) AS rn FROM customer)
 SELECT o_orderkey, c_name FROM a LEFT JOIN b USING (rn)
 """)
 def positional_zip(spark, sf_dir):
-    """Rows paired by position: the literal form of the keyed join, kept for comparison on small inputs."""
-    a = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select("o_orderkey", F.row_number().over(Window.orderBy("o_orderkey")).alias("rn"))
-    b = table(spark, sf_dir, "customer").where("c_custkey <= 200").select("c_name", F.row_number().over(Window.orderBy("c_custkey")).alias("rn"))
+    """Rows paired by position: the literal form of the keyed join."""
+    a = P.numbered(table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select("o_orderkey"), "rn", F.floor(F.col("o_orderkey") / 4096), "o_orderkey")
+    b = P.numbered(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), "rn", F.floor(F.col("c_custkey") / 4096), "c_custkey")
     return a.join(b, "rn", "left").select("o_orderkey", "c_name")
 
 

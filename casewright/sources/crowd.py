@@ -16,7 +16,7 @@ COLUMNS = (
     "WorkerId", "AssignmentStatus", "AcceptTime", "SubmitTime", "AutoApprovalTime", "ApprovalTime", "RejectionTime", "RequesterFeedback",
     "WorkTimeInSeconds", "LifetimeApprovalRate", "Last30DaysApprovalRate", "Last7DaysApprovalRate", "Input.image_url", "Approve", "Reject",
 )
-KEPT = ("HITId", "Title", "AssignmentId", "WorkerId", "AssignmentStatus", "AcceptTime", "SubmitTime", "WorkTimeInSeconds", "Input.image_url")
+KEPT = ("HITId", "HITTypeId", "Reward", "AssignmentId", "WorkerId", "AcceptTime", "SubmitTime", "WorkTimeInSeconds", "Approve", "Reject", "Input.image_url")
 IMAGE = ".pngImageData"
 _TIME = "EEE MMM dd HH:mm:ss VV yyyy"
 

@@ -21,7 +21,7 @@ def dicom_files(spark: SparkSession, folder: str, content: bool = False) -> Data
 
 def media_files(spark: SparkSession, folder: str) -> DataFrame:
     """JPG images in order of time, then MP4 videos; ``position`` numbers them."""
-    images = _files(spark, folder, "*.[jJ][pP]*[gG]").select("path", "modificationTime", "length", F.lit("JPG").alias("type"))
+    images = _files(spark, folder, "*.{[jJ][pP][gG],[jJ][pP][eE][gG]}").select("path", "modificationTime", "length", F.lit("JPG").alias("type"))
     videos = _files(spark, folder, "*.[mM][pP]4").select("path", "modificationTime", "length", F.lit("MP4").alias("type"))
     return images.unionByName(videos).orderBy("type", "modificationTime", "path")
 

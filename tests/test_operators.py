@@ -318,3 +318,20 @@ def test_logs_summaries_and_pairs(spark, tmp_path):
     assert [r.value for r in spark.read.text(str(tmp_path / "s")).collect()] == ["a", "b"]
     text.register_task_pairs(spark)
     assert [tuple(r) for r in spark.sql("SELECT * FROM task_pairs('{S1: cut; s2: \"sew\"}')").collect()] == [("s1", "cut"), ("s2", "sew")]
+
+
+def test_suggestions_equal_the_library(spark):
+    import difflib
+
+    from pyspark.sql import functions as F
+
+    from casewright.operators import quality as Q
+
+    known = ["SURGEON_ONE", "SURGEON_TWO", "OTHER"]
+    rows = [(0, ["surgeon_on", "zzz"]), (1, ["othr"]), (2, None), (3, [])]
+    issues = spark.createDataFrame(rows, "row_id int, values array<string>").withColumn("message", F.lit("unknown"))
+    got = {(r.row_id, r.value): (r.suggestion, r.message) for r in Q.with_suggestions(issues, known).collect()}
+    assert set(got) == {(0, "surgeon_on"), (0, "zzz"), (1, "othr")}
+    for (_, v), (s, m) in got.items():
+        want = next(iter(difflib.get_close_matches(v.upper(), known, 1, 0.6)), None)
+        assert s == want and m == ("unknown" if want is None else f"unknown; did you mean {want}?")
