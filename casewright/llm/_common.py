@@ -22,9 +22,21 @@ _staged: list[tuple[SparkSession, str]] = []
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """The named columns of one table, so that extra columns never clash with ours."""
     ship_package(spark)
+    short_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
+BATCH_ROWS = 1000
+
+
+def short_batches(spark: SparkSession) -> None:
+    """Batches of ``BATCH_ROWS`` rows to and from Python where the session leaves the default of ten thousand:
+    rows here are whole texts, and a batch stands in memory on both sides, several times over."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def lower_ascii(text: str) -> str:
     return text.translate(_LOWER)
 
@@ -56,6 +68,7 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     The folder goes when the interpreter ends or by ``release``.
     """
     spark = df.sparkSession
+    short_batches(spark)
     path = f"{shared_dir(spark)}/staged-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     if not _staged:

@@ -35,7 +35,7 @@ from casewright.llm._common import environment_path, staged, table
 CHUNK = 1 << 15
 FAN = 64
 START, SPELLED = -2, -1  # the state before a text, and a character without a piece
-_FITS = 1 << 20
+_FITS = 1 << 17  # pairs kept; the table is begun anew beyond them
 
 
 def read_model(path: str) -> bytes:

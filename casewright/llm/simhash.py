@@ -173,6 +173,7 @@ def _crowd_links(sets: list[np.ndarray], nodes: np.ndarray, similarity: float) -
     flat, owner = np.concatenate(sets), np.repeat(np.arange(n, dtype=np.int32), sizes)
     order = np.argsort(flat, kind="stable")
     flat, owner = flat[order], owner[order]
+    del order
     for at in range(n):
         if (root == root[0]).all():
             break
