@@ -323,28 +323,49 @@ def test_substituted_passages_are_found(spark, frame):
         docs.append((k, " ".join(body).upper() if k == 8 else " ".join(body)))
     want = {(k, k // 4 % 5) for k in range(0, 40, 4)}
     table = spark.createDataFrame(items, "item_id bigint, text string")
-    for block in (1 << 23, 100):
-        got = {(x.doc_id, x.item_id) for x in decontaminate.find_overlaps(frame(docs), table, block_chars=block).collect()}
+    for block in (1 << 17, 20):
+        got = {(x.doc_id, x.item_id) for x in decontaminate.find_overlaps(frame(docs), table, block_tokens=block).collect()}
         assert want <= got and all(i in (3, 4) for _, i in got - want)
     kept = decontaminate.drop_contaminated(frame(docs), table.where("item_id < 3"))
     assert {x.doc_id for x in kept.collect()} == set(range(40)) - {k for k, i in want if i < 3}
 
 
-def test_every_allowed_pattern_of_substitutions_is_found():
-    """Whole copied items of 5 to 25 tokens with all patterns that leave 0.8 of the tokens equal."""
+def test_every_allowed_pattern_of_substitutions_is_found(spark, frame):
+    """Whole copied items of 1 to 25 tokens with all patterns that leave 0.8 of the tokens equal."""
     r = random.Random(9)
+    items, docs, more = [], [], []
     for n in [*range(1, 19), 20, 25]:
         others = n - math.ceil(0.8 * n)
         patterns = list(itertools.combinations(range(n), others))
         patterns = patterns if len(patterns) < 1000 else r.sample(patterns, 1000)
-        item = [f"t{k}" for k in range(n)]
-        index = decontaminate.Index([(1, " ".join(item))])
-        texts = [" ".join(["x y", *("changed" if k in p else item[k] for k in range(n)), "z"]) for p in patterns]
-        assert {row[0] for row in decontaminate.overlaps(texts, index, 13, 0.8)} == set(range(len(texts))), n
+        item = [f"t{n}x{k}" for k in range(n)]
+        items.append((n, " ".join(item)))
+        docs += [(n * 10_000 + i, " ".join(["x y", *("changed" if k in p else item[k] for k in range(n)), "z"])) for i, p in enumerate(patterns)]
         if n >= 5:
-            more = [" ".join("changed" if k in p else item[k] for k in range(n)) for p in itertools.islice(itertools.combinations(range(n), others + 1), 200)]
-            whole = [row for row in decontaminate.overlaps(more, index, n, 0.8)]
-            assert not whole
+            further = itertools.islice(itertools.combinations(range(n), others + 1), 200)
+            more += [(n * 10_000 + i, " ".join("changed" if k in p else item[k] for k in range(n))) for i, p in enumerate(further)]
+    table = spark.createDataFrame(items, "item_id bigint, text string")
+    got = {(x.doc_id, x.item_id) for x in decontaminate.find_overlaps(frame(docs), table).collect()}
+    assert got == {(i, i // 10_000) for i, _ in docs}
+    assert decontaminate.find_overlaps(frame(more), table, min_tokens=25).count() == 0
+
+
+def test_a_full_filter_and_repeated_words_lose_no_hit(spark, frame, monkeypatch):
+    monkeypatch.setattr(decontaminate, "FILTER_BITS", 16)
+    r = random.Random(3)
+    items = [(i, " ".join(r.choice("abcdefgh") for _ in range(15))) for i in range(6_000)] + [(-1, "a " * 40)]
+    docs = [(i, items[i][1]) for i in range(0, 60, 2)] + [(1_000, "a " * 300), (1_001, "k l m n o p q r s t u v w")]
+    table = spark.createDataFrame(items, "item_id bigint, text string")
+    got = collections.defaultdict(set)
+    for x in decontaminate.find_overlaps(frame(docs), table, min_share=1.0).collect():
+        got[x.doc_id].add(x.item_id)
+    runs = {d: {i for i, t in items if any(t.split()[s : s + 13] == w[p : p + 13] for s in range(max(1, len(t.split()) - 12)) for p in range(len(w) - 12))}
+            for d, w in ((d, t.split()) for d, t in docs if d < 20 or d > 999)}
+    assert {d: got[d] for d in runs} == runs
+
+
+def test_longest_stretch_equals_brute_force():
+    r = random.Random(9)
     flags = [np.array([r.random() < 0.8 for _ in range(30)]) for _ in range(100)]
     for equal in flags:
         want = max((j - i for i in range(30) for j in range(i + 1, 31) if 5 * equal[i:j].sum() >= 4 * (j - i)), default=0)
