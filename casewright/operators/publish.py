@@ -10,8 +10,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
+from pyspark.sql.window import Window
 
 from casewright.operators.paths import build_path
+from casewright.operators.registry import orphans
+from casewright.sources.registry_json import backup_name, document_text
 
 
 def payload_plan(files: DataFrame, project: str) -> DataFrame:
@@ -58,11 +61,14 @@ class Commit:
     def _at(self, *parts: str):
         return self._path("/".join((self.root, *parts)))
 
-    def stage(self, name: str, df: DataFrame, partition_by: tuple[str, ...] = ()) -> None:
-        writer = df.write.mode("overwrite")
-        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(str(self._at("_staging", self.token, name)))
+    def stage(self, name: str, df: DataFrame, partition_by: tuple[str, ...] = (), form: str = "parquet") -> None:
+        writer = df.write.mode("overwrite").format(form)
+        (writer.partitionBy(*partition_by) if partition_by else writer).save(str(self._at("_staging", self.token, name)))
         self.names.append(name)
 
+    def holds(self, name: str) -> bool:
+        return self._fs.exists(self._at(name))
+
     def __enter__(self) -> Commit:
         return self
 
@@ -99,8 +105,37 @@ class Commit:
 
 
 def write_form(forms: DataFrame, folder: str) -> None:
-    """One JSON document per row of ``forms(name, value)``, under a folder per name."""
-    forms.select("name", "value").write.mode("append").partitionBy("name").text(folder)
+    """One JSON document per row of ``forms(name, value)``, under a folder per name.
+
+    A name that is there already, or earlier among the rows, gets ``-copy`` before its extension.
+    """
+    spark = forms.sparkSession
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    there = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+    old = spark.read.schema("value string, name string").text(folder) if there else spark.createDataFrame([], "name string")
+    rank = F.row_number().over(Window.partitionBy("name").orderBy("value"))
+    known = forms.select("name", "value", rank.alias("rank")).join(old.select("name", F.lit(True).alias("old")).distinct(), "name", "left")
+    copied = F.regexp_replace("name", r"^(.*?)(\.[^.]*)?$", "$1-copy$2")
+    named = known.withColumn("name", F.when((F.col("rank") > 1) | F.col("old"), copied).otherwise(F.col("name")))
+    named.select("name", "value").write.mode("append").partitionBy("name").text(folder)
+
+
+def push_registries(tables: dict[str, DataFrame], root: str, stem: str, created_by: str, now: Column) -> str | None:
+    """Puts the registry document in place of ``root/stem``; returns the backup's name, null for a first document.
+
+    The backup is written and the tables are checked (every image hash belongs to a known subject) before the
+    document changes; with an error neither stays.  The tables may have been read from the document itself.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    backup = None
+    with Commit(spark, root) as commit:
+        if commit.holds(stem):
+            backup = "backups/" + spark.range(1).select(backup_name(stem, now)).first()[0]
+            commit.stage(backup, spark.read.text(f"{root}/{stem}"), form="text")
+        if {"IMAGE_HASHES", "SUBJECTS"} <= set(tables) and orphans(tables["IMAGE_HASHES"], "SUBJECT", tables["SUBJECTS"], "UID").limit(1).count():
+            raise ValueError("image hashes of unknown subjects")
+        commit.stage(stem, document_text(tables, created_by, now), form="text")
+    return backup
 
 
 def failure_row(spark: SparkSession, subject: str, step: str, message: str, at: Column) -> DataFrame:

@@ -120,6 +120,12 @@ class Catalog:
     def items(self, name: str) -> DataFrame:
         return self.get(name).select("NAME")
 
+    def add_items(self, name: str, candidates: DataFrame, caller: str, caller_uid: str, now: Column, order: str = "ordinal") -> tuple[Catalog, DataFrame]:
+        """(the catalog with the new items, every candidate's outcome); the caller must be a registered user."""
+        guard(caller, self.get("REGISTERED_USERS"))
+        grown, outcome = insert_if_absent(self.get(name), candidates, caller_uid, now, order)
+        return self.with_table(name, grown), outcome
+
     def with_table(self, name: str, table: DataFrame) -> Catalog:
         return Catalog(self._tables | {name.upper(): table})
 

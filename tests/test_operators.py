@@ -207,6 +207,43 @@ def test_registry_document_round_trip(spark, tmp_path):
     assert metadata.first().TABLE_EXTRA_COLUMNS["SUBJECTS"] == ["ACQUISITION_SITE", "GROUP"]
 
 
+def test_push_writes_a_backup_and_checks(spark, tmp_path):
+    root, at = str(tmp_path), F.lit("2020-01-02 03:04:05").cast("timestamp")
+    subjects = spark.createDataFrame([("S", "2_25_1", "t", None, "2_25_2", None)], registry_schema(*REGISTRY_EXTRAS["SUBJECTS"]))
+    hashes = spark.createDataFrame([("H", "2_25_7", "t", None, "2_25_1", None)], registry_schema(*REGISTRY_EXTRAS["IMAGE_HASHES"]))
+    assert publish.push_registries({"SUBJECTS": subjects, "IMAGE_HASHES": hashes}, root, "config", "2_25_1", at) is None
+    read = lambda name: registry_json.read_registries(spark, f"{root}/{name}/*.txt")[1]
+    more = subjects.withColumn("NAME", F.lit("T")).withColumn("UID", F.lit("2_25_9"))
+    grown = read("config")["SUBJECTS"].unionByName(more)
+    backup = publish.push_registries({"SUBJECTS": grown, "IMAGE_HASHES": hashes}, root, "config", "2_25_1", at)
+    assert backup == "backups/config-backup-2020_01_02_03_04_05.json"
+    assert read("config")["SUBJECTS"].count() == 2 and read(backup)["SUBJECTS"].count() == 1
+    later = F.lit("2021-01-02 03:04:05").cast("timestamp")
+    with pytest.raises(ValueError):
+        publish.push_registries({"SUBJECTS": more, "IMAGE_HASHES": hashes}, root, "config", "2_25_1", later)
+    assert read("config")["SUBJECTS"].count() == 2 and len(list((tmp_path / "backups").glob("config*"))) == 1
+
+
+def test_catalog_takes_items_from_registered_users_only(spark):
+    people = spark.createDataFrame([("ANN", "2_25_1", "t", None)], registry_schema())
+    catalog = registry.Catalog({"registered_users": people, "groups": people.limit(0)})
+    new = spark.createDataFrame([("knee", "2_25_5", 1), ("KNEE", "2_25_6", 2)], "NAME string, UID string, ordinal int")
+    grown, outcome = catalog.add_items("Groups", new, "ann", "2_25_1", F.lit("now"))
+    assert [tuple(r) for r in grown.get("GROUPS").collect()] == [("KNEE", "2_25_5", "now", "2_25_1")]
+    assert sorted(r.reason for r in outcome.collect()) == ["ok", "repeated"]
+    with pytest.raises(PermissionError):
+        catalog.add_items("groups", new, "eve", "2_25_2", F.lit("now"))
+
+
+def test_forms_with_a_known_name_become_copies(spark, tmp_path):
+    out = str(tmp_path / "forms")
+    forms = lambda *rows: spark.createDataFrame(rows, "name string, value string")
+    publish.write_form(forms(("a.json", "1"), ("01", "2"), ("b.x.json", "3"), ("b.x.json", "4")), out)
+    publish.write_form(forms(("a.json", "5"), ("01", "6")), out)
+    got = {tuple(r) for r in spark.read.schema("value string, name string").text(out).select("name", "value").collect()}
+    assert got == {("a.json", "1"), ("01", "2"), ("b.x.json", "3"), ("b.x-copy.json", "4"), ("a-copy.json", "5"), ("01-copy", "6")}
+
+
 def workbook(path, rows):
     main = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
     shared, cells = [], []
