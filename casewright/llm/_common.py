@@ -130,7 +130,7 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-_PIECE = 1 << 20
+_PIECE = 1 << 17  # some ten arrays of eight bytes a byte stand in memory for one piece
 _ALNUM = np.ones(256, bool)
 _ALNUM[:128] = [chr(c).isalnum() for c in range(128)]
 

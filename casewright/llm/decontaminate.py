@@ -36,6 +36,8 @@ MASKS = ((0, 1, 2, 4, 6, 7), (0, 1, 4, 8, 9, 10), (0, 1, 3, 5, 6, 9), (0, 1, 2,
 SHORT = 13
 MATCH, OTHER = 1, -2
 SCHEMA = "doc_id {}, item_id bigint, first_token int, n_tokens int, n_equal int"
+#: Code points hashed together, or one text.
+SLICE = 1 << 19
 #: The filter's largest size, 16 MB, and the bits of one row of it.
 FILTER_BITS = 27
 _PART = 1 << 15
@@ -106,7 +108,7 @@ def item_table(items: DataFrame, blocks_of: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for a, b in slices(texts := batch["text"].to_pylist()):
+            for a, b in slices(texts := batch["text"].to_pylist(), SLICE):
                 words, counts = word_hashes(texts[a:b], alnum=True)
                 each = [w.tobytes() for w in np.split(words, np.cumsum(counts)[:-1])]
                 yield pa.RecordBatch.from_arrays(
@@ -143,7 +145,7 @@ def document_seeds(docs: DataFrame, held: SeedFilter, masks: list[tuple[int, int
     def run(batches):
         for batch in batches:
             texts, docs_ = [t or "" for t in batch["text"].to_pylist()], batch["doc"].to_numpy(zero_copy_only=False)
-            for a, b in slices(texts):
+            for a, b in slices(texts, SLICE):
                 words, counts = word_hashes(texts[a:b], alnum=True)
                 owner, begin = np.repeat(np.arange(b - a), counts), np.cumsum(counts) - counts
                 for k, _, mask in masks:
