@@ -159,8 +159,10 @@ def _words(buf: np.ndarray) -> np.ndarray:
 def common_prefixes(buf: np.ndarray, sa: np.ndarray, limit: int, stride: int = 32) -> np.ndarray:
     """Per position the common prefix with its predecessor in ``sa``, at most ``limit``.
 
-    Kasai: position i + 1 shares at least one byte less than position i.  Blocks of ``stride``
-    positions are walked side by side, each from its own first position.
+    Kasai: position i + 1 shares at least one symbol less than position i.  That needs the two suffixes to be in
+    order, so after a tie at ``limit``, where the order is arbitrary, it holds only if i + 1 follows the successor of
+    i's predecessor; otherwise the comparison begins anew.  Blocks of ``stride`` positions are walked side by
+    side, each from its own first position.
     """
     n, per, bits = len(buf), 8 // buf.itemsize, 8 * buf.itemsize
     before = np.full(n, -1, np.int64)
@@ -168,12 +170,13 @@ def common_prefixes(buf: np.ndarray, sa: np.ndarray, limit: int, stride: int = 3
     word = np.concatenate([_words(buf), np.zeros(limit + 8, np.uint64)])
     out = np.zeros(n, np.int64)
     heads = np.arange(0, n, stride)
-    have = np.zeros(len(heads), np.int64)
+    have, last = np.zeros(len(heads), np.int64), np.full(len(heads), -2, np.int64)
     for step in range(stride):
         at = heads + step
         at = at[at < n]
-        have = np.maximum(have[: len(at)] - 1, 0)
-        other = before[at]
+        have, last, other = have[: len(at)], last[: len(at)], before[at]
+        have = np.where((have < limit) | (other == last + 1), np.maximum(have - 1, 0), 0)
+        last = other
         live = np.flatnonzero((other >= 0) & (have < limit))
         have[other < 0] = 0
         while len(live):
