@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from casewright.llm import chat_format, decontaminate, html_extract, language_id, pitman_yor, sentencepiece_scan, simhash, source_mix, suffix_dedup, toxicity, turn_repair, weighted_fingerprint
+from casewright.llm import chat_format, decontaminate, hard_negatives, html_extract, language_id, pitman_yor, sentencepiece_scan, simhash, source_mix, suffix_dedup, toxicity, turn_repair, weighted_fingerprint
 
 QUERIES = {
     "op1_html_extraction": html_extract.query,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_pitman_yor": pitman_yor.query,
     "op11_source_mix": source_mix.query,
     "op12_turn_repair": turn_repair.query,
+    "op13_hard_negatives": hard_negatives.query,
 }
 
-ORACLES: dict[str, str] = {"op11_source_mix": source_mix.ORACLE, "op12_turn_repair": turn_repair.ORACLE}
+ORACLES: dict[str, str] = {"op11_source_mix": source_mix.ORACLE, "op12_turn_repair": turn_repair.ORACLE, "op13_hard_negatives": hard_negatives.ORACLE}
