@@ -25,6 +25,13 @@ def is_valid_uid(uid: Column) -> Column:
     return dotted(uid).rlike(UID_PATTERN) & (F.length(uid) <= 64)
 
 
+def derived_uid(key: Column) -> Column:
+    """The identifier that belongs to a key: 120 bits of its SHA-256 in decimal, the same on every run."""
+    digits = F.sha2(key.cast("binary"), 256)
+    high, low = (F.conv(F.substring(digits, at, 15), 16, 10).cast("decimal(19,0)") for at in (1, 16))
+    return F.concat(F.lit("2_25_"), (high * F.lit(1 << 60).cast("decimal(19,0)") + low).cast("string"))
+
+
 @F.pandas_udf(StringType())
 def new_uid(seed: pd.Series) -> pd.Series:
     """A fresh identifier per row; 128-bit decimals have no built-in."""

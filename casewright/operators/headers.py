@@ -1,4 +1,9 @@
-"""Header maps (tag -> vr, value): redaction and derived metadata, with higher-order functions."""
+"""Header maps (path -> vr, value): redaction and derived metadata, with higher-order functions.
+
+A path names the sequences above an element, ``0040A730[0].0040A123``; a tag alone is a path.  Persons, curves and
+private elements are met at any depth, and with a sequence goes all that stands below; overlays, accession number
+and study id are elements of the file itself.
+"""
 
 from __future__ import annotations
 
@@ -9,21 +14,22 @@ REDACTED = "REDACTED PYTHON VALUE"
 
 
 def redact_persons(tags: Column, text: str = REDACTED) -> Column:
-    """Every element of the person-name kind."""
+    """Every element of the person-name kind, inside sequences too."""
     return F.transform_values(tags, lambda k, v: F.when(v["vr"] == "PN", F.struct(v["vr"].alias("vr"), F.lit(text).alias("value"))).otherwise(v))
 
 
 def drop_curves(tags: Column) -> Column:
-    return F.map_filter(tags, lambda k, v: ~k.startswith("50"))
+    """Elements of the groups 50xx, and what stands below them."""
+    return F.map_filter(tags, lambda k, v: ~k.rlike(r"(^|\.)50"))
 
 
 def drop_private(tags: Column) -> Column:
-    """Tags of odd groups."""
-    return F.map_filter(tags, lambda k, v: F.upper(F.substring(k, 4, 1)).isin("0", "2", "4", "6", "8", "A", "C", "E"))
+    """Elements of odd groups, and what stands below them."""
+    return F.map_filter(tags, lambda k, v: ~F.upper(k).rlike(r"(^|\.)[0-9A-F]{3}[13579BDF]"))
 
 
 def drop_overlays(tags: Column) -> Column:
-    return F.map_filter(tags, lambda k, v: ~F.upper(k).rlike("^60[0-9A-F][02468ACE]3000$"))
+    return F.map_filter(tags, lambda k, v: ~F.upper(k).rlike(r"^60[0-9A-F][02468ACE]3000($|\[)"))
 
 
 def overwrite(tags: Column, tag: str, value: str) -> Column:
@@ -55,6 +61,11 @@ def uid_elements(names: Column) -> Column:
     return F.transform_values(F.map_filter(names, lambda k, v: F.contains(k, F.lit("UID"))), lambda k, v: F.replace(v, F.lit("."), F.lit("_")))
 
 
+def uid_values(tags: Column) -> Column:
+    """Path -> value of every identifier element at any depth, dots spelled as underscores."""
+    return F.transform_values(F.map_filter(tags, lambda k, v: v["vr"] == "UI"), lambda k, v: F.replace(v["value"], F.lit("."), F.lit("_")))
+
+
 def time_elements(names: Column) -> Column:
     return F.map_filter(names, lambda k, v: k.isin("ContentTime", "SeriesTime", "StudyTime"))
 

@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 from pyspark.sql.window import Window
 
-from casewright.operators.paths import build_path
+from casewright.functions.uids import derived_uid
+from casewright.operators.paths import build_path, conflicts, source_label
 from casewright.operators.registry import orphans
+from casewright.sources.file_sink import write_files
 from casewright.sources.registry_json import backup_name, document_text
 
 
@@ -49,11 +51,12 @@ def note(user: Column, at: Column) -> Column:
 class Commit:
     """Outputs are written beside their targets and renamed together; a failure leaves the targets as they were.
 
-    A version folder is kept for each target that was there before, and is put back if a rename fails.
+    A version folder is kept for each target that was there before, and is put back if a rename fails.  With
+    ``whole`` all outputs go into one new folder of that name, which a single rename puts in place.
     """
 
-    def __init__(self, spark: SparkSession, root: str) -> None:
-        self.spark, self.root, self.token = spark, root.rstrip("/"), uuid.uuid4().hex
+    def __init__(self, spark: SparkSession, root: str, whole: str | None = None) -> None:
+        self.spark, self.root, self.token, self.whole = spark, root.rstrip("/"), uuid.uuid4().hex, whole
         self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         self.names: list[str] = []
@@ -63,8 +66,20 @@ class Commit:
 
     def stage(self, name: str, df: DataFrame, partition_by: tuple[str, ...] = (), form: str = "parquet") -> None:
         writer = df.write.mode("overwrite").format(form)
-        (writer.partitionBy(*partition_by) if partition_by else writer).save(str(self._at("_staging", self.token, name)))
-        self.names.append(name)
+        (writer.partitionBy(*partition_by) if partition_by else writer).save(self._staged(name))
+        self._add(name)
+
+    def stage_files(self, name: str, files: DataFrame) -> None:
+        """``files(archive, name, content)`` as files and zips under ``name``."""
+        write_files(files, self._staged(name))
+        self._add(name)
+
+    def _staged(self, name: str) -> str:
+        return str(self._at("_staging", self.token, *([self.whole] if self.whole else []), name))
+
+    def _add(self, name: str) -> None:
+        if (self.whole or name) not in self.names:
+            self.names.append(self.whole or name)
 
     def holds(self, name: str) -> bool:
         return self._fs.exists(self._at(name))
@@ -104,6 +119,89 @@ class Commit:
             raise OSError(f"could not move {source} to {target}")
 
 
+# --- sessions ----------------------------------------------------------------------------------------
+
+PUBLICATIONS = "publications"
+
+
+def _archive_path(project: str) -> Column:
+    subject = F.col("subject")
+    return build_path(project=F.lit(project), subject=subject, experiment=source_label(subject), scan=F.lit("0"), resource=F.lit("SRC"))
+
+
+def _zip_name() -> Column:
+    return F.concat(F.col("subject"), F.lit("-"), F.lower("media"), F.lit(".zip"))
+
+
+def archive_targets(files: DataFrame, project: str) -> DataFrame:
+    """Where a session's zips go: one row per subject and media."""
+    subject, path, zip_name = F.col("subject"), _archive_path(project), _zip_name()
+    return files.select("subject", "media").distinct().select("subject", source_label(subject).alias("experiment"), F.lit("0").alias("scan"), "media", path.alias("archive_path"), zip_name.alias("zip_name"))
+
+
+def refuse(rows: DataFrame, message: str, *shown: str) -> None:
+    """An error that names some of the rows, if there are any."""
+    if found := rows.select(*shown).distinct().limit(3).collect():
+        raise ValueError(f"{message}: " + ", ".join("/".join(str(v) for v in r) for r in found))
+
+
+def published(spark: SparkSession, root: str, name: str, schema: str) -> DataFrame:
+    """All rows of ``name`` (SUBJECTS, IMAGE_HASHES, TARGETS) over the publications under ``root``."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/{PUBLICATIONS}")
+    there = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+    return spark.read.schema(schema).parquet(f"{root}/{PUBLICATIONS}/*/{name}") if there else spark.createDataFrame([], schema)
+
+
+_REGISTRY_ROW = "NAME string, UID string, CREATED_DATE_TIME string, CREATED_BY string"
+SUBJECTS_ROW = f"{_REGISTRY_ROW}, ACQUISITION_SITE string, `GROUP` string"
+HASHES_ROW = f"{_REGISTRY_ROW}, SUBJECT string, INSTANCE_NUM string"
+TARGETS_ROW = "subject string, experiment string, scan string, media string, archive_path string, zip_name string"
+
+
+def publish_sessions(files: DataFrame, root: str, project: str, user_uid: str, now: Column) -> str:
+    """Publishes the sessions of ``files`` and the registry rows that belong to them; returns the publication's name.
+
+    The files of a subject and media (DICOM, MP4) stream into one zip.  Subjects and image hashes get their registry rows.
+    Zips, rows and the list of targets become visible by one rename, so a failed task leaves none of them.  Before
+    anything is written these are refused: sessions of kind RF with an invalid file (of others the valid files go), sessions
+    without a valid file, and targets of which the subject, the experiment or the scan is there already.
+    """
+    spark, own = files.sparkSession, files.select("subject", "kind", "media", "new_name", "digest", "instance_num", "is_valid", "site", "group", "content")
+    refuse(own.where("kind = 'RF' AND NOT coalesce(is_valid, false)"), "sessions with invalid files", "subject")
+    refuse(own.groupBy("subject").agg(F.bool_or(F.coalesce("is_valid", F.lit(False))).alias("any")).where("NOT any"), "sessions without a valid file", "subject")
+    valid = own.where("is_valid")
+    refuse(valid.groupBy("subject", "media", "new_name").agg(F.count("*").alias("n")).where("n > 1"), "files of one name", "subject", "new_name")
+    targets = archive_targets(valid, project)
+    there = published(spark, root, "TARGETS", TARGETS_ROW)
+    for keys in (("subject",), ("subject", "experiment"), ("subject", "experiment", "scan")):
+        refuse(conflicts(targets, there, *keys), f"the {keys[-1]} exists", *keys)
+    stamp = (now.cast("string").alias("CREATED_DATE_TIME"), F.lit(user_uid).alias("CREATED_BY"))
+    subjects = valid.groupBy("subject").agg(F.min("site").alias("ACQUISITION_SITE"), F.min("group").alias("GROUP"))
+    images = valid.where("media <> 'MP4'").groupBy("digest").agg(F.min(F.struct("subject", "instance_num")).alias("at"))
+    name = uuid.uuid4().hex
+    with Commit(spark, root, f"{PUBLICATIONS}/{name}") as commit:
+        commit.stage("SUBJECTS", subjects.select(F.col("subject").alias("NAME"), F.col("subject").alias("UID"), *stamp, "ACQUISITION_SITE", "GROUP"))
+        commit.stage("IMAGE_HASHES", images.select(F.col("digest").alias("NAME"), derived_uid(F.col("digest")).alias("UID"), *stamp, F.col("at.subject").alias("SUBJECT"), F.col("at.instance_num").alias("INSTANCE_NUM")))
+        commit.stage("TARGETS", targets)
+        zip_path = F.concat(F.ltrim(_archive_path(project), F.lit("/")), F.lit("/"), _zip_name())
+        commit.stage_files("files", valid.select(zip_path.alias("archive"), F.col("new_name").alias("name"), "content"))
+    return name
+
+
+def published_zips(spark: SparkSession, root: str) -> DataFrame:
+    """Path and bytes of every published zip."""
+    zips = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.zip")
+    return zips.load(f"{root}/{PUBLICATIONS}").select("path", "content")
+
+
+def download_plan(spark: SparkSession, root: str, subjects: DataFrame, target: str) -> DataFrame:
+    """What to copy where for ``subjects(subject)``, in order: source, target and position within the subject."""
+    wanted = published(spark, root, "TARGETS", TARGETS_ROW).join(subjects.select("subject").distinct(), "subject", "left_semi")
+    order = F.row_number().over(Window.partitionBy("subject").orderBy("zip_name"))
+    source = F.concat(F.lit(f"{root}/{PUBLICATIONS}/*/files"), F.col("archive_path"), F.lit("/"), F.col("zip_name"))
+    return wanted.select("subject", order.alias("position"), source.alias("source"), F.concat(F.lit(f"{target}/"), F.col("subject"), F.lit("/"), F.col("zip_name")).alias("target"))
+
+
 def write_form(forms: DataFrame, folder: str) -> None:
     """One JSON document per row of ``forms(name, value)``, under a folder per name.
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -30,6 +32,34 @@ def build_session(master: str | None = None, app: str = "casewright", **conf: st
     return builder.getOrCreate()
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder for what one run writes, in the folder that all executors share; it goes when the interpreter ends."""
+    context = spark.sparkContext
+    shared = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        shared = tempfile.mkdtemp(prefix="casewright-")
+        spark.conf.set("spark.checkpoint.dir", shared)
+    if not _scratch:
+        atexit.register(_clear_scratch)
+    _scratch.append((spark, f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"))
+    return _scratch[-1][1]
+
+
+_scratch: list[tuple[SparkSession, str]] = []
+
+
+def _clear_scratch() -> None:
+    while _scratch:
+        spark, path = _scratch.pop()
+        try:
+            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        except Exception:  # noqa: BLE001  the session may be gone; the folder is temporary by contract
+            return
+
+
 _shipped: set[str] = set()
 
 
