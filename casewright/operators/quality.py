@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from casewright.functions import text as X
 from casewright.functions.timeutil import minutes, sheet_date
+from casewright.operators.similar import nearest
 
 ERROR, WARNING = "E", "W"
 
@@ -59,11 +60,17 @@ def issues_long(judged: DataFrame) -> DataFrame:
     return judged.select("row_id", F.explode_outer("issues").alias("i")).where("i IS NOT NULL").select("row_id", "i.*")
 
 
-def with_suggestions(issues: DataFrame, known: list[str], cutoff: float = 0.6) -> DataFrame:
+def with_suggestions(issues: DataFrame, known: list[str] | DataFrame, cutoff: float = 0.6) -> DataFrame:
     """Issues with offending values, one row per value, with the closest of ``known`` (or null) and the message that
-    asks for it.  Only distinct values are compared; ``known`` is a registry of names."""
+    asks for it.  Only distinct values are compared.  ``known`` is a registry's frame with a column NAME, of any size, or
+    a short list of names."""
     given = issues.where(F.size("values") > 0).select("*", F.explode("values").alias("value")).drop("values")
-    close = given.select("value").distinct().withColumn("suggestion", X.close_match([k.upper() for k in known], cutoff)(F.upper("value")))
+    if isinstance(known, DataFrame):
+        values = given.select("value", F.upper("value").alias("upper")).distinct()
+        found = nearest(values.select(F.col("upper").alias("value")), known.select(F.upper("NAME").alias("name")), cutoff)
+        close = values.join(found.select(F.col("value").alias("upper"), F.col("name").alias("suggestion")), "upper").select("value", "suggestion")
+    else:
+        close = given.select("value").distinct().withColumn("suggestion", X.close_match([k.upper() for k in known], cutoff)(F.upper("value")))
     asked = F.when(F.col("suggestion").isNotNull(), F.concat("message", F.lit("; did you mean "), "suggestion", F.lit("?"))).otherwise(F.col("message"))
     return given.join(close, "value", "left").withColumn("message", asked)
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from casewright.functions import text as X
 from casewright.operators import quality as Q
+from casewright.operators.similar import nearest
 from casewright.plans._register import Plans
 from casewright.sources.tables import table
 
@@ -243,9 +244,9 @@ def dq_prompt_ranges(spark, sf_dir):
 
 @plans.add()
 def dq_suggestions(spark, sf_dir):
-    """Unregistered surgeons with the closest registered one; by matching blocks, which SQL lacks."""
+    """Unregistered surgeons with the closest registered one."""
     issues = Q.issues_long(judged(spark, sf_dir))
-    return Q.with_suggestions(issues, [f"surgeon_{i}" for i in range(15)]).select("row_id", "rule", F.col("column").alias("col"), "value", "suggestion", "message")
+    return Q.with_suggestions(issues, registries(spark, sf_dir)[3]).select("row_id", "rule", F.col("column").alias("col"), "value", "suggestion", "message")
 
 
 @plans.add(f"SELECT row_id, CAST(len(tasks) - len(replace(tasks, ':', '')) AS BIGINT) AS colons, CAST(len(tasks) - len(replace(tasks, ';', '')) AS BIGINT) AS semicolons FROM ({SHEET}) s")
@@ -272,12 +273,47 @@ def taskmap_comma(spark, sf_dir):
     return sheet(spark, sf_dir).where("tasks <> ''").select("row_id", F.array_join(pairs, "|").alias("pairs"))
 
 
-@plans.add()
+def nearest_sql(values: str, names: str, cutoff: float = 0.6) -> str:
+    """``value, name, ratio`` of the best name by matching blocks, all pairs compared: the longest common block, the
+    first in the name and then in the value, and again on both sides of it."""
+    block = (
+        "list_max(flatten(list_transform(range(alo, ahi), lambda i: list_transform(list_filter(range(blo, bhi), lambda j: substr(name, i, 1) = substr(value, j, 1)), lambda j: "
+        "struct_pack(k := list_max(list_filter(range(1, least(ahi - i, bhi - j) + 1), lambda n: substr(name, i, n) = substr(value, j, n))), i := -i, j := -j)))))"
+    )
+    return f"""
+WITH RECURSIVE pv AS (SELECT DISTINCT value FROM ({values}) v0 WHERE value IS NOT NULL), pn AS (SELECT DISTINCT name FROM ({names}) n0 WHERE name IS NOT NULL),
+blocks AS (
+  SELECT value, name, 1 AS alo, length(name) + 1 AS ahi, 1 AS blo, length(value) + 1 AS bhi FROM pv, pn
+  UNION ALL
+  SELECT value, name, CASE WHEN side = 0 THEN alo ELSE b.k - b.i END, CASE WHEN side = 0 THEN -b.i ELSE ahi END, CASE WHEN side = 0 THEN blo ELSE b.k - b.j END, CASE WHEN side = 0 THEN -b.j ELSE bhi END
+  FROM (SELECT *, {block} AS b FROM blocks WHERE alo < ahi AND blo < bhi) f, (SELECT unnest([0, 1]) AS side) s WHERE b IS NOT NULL),
+found AS (
+  SELECT value, name, CASE WHEN length(value) + length(name) = 0 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE * coalesce(sum(CASE WHEN alo < ahi AND blo < bhi THEN {block}.k END), 0) / (length(value) + length(name)) END AS ratio
+  FROM blocks GROUP BY value, name)
+SELECT value, name, ratio FROM found WHERE ratio >= {cutoff} QUALIFY row_number() OVER (PARTITION BY value ORDER BY ratio DESC, name DESC) = 1"""
+
+
+#: Part names as they may be misspelt, in SQL that both engines read.
+MISSPELT = """SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN p_name WHEN 1 THEN substr(p_name, 2) WHEN 2 THEN concat(substr(p_name, 1, 3), 'x', substr(p_name, 4))
+  WHEN 3 THEN concat(substr(p_name, 4), substr(p_name, 1, 3)) WHEN 4 THEN replace(p_name, 'l', 'll') ELSE concat('zq', substr(p_name, 6, 2)) END AS value FROM part"""
+
+
+@plans.add(f"SELECT p_partkey, m.value, name, ratio FROM ({MISSPELT}) m LEFT JOIN ({nearest_sql(f'SELECT value FROM ({MISSPELT}) x', 'SELECT p_name AS name FROM part')}) n ON n.value = m.value")
+def fuzzy_nearest(spark, sf_dir):
+    """Misspelt part names with the closest registered one, by a similarity join on the distinct names."""
+    part = table(spark, sf_dir, "part")
+    given = spark.sql(MISSPELT.replace("FROM part", "FROM {part}"), part=part)
+    return given.join(nearest(given, part.select(F.col("p_name").alias("name"))), "value", "left").select("p_partkey", "value", "name", "ratio")
+
+
+@plans.add(f"""
+SELECT row_id, supervising, name AS suggestion FROM (SELECT row_id, supervising FROM ({SHEET}) s WHERE supervising <> '') o
+LEFT JOIN ({nearest_sql(f"SELECT supervising AS value FROM ({SHEET}) s WHERE supervising <> ''", "SELECT 'surgeon_' || CAST(n_nationkey AS STRING) AS name FROM nation WHERE n_nationkey < 15")}) n ON n.value = o.supervising""")
 def fuzzy_suggest(spark, sf_dir):
-    """The closest known identifier, by matching blocks; no SQL equals it, tests compare with the library."""
-    known = [f"surgeon_{i}" for i in range(15)]
+    """The closest identifier of the registry, by matching blocks."""
     odd = sheet(spark, sf_dir).select("row_id", "supervising").where("supervising <> ''")
-    return odd.select("row_id", "supervising", X.close_match(known)(F.col("supervising")).alias("suggestion"))
+    found = nearest(odd.select(F.col("supervising").alias("value")), registries(spark, sf_dir)[3].select(F.col("NAME").alias("name")))
+    return odd.join(found.select(F.col("value").alias("supervising"), F.col("name").alias("suggestion")), "supervising", "left").select("row_id", "supervising", "suggestion")
 
 
 QUERIES, ORACLES = plans.queries, plans.oracles

@@ -156,11 +156,15 @@ def write_files(files: DataFrame, path: str, mode: str = "append") -> None:
 
     The files of an archive go to one task, in order of their names, and stream through it.
     """
-    spark: SparkSession = files.sparkSession
-    spark.dataSource.register(FileSink)
     whole = F.coalesce("archive", "name")
-    dealt = in_parts(files).repartition(whole).sortWithinPartitions(whole, "name", "part")
-    dealt.write.format("casewright_files").mode(mode).option("path", path).save()
+    write_rows(in_parts(files).repartition(whole).sortWithinPartitions(whole, "name", "part"), path, mode)
+
+
+def write_rows(parts: DataFrame, path: str, mode: str = "append") -> None:
+    """Writes ``parts(archive, name, part, content)`` as they are dealt and ordered; part 0 begins a file."""
+    spark: SparkSession = parts.sparkSession
+    spark.dataSource.register(FileSink)
+    parts.write.format("casewright_files").mode(mode).option("path", path).save()
 
 
 _MEMBERS = T.ArrayType(T.StructType([T.StructField("name", T.StringType()), T.StructField("size", T.LongType()), T.StructField("digest", T.StringType())]))
