@@ -65,8 +65,8 @@ def is_template(image: np.ndarray, template: np.ndarray) -> bool:
 
 @F.pandas_udf(StringType())
 def image_hash(height: pd.Series, width: pd.Series, channels: pd.Series, data: pd.Series) -> pd.Series:
-    """Fingerprint of raw 8-bit pixels as the image source gives them."""
-    return pd.Series([fingerprint(np.frombuffer(d, np.uint8).reshape(h, w, c)) for h, w, c, d in zip(height, width, channels, data)])
+    """Fingerprint of raw 8-bit pixels as the image source gives them; null for a broken image."""
+    return pd.Series([fingerprint(np.frombuffer(d, np.uint8).reshape(h, w, c)) if h > 0 and w > 0 and c > 0 else None for h, w, c, d in zip(height, width, channels, data)])
 
 
 def bit_depth(kind: Column) -> Column:

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import TimestampType
 
 ZONE = "America/Chicago"
 #: Formats tried in order; a named zone is converted, a naive time is local wall clock.
 ZONED = ("yyyy-MM-dd HH:mm:ss VV",)
 NAIVE = ("yyyy-MM-dd HH:mm:ss", "yyyyMMdd HHmmss.SSS", "yyyyMMdd HHmmss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy-MM-dd", "yyyyMMdd")
 ZONES = {"PST": "America/Los_Angeles", "PDT": "America/Los_Angeles", "CST": "America/Chicago", "CDT": "America/Chicago"}
+#: Zones that only the tolerant grammar reads.
+MORE_ZONES = {"EST": "America/New_York", "EDT": "America/New_York", "MST": "America/Denver", "MDT": "America/Denver", "UTC": "UTC", "GMT": "UTC", "Z": "UTC"}
+MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 
 
 def named_zones(text: Column) -> Column:
@@ -22,11 +23,73 @@ def named_zones(text: Column) -> Column:
 
 
 def central(text: Column) -> Column:
-    """Wall clock in US Central as a timestamp without zone; null text is 1900-01-01, nonsense is null."""
+    """Wall clock in US Central as a timestamp without zone; null text is 1900-01-01, nonsense is null.
+
+    What the listed formats miss is read by the tolerant grammar.
+    """
     named = named_zones(text)
     zoned = F.coalesce(*(F.to_timestamp_ntz(F.convert_timezone(F.lit("UTC"), F.lit(ZONE), F.try_to_timestamp(named, F.lit(f)).cast("timestamp_ntz"))) for f in ZONED))
     naive = F.coalesce(*(F.try_to_timestamp(text, F.lit(f)).cast("timestamp_ntz") for f in NAIVE))
-    return F.when(text.isNull(), F.lit("1900-01-01 00:00:00").cast("timestamp_ntz")).otherwise(F.coalesce(zoned, naive))
+    return F.when(text.isNull(), F.lit("1900-01-01 00:00:00").cast("timestamp_ntz")).otherwise(F.coalesce(zoned, naive, tolerant(text)))
+
+
+# --- dates in any order -------------------------------------------------------------------------
+
+_TIME = r"(?i)(?<![\d:])(\d{1,2}):(\d{2})(?::(\d{2})(?:[.,](\d{1,6}))?)?\s*(?:([ap])\.?m\b\.?)?"
+_HOUR = r"(?i)(?<![\d:])(\d{1,2})\s*([ap])\.?m\b\.?"
+_OFFSET = r"(?<=[\d\sM])(?:UTC|GMT)?([+-]\d{2}):?(\d{2})(?!\d)"
+_NAMED = r"(?i)\b(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\b"
+_YEAR_FIRST = r"(?<!\d)(\d{4})\s*[-/. ]\s*(\d{1,2})\s*[-/. ]\s*(\d{1,2})(?!\d)"
+_YEAR_LAST = r"(?<!\d)(\d{1,2})\s*[-/. ]\s*(\d{1,2})\s*[-/., ]\s*(\d{4}|\d{2})(?!\d)"
+
+
+def _group(text: Column, pattern: str, group: int) -> Column:
+    """A group of the first match; null where there is none or it is empty."""
+    return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
+
+
+def _number(text: Column, pattern: str, group: int) -> Column:
+    return _group(text, pattern, group).try_cast("int")
+
+
+def tolerant(text: Column) -> Column:
+    """Wall clock in US Central of a date with an optional time and zone, its parts in any order; null for anything else.
+
+    Read are a month's name with a day and a year, year first (2024/3/5) and year last (3/5/2024: month, then day, unless
+    the first is over 12), a time of 12 or 24 hours, a zone's abbreviation or an offset.  Years of two digits are
+    1969 to 2068.  Weekdays and other words around are passed over; day, month and year have to be there.
+    """
+    clock = _group(text, _TIME, 1).isNotNull()
+    hour = F.coalesce(_number(text, _TIME, 1), _number(text, _HOUR, 1), F.lit(0))
+    half = F.lower(F.coalesce(_group(text, _TIME, 5), F.when(~clock, _group(text, _HOUR, 2))))
+    hour24 = F.when(half.isNull(), hour).when((hour >= 1) & (hour <= 12), hour % 12 + F.when(half == "p", 12).otherwise(0)).otherwise(99)
+    minute, second = F.coalesce(_number(text, _TIME, 2), F.lit(0)), F.coalesce(_number(text, _TIME, 3), F.lit(0))
+    micros = F.rpad(F.coalesce(_group(text, _TIME, 4), F.lit("")), 6, "0")
+    offset = F.when(clock & _group(text, _OFFSET, 1).isNotNull(), F.concat(_group(text, _OFFSET, 1), F.lit(":"), _group(text, _OFFSET, 2)))
+    rest = F.regexp_replace(F.regexp_replace(F.when(offset.isNotNull(), F.regexp_replace(text, _OFFSET, " ")).otherwise(text), _TIME, " "), _HOUR, " ")
+
+    word = F.lower(_group(rest, _NAMED, 1))
+    named_month = F.array_position(F.array(*map(F.lit, MONTHS)), word).cast("int")
+    named_year = F.coalesce(_number(rest, r"(?<!\d)(\d{4})(?!\d)", 1), _short_year(_number(rest, r"(?<!\d)\d{1,2}(?:st|nd|rd|th)?\D+(\d{2})(?!\d)", 1)), _short_year(_number(rest, r"'(\d{2})(?!\d)", 1)))
+    named_day = _number(rest, r"(?i)(?<![\d'])(\d{1,2})(?:st|nd|rd|th)?(?!\d)", 1)
+    first, second_part = _number(rest, _YEAR_LAST, 1), _number(rest, _YEAR_LAST, 2)
+    last_text = _group(rest, _YEAR_LAST, 3)
+    last_year = F.when(F.length(last_text) == 4, last_text.try_cast("int")).otherwise(_short_year(last_text.try_cast("int")))
+    year_first = _group(rest, _YEAR_FIRST, 1).isNotNull()
+    pick = lambda named, front, back: F.when(word.isNotNull(), named).when(year_first, front).otherwise(back)
+    year = pick(named_year, _number(rest, _YEAR_FIRST, 1), last_year)
+    month = pick(named_month, _number(rest, _YEAR_FIRST, 2), F.when(first > 12, second_part).otherwise(first))
+    day = pick(named_day, _number(rest, _YEAR_FIRST, 3), F.when(first > 12, first).otherwise(second_part))
+    whole = F.format_string("%04d-%02d-%02d %02d:%02d:%02d.%s", year, month, day, hour24, minute, second, micros)
+    read = F.when(year.isNotNull() & month.isNotNull() & day.isNotNull(), F.try_to_timestamp(whole, F.lit("yyyy-MM-dd HH:mm:ss.SSSSSS"))).cast("timestamp_ntz")
+    zone = offset
+    for short, region in (ZONES | MORE_ZONES).items():
+        zone = F.coalesce(zone, F.when(text.rlike(rf"(?<![A-Za-z]){short}(?![A-Za-z])"), F.lit(region)))
+    return F.when(zone.isNull(), read).otherwise(F.to_timestamp_ntz(F.convert_timezone(F.coalesce(zone, F.lit("UTC")), F.lit(ZONE), read)))
+
+
+def _short_year(number: Column) -> Column:
+    return F.when(number < 69, number + 2000).otherwise(number + 1900)
 
 
 def date_part(ts: Column) -> Column:
@@ -63,15 +126,6 @@ def sheet_date(text: Column) -> Column:
     return F.split(text, " ")[0].try_cast("date")
 
 
-@F.pandas_udf(TimestampType())
-def fuzzy(values: pd.Series) -> pd.Series:
-    """What the listed formats miss, by a tolerant parser; nonsense is null."""
-    from dateutil import parser
-
-    def parse(text):
-        try:
-            return parser.parse(text, fuzzy=True, ignoretz=True)
-        except (ValueError, OverflowError, TypeError):
-            return None
-
-    return pd.to_datetime(values.map(parse, na_action="ignore"), errors="coerce")
+def fuzzy(text: Column | str) -> Column:
+    """What the tolerant grammar reads, as a timestamp of the session's zone."""
+    return tolerant(F.col(text) if isinstance(text, str) else text).cast("timestamp")

@@ -84,3 +84,43 @@ SERIES_TIMES = ("SeriesTime", "ContentTime", "StudyTime")
 def last_time(header: str) -> Column:
     """The last present of the series, content and study time; null where none is."""
     return F.coalesce(*(F.element_at(header, F.lit(name)) for name in reversed(SERIES_TIMES)))
+
+
+#: The class of endoscopic still images and what their headers say of the pixels.
+STILL_CLASS, STILL_TYPE = "1.2.840.10008.5.1.4.1.1.77.1.1.1", ("ORIGINAL", "PRIMARY", "ARTHRO_DIAGN_IMG")
+
+
+def still_header(uid: Column, parent_uid: Column, media_uid: Column, number: Column, taken_date: Column, taken_time: Column, site: Column, path: Column, now_date: Column, now_time: Column) -> Column:
+    """The header that a still image without one gets, as a map for ``dicom.encode``; rows and columns are the writer's.
+
+    Identifiers may be spelled with underscores.  The person and the patient's id are redacted from the start.
+    """
+    dotted = lambda c: F.replace(c, F.lit("_"), F.lit("."))
+    entries = {
+        "00020002": ("UI", F.lit(STILL_CLASS)),
+        "00020003": ("UI", dotted(media_uid)),
+        "00020010": ("UI", F.lit("1.2.840.10008.1.2")),
+        "00020012": ("UI", dotted(parent_uid)),
+        "00080008": ("CS", F.lit("\\".join(STILL_TYPE))),
+        "00080012": ("DA", taken_date),
+        "00080013": ("TM", F.lit("")),
+        "00080020": ("DA", taken_date),
+        "00080023": ("DA", now_date),
+        "00080030": ("TM", taken_time),
+        "00080033": ("TM", now_time),
+        "00080060": ("CS", F.lit("ES")),
+        "00080080": ("LO", site),
+        "0008103E": ("LO", F.concat(F.lit("Arthro. Diagn. Img. #"), number.cast("string"))),
+        "00100010": ("PN", F.lit(REDACTED)),
+        "00100020": ("LO", F.lit(REDACTED)),
+        "0020000D": ("UI", dotted(parent_uid)),
+        "0020000E": ("UI", dotted(uid)),
+        "00200013": ("IS", number.cast("string")),
+        "00204000": ("LT", path),
+        "00280002": ("US", F.lit("1")),
+        "00280004": ("CS", F.lit("MONOCHROME1")),
+        "00280100": ("US", F.lit("8")),
+        "00280101": ("US", F.lit("8")),
+        "00280103": ("US", F.lit("0")),
+    }
+    return F.create_map(*(x for tag, (kind, value) in entries.items() for x in (F.lit(tag), F.struct(F.lit(kind).alias("vr"), F.coalesce(value, F.lit("")).alias("value")))))

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casewright.functions.text import extension
+from casewright.operators.positions import numbered
+from casewright.sources.file_heads import file_heads
 
 
 def _files(spark: SparkSession, folder: str, glob: str | None = None) -> DataFrame:
@@ -20,18 +22,29 @@ def dicom_files(spark: SparkSession, folder: str, content: bool = False) -> Data
 
 
 def media_files(spark: SparkSession, folder: str) -> DataFrame:
-    """JPG images in order of time, then MP4 videos; ``position`` numbers them."""
+    """JPG images in order of time, then MP4 videos; ``position`` numbers them from 1 on.
+
+    The time is that of the last change, the only one that Spark's file systems give.
+    """
     images = _files(spark, folder, "*.{[jJ][pP][gG],[jJ][pP][eE][gG]}").select("path", "modificationTime", "length", F.lit("JPG").alias("type"))
     videos = _files(spark, folder, "*.[mM][pP]4").select("path", "modificationTime", "length", F.lit("MP4").alias("type"))
-    return images.unionByName(videos).orderBy("type", "modificationTime", "path")
+    day = F.concat_ws("|", "type", F.date_format("modificationTime", "yyyy-MM-dd"))
+    return numbered(images.unionByName(videos), "position", day, "type", "modificationTime", "path").orderBy("type", "modificationTime", "path")
+
+
+def at_least_one(files: DataFrame, kind: str) -> DataFrame:
+    """The listing, or an error if no file of ``kind`` (JPG, MP4) is in it."""
+    if files.where(F.col("type") == kind).isEmpty():
+        raise FileNotFoundError(f"no {kind} file")
+    return files
 
 
 def playable_videos(spark: SparkSession, folder: str) -> DataFrame:
-    """Videos with whether their container header can be read."""
-    magic = F.decode(F.substring("content", 5, 4), "ISO-8859-1") == "ftyp"
-    return _files(spark, folder, "*.[mM][pP]4").select("path", magic.alias("is_valid"))
+    """Videos with whether their container header can be read; only the first bytes of a file are fetched."""
+    return file_heads(spark, folder, ".mp4", 12).select("path", (F.decode(F.substring("head", 5, 4), "ISO-8859-1") == "ftyp").alias("is_valid"))
 
 
 def images(spark: SparkSession, folder: str) -> DataFrame:
-    """Decoded images: origin, height, width, nChannels, data."""
-    return spark.read.format("image").option("dropInvalid", "true").load(folder).select("image.*")
+    """Decoded images: origin, height, width, nChannels, data; ``is_valid`` is false for one that cannot be read."""
+    read = spark.read.format("image").option("dropInvalid", "false").option("recursiveFileLookup", "true").load(folder)
+    return read.select("image.origin", "image.height", "image.width", "image.nChannels", "image.data").withColumn("is_valid", F.col("height") > 0)
