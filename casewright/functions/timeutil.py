@@ -59,33 +59,51 @@ def tolerant(text: Column) -> Column:
     the first is over 12), a time of 12 or 24 hours, a zone's abbreviation or an offset.  Years of two digits are
     1969 to 2068.  Weekdays and other words around are passed over; day, month and year have to be there.
     """
-    clock = _group(text, _TIME, 1).isNotNull()
-    hour = F.coalesce(_number(text, _TIME, 1), _number(text, _HOUR, 1), F.lit(0))
-    half = F.lower(F.coalesce(_group(text, _TIME, 5), F.when(~clock, _group(text, _HOUR, 2))))
-    hour24 = F.when(half.isNull(), hour).when((hour >= 1) & (hour <= 12), hour % 12 + F.when(half == "p", 12).otherwise(0)).otherwise(99)
-    minute, second = F.coalesce(_number(text, _TIME, 2), F.lit(0)), F.coalesce(_number(text, _TIME, 3), F.lit(0))
-    micros = F.rpad(F.coalesce(_group(text, _TIME, 4), F.lit("")), 6, "0")
-    offset = F.when(clock & _group(text, _OFFSET, 1).isNotNull(), F.concat(_group(text, _OFFSET, 1), F.lit(":"), _group(text, _OFFSET, 2)))
+    offset = F.when(_group(text, _TIME, 1).isNotNull() & _group(text, _OFFSET, 1).isNotNull(), F.concat(_group(text, _OFFSET, 1), F.lit(":"), _group(text, _OFFSET, 2)))
+    return _bound(F.struct(text.alias("text"), offset.alias("offset")), lambda t: _bound(_time_parts(t), _joined_parts))
+
+
+def _bound(value: Column, f) -> Column:
+    """``f(value)`` with the value worked out once, however often ``f`` uses it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def _time_parts(t: Column) -> Column:
+    """Hour, minute, second and zone of a text, and the text without them."""
+    text, offset = t["text"], t["offset"]
+    clock = _group(text, _TIME, 1)
+    hour = F.coalesce(clock.try_cast("int"), _number(text, _HOUR, 1), F.lit(0))
+    half = F.lower(F.coalesce(_group(text, _TIME, 5), F.when(clock.isNull(), _group(text, _HOUR, 2))))
+    zone = offset
+    for short, region in (ZONES | MORE_ZONES).items():
+        zone = F.coalesce(zone, F.when(text.rlike(rf"(?<![A-Za-z]){short}(?![A-Za-z])"), F.lit(region)))
     rest = F.regexp_replace(F.regexp_replace(F.when(offset.isNotNull(), F.regexp_replace(text, _OFFSET, " ")).otherwise(text), _TIME, " "), _HOUR, " ")
+    return F.struct(
+        rest.alias("rest"), zone.alias("zone"), hour.alias("hour"), half.alias("half"), _number(text, _TIME, 2).alias("minute"), _number(text, _TIME, 3).alias("second"),
+        F.rpad(F.coalesce(_group(text, _TIME, 4), F.lit("")), 6, "0").alias("micros"), F.lower(_group(rest, _NAMED, 1)).alias("word"),
+    )
+
 
-    word = F.lower(_group(rest, _NAMED, 1))
+def _joined_parts(p: Column) -> Column:
+    """The wall clock in US Central of the parts and the date that the rest of the text holds."""
+    rest, word, half, hour = p["rest"], p["word"], p["half"], p["hour"]
+    hour24 = F.when(half.isNull(), hour).when((hour >= 1) & (hour <= 12), hour % 12 + F.when(half == "p", 12).otherwise(0)).otherwise(99)
     named_month = F.array_position(F.array(*map(F.lit, MONTHS)), word).cast("int")
     named_year = F.coalesce(_number(rest, r"(?<!\d)(\d{4})(?!\d)", 1), _short_year(_number(rest, r"(?<!\d)\d{1,2}(?:st|nd|rd|th)?\D+(\d{2})(?!\d)", 1)), _short_year(_number(rest, r"'(\d{2})(?!\d)", 1)))
     named_day = _number(rest, r"(?i)(?<![\d'])(\d{1,2})(?:st|nd|rd|th)?(?!\d)", 1)
-    first, second_part = _number(rest, _YEAR_LAST, 1), _number(rest, _YEAR_LAST, 2)
-    last_text = _group(rest, _YEAR_LAST, 3)
-    last_year = F.when(F.length(last_text) == 4, last_text.try_cast("int")).otherwise(_short_year(last_text.try_cast("int")))
-    year_first = _group(rest, _YEAR_FIRST, 1).isNotNull()
-    pick = lambda named, front, back: F.when(word.isNotNull(), named).when(year_first, front).otherwise(back)
-    year = pick(named_year, _number(rest, _YEAR_FIRST, 1), last_year)
-    month = pick(named_month, _number(rest, _YEAR_FIRST, 2), F.when(first > 12, second_part).otherwise(first))
-    day = pick(named_day, _number(rest, _YEAR_FIRST, 3), F.when(first > 12, first).otherwise(second_part))
-    whole = F.format_string("%04d-%02d-%02d %02d:%02d:%02d.%s", year, month, day, hour24, minute, second, micros)
-    read = F.when(year.isNotNull() & month.isNotNull() & day.isNotNull(), F.try_to_timestamp(whole, F.lit("yyyy-MM-dd HH:mm:ss.SSSSSS"))).cast("timestamp_ntz")
-    zone = offset
-    for short, region in (ZONES | MORE_ZONES).items():
-        zone = F.coalesce(zone, F.when(text.rlike(rf"(?<![A-Za-z]){short}(?![A-Za-z])"), F.lit(region)))
-    return F.when(zone.isNull(), read).otherwise(F.to_timestamp_ntz(F.convert_timezone(F.coalesce(zone, F.lit("UTC")), F.lit(ZONE), read)))
+    named = F.struct(named_year.alias("y"), named_month.alias("m"), named_day.alias("d"))
+    front = F.struct(*(_number(rest, _YEAR_FIRST, i).alias(n) for i, n in ((1, "y"), (2, "m"), (3, "d"))))
+    first, second, last = _number(rest, _YEAR_LAST, 1), _number(rest, _YEAR_LAST, 2), _group(rest, _YEAR_LAST, 3)
+    last_year = F.when(F.length(last) == 4, last.try_cast("int")).otherwise(_short_year(last.try_cast("int")))
+    back = F.struct(last_year.alias("y"), F.when(first > 12, second).otherwise(first).alias("m"), F.when(first > 12, first).otherwise(second).alias("d"))
+    date = F.when(word.isNotNull(), named).when(rest.rlike(_YEAR_FIRST), front).otherwise(back)
+
+    def clock(d: Column) -> Column:
+        whole = F.format_string("%04d-%02d-%02d %02d:%02d:%02d.%s", d["y"], d["m"], d["d"], hour24, F.coalesce(p["minute"], F.lit(0)), F.coalesce(p["second"], F.lit(0)), p["micros"])
+        return F.when(d["y"].isNotNull() & d["m"].isNotNull() & d["d"].isNotNull(), F.try_to_timestamp(whole, F.lit("yyyy-MM-dd HH:mm:ss.SSSSSS"))).cast("timestamp_ntz")
+
+    moved = lambda read: F.when(p["zone"].isNull(), read).otherwise(F.to_timestamp_ntz(F.convert_timezone(F.coalesce(p["zone"], F.lit("UTC")), F.lit(ZONE), read)))
+    return _bound(_bound(date, clock), moved)
 
 
 def _short_year(number: Column) -> Column:

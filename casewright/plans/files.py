@@ -5,13 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from casewright.functions import timeutil
+from casewright.functions.text import ENCODED
+from casewright.functions.uids import derived_uid
 from casewright.operators import headers as H
+from casewright.operators import known_ids, templates
 from casewright.operators import publish as P
 from casewright.plans._register import Plans
 from casewright.session import scratch
-from casewright.sources import dicom, listings
+from casewright.sources import dicom, listings, registry_json
 from casewright.sources.file_sink import write_files, zip_members
+from casewright.sources.png import png_bytes
 from casewright.sources.tables import table
+from casewright.streaming.new_hashes import new_hash_stream
 
 plans = Plans()
 
@@ -111,4 +117,162 @@ def publish_catalog(spark, sf_dir):
     return read.join(hashes, "subject", "left").join(subjects, "subject", "left").select("subject", "archive", "n_files", "n_bytes", "members", F.coalesce("n", F.lit(0)).alias("n_hashes"), "n_subjects")
 
 
+# --- images --------------------------------------------------------------------------------------------
+
+_SIDE, _SIMILAR = 8, 0.25
+
+
+def _pixels(embedding):
+    """64 numbers as the pixels of an image of 8 x 8."""
+    return F.transform(embedding, lambda x: F.floor((F.greatest(F.least(x.cast("double"), F.lit(1.0)), F.lit(-1.0)) + 1) * 127.5).cast("int"))
+
+
+@plans.add(f"""
+WITH p AS (SELECT vec_id, [CAST(floor((greatest(least(CAST(x AS DOUBLE), 1.0), -1.0) + 1) * 127.5) AS INTEGER) FOR x IN embedding] AS a FROM embeddings WHERE len(embedding) = 64),
+s AS (SELECT vec_id, CASE WHEN list_max(a) = list_min(a) THEN [0.0::DOUBLE FOR x IN a] ELSE [floor((x - list_min(a)) * 255.0::DOUBLE / (list_max(a) - list_min(a))) FOR x IN a] END AS a,
+  CASE WHEN vec_id % 10 = 9 THEN FALSE ELSE TRUE END AS readable FROM p),
+t AS (SELECT a AS b FROM s WHERE vec_id = 0),
+c AS (SELECT s.vec_id, readable, a, b, list_avg(a) AS ma, list_avg(b) AS mb FROM s, t),
+n AS (SELECT vec_id, readable, list_sum([(a[i] - ma) * (b[i] - mb) FOR i IN range(1, 65)]) / sqrt(list_sum([(x - ma) * (x - ma) FOR x IN a]) * list_sum([(x - mb) * (x - mb) FOR x IN b])) AS ncc FROM c)
+SELECT vec_id, readable, CASE WHEN readable THEN round(ncc, 4) + 0.0 END AS similarity, readable AND ncc > {_SIMILAR} AS is_template, readable AND vec_id % 7 = 3 AS seen,
+  readable AND NOT ncc > {_SIMILAR} AND vec_id % 7 <> 3 AS is_valid FROM n
+""")
+def template_images(spark, sf_dir):
+    """Images written as files, read by the image source, fingerprinted and held against a template and the registry."""
+    folder, place = scratch(spark, "images"), scratch(spark, "template")
+    e = table(spark, sf_dir, "embeddings").where(F.size("embedding") == _SIDE * _SIDE).select("vec_id", png_bytes(_pixels(F.col("embedding")), F.lit(_SIDE), F.lit(_SIDE)).alias("content"))
+    broken = F.when(F.col("vec_id") % 10 == 9, F.lit(b"no image")).otherwise(F.col("content"))
+    none = F.lit(None).cast("string").alias("archive")
+    write_files(e.select(none, F.concat(F.col("vec_id").cast("string"), F.lit(".png")).alias("name"), broken.alias("content")), folder)
+    write_files(e.where("vec_id = 0").select(none, F.lit("template.png").alias("name"), "content"), place)
+    template = templates.read_template(spark, f"{place}/template.png", _SIDE)
+    number = F.regexp_extract("origin", r"(\d+)\.png$", 1).cast("bigint")
+    found = listings.images(spark, folder).drop("is_valid")
+    from casewright.functions.images import image_hash
+
+    known = found.where((number % 7 == 3) & (F.col("height") > 0)).select(image_hash("height", "width", "nChannels", "data").alias("NAME"))
+    judged = templates.judged_images(found, template, known, _SIMILAR)
+    return judged.select(number.alias("vec_id"), (F.col("height") > 0).alias("readable"), (F.round("similarity", 4) + F.lit(0.0)).alias("similarity"), "is_template", "seen", "is_valid")
+
+
+@plans.add("""
+SELECT vec_id, '1.2.840.10008.5.1.4.1.1.77.1.1.1' AS class, '2.25.' || vec_id AS series, 'Arthro. Diagn. Img. #' || (vec_id % 100) AS description, 'ORIGINAL' || chr(92) || 'PRIMARY' || chr(92) || 'ARTHRO_DIAGN_IMG' AS kind,
+  'REDACTED PYTHON VALUE' AS person, '/in/' || vec_id || '.jpg' AS path, 'site ' || label AS site, '8 x 8' AS size,
+  sha256(array_to_string([chr(65 + CAST(floor((greatest(least(CAST(x AS DOUBLE), 1.0), -1.0) + 1) * 127.5) AS INTEGER) % 26) FOR x IN embedding], '')) AS pixels
+FROM embeddings WHERE len(embedding) = 64 AND label IS NOT NULL
+""")
+def still_headers(spark, sf_dir):
+    """A header for every still image, written and read back in the implicit form."""
+    letters = lambda x: F.chr((65 + x % 26).cast("bigint"))
+    e = table(spark, sf_dir, "embeddings").where((F.size("embedding") == 64) & F.col("label").isNotNull())
+    key, text = F.col("vec_id").cast("string"), F.lit
+    tags = H.still_header(
+        F.concat(text("2_25_"), key), text("2_25_7"), F.concat(text("2_25_9"), key), F.col("vec_id") % 100, text("20240305"), text("101112.000"), F.concat(text("site "), F.col("label").cast("string")),
+        F.concat(text("/in/"), key, text(".jpg")), text("20250101"), text("000000.000"),
+    )
+    pixels = F.array_join(F.transform(_pixels(F.col("embedding")), letters), "").cast("binary")
+    h = e.select("vec_id", dicom.decode(dicom.encode(tags, F.lit(8), F.lit(8), pixels, F.lit(False))).alias("h"))
+    at = lambda tag: F.element_at("h.tags", F.lit(tag))["value"]
+    return h.select(
+        "vec_id", at("00020002").alias("class"), at("0020000E").alias("series"), at("0008103E").alias("description"), at("00080008").alias("kind"), at("00100010").alias("person"), at("00204000").alias("path"),
+        at("00080080").alias("site"), F.concat(F.col("h.rows").cast("string"), F.lit(" x "), F.col("h.cols").cast("string")).alias("size"), F.sha2("h.pixels", 256).alias("pixels"),
+    )
+
+
+# --- text --------------------------------------------------------------------------------------------
+
+#: One date in many spellings, in SQL that both engines read.
+SPELT = """
+SELECT o_orderkey, d, h, mi, o_orderkey % 9 AS form, CASE o_orderkey % 9
+  WHEN 0 THEN concat(mon, ' ', dd, ', ', y, ' ', h12, ':', lpad(CAST(mi AS STRING), 2, '0'), ' ', half)
+  WHEN 1 THEN concat(dd, ' ', mon, ' ', y, ' at ', hh, ':', lpad(CAST(mi AS STRING), 2, '0'))
+  WHEN 2 THEN concat(m, '/', dd, '/', y, ' ', hh, ':', lpad(CAST(mi AS STRING), 2, '0'))
+  WHEN 3 THEN concat(hh, ':', lpad(CAST(mi AS STRING), 2, '0'), ' PST ', mon, '. ', dd, ' ', y)
+  WHEN 4 THEN concat(y, '/', m, '/', dd, ' ', hh, ':', lpad(CAST(mi AS STRING), 2, '0'), ':00.5')
+  WHEN 5 THEN concat('the ', dd, 'th of ', mon, ' ', y)
+  WHEN 6 THEN concat(y, '-', lpad(m, 2, '0'), '-', lpad(dd, 2, '0'), 'T', hh, ':', lpad(CAST(mi AS STRING), 2, '0'), ':00-07:00 ')
+  WHEN 7 THEN concat(mon, ' ', y)
+  ELSE concat(mon, ' ', dd, ' ', substr(y, 3, 2), ', ', h12, half) END AS spelt
+FROM (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d, 10 + o_orderkey % 8 AS h, o_orderkey % 60 AS mi, CAST(year(o_orderdate) AS STRING) AS y, CAST(month(o_orderdate) AS STRING) AS m, CAST(day(o_orderdate) AS STRING) AS dd,
+  CAST(10 + o_orderkey % 8 AS STRING) AS hh, CASE WHEN o_orderkey % 8 < 3 THEN CAST(10 + o_orderkey % 8 AS STRING) ELSE CAST(o_orderkey % 8 - 2 AS STRING) END AS h12,
+  CASE WHEN o_orderkey % 8 < 2 THEN 'am' ELSE 'PM' END AS half,
+  substr('JanFebMarAprMayJunJulAugSepOctNovDec', CAST(3 * month(o_orderdate) - 2 AS INTEGER), 3) AS mon FROM orders) o
+"""
+
+
+@plans.add(f"""
+SELECT o_orderkey, spelt, strftime(CASE form WHEN 3 THEN d + to_hours(h + 2) + to_minutes(mi) WHEN 4 THEN d + to_hours(h) + to_minutes(mi) + to_milliseconds(500) WHEN 5 THEN CAST(d AS TIMESTAMP)
+  WHEN 6 THEN ((d + to_hours(h + 7) + to_minutes(mi)) AT TIME ZONE 'UTC') AT TIME ZONE 'America/Chicago' WHEN 7 THEN NULL WHEN 8 THEN d + to_hours(h) ELSE d + to_hours(h) + to_minutes(mi) END, '%Y-%m-%d %H:%M:%S.%g') AS central
+FROM ({SPELT.replace("STRING", "VARCHAR")}) s
+""")
+def spelt_dates(spark, sf_dir):
+    """Dates in nine spellings, a zone and an offset among them, as Central wall clock."""
+    given = spark.sql(SPELT.replace("FROM orders", "FROM {orders}"), orders=table(spark, sf_dir, "orders"))
+    return given.select("o_orderkey", "spelt", F.date_format(timeutil.central(F.col("spelt")), "yyyy-MM-dd HH:mm:ss.SSS").alias("central"))
+
+
+@plans.add("""
+WITH i AS (SELECT c_custkey, lower(c_name) AS id FROM customer WHERE c_custkey % 3 <> 0)
+SELECT o_orderkey, 'case of ' || coalesce('HAWKID=2_' || i.c_custkey, lower(c.c_name)) || ', then supplier#' || (o_orderkey % 7) AS encoded, CASE WHEN i.id IS NULL THEN 0 ELSE 1 END AS n_found
+FROM orders JOIN customer c ON c.c_custkey = o_custkey LEFT JOIN i ON i.c_custkey = o_custkey
+""")
+def registry_encode_text(spark, sf_dir):
+    """Known names in free text become their uids, by an n-gram join with a registry that grows with the data."""
+    c = table(spark, sf_dir, "customer").select("c_custkey", F.lower("c_name").alias("id"))
+    told = F.concat(F.lit("case of "), F.col("id"), F.lit(", then supplier#"), (F.col("o_orderkey") % 7).cast("string"))
+    texts = table(spark, sf_dir, "orders").join(c, F.col("c_custkey") == F.col("o_custkey")).select(F.col("o_orderkey").alias("row_key"), told.alias("text"))
+    ids = c.where("c_custkey % 3 <> 0").select("id", F.concat(F.lit("2_"), F.col("c_custkey").cast("string")).alias("uid"), F.col("c_custkey").alias("place"))
+    folder = scratch(spark, "known-ids")
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{folder}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+    done = known_ids.encode_known(texts, ids, ENCODED, keep=keep)
+    return done.select(F.col("row_key").alias("o_orderkey"), "encoded", F.size("found").alias("n_found"))
+
+
+# --- registries ----------------------------------------------------------------------------------------
+
+
+@plans.add("""
+SELECT 'SUBJECTS' AS name, count(*) AS n, sha256(string_agg(upper(c_name) || ':' || c_mktsegment, '|' ORDER BY upper(c_name))) AS digest FROM customer
+UNION ALL SELECT 'IMAGE_HASHES', count(*), sha256(string_agg(sha256(CAST(o_orderkey AS VARCHAR)) || ':' || o_custkey, '|' ORDER BY sha256(CAST(o_orderkey AS VARCHAR)))) FROM orders
+UNION ALL SELECT 'GROUPS', 0, sha256('')
+""")
+def registry_document(spark, sf_dir):
+    """The registry document written in sorted parts as one file, and read back table by table."""
+    stamp = [F.lit("2024-01-01").alias("CREATED_DATE_TIME"), F.lit("2_25_1").alias("CREATED_BY")]
+    c, o = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
+    subjects = c.select(F.upper("c_name").alias("NAME"), F.col("c_custkey").cast("string").alias("UID"), *stamp, F.col("c_mktsegment").alias("ACQUISITION_SITE"), F.lit(None).cast("string").alias("GROUP"))
+    digest = F.sha2(F.col("o_orderkey").cast("string").cast("binary"), 256)
+    hashes = o.select(digest.alias("NAME"), derived_uid(F.col("o_orderkey").cast("string")).alias("UID"), *stamp, F.col("o_custkey").cast("string").alias("SUBJECT"), F.lit("1").alias("INSTANCE_NUM"))
+    path = f"{scratch(spark, 'registry')}/config.json"
+    groups = subjects.select("NAME", "UID", "CREATED_DATE_TIME", "CREATED_BY").limit(0)
+    registry_json.write_document({"SUBJECTS": subjects, "GROUPS": groups, "IMAGE_HASHES": hashes}, path, "2_25_1", F.lit("2024-01-02"))
+    _, tables = registry_json.read_registries(spark, path)
+
+    def row(name: str, value: str) -> DataFrame:
+        lines = tables[name].select("NAME", F.concat_ws(":", "NAME", value).alias("line"))
+        text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("NAME", "line"))), lambda x: x["line"]), "|")
+        return lines.agg(F.count("*").alias("n"), F.sha2(text.cast("binary"), 256).alias("digest")).select(F.lit(name).alias("name"), "n", "digest")
+
+    return row("SUBJECTS", "ACQUISITION_SITE").unionByName(row("IMAGE_HASHES", "SUBJECT")).unionByName(row("GROUPS", "UID"))
+
+
+@plans.add("""
+WITH k AS (SELECT DISTINCT 'h' || p_size AS digest FROM part WHERE p_size % 5 = 0),
+e AS (SELECT 'h' || (event_id % 1000) AS digest, lpad(CAST(event_id AS VARCHAR), 12, '0') AS path FROM events)
+SELECT digest, min(path) AS path FROM e WHERE digest NOT IN (SELECT digest FROM k) GROUP BY digest
+""")
+def stream_new_hashes(spark, sf_dir):
+    """A stream of hashes against a registry's, by keyed state."""
+    folder = scratch(spark, "stream")
+    e = table(spark, sf_dir, "events").select(F.concat(F.lit("h"), (F.col("event_id") % 1000).cast("string")).alias("digest"), F.lpad(F.col("event_id").cast("string"), 12, "0").alias("path"))
+    e.write.parquet(f"{folder}/in")
+    table(spark, sf_dir, "part").where("p_size % 5 = 0").select(F.concat(F.lit("h"), F.col("p_size").cast("string")).alias("NAME")).write.parquet(f"{folder}/registry")
+    new_hash_stream(spark, f"{folder}/in", f"{folder}/out", f"{folder}/state", f"{folder}/registry").awaitTermination()
+    return spark.read.schema("digest string, path string").parquet(f"{folder}/out")
+
+
 QUERIES, ORACLES = plans.queries, plans.oracles

@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 _CHANNELS = {0: 1, 2: 3, 4: 2, 6: 4}
 
@@ -64,6 +65,16 @@ def encode_png(image: np.ndarray) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(rows.tobytes())) + chunk(b"IEND", b"")
 
 
+@F.pandas_udf(BinaryType())
+def _encoded(pixels: pd.Series, height: pd.Series, width: pd.Series) -> pd.Series:
+    return pd.Series([None if p is None else encode_png(np.asarray(p, np.uint8).reshape(h, w)) for p, h, w in zip(pixels, height, width)])
+
+
+def png_bytes(pixels: Column, height: Column, width: Column) -> Column:
+    """A gray PNG of an array of 0 to 255, row by row."""
+    return _encoded(pixels, height, width)
+
+
 def label_image(text: Column, size: int = 512) -> Column:
     """Base64 PNG text as raw RGB pixels of ``size`` x ``size``."""
 
