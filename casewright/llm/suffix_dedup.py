@@ -37,7 +37,7 @@ from casewright.llm._common import drop_staged, mix, slices, staged, table, word
 LENGTH = 400
 GRAM = 64
 PASSAGE_WORDS = 51
-_PIECE = 1 << 20
+_PIECE = 1 << 18  # some ten arrays of eight bytes a symbol stand in memory for one piece
 _POSITION = np.uint64(_PIECE * 2 - 1)
 _BYTE = np.random.default_rng(31).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 _BASE = 0x9DDFEA08EB382D69
@@ -320,8 +320,12 @@ def word_symbols(texts: list[str]) -> list[np.ndarray]:
 SYMBOLS = {"byte": (byte_symbols, np.uint8), "word": (word_symbols, np.uint32)}
 
 
-def repeat_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, unit: str = "byte", shard_rows: int = 4096, shard_bytes: int = 1 << 21) -> DataFrame:
-    """``key_id, key_text, spans`` (ranges of symbols, unmerged) of the documents that hold repeats."""
+def repeat_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, unit: str = "byte", shard_rows: int = 1024, shard_bytes: int = 1 << 19) -> DataFrame:
+    """``key_id, key_text, spans`` (ranges of symbols, unmerged) of the documents that hold repeats.
+
+    A shard is closed at ``shard_bytes``, a minimiser with more than ``shard_rows`` segments is split: both bound the
+    memory of a task (some fifteen machine words a symbol) and change no result.
+    """
     if not 1 <= gram <= length or length < 8:
         raise ValueError("the k-gram must fit the window")
     symbols, kind = SYMBOLS[unit]
