@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from casewright.functions import text as X
 from casewright.functions.timeutil import minutes, sheet_date
+from casewright.operators.known_ids import gram_index, met_ids
 from casewright.operators.similar import nearest
 
 ERROR, WARNING = "E", "W"
@@ -28,6 +29,7 @@ class Rule:
     condition: Column
     message: Column | str = ""
     values: Column | None = None  # the offending values, for which a suggestion is sought
+    each: Column | None = None  # messages, an issue for every one of them
 
 
 def once(df: DataFrame, **columns: Column) -> DataFrame:
@@ -36,19 +38,29 @@ def once(df: DataFrame, **columns: Column) -> DataFrame:
     return held.select(*(F.col(f"`{c}`") for c in df.columns if c not in columns), *(F.col(f"`#once`.`{n}`") for n in columns))
 
 
+def _issue(rule: Rule, column: str, ordinal: int, message: Column) -> Column:
+    return F.struct(
+        F.lit(rule.id).alias("rule"), F.lit(column).alias("column"), F.lit(rule.severity).alias("severity"),
+        F.lit(ordinal).alias("ordinal"), message.alias("message"),
+        (F.lit(None).cast("array<string>") if rule.values is None else rule.values).alias("values"),
+    )
+
+
 def compile_rules(rules: list[Rule]) -> Column:
     """One array of (rule, column, severity, ordinal, message) structs per row."""
-    cells = []
+    runs: list[Column] = []
+    cells: list[Column] = []
     for ordinal, rule in enumerate(rules):
-        message = F.lit(rule.message) if isinstance(rule.message, str) else rule.message
         for column in rule.columns:
-            issue = F.struct(
-                F.lit(rule.id).alias("rule"), F.lit(column).alias("column"), F.lit(rule.severity).alias("severity"),
-                F.lit(ordinal).alias("ordinal"), message.alias("message"),
-                (F.lit(None).cast("array<string>") if rule.values is None else rule.values).alias("values"),
-            )
-            cells.append(F.when(rule.condition, issue))
-    return F.array_compact(F.array(*cells))
+            if rule.each is None:
+                message = F.lit(rule.message) if isinstance(rule.message, str) else rule.message
+                cells.append(F.when(rule.condition, _issue(rule, column, ordinal, message)))
+                continue
+            runs += [F.array(*cells)] if cells else []
+            runs.append(F.transform(F.when(rule.condition, rule.each).otherwise(F.array().cast("array<string>")), lambda m: _issue(rule, column, ordinal, m)))
+            cells = []
+    runs += [F.array(*cells)] if cells else []
+    return F.array_compact(runs[0] if len(runs) == 1 else F.concat(*runs))
 
 
 def with_issues(sheet: DataFrame, rules: list[Rule]) -> DataFrame:
@@ -121,6 +133,7 @@ def rows_where(judged: DataFrame, mode: str) -> DataFrame:
 
 
 FREE_TEXT = ("unusual", "diagnostic", "comments")
+ENCODED_TEXT = (*FREE_TEXT, "assessment_details")
 
 
 def join_registries(sheet: DataFrame, users: DataFrame, sites: DataFrame, groups: DataFrame, surgeons: DataFrame) -> DataFrame:
@@ -146,8 +159,31 @@ def with_task_facts(sheet: DataFrame) -> DataFrame:
     return once(sheet, task_keys=X.task_keys(F.col("tasks")), task_notices=X.task_notices(F.col("tasks")))
 
 
-def sheet_rules(ids: list[tuple[str, str]] = (), surgeon_names: Column | None = None, legacy: bool = False) -> list[Rule]:
-    """The batch-sheet rules over columns flagged by ``join_registries`` and ``with_task_facts``.
+def with_registry_facts(sheet: DataFrame, ids: DataFrame, surgeons: DataFrame, keep=None) -> DataFrame:
+    """What the rules ask of registries of any size, found by joins over distinct texts: ``ids_<column>``, the known ids
+    that a free text holds, in the order of ``ids(id, uid, place)``, and ``unknown_keys``, the task-map keys that
+    ``surgeons(NAME)`` lacks in any case.  The plan does not depend on how many names there are.
+
+    ``keep(df, name)`` may write a result and read it back, since texts and index are read more than once.
+    """
+    keep = keep or (lambda df, _: df)
+    texts = keep(sheet.select(F.explode(F.array(*ENCODED_TEXT)).alias("text")).where(F.col("text").isNotNull() & (F.col("text") != "")).distinct(), "texts")
+    index = keep(gram_index(ids), "index")
+    sizes = sorted(r.n for r in index.select(F.length("gram").alias("n")).distinct().collect())  # a few lengths
+    met = met_ids(texts.select(F.col("text").alias("row_key"), "text"), index, sizes)
+    found = keep(met.groupBy("row_key").agg(F.array_sort(F.collect_list(F.struct("place", "id"))).alias("f")).select("row_key", F.transform("f", lambda e: e["id"]).alias("f")), "found")
+    for column in ENCODED_TEXT:
+        own = found.select(F.col("row_key").alias("#text"), F.col("f").alias(f"ids_{column}"))
+        sheet = sheet.join(own, F.col(column) == F.col("#text"), "left").drop("#text").withColumn(f"ids_{column}", F.coalesce(f"ids_{column}", F.array().cast("array<string>")))
+    names = surgeons.select(F.lower("NAME").alias("key")).distinct()
+    keys = sheet.select("tasks", F.posexplode("task_keys").alias("at", "key")).distinct()
+    unknown = keys.join(names, "key", "left_anti").groupBy("tasks").agg(F.array_sort(F.collect_list(F.struct("at", "key"))).alias("f"))
+    return sheet.join(unknown.select(F.col("tasks").alias("#tasks"), F.transform("f", lambda e: e["key"]).alias("unknown_keys")), F.col("tasks") == F.col("#tasks"), "left").drop("#tasks")
+
+
+def sheet_rules(ids: list[tuple[str, str]] = (), surgeon_names: Column | None = None, legacy: bool = False, joined: bool = False) -> list[Rule]:
+    """The batch-sheet rules over columns flagged by ``join_registries`` and ``with_task_facts``; with ``joined`` also by
+    ``with_registry_facts``, instead of ``ids`` and ``surgeon_names``.
 
     A task map that cannot be read ends a row: the rules after it do not fire.
 
@@ -166,6 +202,7 @@ def sheet_rules(ids: list[tuple[str, str]] = (), surgeon_names: Column | None =
     requested = ~broken & ~empty("skills_requested") & ~unknown("skills_requested")
     value = lambda c: F.array(F.col(c))
     surgeons = surgeon_names if surgeon_names is not None else F.array().cast("array<string>")
+    strange = F.coalesce("unknown_keys", F.array().cast("array<string>")) if joined else F.filter(keys, lambda k: ~F.array_contains(surgeons, k))
     start, end = minutes(col("start_time")), minutes(col("end_time"))
     rules = [
         Rule("R-01", ("filer",), ERROR, empty("filer") | ~col("ok_filer"), "filer missing or not registered"),
@@ -180,7 +217,10 @@ def sheet_rules(ids: list[tuple[str, str]] = (), surgeon_names: Column | None =
         Rule("R-09", ("performing",), WARNING, empty("performing"), "performing surgeon taken as unknown"),
         Rule("R-09", ("performing",), ERROR, ~empty("performing") & ~col("exact_performing"), "performing surgeon not registered"),
     ]
+    unencoded = lambda c: F.transform(f"ids_{c}", lambda i: F.concat(i, F.lit(" stands unencoded")))
     for column in FREE_TEXT:
+        if joined:
+            rules.append(Rule("R-10", (column,), WARNING, F.lit(True), each=unencoded(column)))
         for known, _ in ids:
             rules.append(Rule("R-10", (column,), WARNING, F.contains(F.col(column), F.lit(known)), F.concat(F.lit(known), F.lit(" stands unencoded"))))
     rules += [
@@ -198,7 +238,7 @@ def sheet_rules(ids: list[tuple[str, str]] = (), surgeon_names: Column | None =
         Rule("R-17", ("tasks",), ERROR, broken, "task map cannot be read"),
         Rule("R-18", ("tasks",), ERROR, parsed & (unknown("performing") | ~F.coalesce(key_of("performing"), F.lit(False))), "performing surgeon has no task"),
         Rule("R-19", ("tasks",), ERROR, parsed & ~size_fits, "number of surgeons and tasks differ"),
-        Rule("R-20", ("tasks",), ERROR, parsed & size_fits & F.exists(keys, lambda k: ~F.array_contains(surgeons, k)), "task of an unregistered surgeon", F.filter(keys, lambda k: ~F.array_contains(surgeons, k))),
+        Rule("R-20", ("tasks",), ERROR, parsed & size_fits & (F.size(strange) > 0), "task of an unregistered surgeon", strange),
         Rule("R-22", ("n_surgeons", "tasks"), ERROR, ~tasks & ~empty("n_surgeons") & (F.coalesce(count, F.lit(0)) != 1), "several surgeons without tasks"),
         Rule("R-23", ("tasks",), ERROR, parsed & ~empty("performing") & ~F.lower(col("performing")).isin("unknown", "not-applicable") & ~key_of("performing"), "performing surgeon not among the tasks"),
         Rule("R-24", ("tasks",), WARNING, parsed & ~empty("supervising") & ~F.lower(col("supervising")).isin("unknown", "not-applicable") & ~key_of("supervising"), "supervising surgeon not among the tasks"),
@@ -206,6 +246,8 @@ def sheet_rules(ids: list[tuple[str, str]] = (), surgeon_names: Column | None =
         Rule("R-25", ("assessor",), ERROR, requested & ~empty("assessor") & ~col("ok_assessor"), "assessor not registered", value("assessor")),
         Rule("R-26", ("skills_requested",), ERROR, requested & ~empty("assessor") & (F.lower(col("skills_requested")) != "y"), "assessor without a request"),
     ]
+    if joined:
+        rules.append(Rule("R-27", ("assessment_details",), WARNING, requested, each=unencoded("assessment_details")))
     for known, _ in ids:
         rules.append(Rule("R-27", ("assessment_details",), WARNING, requested & F.contains(col("assessment_details"), F.lit(known)), F.concat(F.lit(known), F.lit(" stands unencoded"))))
     rules.append(Rule("R-28", ("radiology_date",), WARNING, ~broken & (F.lower(col("radiology_contacted")) == "y") & empty("radiology_date"), "radiology date missing"))

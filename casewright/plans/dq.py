@@ -11,6 +11,7 @@ from casewright.functions import text as X
 from casewright.operators import quality as Q
 from casewright.operators.similar import nearest
 from casewright.plans._register import Plans
+from casewright.session import kept_in, scratch
 from casewright.sources.tables import table
 
 plans = Plans()
@@ -137,6 +138,17 @@ def dq_issues_long(spark, sf_dir):
     return Q.issues_long(judged(spark, sf_dir)).select("row_id", "rule", F.col("column").alias("col"), "severity")
 
 
+@plans.add(issue_sql() + "SELECT * FROM issues")
+def dq_registry_issues(spark, sf_dir):
+    """The same issues with ids and task keys held against registries of any size, by joins."""
+    users, sites, groups, surgeons = registries(spark, sf_dir)
+    flagged = Q.with_task_facts(Q.join_registries(sheet(spark, sf_dir), users, sites, groups, surgeons))
+    known = table(spark, sf_dir, "nation").where("n_nationkey IN (3, 4)")
+    ids = known.select(F.concat(F.lit("surgeon_"), F.col("n_nationkey").cast("string")).alias("id"), F.concat(F.lit("2_25_"), F.col("n_nationkey").cast("string")).alias("uid"), F.col("n_nationkey").cast("bigint").alias("place"))
+    facts = Q.with_registry_facts(flagged, ids, surgeons, keep=kept_in(scratch(spark, "registry-facts")))
+    return Q.issues_long(Q.with_issues(facts, Q.sheet_rules(joined=True))).select("row_id", "rule", F.col("column").alias("col"), "severity")
+
+
 MATRIX = ("filer", "operation_date", "supervising", "performing", "tasks", "n_surgeons", "assessor", "skills_requested")
 
 

@@ -12,7 +12,7 @@ from casewright.operators import headers as H
 from casewright.operators import known_ids, templates
 from casewright.operators import publish as P
 from casewright.plans._register import Plans
-from casewright.session import scratch
+from casewright.session import kept_in, scratch
 from casewright.sources import dicom, listings, registry_json
 from casewright.sources.file_sink import write_files, zip_members
 from casewright.sources.png import png_bytes
@@ -222,13 +222,7 @@ def registry_encode_text(spark, sf_dir):
     told = F.concat(F.lit("case of "), F.col("id"), F.lit(", then supplier#"), (F.col("o_orderkey") % 7).cast("string"))
     texts = table(spark, sf_dir, "orders").join(c, F.col("c_custkey") == F.col("o_custkey")).select(F.col("o_orderkey").alias("row_key"), told.alias("text"))
     ids = c.where("c_custkey % 3 <> 0").select("id", F.concat(F.lit("2_"), F.col("c_custkey").cast("string")).alias("uid"), F.col("c_custkey").alias("place"))
-    folder = scratch(spark, "known-ids")
-
-    def keep(df: DataFrame, name: str) -> DataFrame:
-        df.write.parquet(f"{folder}/{name}")
-        return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
-
-    done = known_ids.encode_known(texts, ids, ENCODED, keep=keep)
+    done = known_ids.encode_known(texts, ids, ENCODED, keep=kept_in(scratch(spark, "known-ids")))
     return done.select(F.col("row_key").alias("o_orderkey"), "encoded", F.size("found").alias("n_found"))
 
 

@@ -9,7 +9,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: UTC sessions make timestamps compare equal across engines; LAST_WIN gives maps dict semantics.
 SETTINGS = {
@@ -47,6 +47,16 @@ def scratch(spark: SparkSession, name: str) -> str:
     return _scratch[-1][1]
 
 
+def kept_in(folder: str):
+    """A function that writes a result below ``folder`` and reads it back, which cuts its lineage."""
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{folder}/{name}")
+        return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+    return keep
+
+
 _scratch: list[tuple[SparkSession, str]] = []
 
 

@@ -70,3 +70,26 @@ def test_a_hundred_thousand_ids(spark):
     known = dict(ids)
     for k, t in enumerate(texts):
         assert got[k] == re.sub(r"surgeon_\d{6}", lambda m: "HAWKID=" + known[m[0]] if m[0] in known else m[0], t)
+
+
+def test_rules_by_joins_equal_rules_by_lists(spark):
+    from pyspark.sql import functions as F
+
+    from casewright.operators import quality as Q
+    from casewright.plans import dq
+
+    sf = "/root/testdata/sf0.001"
+    users, sites, groups, surgeons = dq.registries(spark, sf)
+    flagged = Q.with_task_facts(Q.join_registries(dq.sheet(spark, sf), users, sites, groups, surgeons))
+    ids = spark.createDataFrame([(i, u, n) for n, (i, u) in enumerate(dq.IDS)], "id string, uid string, place bigint")
+    joined = Q.with_issues(Q.with_registry_facts(flagged, ids, surgeons), Q.sheet_rules(joined=True))
+    listed = dq.judged(spark, sf)
+    rows = lambda df: {r.row_id: [(i.rule, i.column, i.severity, i.message, i["values"]) for i in r.issues] for r in df.select("row_id", "issues").collect()}
+    assert rows(joined) == rows(listed)
+
+    def size(n):
+        many = spark.range(n).select(F.concat(F.lit("name_"), F.col("id").cast("string")).alias("NAME"))
+        known = many.select(F.col("NAME").alias("id"), F.lit("u").alias("uid"), F.monotonically_increasing_id().alias("place"))
+        return len(Q.with_issues(Q.with_registry_facts(flagged, known, many), Q.sheet_rules(joined=True))._jdf.queryExecution().optimizedPlan().toString())
+
+    assert abs(size(3) - size(5000)) < 2000
