@@ -218,6 +218,32 @@ def write_form(forms: DataFrame, folder: str) -> None:
     named.select("name", "value").write.mode("append").partitionBy("name").text(folder)
 
 
+def form_names(forms: DataFrame, there: DataFrame) -> DataFrame:
+    """``forms(name, value)`` with names that are free: one that ``there(name)`` has, or an earlier row, gets ``-copy``
+    before its extension, and a number from the second copy on."""
+    parts = [F.regexp_extract("name", r"^(.*?)(\.[^.]*)?$", i) for i in (1, 2)]
+    stem = there.select(F.regexp_replace("name", r"-copy\d*(\.[^.]*)?$", "$1").alias("name")).groupBy("name").agg(F.count("*").alias("old"))
+    rank = F.row_number().over(Window.partitionBy("name").orderBy("value")) - 1
+    counted = forms.select("name", "value", rank.alias("rank")).join(stem, "name", "left")
+    copy = F.col("rank") + F.coalesce("old", F.lit(0))
+    suffix = F.concat(F.lit("-copy"), F.when(copy > 1, copy.cast("string")).otherwise(""))
+    return counted.select(F.when(copy > 0, F.concat(parts[0], suffix, parts[1])).otherwise(F.col("name")).alias("name"), "value")
+
+
+def write_forms(forms: DataFrame, folder: str, subject: str | None = None) -> None:
+    """One file per form of ``forms(name, value)``, all or none, under free names; with ``subject``, the name of a column,
+    in a folder of each subject."""
+    spark = forms.sparkSession
+    place = F.concat(F.col(subject), F.lit("/"), "name") if subject else F.col("name")
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    exists = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path") if exists else spark.createDataFrame([], "path string")
+    below = 1 if subject is None else 2
+    there = listed.select(F.array_join(F.slice(F.split("path", "/"), -below, below), "/").alias("name"))
+    named = form_names(forms.select(place.alias("name"), "value"), there)
+    write_files(named.select(F.lit(None).cast("string").alias("archive"), "name", F.col("value").cast("binary").alias("content")), folder)
+
+
 def push_registries(tables: dict[str, DataFrame], root: str, stem: str, created_by: str, now: Column) -> str | None:
     """Puts the registry document in place of ``root/stem``; returns the backup's name, null for a first document.
 

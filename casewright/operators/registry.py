@@ -137,6 +137,24 @@ class Catalog:
         return self.with_table(name, spark.createDataFrame([], registry_schema(*(e.upper() for e in extras))))
 
 
+def seeded(spark, librarian: str, now: Column, sites: tuple[str, ...] = ("SITE_ONE", "SITE_TWO"), groups: tuple[str, ...] = (), surgeons: tuple[tuple[str, str, str, str], ...] = ()) -> Catalog:
+    """A new catalog of the six registries: the librarian as its user, the given sites, groups and surgeons
+    (name, first name, last name, middle initial), no subjects and no hashes.  Each UID belongs to table and name."""
+    from casewright.functions.uids import derived_uid
+    from casewright.schemas import REGISTRY_EXTRAS, registry_schema
+
+    rows = {"REGISTERED_USERS": [(librarian,)], "ACQUISITION_SITES": [(s,) for s in sites], "GROUPS": [(g,) for g in groups], "SURGEONS": list(surgeons)}
+    tables = {}
+    for name, extras in REGISTRY_EXTRAS.items():
+        schema = registry_schema(*extras)
+        given = ["NAME", *(extras if name == "SURGEONS" else ())]
+        df = spark.createDataFrame(rows.get(name, []), ", ".join(f"`{c}` string" for c in given)).withColumn("NAME", F.upper("NAME"))
+        stamp = {"UID": derived_uid(F.concat(F.lit(f"{name}:"), F.col("NAME"))), "CREATED_DATE_TIME": now.cast("string"), "CREATED_BY": derived_uid(F.lit(f"REGISTERED_USERS:{librarian.upper()}"))}
+        empty = {c: F.lit(None).cast("string") for c in extras if c not in given}
+        tables[name] = df.withColumns(stamp | empty).select(*schema.names)
+    return Catalog(tables)
+
+
 def register_user(users: DataFrame, librarians: DataFrame, caller: str, name: str, uid: str, now: Column) -> DataFrame:
     """A librarian adds a user; adding one twice changes nothing."""
     guard(caller, users, librarians)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from casewright.functions.uids import dotted, is_valid_uid, underscored
 from casewright.operators import registry as R
+from casewright.operators import search as Search
 from casewright.plans._register import Plans
 from casewright.sources.tables import table
 
@@ -148,7 +149,7 @@ LEFT JOIN nation ON n_nationkey = c_nationkey LEFT JOIN region ON r_regionkey =
 def registry_encode_subjects(spark, sf_dir):
     """A subject row gets its group and its group's site by two lookups."""
     n, r = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
-    out = table(spark, sf_dir, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey"), "left").join(r, F.col("n_regionkey") == F.col("r_regionkey"), "left")
+    out = Search.encoded_subjects(table(spark, sf_dir, "customer"), "c_nationkey", n, "n_nationkey", "n_regionkey", r, "r_regionkey")
     return out.select("c_custkey", F.col("r_name").alias("site"), F.col("n_name").alias("grp"))
 
 
@@ -197,7 +198,7 @@ def path_conflicts(spark, sf_dir):
 
 @plans.add("SELECT s_suppkey, repeat('*', length(s_name)) AS masked, strpos(s_name, '0') > 0 AS has_zero FROM supplier")
 def login_mask(spark, sf_dir):
-    return table(spark, sf_dir, "supplier").select("s_suppkey", F.repeat(F.lit("*"), F.length("s_name")).alias("masked"), F.contains("s_name", F.lit("0")).alias("has_zero"))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", Search.masked(F.col("s_name")).alias("masked"), F.contains("s_name", F.lit("0")).alias("has_zero"))
 
 
 @plans.add("""

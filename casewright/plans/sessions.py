@@ -9,6 +9,7 @@ from casewright.operators import headers as H
 from casewright.operators import labels as L
 from casewright.operators import publish as P
 from casewright.operators import sessions as S
+from casewright.operators.search import flag_counts
 from casewright.plans._register import Plans
 from casewright.sources.tables import table
 
@@ -125,10 +126,8 @@ SELECT source, count(*) FILTER (WHERE toxic = 1) AS n_toxic, count(*) FILTER (WH
 """)
 def session_flag_counts(spark, sf_dir):
     joined = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
-    return joined.groupBy("source").agg(
-        F.count_if(F.col("toxic") == 1).alias("n_toxic"), F.count_if(F.col("quality") == 1).alias("n_good"), F.count("*").alias("n"),
-        F.bool_or(F.col("toxic") == 1).alias("any_toxic"), F.bool_and(F.col("quality") == 1).alias("all_good"),
-    )
+    toxic, good = F.col("toxic") == 1, F.col("quality") == 1
+    return flag_counts(joined, "source", {"n_toxic": toxic, "n_good": good}, {"any_toxic": toxic}, {"all_good": good})
 
 
 @plans.add("""

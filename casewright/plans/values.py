@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from casewright.functions import images as I
@@ -11,6 +10,7 @@ from casewright.functions import timeutil as T
 from casewright.operators import headers as H
 from casewright.operators import paths as A
 from casewright.operators import positions as P
+from casewright.operators import search as Search
 from casewright.operators.predicates import compile_constraints
 from casewright.plans._register import Plans
 from casewright.sources.tables import table
@@ -110,9 +110,7 @@ def header_derived(spark, sf_dir):
 @plans.add("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
 def form_json(spark, sf_dir):
     """A JSON form read with a fixed schema, rendered and read again."""
-    once = F.from_json("props", "k bigint, absent string")
-    twice = F.from_json(F.to_json(once), "k bigint, absent string")
-    return table(spark, sf_dir, "events").select("event_id", twice["k"].alias("k"))
+    return table(spark, sf_dir, "events").select("event_id", Search.json_form(F.col("props"), "k bigint, absent string")["k"].alias("k"))
 
 
 @plans.add("SELECT page_id, regexp_extract(html, '<html lang=\"([a-z]+)\"', 1) AS label FROM pages")
@@ -142,12 +140,8 @@ WITH v AS (SELECT vec_id, embedding AS a, CAST(list_min(embedding) AS DOUBLE) AS
 SELECT vec_id, CAST(list_sum([CAST(floor((CAST(x AS DOUBLE) - lo) / (hi - lo) * 255) AS BIGINT) FOR x IN a]) AS BIGINT) AS total, round(list_avg(a), 5) AS gray FROM v
 """)
 def minmax_normalise(spark, sf_dir):
-    a = F.col("embedding")
-    low, high = F.array_min(a).cast("double"), F.array_max(a).cast("double")
-    levels = F.transform(a, lambda x: F.floor((x.cast("double") - low) / (high - low) * 255))
-    total = F.aggregate(levels, F.lit(0).cast("bigint"), lambda s, x: s + x)
-    mean = F.aggregate(a, F.lit(0.0), lambda s, x: s + x.cast("double")) / F.size(a)
-    return table(spark, sf_dir, "embeddings").select("vec_id", total.alias("total"), F.round(mean, 5).alias("gray"))
+    total = F.aggregate(Search.levels(F.col("embedding")), F.lit(0).cast("bigint"), lambda s, x: s + x)
+    return table(spark, sf_dir, "embeddings").select("vec_id", total.alias("total"), F.round(Search.mean(F.col("embedding")), 5).alias("gray"))
 
 
 @plans.add("SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 1 WHEN 1 THEN 8 WHEN 2 THEN 16 ELSE 64 END AS depth FROM orders")
@@ -214,22 +208,21 @@ def predicate_tree(spark, sf_dir):
 @plans.add("SELECT c_custkey, c_mktsegment FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
 def search_semi_join(spark, sf_dir):
     """Subjects of the matching sessions: a semi join instead of a list of ids."""
-    sessions = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select("o_custkey").distinct()
-    return table(spark, sf_dir, "customer").join(sessions, F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey", "c_mktsegment")
+    sessions = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'")
+    return Search.belonging_to(table(spark, sf_dir, "customer"), "c_custkey", sessions, "o_custkey").select("c_custkey", "c_mktsegment")
 
 
 @plans.add("SELECT o_orderkey AS expt_id, o_custkey AS subject_id, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS operation_date FROM orders")
 def search_projection(spark, sf_dir):
     """Drop, rename and keep lists."""
-    dropped = table(spark, sf_dir, "orders").drop("o_totalprice", "o_orderpriority", "o_orderstatus")
-    renamed = dropped.withColumnsRenamed({"o_orderkey": "expt_id", "o_custkey": "subject_id", "o_orderdate": "operation_date"})
-    keep = {"expt_id", "subject_id", "operation_date"}
-    return renamed.select([c for c in renamed.columns if c in keep]).withColumn("operation_date", F.to_date("operation_date").cast("string"))
+    names = {"o_orderkey": "expt_id", "o_custkey": "subject_id", "o_orderdate": "operation_date"}
+    found = Search.projected(table(spark, sf_dir, "orders"), ("o_totalprice", "o_orderpriority", "o_orderstatus"), names, ("expt_id", "subject_id", "operation_date", "absent"))
+    return found.withColumn("operation_date", F.to_date("operation_date").cast("string"))
 
 
 @plans.add("SELECT p_partkey, p_type FROM part WHERE contains(p_type, 'PROMO') OR contains(lower(p_name), 'ring')")
 def search_contains(spark, sf_dir):
-    return table(spark, sf_dir, "part").where(F.contains("p_type", F.lit("PROMO")) | F.contains(F.lower("p_name"), F.lit("ring"))).select("p_partkey", "p_type")
+    return Search.containing(table(spark, sf_dir, "part"), p_type="PROMO", p_name__any_case="Ring").select("p_partkey", "p_type")
 
 
 @plans.add("""
@@ -239,9 +232,7 @@ SELECT n_name, (CASE WHEN a THEN '1' ELSE '2' END) || chr(CAST(64 + rn AS INT))
 """)
 def procedure_codes(spark, sf_dir):
     """Names split in two classes, each lettered in order."""
-    first = F.contains(F.lower("n_name"), F.lit("a"))
-    number = F.row_number().over(Window.partitionBy(first).orderBy("n_name"))
-    return table(spark, sf_dir, "nation").select("n_name", F.concat(F.when(first, "1").otherwise("2"), F.char(64 + number)).alias("code"), number.cast("string").alias("option"))
+    return Search.coded_names(table(spark, sf_dir, "nation"), "n_name", F.contains(F.lower("n_name"), F.lit("a")))
 
 
 @plans.add("""
@@ -259,7 +250,7 @@ def path_build(spark, sf_dir):
 
 @plans.add("SELECT DISTINCT regexp_extract(url, '://([^/]+)/', 1) AS subject FROM pages")
 def distinct_subjects(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select(F.regexp_extract("url", "://([^/]+)/", 1).alias("subject")).distinct()
+    return Search.distinct_values(table(spark, sf_dir, "pages"), F.regexp_extract("url", "://([^/]+)/", 1), "subject")
 
 
 @plans.add("""
