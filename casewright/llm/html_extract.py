@@ -6,6 +6,12 @@ element, where copies of an article recur too, on ``article_share``) are templat
 elements that are never article text (navigation, forms, ...).  Pages are parsed once for the hashes and once for the text; what joins them is one
 row per subtree of a page and per template subtree of a host, never a host's list.
 
+What an article element is: the outermost one (or main) lifts the marks that class words have put on the elements
+around it, since page layouts are named after their parts; it never lifts those of tags (``aside``, ``footer``, ...), nor
+those of an element that is named, as a whole, after reader comments, related matter or the like.  An article so named
+itself, or inside the article, is such matter: it goes.  A form goes unless it wraps the page: an article, or most of three or
+more paragraphs.  An article's own ``header`` goes with what it holds, as headers do.
+
 Edge cases: null or empty html gives the empty text; broken or unclosed markup is closed where
 HTML closes it; pages without a host form one host; repeated page rows are all kept and count as one page;
 an empty table gives no rows.
@@ -55,6 +61,11 @@ DROP_WORDS = frozenset(
     "overlay search contentinfo complementary".split()
 )
 _SAFE = frozenset("html body main article h1 h2 h3 h4 h5 h6".split())
+#: Whole names of elements that hold articles which are not the page's: readers' and others'.
+SECONDARY = frozenset(
+    "comment comments commentlist comment-list comment-body comment-thread comments-area reply replies respond disqus disqus_thread "
+    "related related-posts recommended teaser teasers sidebar widget promo sponsored ad ads advertisement".split()
+)
 #: First parts of a class name that tell about a page's parts, and last parts that name article matter.
 _ABOUT = frozenset("has with without no not is".split())
 _MATTER = frozenset("article articles body content copy text story post price policy result results page".split())
@@ -69,6 +80,8 @@ class Page:
         self.tags: list[str] = ["#root"]
         self.parents: list[int] = [-1]
         self.dropped: list[bool] = [False]
+        self.by_name: list[bool] = [False]  # dropped by a class word, which an article inside may lift
+        self.secondary: list[bool] = [False]
         self.hashes: list[int] = [0]
         self.pieces: list[tuple[int, str | None]] = []  # a node's text, or None where a block begins or ends
         self._digests = {0: xxhash.xxh64(seed=1)}
@@ -80,10 +93,14 @@ class Page:
     def _open(self, tag: str, attributes: str, stack: list[int]) -> None:
         self.tags.append(tag)
         self.parents.append(stack[-1])
-        self.dropped.append(tag in DROP or _boilerplate(tag, attributes))
-        if tag in ("article", "main"):  # an element that holds the article is no boilerplate
-            for node in stack:
-                self.dropped[node] = False
+        aside = tag not in ("html", "body", "main") and _secondary(attributes)
+        named = _boilerplate(tag, attributes)
+        self.by_name.append(named and tag not in DROP)
+        self.secondary.append(aside)
+        self.dropped.append(tag in DROP or named or aside and tag == "article")
+        if tag in ("article", "main") and not aside and not self.within[stack[-1]] and not any(self.secondary[n] for n in stack):
+            for node in stack:  # an element that holds the article is no boilerplate
+                self.dropped[node] &= not self.by_name[node]
         self.hashes.append(0)
         self.textual.append(False)
         self.within.append(self.within[stack[-1]] or tag in ("article", "main"))
@@ -169,6 +186,20 @@ class Page:
         self._text(source[at:], stack)
         while len(stack) > 1:
             close()
+        self._keep_wrapping_forms()
+
+    def _keep_wrapping_forms(self) -> None:
+        """A form around the page's article, or around most of its paragraphs, is no form to fill in."""
+        if "form" not in self.tags:
+            return
+        paragraphs, articles = [t == "p" for t in self.tags], [t in ("article", "main") for t in self.tags]
+        below, holds = list(map(int, paragraphs)), articles.copy()
+        for i in range(len(self.tags) - 1, 0, -1):
+            below[self.parents[i]] += below[i]
+            holds[self.parents[i]] |= holds[i]
+        for i, tag in enumerate(self.tags):
+            if tag == "form" and (holds[i] or below[i] >= 3 and 2 * below[i] > below[0]):
+                self.dropped[i] = False
 
     def subtrees(self) -> set[int]:
         """Hashes of the element subtrees that hold text and could be template."""
@@ -206,6 +237,13 @@ class Page:
         return "\n\n".join(b for b in clean if b)
 
 
+def _secondary(attributes: str) -> bool:
+    """Whether some whole class name, id or role is one of ``SECONDARY``."""
+    if not attributes or "=" not in attributes:
+        return False
+    return any(name in SECONDARY for m in _ATTRIBUTE.finditer(attributes) for name in (m[2] or m[3] or m[4] or "").lower().split())
+
+
 def _boilerplate(tag: str, attributes: str) -> bool:
     if tag in _SAFE or not attributes or "=" not in attributes:
         return False

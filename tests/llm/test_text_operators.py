@@ -322,3 +322,19 @@ def test_token_rows_restore_all_texts(spark, frame, odd_rows):
     rows = sentencepiece_scan.token_rows(docs, model)
     assert all(len(r.ids) == r.n_tokens for r in rows.collect())
     assert sentencepiece_scan.token_rows(docs.limit(0), model).count() == 0
+
+
+@pytest.mark.parametrize(("source", "want"), [
+    ('<article><p>Main.</p></article><section id="comments"><ol class="comment-list"><li><article class="comment-body">Reader says hi</article></li></ol></section>', "Main."),
+    ('<article><p>Main.</p><div id="comments"><article class="comment">Reader</article></div></article>', "Main."),
+    ('<main><article><p>Main.</p></article></main><aside class="related"><article class="card">Other</article></aside>', "Main."),
+    ("<div><p>Main.</p></div><footer><article>Foot</article></footer>", "Main."),
+    ('<div class="header-layout"><article><h1>T</h1><p>Main.</p></article></div>', "T\n\nMain."),
+    ('<div class="comments"><article class="comment">x</article></div><p>Main.</p>', "Main."),
+    ("<form><p>One.</p><p>Two.</p><p>Three.</p><input></form>", "One.\n\nTwo.\n\nThree."),
+    ('<form id="page"><div><article><p>One.</p></article></div></form>', "One."),
+    ("<p>One.</p><form><p>Subscribe</p></form>", "One."),
+    ("<article><header><h1>Title</h1></header><p>One.</p></article>", "One."),
+])
+def test_articles_that_are_not_the_pages_go(source, want):
+    assert text(f"<html><body>{source}</body></html>") == want
