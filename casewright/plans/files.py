@@ -6,16 +6,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casewright.functions import timeutil
-from casewright.functions.text import ENCODED
+from casewright.functions.text import ENCODED, normalise_headers
 from casewright.functions.uids import derived_uid
 from casewright.operators import headers as H
 from casewright.operators import known_ids, templates
 from casewright.operators import publish as P
 from casewright.plans._register import Plans
 from casewright.session import kept_in, scratch
-from casewright.sources import dicom, listings, registry_json
+from casewright.schemas import INTAKE_FORM
+from casewright.sources import crowd, dicom, listings, registry_json
+from casewright.sources.case_sheet import CaseSheetSource, write_sheets
 from casewright.sources.file_sink import write_files, zip_members
-from casewright.sources.png import png_bytes
+from casewright.sources.png import label_image, png_bytes
 from casewright.sources.tables import table
 from casewright.streaming.new_hashes import new_hash_stream
 
@@ -179,6 +181,85 @@ def still_headers(spark, sf_dir):
     )
 
 
+# --- sheets, listings, forms -------------------------------------------------------------------------
+
+
+@plans.add("""
+SELECT n_name AS sheet, c_name AS "Filer HawkID", coalesce(nullif(c_mktsegment, 'BUILDING'), '') AS "Institution Name", CAST(c_custkey AS VARCHAR) || ' <&> ' AS "Diagnostic Notes"
+FROM customer JOIN nation ON n_nationkey = c_nationkey
+""")
+def sheet_scan(spark, sf_dir):
+    """Workbooks written, one for each nation, and scanned by the sheet source."""
+    folder = scratch(spark, "sheets")
+    c = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("n_nationkey") == F.col("c_nationkey"))
+    rows = c.select(
+        F.concat("n_name", F.lit(".xlsx")).alias("book"), F.col("c_custkey").alias("line"), F.col("n_name").alias("sheet"), F.col("c_name").alias("Filer\nHawkID"),
+        F.nullif("c_mktsegment", F.lit("BUILDING")).alias("Institution Name"), F.concat(F.col("c_custkey").cast("string"), F.lit(" <&> ")).alias("Diagnostic Notes"), F.lit("").alias("Unnamed: 3"),
+    )
+    write_sheets(rows, "book", "line", folder)
+    spark.dataSource.register(CaseSheetSource)
+    books = [r.name for r in rows.select(F.regexp_replace("book", " ", " ").alias("name")).distinct().orderBy("name").collect()]  # a list of nations
+    return normalise_headers(spark.read.format("case_sheet").load(",".join(f"{folder}/{b}" for b in books)))
+
+
+@plans.add("""
+WITH f AS (SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN '.dcm' WHEN 1 THEN '.DCM' WHEN 2 THEN '' WHEN 3 THEN '.jpg' WHEN 4 THEN '.JPEG' ELSE '.mp4' END AS ext FROM documents)
+SELECT doc_id, CASE WHEN ext IN ('.jpg', '.JPEG') THEN 'JPG' WHEN ext = '.mp4' THEN 'MP4' ELSE 'DICOM' END AS type, CASE WHEN ext = '.mp4' THEN doc_id % 12 = 5 END AS playable FROM f
+""")
+def file_listing(spark, sf_dir):
+    """Files of every kind written into folders, then listed by kind; videos by their first bytes."""
+    folder = scratch(spark, "listing")
+    k = F.col("doc_id") % 6
+    ext = F.when(k == 0, ".dcm").when(k == 1, ".DCM").when(k == 2, "").when(k == 3, ".jpg").when(k == 4, ".JPEG").otherwise(".mp4")
+    head = F.when(F.col("doc_id") % 12 == 5, F.concat(F.lit(b"\0\0\0\x18ftypisom"), F.col("text").cast("binary"))).otherwise(F.coalesce(F.col("text").cast("binary"), F.lit(b"")))
+    d = table(spark, sf_dir, "documents").select(F.concat(F.lit("s"), (F.col("doc_id") % 5).cast("string"), F.lit("/f"), F.col("doc_id").cast("string"), ext).alias("name"), head.alias("content"))
+    write_files(d.select(F.lit(None).cast("string").alias("archive"), "name", "content"), folder)
+    number = F.regexp_extract("path", r"/f(\d+)(\.\w+)?$", 1).cast("bigint").alias("doc_id")
+    dicoms = listings.dicom_files(spark, folder).select(number, F.lit("DICOM").alias("type"), F.lit(None).cast("boolean").alias("playable"))
+    media = listings.at_least_one(listings.media_files(spark, folder), "MP4").select(number, "type")
+    videos = listings.playable_videos(spark, folder).select(number, F.col("is_valid").alias("playable"))
+    return dicoms.unionByName(media.join(videos, "doc_id", "left"))
+
+
+@plans.add("""
+SELECT CAST(conv_id AS VARCHAR) || '.json' AS form, min_by(role, turn) AS quality, 'site ' || (conv_id % 3) AS site, CAST(NULL AS VARCHAR) AS title, sha256(min_by(text, turn)) AS notes FROM conversations GROUP BY conv_id
+""")
+def intake_forms(spark, sf_dir):
+    """Forms written as one file each, in the key order of their schema, and scanned with required and optional blocks."""
+    folder = scratch(spark, "forms")
+    c = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.min_by(F.struct("role", "text"), "turn").alias("first"))
+    inner = F.struct(F.concat(F.lit("site "), (F.col("conv_id") % 3).cast("string")).alias("INSTITUTION_NAME"), F.col("first.text").alias("DIAGNOSTIC_NOTES"))
+    form = F.to_json(F.struct(F.lit("2024-01-01").alias("OPERATION_DATE"), F.col("first.role").alias("SCAN_QUALITY"), inner.alias("SURGICAL_PROCEDURE_INFO")))
+    P.write_forms(c.select(F.concat(F.col("conv_id").cast("string"), F.lit(".json")).alias("name"), form.alias("value")), folder)
+    read = spark.read.schema(INTAKE_FORM).json(folder, multiLine=True).withColumn("path", F.col("_metadata.file_name"))
+    return read.select(
+        F.col("path").alias("form"), F.col("SCAN_QUALITY").alias("quality"), F.col("SURGICAL_PROCEDURE_INFO.INSTITUTION_NAME").alias("site"),
+        F.col("SKILLS_ASSESSMENT_INFO.ASSESSMENT_TITLE").alias("title"), F.sha2(F.col("SURGICAL_PROCEDURE_INFO.DIAGNOSTIC_NOTES").cast("binary"), 256).alias("notes"),
+    )
+
+
+@plans.add("""
+SELECT CAST(vec_id AS VARCHAR) AS hit, '7' AS batch, TIMESTAMP '2022-07-05 17:00:00' + to_seconds(vec_id % 60) AS accepted, 's3://x/' || vec_id || '.png' AS url,
+  sha256(array_to_string([repeat(lpad(to_hex(CAST(floor((greatest(least(CAST(x AS DOUBLE), 1.0), -1.0) + 1) * 127.5) AS BIGINT)), 2, '0'), 3) FOR x IN embedding], '')) AS pixels
+FROM embeddings WHERE len(embedding) = 64
+""")
+def crowd_results(spark, sf_dir):
+    """Result sheets of crowd labels with their images, written as CSV and scanned."""
+    folder = f"{scratch(spark, 'crowd')}/Batch_7_batch_results.csv"
+    e = table(spark, sf_dir, "embeddings").where(F.size("embedding") == 64)
+    second = F.lpad((F.col("vec_id") % 60).cast("string"), 2, "0")
+    own = {
+        "HITId": F.col("vec_id").cast("string"), "AcceptTime": F.concat(F.lit("Tue Jul 05 10:00:"), second, F.lit(" PDT 2022")),
+        "Input.image_url": F.concat(F.lit("s3://x/"), F.col("vec_id").cast("string"), F.lit(".png")),
+    }
+    image = F.base64(png_bytes(_pixels(F.col("embedding")), F.lit(_SIDE), F.lit(_SIDE)))
+    sheet = e.select(*(own.get(c, F.lit("x")).alias(c) for c in crowd.COLUMNS), F.regexp_replace(image, r"\s", "").alias("Answer.task.labeledImage.pngImageData"))
+    sheet.write.option("header", "true").csv(folder)
+    found = crowd.read_results(spark, folder)
+    raw = F.hex(label_image(F.col("image_base64"), _SIDE))  # gray pixels become three equal channels
+    return found.select(F.col("HITId").alias("hit"), "batch", F.col("AcceptTime").cast("timestamp_ntz").alias("accepted"), F.col("Input_image_url").alias("url"), F.sha2(raw.cast("binary"), 256).alias("pixels"))
+
+
 # --- text --------------------------------------------------------------------------------------------
 
 #: One date in many spellings, in SQL that both engines read.
