@@ -258,3 +258,29 @@ def test_planes_give_the_best_of_every_window(seed, k, reach):
         for w in range(3):
             want = sorted((i for i in range(60) if allowed[a, i] and low[a, w] <= exact[a, i] <= high[a, w]), key=lambda i: (-exact[a, i], ids[i]))[:k]
             assert [(x[2], x[3]) for x in found if x[:2] == (a, w)] == [(i, int(exact[a, i])) for i in want]
+
+
+# --- the pipeline on odd rows --------------------------------------------------------------------------
+
+
+def test_pipeline_stages_take_odd_rows(spark):
+    import corpus_pipeline as pipeline
+
+    columns = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    clean = " ".join(f"plain{i} words{i % 7} about{i * 3} gardens" for i in range(60))
+    long_ = " ".join(f"w{i * 7919 % 100_003}" for i in range(30_000))
+    odd = [(1_000_001, None), (1_000_002, ""), (1_000_003, " \t\n"), (None, "one lone text without an id"), (1_000_004, clean), (1_000_004, clean), (1_000_005, clean), (1_000_006, long_)]
+    rows = spark.createDataFrame([(i, t, None, None, None if t is None else len(t)) for i, t in odd], columns)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars").unionByName(rows).withColumn("key", F.lit(1)).withColumn("body", F.lit("x"))
+    given = docs.columns
+    for name, stage in pipeline.STAGES[:-1]:
+        before = {(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()}
+        docs = pipeline.staged(stage(spark, docs, SF), f"odd-{name}")
+        after = docs.collect()
+        assert docs.columns == given and {r.doc_id for r in after} <= {i for i, _ in before}, name
+        assert 1_000_006 in {r.doc_id for r in after} and all(r.n_chars == len(r.text) for r in after if r.text and name == "repeated_passages"), name
+        if name == "near_duplicates":
+            assert sum(r.text == clean for r in after) == 1
+        docs = docs.repartition(3)
+    tokens = pipeline.STAGES[-1][1](spark, docs, SF).collect()
+    assert len(tokens) == docs.count() and all(r.n_tokens == len(r.ids) for r in tokens)
