@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from casewright.functions.uids import dotted
 
 def find_column(columns: list[str], part: str) -> str:
     """The first column whose name holds ``part``."""
@@ -57,3 +58,30 @@ def segment_headers(df: DataFrame, key: str, order: str, worker: str, title: str
         F.lit("SegmentSequence"), F.array_join(F.transform(worker, lambda w, i: F.concat_ws(":", i.cast("string"), w)), ";"),
     )
     return lists.select(key, header.alias("header"))
+
+
+#: The class of structured reports, and the code that every item of one has for its text.
+REPORT_CLASS, TEXT_CODE = "1.2.840.10008.5.1.4.1.1.88.11", ("121071", "DCM", "Textual description")
+
+
+def report_header(uid: Column, group: Column, at: Column, notes: Column) -> Column:
+    """The header of a group's label file, as a map for ``dicom.encode``: an item of the content sequence for every note.
+
+    The person, the birth date and the sex are fixed, ``at`` is the time of the first label.
+    """
+    item = lambda i, rest: F.concat(F.lit("0040A730["), i.cast("string"), F.lit(f"].{rest}"))
+    entry = lambda path, kind, value: F.struct(path.alias("key"), F.struct(F.lit(kind).alias("vr"), value.alias("value")).alias("value"))
+    code, scheme, meaning = TEXT_CODE
+    fixed = {
+        "00020002": ("UI", F.lit(REPORT_CLASS)), "00020003": ("UI", dotted(uid)), "00020010": ("UI", F.lit("1.2.840.10008.1.2.1")),
+        "00080016": ("UI", F.lit(REPORT_CLASS)), "00080018": ("UI", dotted(uid)), "00080023": ("DA", F.date_format(at, "yyyyMMdd")), "00080033": ("TM", F.date_format(at, "HHmmss")),
+        "00080050": ("LO", group), "00080060": ("CS", F.lit("SR")), "00100010": ("PN", F.lit("REDACTED")), "00100020": ("LO", F.lit("REDACTED")), "00100030": ("DA", F.lit("19000101")), "00100040": ("CS", F.lit("O")),
+        "00280004": ("CS", F.lit("RGB")), "00280100": ("US", F.lit("8")), "00280101": ("US", F.lit("8")), "00280102": ("US", F.lit("7")), "00280103": ("US", F.lit("0")),
+    }
+
+    def items(note: Column, i: Column) -> Column:
+        below = {"0040A040": ("CS", F.lit("TEXT")), "0040A160": ("UT", note), "0040A043[0].00080100": ("SH", F.lit(code)), "0040A043[0].00080102": ("SH", F.lit(scheme)), "0040A043[0].00080104": ("LO", F.lit(meaning))}
+        return F.array(*(entry(item(i, rest), kind, value) for rest, (kind, value) in below.items()))
+
+    own = F.array(*(entry(F.lit(tag), kind, F.coalesce(value, F.lit(""))) for tag, (kind, value) in fixed.items()))
+    return F.map_from_entries(F.concat(own, F.flatten(F.transform(notes, items))))

@@ -10,6 +10,7 @@ from casewright.functions.text import ENCODED, normalise_headers
 from casewright.functions.uids import derived_uid
 from casewright.operators import headers as H
 from casewright.operators import known_ids, templates
+from casewright.operators import labels as L
 from casewright.operators import publish as P
 from casewright.plans._register import Plans
 from casewright.session import kept_in, scratch
@@ -260,6 +261,32 @@ def crowd_results(spark, sf_dir):
     return found.select(F.col("HITId").alias("hit"), "batch", F.col("AcceptTime").cast("timestamp_ntz").alias("accepted"), F.col("Input_image_url").alias("url"), F.sha2(raw.cast("binary"), 256).alias("pixels"))
 
 
+@plans.add("""
+WITH c AS (SELECT conv_id, turn, role, text FROM conversations),
+g AS (SELECT conv_id, count(*) AS n_items, string_agg(role || ' ' || turn, '|' ORDER BY turn, role, text) AS notes, string_agg(sha256(text), '' ORDER BY turn, role, text) AS pixels FROM c GROUP BY conv_id)
+SELECT conv_id, '2.25.' || conv_id AS uid, CAST(conv_id AS VARCHAR) AS hit, 'SR' AS modality, '20220705 101112' AS at, n_items, notes, n_items || ' x 32' AS size, pixels FROM g
+""")
+def label_files(spark, sf_dir):
+    """A report file per group of labels, written with its items and stacked images, listed and read back."""
+    folder = scratch(spark, "labels")
+    c = table(spark, sf_dir, "conversations").select("conv_id", F.struct("turn", "role", "text").alias("o"))
+    rows = c.groupBy("conv_id").agg(F.array_sort(F.collect_list("o")).alias("o"))
+    notes = F.transform("o", lambda r: F.concat_ws(" ", r["role"], r["turn"].cast("string")))
+    pixels = F.unhex(F.array_join(F.transform("o", lambda r: F.sha2(r["text"].cast("binary"), 256)), ""))
+    key = F.col("conv_id").cast("string")
+    header = L.report_header(F.concat(F.lit("2_25_"), key), key, F.lit("2022-07-05 10:11:12").cast("timestamp_ntz"), notes)
+    content = dicom.encode(header, F.size("o"), F.lit(32), pixels)
+    write_files(rows.select(F.lit(None).cast("string").alias("archive"), F.concat(F.lit("hits/"), key).alias("name"), content.alias("content")), folder)
+    h = listings.dicom_files(spark, folder, content=True).select(F.regexp_extract("path", r"/hits/(\d+)$", 1).cast("bigint").alias("conv_id"), dicom.decode(F.col("content")).alias("h"))
+    at = lambda tag: F.element_at("h.tags", F.lit(tag))["value"]
+    n = at("0040A730").cast("int")
+    texts = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.element_at(F.col("h.tags"), F.concat(F.lit("0040A730["), i.cast("string"), F.lit("].0040A160")))["value"])
+    return h.select(
+        "conv_id", at("00080018").alias("uid"), at("00080050").alias("hit"), at("00080060").alias("modality"), F.concat_ws(" ", at("00080023"), at("00080033")).alias("at"), n.cast("bigint").alias("n_items"),
+        F.array_join(texts, "|").alias("notes"), F.concat_ws(" x ", F.col("h.rows").cast("string"), F.col("h.cols").cast("string")).alias("size"), F.lower(F.hex("h.pixels")).alias("pixels"),
+    )
+
+
 # --- text --------------------------------------------------------------------------------------------
 
 #: One date in many spellings, in SQL that both engines read.
