@@ -121,6 +121,9 @@ def issue_sql() -> str:
         *(("R-27", "assessment_details", "W", f"{want} AND contains(assessment_details, '{i}')") for i in ("surgeon_3", "surgeon_4")),
         ("R-28", "radiology_date", "W", f"NOT {broken} AND lower(radiology_contacted) = 'y' AND {e('radiology_date')}"),
     ]
+    said = {"R-14": ("supervising", "supervising surgeon not registered"), "R-15": ("performing", "performing surgeon not registered"), "R-20": ("unnest([x FOR x IN keys IF NOT list_contains(known, x)])", "task of an unregistered surgeon"), "R-25": ("assessor", "assessor not registered")}
+    first = {r: (c, w) for r, c, s, w in reversed(rules) if s == "E"}
+    valued = "\nUNION ALL ".join(f"SELECT row_id, '{r}' AS rule, '{first[r][0]}' AS col, {v} AS value, '{m}' AS message FROM k WHERE {first[r][1]}" for r, (v, m) in said.items())
     unions = "\nUNION ALL ".join(f"SELECT row_id, '{r}' AS rule, '{c}' AS col, '{s}' AS severity FROM k WHERE {w}" for r, c, s, w in rules)
     return f"""
 WITH s AS ({SHEET}),
@@ -129,6 +132,7 @@ p AS (SELECT *, regexp_replace(regexp_replace(tasks, '^\\{{', ''), '\\}}$', '')
   (SELECT list('surgeon_' || CAST(n_nationkey AS STRING)) FROM nation WHERE n_nationkey < 15) AS known FROM s),
 k AS (SELECT *, tasks <> '' AND regexp_matches(tasks, '^\\{{.*\\}}$') AND NOT regexp_matches(trim(inside), '(^|;)\\s*[^:;]*(;|$)') AS readable,
   list_distinct([lower(trim(split_part(x, ':', 1))) FOR x IN string_split(inside, ';')]) AS keys FROM p),
+valued AS ({valued}),
 issues AS ({unions})
 """
 
@@ -254,13 +258,6 @@ def dq_prompt_ranges(spark, sf_dir):
     return sheet(spark, sf_dir).select("row_id", *(Q.in_prompt_range(c).alias(c) for c in Q.PROMPT_RANGES))
 
 
-@plans.add()
-def dq_suggestions(spark, sf_dir):
-    """Unregistered surgeons with the closest registered one."""
-    issues = Q.issues_long(judged(spark, sf_dir))
-    return Q.with_suggestions(issues, registries(spark, sf_dir)[3]).select("row_id", "rule", F.col("column").alias("col"), "value", "suggestion", "message")
-
-
 @plans.add(f"SELECT row_id, CAST(len(tasks) - len(replace(tasks, ':', '')) AS BIGINT) AS colons, CAST(len(tasks) - len(replace(tasks, ';', '')) AS BIGINT) AS semicolons FROM ({SHEET}) s")
 def task_char_counts(spark, sf_dir):
     return sheet(spark, sf_dir).select("row_id", X.count_char(F.col("tasks"), ":").cast("bigint").alias("colons"), X.count_char(F.col("tasks"), ";").cast("bigint").alias("semicolons"))
@@ -305,6 +302,15 @@ found AS (
 SELECT value, name, ratio FROM found WHERE ratio >= {cutoff} QUALIFY row_number() OVER (PARTITION BY value ORDER BY ratio DESC, name DESC) = 1"""
 
 
+@plans.add(issue_sql() + f"""
+SELECT v.row_id, v.rule, v.col, v.value, n.name AS suggestion, CASE WHEN n.name IS NULL THEN v.message ELSE v.message || '; did you mean ' || n.name || '?' END AS message
+FROM valued v LEFT JOIN ({nearest_sql("SELECT upper(value) AS value FROM valued", "SELECT upper('surgeon_' || CAST(n_nationkey AS STRING)) AS name FROM nation WHERE n_nationkey < 15")}) n ON n.value = upper(v.value)""")
+def dq_suggestions(spark, sf_dir):
+    """Unregistered surgeons with the closest registered one."""
+    issues = Q.issues_long(judged(spark, sf_dir))
+    return Q.with_suggestions(issues, registries(spark, sf_dir)[3]).select("row_id", "rule", F.col("column").alias("col"), "value", "suggestion", "message")
+
+
 #: Part names as they may be misspelt, in SQL that both engines read.
 MISSPELT = """SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN p_name WHEN 1 THEN substr(p_name, 2) WHEN 2 THEN concat(substr(p_name, 1, 3), 'x', substr(p_name, 4))
   WHEN 3 THEN concat(substr(p_name, 4), substr(p_name, 1, 3)) WHEN 4 THEN replace(p_name, 'l', 'll') ELSE concat('zq', substr(p_name, 6, 2)) END AS value FROM part"""
