@@ -64,7 +64,7 @@ _SAFE = frozenset("html body main article h1 h2 h3 h4 h5 h6".split())
 #: Whole names of elements that hold articles which are not the page's: readers' and others'.
 SECONDARY = frozenset(
     "comment comments commentlist comment-list comment-body comment-thread comments-area reply replies respond disqus disqus_thread "
-    "related related-posts recommended teaser teasers sidebar widget promo sponsored ad ads advertisement".split()
+    "related related-posts recommended".split()
 )
 #: First parts of a class name that tell about a page's parts, and last parts that name article matter.
 _ABOUT = frozenset("has with without no not is".split())
