@@ -13,7 +13,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from casewright.sources.file_sink import file_system
 
 SCHEMA = "path string, length bigint, head binary"
-PER_TASK = 512
+PER_TASK = 4096
 
 
 @dataclass

@@ -16,6 +16,7 @@ import io
 import uuid
 import zipfile
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -27,6 +28,7 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterComm
 
 SCHEMA = "archive string, name string, part int, content binary"
 PART = 1 << 22
+MOVERS = 16
 
 
 def file_system(path: str) -> tuple[pafs.FileSystem, str]:
@@ -36,6 +38,11 @@ def file_system(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
 
 
+def _move_all(system: pafs.FileSystem, moves: list[tuple[str, str]]) -> None:
+    for source, target in moves:
+        system.move(source, target)
+
+
 @dataclass
 class Written(WriterCommitMessage):
     """What one task attempt has written, relative to its folder."""
@@ -55,7 +62,8 @@ class FileWriter(DataSourceArrowWriter):
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         system, _, parts = self._open()
         folder = f"{parts}/{uuid.uuid4().hex}"
-        names: list[str] = []
+        names: dict[str, None] = {}  # in order, and looked up once per file
+        made: set[str] = set()
         target = archive = member = None
         now: tuple | None = None
 
@@ -77,9 +85,11 @@ class FileWriter(DataSourceArrowWriter):
         def open_target(name: str):
             if name in names:
                 raise ValueError(f"the rows of {name} are not together")
-            names.append(name)
+            names[name] = None
             at = f"{folder}/{name}"
-            system.create_dir(at.rpartition("/")[0], recursive=True)
+            if (parent := at.rpartition("/")[0]) not in made:
+                system.create_dir(parent, recursive=True)
+                made.add(parent)
             return system.open_output_stream(at)
 
         try:
@@ -103,7 +113,7 @@ class FileWriter(DataSourceArrowWriter):
             if target is not None:
                 target.close()
             raise
-        return Written(folder, names)
+        return Written(folder, list(names))
 
     def commit(self, messages: list[Written | None]) -> None:
         system, base, parts = self._open()
@@ -115,8 +125,10 @@ class FileWriter(DataSourceArrowWriter):
             raise FileExistsError(f"files are there already: {there[:3]}" if there else "two tasks wrote one file")
         for folder in sorted({target.rpartition("/")[0] for _, target in moves}):
             system.create_dir(folder, recursive=True)
-        for source, target in moves:
-            system.move(source, target)
+        # A rename on a disk takes microseconds; a store that answers slowly gets many moves at once.
+        with ThreadPoolExecutor(1 if isinstance(system, pafs.LocalFileSystem) else MOVERS) as pool:
+            for done in [pool.submit(_move_all, system, moves[i : i + 1024]) for i in range(0, len(moves), 1024)]:
+                done.result()
         self.abort(messages)
 
     def abort(self, messages: list[Written | None]) -> None:
@@ -154,10 +166,12 @@ def in_parts(files: DataFrame, size: int = PART) -> DataFrame:
 def write_files(files: DataFrame, path: str, mode: str = "append") -> None:
     """Writes ``files(archive, name, content)``; a null archive stands for a file of its own.
 
-    The files of an archive go to one task, in order of their names, and stream through it.
+    The files of an archive go to one task, in order of their names, and stream through it.  The number of tasks is
+    given, since many small files cost by their number and would else be dealt by their bytes, to a task or two.
     """
     whole = F.coalesce("archive", "name")
-    write_rows(in_parts(files).repartition(whole).sortWithinPartitions(whole, "name", "part"), path, mode)
+    tasks = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    write_rows(in_parts(files).repartition(tasks, whole).sortWithinPartitions(whole, "name", "part"), path, mode)
 
 
 def write_rows(parts: DataFrame, path: str, mode: str = "append") -> None:
