@@ -12,6 +12,7 @@ from casewright.operators import headers as H
 from casewright.operators import known_ids, templates
 from casewright.operators import labels as L
 from casewright.operators import publish as P
+from casewright.operators.digest import ordered_digest
 from casewright.plans._register import Plans
 from casewright.session import kept_in, scratch
 from casewright.schemas import INTAKE_FORM
@@ -354,10 +355,11 @@ def registry_document(spark, sf_dir):
     registry_json.write_document({"SUBJECTS": subjects, "GROUPS": groups, "IMAGE_HASHES": hashes}, path, "2_25_1", F.lit("2024-01-02"))
     _, tables = registry_json.read_registries(spark, path)
 
+    digests = scratch(spark, "digests")
+
     def row(name: str, value: str) -> DataFrame:
-        lines = tables[name].select("NAME", F.concat_ws(":", "NAME", value).alias("line"))
-        text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("NAME", "line"))), lambda x: x["line"]), "|")
-        return lines.agg(F.count("*").alias("n"), F.sha2(text.cast("binary"), 256).alias("digest")).select(F.lit(name).alias("name"), "n", "digest")
+        line = F.concat_ws(":", "NAME", value)
+        return ordered_digest(tables[name], line, "NAME", separator="|", folder=f"{digests}/{name}").select(F.lit(name).alias("name"), "n", "digest")
 
     return row("SUBJECTS", "ACQUISITION_SITE").unionByName(row("IMAGE_HASHES", "SUBJECT")).unionByName(row("GROUPS", "UID"))
 

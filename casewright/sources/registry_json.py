@@ -5,12 +5,14 @@ from __future__ import annotations
 import uuid
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from casewright.schemas import REGISTRY_COLUMNS, REGISTRY_EXTRAS, registry_schema
-from casewright.sources.file_sink import write_rows
+from casewright.sources.file_sink import file_system, write_rows
+from casewright.sources.json_ranges import table_rows
 
 _METADATA = T.StructType(
     [T.StructField(n, T.StringType()) for n in ("CREATED", "LAST_MODIFIED", "CREATED_BY")]
@@ -24,11 +26,22 @@ def document_schema(extras: dict[str, tuple[str, ...]]) -> T.StructType:
 
 
 def read_registries(spark: SparkSession, path: str, extras: dict[str, tuple[str, ...]] | None = None) -> tuple[DataFrame, dict[str, DataFrame]]:
-    """(metadata, table by name); extra columns absent from the file are null, absent tables empty."""
+    """(metadata, table by name); extra columns absent from the file are null, absent tables empty.
+
+    The rows are read by byte ranges, so a document may be of any size; where only Spark's readers reach the path, it is
+    parsed as one JSON value.
+    """
     extras = REGISTRY_EXTRAS if extras is None else extras
     document = spark.read.schema(document_schema(extras)).json(path, multiLine=True)
-    tables = {n: document.select(F.explode(F.col("tables")[n]).alias("r")).select("r.*") for n in extras}
-    return document.select("metadata.*"), tables
+    files = [(r.path, r.length) for r in spark.read.format("binaryFile").load(path).select("path", "length").orderBy("path").collect()]  # one, or a few
+    try:
+        for name, _ in files:
+            file_system(name)
+    except (pa.ArrowInvalid, OSError):
+        return document.select("metadata.*"), {n: document.select(F.explode(F.col("tables")[n]).alias("r")).select("r.*") for n in extras}
+    rows = table_rows(spark, files)
+    read = lambda n, x: rows.where(F.col("name") == n).select(F.from_json(F.col("row").cast("string"), registry_schema(*x)).alias("r")).select("r.*")
+    return document.select("metadata.*"), {n: read(n, x) for n, x in extras.items()}
 
 
 def document_text(tables: dict[str, DataFrame], created_by: str, now, created=None) -> DataFrame:
