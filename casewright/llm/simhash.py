@@ -189,9 +189,13 @@ def _edges(found: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
 
-def similar_classes(docs: DataFrame, similarity: float = 0.8, hot: int = 16) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Classes at ``similarity`` (Jaccard) or more of the sets of five-word shingles: the rows with their set's hash
-    (``doc_id, key_text, fp``), the first row of every set (``fp, row``), and ``node, component`` over the sets.
+def similar_classes(docs: DataFrame, similarity: float = 0.8, hot: int = 16, distance: int | None = 2) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Classes of near copies: the rows with their set's hash (``doc_id, key_text, fp``), the first row of every set
+    (``fp, row``), and ``node, component`` over the sets.
+
+    Two relations link, and a class is what either reaches: SimHash fingerprints of three-word shingles that differ by
+    ``distance`` bits or fewer (as ``near_duplicates`` links them, by blocks and stars), and sets of five-word shingles
+    whose similarity (Jaccard) is ``similarity`` or more, which finds the copies that many edits take further apart.
 
     Equal sets are collapsed.  Candidates share one of ``BANDS`` keys of minima, and are linked only by the
     exact similarity of their sets, which are made again from the texts of the candidates alone.  A
@@ -200,10 +204,12 @@ def similar_classes(docs: DataFrame, similarity: float = 0.8, hot: int = 16) ->
 
     def run(batches):
         for batch in batches:
-            sets = list(shingle_sets([t or "" for t in batch["text"].to_pylist()]))
+            given = batch["text"].to_pylist()
+            sets = list(shingle_sets([t or "" for t in given]))
             fp = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64).astype(np.int64)
+            sim = np.array([0 if distance is None else fingerprint(t) for t in given], np.uint64).astype(np.int64)
             keys = pa.array([band_keys(s).astype(np.int64) for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["key_text"], pa.array(fp), pa.array([len(s) for s in sets], pa.int32()), keys], ["doc_id", "key_text", "fp", "size", "keys"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["key_text"], pa.array(fp), pa.array(sim), pa.array([len(s) for s in sets], pa.int32()), keys], ["doc_id", "key_text", "fp", "sim", "size", "keys"])
 
     def remake(batches):
         for batch in batches:
@@ -234,7 +240,7 @@ def similar_classes(docs: DataFrame, similarity: float = 0.8, hot: int = 16) ->
             yield _edges(_crowd_links(sets, np.array(nodes), similarity))
 
     texts = docs.select("doc_id", "text", _text_key().alias("key_text"))
-    prints = staged(texts.mapInArrow(run, "doc_id bigint, key_text bigint, fp bigint, size int, keys array<bigint>"), "minima")
+    prints = staged(texts.mapInArrow(run, "doc_id bigint, key_text bigint, fp bigint, sim bigint, size int, keys array<bigint>"), "minima")
     nodes = prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key_text")).alias("row"), F.first("size").alias("size"), F.first("keys").alias("keys"))
     keyed = nodes.select("fp", "row", "size", F.explode("keys").alias("key"))
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
@@ -250,17 +256,32 @@ def similar_classes(docs: DataFrame, similarity: float = 0.8, hot: int = 16) ->
     both = pairs.join(sets, "fp").join(sets.select(F.col("fp").alias("fp_b"), F.col("shingles").alias("shingles_b")), "fp_b")
     crowd = met.where(F.col("n") > hot).join(sets, "fp").select("key", "fp", "shingles").repartition("key").sortWithinPartitions("key", "fp")
     edges = "a bigint, b bigint"
-    joined = components(both.select(F.col("fp").alias("a"), F.col("fp_b").alias("b"), "shingles", "shingles_b").mapInArrow(verify, edges).unionByName(crowd.mapInArrow(crowds, edges)))
+    linked = both.select(F.col("fp").alias("a"), F.col("fp_b").alias("b"), "shingles", "shingles_b").mapInArrow(verify, edges).unionByName(crowd.mapInArrow(crowds, edges))
+    if distance is not None:
+        linked = linked.unionByName(_fingerprint_links(prints, distance))
+    joined = components(linked)
     return prints.select("doc_id", "key_text", "fp"), nodes.select("fp", "row"), joined
 
 
+def _fingerprint_links(prints: DataFrame, distance: int) -> DataFrame:
+    """Links between the sets (``fp``) of rows whose fingerprints (``sim``) are equal or ``distance`` bits apart: a set
+    to the least of its fingerprint, and those of linked fingerprints to one another."""
+    pairs = prints.select("fp", "sim").distinct()
+    least = staged(pairs.groupBy("sim").agg(F.min("fp").alias("least")), "least")
+    equal = pairs.join(least, "sim").where("fp != least").select(F.col("fp").alias("a"), F.col("least").alias("b"))
+    met = links(least.select(F.col("sim").alias("node"), F.col("sim").alias("fp")), distance)
+    one, other = least.select(F.col("sim").alias("a"), F.col("least").alias("x")), least.select(F.col("sim").alias("b"), F.col("least").alias("y"))
+    return equal.unionByName(met.join(one, "a").join(other, "b").select(F.col("x").alias("a"), F.col("y").alias("b")))
+
+
 def _text_key():
     return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
 def similar_groups(docs: DataFrame, similarity: float = 0.8, hot: int = 16) -> DataFrame:
-    """``doc_id, component_id``: for every row the smallest id of its class (null where no row has an id)."""
-    prints, nodes, joined = similar_classes(docs, similarity, hot)
+    """``doc_id, component_id``: for every row the smallest id of its class by ``similarity`` alone (null where no row
+    has an id)."""
+    prints, nodes, joined = similar_classes(docs, similarity, hot, None)
     classes = staged(_least_ids(nodes.select("fp", F.col("row.doc_id").alias("doc")), joined), "classes")
     return prints.join(classes, "fp", "left").select("doc_id", "component_id")
 

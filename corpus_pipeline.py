@@ -22,7 +22,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of every group of exact and near copies."""
+    """The document with the smallest id of every group of exact and near copies: SimHash fingerprints two bits apart
+    or fewer, by blocks, and the wider similarity of shingle sets beside them."""
     return simhash.keep_one_of_each(docs)
 
 
