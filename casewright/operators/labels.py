@@ -34,11 +34,22 @@ def two_hop(df: DataFrame, digest: str, hashes: DataFrame, subjects: DataFrame)
     return df.join(first, F.upper(F.col(digest)) == F.col("__hash")).join(second, F.col("subject_uid") == F.col("__uid")).drop("__hash", "__uid")
 
 
-def group_validity(labels: DataFrame, key: str, digest: str, hashes: DataFrame) -> DataFrame:
-    """Per key its labels, its different images, and whether the registry (``NAME``) knows every image."""
-    known = hashes.select(F.col("NAME").alias("__known")).distinct()
-    joined = labels.select(key, digest).join(known, F.col(digest) == F.col("__known"), "left")
-    return joined.groupBy(key).agg(F.count("*").alias("n_labels"), F.bool_and(F.col("__known").isNotNull()).alias("is_valid"), F.countDistinct(digest).alias("n_images"))
+#: Labels in one task of a grouped check.
+TASK_ROWS = 1 << 19
+
+
+def group_validity(labels: DataFrame, key: str, digest: str, hashes: DataFrame, task_rows: int = TASK_ROWS) -> DataFrame:
+    """Per key its labels, its different images, and whether the registry (``NAME``) knows every image.
+
+    The labels are dealt over as many tasks as their number asks for, by image and then by group, so what a task sorts
+    and counts does not grow with the input; within a group equal images become one row before they are counted.
+    """
+    spark = labels.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-labels.count() // task_rows))
+    known = hashes.select(F.col("NAME").alias("__known")).repartition(tasks, "__known").distinct()
+    joined = labels.select(key, digest).repartition(tasks, digest).join(known, F.col(digest) == F.col("__known"), "left")
+    images = joined.repartition(tasks, key).groupBy(key, digest).agg(F.count("*").alias("__n"), F.bool_and(F.col("__known").isNotNull()).alias("__ok"))
+    return images.groupBy(key).agg(F.sum("__n").alias("n_labels"), F.bool_and("__ok").alias("is_valid"), F.count(digest).alias("n_images"))
 
 
 def batch_id(path: Column) -> Column:
