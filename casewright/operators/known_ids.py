@@ -4,6 +4,8 @@ The rule is sequential: every known id that the text holds becomes a prefix and
 registry's order; ids are plain substrings, without word boundaries.  The plan does not grow with the registry: ids
 and texts meet in an equality join on n-grams.  An id is filed under the gram of it that the fewest ids share (its
 whole, where it is shorter than a gram), a text under its distinct grams, and an id is met where the text contains it.
+A text has some fifty grams and few of them file an id, so before they are shuffled they pass a bitmap of the index's
+hashed grams, of a fixed size whatever the registry: it drops only grams that file nothing.
 
 A replacement may bring up a later id that was not there before.  So the join is repeated over the texts in between, of
 the rows that changed, until no further id comes up: then every id that the sequential rule would meet has been met,
@@ -21,6 +23,8 @@ from pyspark.sql.window import Window
 from casewright.functions.text import ENCODED
 
 GRAM = 6
+#: Bits of the map that texts' grams pass: at most 524,288 words of 64.
+BITS = 1 << 25
 _ROUNDS = 20
 
 
@@ -40,10 +44,26 @@ def gram_index(ids: DataFrame, size: int = GRAM) -> DataFrame:
     return best.select(F.col("of.gram").alias("gram"), "id", "uid", "place")
 
 
-def met_ids(texts: DataFrame, index: DataFrame, sizes: list[int]) -> DataFrame:
+def _bit() -> Column:
+    return F.pmod(F.xxhash64("gram"), F.lit(BITS))
+
+
+def gram_bits(index: DataFrame) -> DataFrame:
+    """``#word, bits``: which hashed grams the index has, 64 to a word."""
+    own = index.select(_bit().alias("bit")).select(F.shiftright("bit", 6).alias("#word"), F.expr("shiftleft(1L, CAST(bit % 64 AS INT))").alias("one"))
+    return own.groupBy("#word").agg(F.bit_or("one").alias("bits"))
+
+
+def _filed_somewhere(filed: DataFrame, bits: DataFrame) -> DataFrame:
+    """The rows of ``filed(row_key, gram)`` whose gram the index may have."""
+    met = filed.withColumn("#bit", _bit()).join(F.broadcast(bits), F.shiftright("#bit", 6) == F.col("#word"))  # of a fixed size
+    return met.where(F.expr("(shiftrightunsigned(bits, CAST(`#bit` % 64 AS INT)) & 1) = 1")).select("row_key", "gram")
+
+
+def met_ids(texts: DataFrame, index: DataFrame, sizes: list[int], bits: DataFrame | None = None) -> DataFrame:
     """``row_key, id, uid, place`` of the indexed ids that ``texts(row_key, text)`` contain."""
     own = F.array_distinct(F.flatten(F.array(*(grams(F.col("text"), n) for n in sizes)))) if sizes else F.array().cast("array<string>")
-    filed = texts.select("row_key", F.explode(own).alias("gram"))
+    filed = _filed_somewhere(texts.select("row_key", F.explode(own).alias("gram")), gram_bits(index) if bits is None else bits)
     near = filed.join(index, "gram").select("row_key", "id", "uid", "place").distinct()
     return near.join(texts, "row_key").where(F.contains("text", F.col("id"))).select("row_key", "id", "uid", "place").distinct()
 
@@ -68,12 +88,12 @@ def encode_known(texts: DataFrame, ids: DataFrame, prefix: str = ENCODED, size:
     keep = keep or (lambda df, _: df)
     index = keep(gram_index(ids, size), "gram-index")
     sizes = sorted(r.n for r in index.select(F.length("gram").alias("n")).distinct().collect())  # at most ``size`` numbers
-    own = texts.select("row_key", "text")
-    met = keep(met_ids(own, index, sizes), "met-0")
+    own, bits = texts.select("row_key", "text"), keep(gram_bits(index), "gram-bits")
+    met = keep(met_ids(own, index, sizes, bits), "met-0")
     for number in range(1, _ROUNDS):
         between = _applied(own.join(met.select("row_key").distinct(), "row_key", "left_semi"), met, prefix).select("row_key", F.explode("state.seen").alias("text"))
         keyed = between.select(F.struct("row_key", F.xxhash64("text").alias("h")).alias("row_key"), "text")
-        more = met_ids(keyed, index, sizes).select(F.col("row_key.row_key").alias("row_key"), "id", "uid", "place").distinct()
+        more = met_ids(keyed, index, sizes, bits).select(F.col("row_key.row_key").alias("row_key"), "id", "uid", "place").distinct()
         new = keep(more.join(met.select("row_key", "id"), ["row_key", "id"], "left_anti"), f"met-{number}")
         if new.isEmpty():
             break
