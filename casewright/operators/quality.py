@@ -72,14 +72,15 @@ def issues_long(judged: DataFrame) -> DataFrame:
     return judged.select("row_id", F.explode_outer("issues").alias("i")).where("i IS NOT NULL").select("row_id", "i.*")
 
 
-def with_suggestions(issues: DataFrame, known: list[str] | DataFrame, cutoff: float = 0.6) -> DataFrame:
+def with_suggestions(issues: DataFrame, known: list[str] | DataFrame, cutoff: float = 0.6, keep=None) -> DataFrame:
     """Issues with offending values, one row per value, with the closest of ``known`` (or null) and the message that
     asks for it.  Only distinct values are compared.  ``known`` is a registry's frame with a column NAME, of any size, or
-    a short list of names."""
+    a short list of names.  ``keep(df, name)`` may write the distinct values and read them back, so that the issues are
+    not worked out for every step that reads them."""
     given = issues.where(F.size("values") > 0).select("*", F.explode("values").alias("value")).drop("values")
     if isinstance(known, DataFrame):
-        values = given.select("value", F.upper("value").alias("upper")).distinct()
-        found = nearest(values.select(F.col("upper").alias("value")), known.select(F.upper("NAME").alias("name")), cutoff)
+        values = (keep or (lambda df, _: df))(given.select("value", F.upper("value").alias("upper")).distinct(), "offending")
+        found = nearest(values.select(F.col("upper").alias("value")), known.select(F.upper("NAME").alias("name")), cutoff, keep)
         close = values.join(found.select(F.col("value").alias("upper"), F.col("name").alias("suggestion")), "upper").select("value", "suggestion")
     else:
         close = given.select("value").distinct().withColumn("suggestion", X.close_match([k.upper() for k in known], cutoff)(F.upper("value")))

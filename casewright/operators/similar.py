@@ -82,9 +82,12 @@ def candidate_pairs(values: DataFrame, names: DataFrame, cutoff: float = CUTOFF)
 def nearest(values: DataFrame, names: DataFrame, cutoff: float = CUTOFF, keep=None) -> DataFrame:
     """``value, name, ratio``: for each distinct value the most similar name, if its ratio reaches ``cutoff``.
 
-    ``keep(df, name)`` may write the pairs and read them back, since they are read twice.
+    ``keep(df, name)`` may write the distinct values and names and the pairs and read them back, since they are read
+    several times over, and what they come from is worked out anew each time.
     """
-    pairs = (keep or (lambda df, _: df))(candidate_pairs(values, names, cutoff), "pairs")
+    keep = keep or (lambda df, _: df)
+    values, names = keep(values.select("value").distinct(), "values"), keep(names.select("name").distinct(), "names")
+    pairs = keep(candidate_pairs(values, names, cutoff), "pairs")
     first = pairs.groupBy("value").agg(F.max(F.struct("bound", "name")).alias("top")).select("value", F.col("top.name").alias("name"))
     reached = first.select(F.col("value").alias("of"), ratio(F.col("value"), F.col("name")).alias("reached"))
     open_ = pairs.join(reached, F.col("value") == F.col("of")).where(F.col("bound") >= F.greatest("reached", F.lit(cutoff)))

@@ -308,7 +308,7 @@ FROM valued v LEFT JOIN ({nearest_sql("SELECT upper(value) AS value FROM valued"
 def dq_suggestions(spark, sf_dir):
     """Unregistered surgeons with the closest registered one."""
     issues = Q.issues_long(judged(spark, sf_dir))
-    return Q.with_suggestions(issues, registries(spark, sf_dir)[3]).select("row_id", "rule", F.col("column").alias("col"), "value", "suggestion", "message")
+    return Q.with_suggestions(issues, registries(spark, sf_dir)[3], keep=kept_in(scratch(spark, "suggestions"))).select("row_id", "rule", F.col("column").alias("col"), "value", "suggestion", "message")
 
 
 #: Part names as they may be misspelt, in SQL that both engines read.
@@ -321,7 +321,7 @@ def fuzzy_nearest(spark, sf_dir):
     """Misspelt part names with the closest registered one, by a similarity join on the distinct names."""
     part = table(spark, sf_dir, "part")
     given = spark.sql(MISSPELT.replace("FROM part", "FROM {part}"), part=part)
-    return given.join(nearest(given, part.select(F.col("p_name").alias("name"))), "value", "left").select("p_partkey", "value", "name", "ratio")
+    return given.join(nearest(given, part.select(F.col("p_name").alias("name")), keep=kept_in(scratch(spark, "nearest"))), "value", "left").select("p_partkey", "value", "name", "ratio")
 
 
 @plans.add(f"""
@@ -330,7 +330,7 @@ LEFT JOIN ({nearest_sql(f"SELECT supervising AS value FROM ({SHEET}) s WHERE sup
 def fuzzy_suggest(spark, sf_dir):
     """The closest identifier of the registry, by matching blocks."""
     odd = sheet(spark, sf_dir).select("row_id", "supervising").where("supervising <> ''")
-    found = nearest(odd.select(F.col("supervising").alias("value")), registries(spark, sf_dir)[3].select(F.col("NAME").alias("name")))
+    found = nearest(odd.select(F.col("supervising").alias("value")), registries(spark, sf_dir)[3].select(F.col("NAME").alias("name")), keep=kept_in(scratch(spark, "suggest")))
     return odd.join(found.select(F.col("value").alias("supervising"), F.col("name").alias("suggestion")), "supervising", "left").select("row_id", "supervising", "suggestion")
 
 
