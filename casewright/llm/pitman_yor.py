@@ -8,18 +8,19 @@ dish has a closed form: with c customers and t tables its weight is
 S(c, t) = G(2c - t) 4^(t - c) / (G(c - t + 1) G(t)) (G: gamma).
 
 Seating is sampled in two rounds.  In the first every dish has one table, which fixes the parent's customers
-and so the words' probabilities.  In the second Gibbs sweeps draw the tables t of every dish of every context
-given the parent's probability and the tables of the other dishes in the first round (Metropolis steps); their
-averages over the sweeps after burn-in go up as the parent's customers.  The predictive probability is linear in
-the tables, so the probability of the averages is the average over the sweeps.  Random numbers are hashes of
-(context, word, sweep): the result depends on the texts alone, not on partitions or buckets.
+and so the words' probabilities.  In the second Gibbs sweeps draw the tables of every dish of every context given
+the parent's probability and the restaurant's current tables (``gibbs``); their averages over the sweeps after
+burn-in go up as the parent's customers.  The parent stays as it is during the sweeps.  The predictive probability is
+linear in the tables, so the probability of the averages is the average over the sweeps.  Random numbers are hashes
+of (context, word, sweep): the result depends on the texts alone, not on partitions or buckets.
 
 Scale.  Nothing is collected but the contexts that are too frequent for one bucket.  A chunk of documents sends
 one row to each bucket of contexts that it has words for: its distinct (context, word) pairs and which document
 has them how often, so rows are never more than those pairs.  Buckets exchange with parts of the parent one row
 each way per part they have words for: customers and tables up, counts and probabilities back.  A context with
 more than a quarter of a bucket is split by its words over several buckets, which exchange their tables in the
-same way.  A bucket holds about ``bucket_bytes`` of text, a part as many words.
+same way; its sweeps are run in one task, to which every bucket sends the context's words that follow it more than
+once, each word once as about 20 bytes whatever its count, and which sends one number per sweep back.  A bucket holds about ``bucket_bytes`` of text, a part as many words.
 
 Edge cases: null and empty texts are one end token; equal rows are all kept and all count; without training
 documents every word is unseen and both scores are 0; a null id is scored and trains as the empty text's fold says.
@@ -41,6 +42,7 @@ from casewright.llm._common import fold, mix, staged, table, word_hashes
 CONCENTRATION, DISCOUNT = 1.0, 0.5
 END_HASH = np.uint64(0x0DDC0FFEE0DDF00D)
 WORDS, CONTEXTS = 0, 1  # what the rows between buckets and parts are about
+DRAWN = 3  # the round of the rows with a split context's variables
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -58,47 +60,132 @@ def seating_weight(c: np.ndarray, t: np.ndarray, log_parent: np.ndarray, other:
     return stirling + total * math.log(0.5) + log_gamma(2 * CONCENTRATION + total) + t * log_parent
 
 
-def likely_tables(c: np.ndarray, log_parent: np.ndarray, other: np.ndarray) -> np.ndarray:
-    """The most likely number of tables, by bisection on the log-concave weight."""
-    low, high = np.ones_like(c), c.copy()
-    while (open_ := low < high).any():
-        mid = np.floor((low + high) / 2)
-        up = np.zeros(len(c), bool)
-        i = np.flatnonzero(open_)
-        up[i] = seating_weight(c[i], mid[i] + 1, log_parent[i], other[i]) > seating_weight(c[i], mid[i], log_parent[i], other[i])
-        low, high = np.where(open_ & up, mid + 1, low), np.where(open_ & ~up, mid, high)
-    return low
-
-
 def _uniform(name: np.ndarray, number: int) -> np.ndarray:
     """A number in (0, 1) for every name, anew for every ``number``."""
     h = mix(name + np.uint64(number * 0x9E3779B97F4A7C15 % (1 << 64)))
     return ((h >> np.uint64(11)).astype(np.float64) + 0.5) / float(1 << 53)
 
 
-def seat(c: np.ndarray, log_parent: np.ndarray, others: np.ndarray, name: np.ndarray, burn: int = 2, samples: int = 4) -> np.ndarray:
-    """Mean tables per dish over the sweeps after ``burn``, for c >= 1 customers and ``others`` tables of the
-    restaurant's other dishes; ``name`` is the hash that a dish's random numbers come from."""
-    t = np.ones(len(c))
-    movable = np.flatnonzero(c > 1)
-    if not len(movable):
-        return t
-    cm, lm, om, nm = c[movable].astype(np.float64), log_parent[movable], others[movable], name[movable]
-    tm = likely_tables(cm, lm, om)
-    weight, reach, mean = seating_weight(cm, tm, lm, om), 1.0 + cm**0.25, np.zeros(len(cm))
+def gamma_draws(shape: np.ndarray, name: np.ndarray, sweep: int) -> np.ndarray:
+    """Gamma variables of these shapes (over 1) by Marsaglia and Tsang, from the names' random numbers of a sweep."""
+    out, left, number = np.empty(len(shape)), np.arange(len(shape)), (sweep + 1) << 20
+    while len(left):
+        d, own = shape[left] - 1 / 3, name[left]
+        x = np.sqrt(-2 * np.log(_uniform(own, number))) * np.cos(2 * np.pi * _uniform(own, number + 1))
+        v = (1 + x / np.sqrt(9 * d)) ** 3
+        ok = (v > 0) & (np.log(_uniform(own, number + 2)) < 0.5 * x * x + d - d * v + d * np.log(np.where(v > 0, v, 1.0)))
+        out[left[ok]] = (d * v)[ok]
+        left, number = left[~ok], number + 3
+    return out
+
+
+FEW, CELLS = 16, 1 << 20  # customers up to which every number of tables is tried; numbers tried at once
+
+
+def likely_tables(c: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Where t + 1 tables of c customers become as likely as t: the ratio 4 x (c - t) / ((2 c - t - 1) t) is 1."""
+    b = 2 * c - 1 + 4 * x
+    return 8 * x * c / (b + np.sqrt(b * b - 16 * x * c))
+
+
+def draw_tables(c: np.ndarray, x: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """Tables t of c > 1 customers, with weight S(c, t) x^t, at the points ``u`` of their distribution.
+
+    ``c`` ascends.  Over ``FEW`` customers the numbers within ten deviations of the likeliest and twenty more are
+    tried; less than 1e-15 of the weight is outside.
+    """
+    out = np.empty(len(c))
+
+    def draw(i, low: np.ndarray, width: int) -> None:
+        t = low[:, None] + np.arange(width - 1.0)
+        own = c[i][:, None]
+        weight = np.ones((len(low), width))
+        np.cumprod(np.maximum(4 * x[i][:, None] * (own - t), 0) / ((2 * own - t - 1).clip(1) * t), axis=1, out=weight[:, 1:])
+        np.cumsum(weight, axis=1, out=weight)
+        out[i] = low + (weight[:, :-1] <= u[i][:, None] * weight[:, -1:]).sum(1)
+
+    edges = np.searchsorted(c, np.arange(2, FEW + 2))
+    for count, a, z in zip(range(2, FEW + 1), edges, edges[1:]):
+        for at in range(a, z, CELLS // count):
+            i = slice(at, min(z, at + CELLS // count))
+            draw(i, np.ones(i.stop - i.start), count)
+    many = np.arange(edges[-1], len(c))
+    if len(many):
+        own, best = c[many], likely_tables(c[many], x[many]).clip(1, c[many])
+        reach = np.ceil(10 / np.sqrt(1 / best + 1 / (own - best + 0.5) - 1 / (2 * own - best)) + 20)
+        low, high = np.maximum(1, np.floor(best) - reach), np.minimum(own, np.ceil(best) + reach)
+        width = (high - low + 1).astype(np.int64)
+        order, at = np.argsort(width, kind="stable"), 0
+        while at < len(many):
+            # Of about equal widths, as many as stand in CELLS at the widest.
+            stop = max(at + 1, int(np.searchsorted(width[order], width[order[at]] * 1.25 + 1)))
+            stop = min(stop, at + max(1, CELLS // int(width[order[stop - 1]])))
+            i = order[at:stop]
+            draw(many[i], low[i], int(width[i].max()))
+            at = stop
+    return out
+
+
+def gibbs(c: np.ndarray, log_parent: np.ndarray, restaurant: np.ndarray, dishes: np.ndarray, name: np.ndarray, burn: int, samples: int, given: dict[int, np.ndarray] | None = None):
+    """Mean tables of dishes with c > 1 customers over the sweeps after ``burn``, and every sweep's restaurant variables.
+
+    A restaurant's dishes hang together by G(2 a + T) alone, T being its tables and a the concentration.  That is an
+    integral over a variable g ~ Gamma(2 a + T); given g the dishes are independent, each with weight
+    S(c, t) (g p / 2)^t, p being the parent's probability.  A sweep draws g of every restaurant given its current
+    tables, then the tables of all its dishes given g, both exactly.  ``dishes`` are the restaurants' numbers of
+    dishes, those with one customer (and one table) among them; ``given`` has the variables of restaurants that
+    stand here in part.  The chain begins near the likeliest tables.
+    """
+    order = np.argsort(c, kind="stable")
+    c, restaurant, name = c[order].astype(np.float64), restaurant[order], name[order]
+    x = np.exp(log_parent[order]) / 2
+    n = len(dishes)
+    fixed = dishes - np.bincount(restaurant, minlength=n)
+    key = np.full(n, np.iinfo(np.uint64).max, np.uint64)
+    np.minimum.at(key, restaurant, name)
+    total = dishes.astype(np.float64)
+    for _ in range(8):
+        total = fixed + np.bincount(restaurant, likely_tables(c, x * (2 * CONCENTRATION + total)[restaurant]).clip(1, c), n)
+    mean, variables = np.zeros(len(c)), np.empty((burn + samples, n))
     for sweep in range(burn + samples):
-        normal = np.sqrt(-2 * np.log(_uniform(nm, 4 * sweep))) * np.cos(2 * np.pi * _uniform(nm, 4 * sweep + 1))
-        step = np.rint(normal * reach)
-        step = np.where(step == 0, np.where(_uniform(nm, 4 * sweep + 2) < 0.5, 1.0, -1.0), step)
-        tried = tm + step
-        ok = (tried >= 1) & (tried <= cm)
-        tried = np.where(ok, tried, tm)
-        new = seating_weight(cm, tried, lm, om)
-        take = ok & (np.log(_uniform(nm, 4 * sweep + 3)) < new - weight)
-        tm, weight = np.where(take, tried, tm), np.where(take, new, weight)
+        variables[sweep] = gamma_draws(2 * CONCENTRATION + total, key, sweep)
+        for r, own in (given or {}).items():
+            variables[sweep, r] = own[sweep]
+        t = draw_tables(c, x * variables[sweep][restaurant], _uniform(name, sweep))
+        total = fixed + np.bincount(restaurant, t, n)
         if sweep >= burn:
-            mean += tm
-    t[movable] = mean / samples
+            mean += t
+    out = np.empty(len(c))
+    out[order] = mean / samples
+    return out, variables
+
+
+BURN, SAMPLES = 2, 4
+
+
+def seat(
+    c: np.ndarray, log_parent: np.ndarray, others: np.ndarray, name: np.ndarray, burn: int = BURN, samples: int = SAMPLES,
+    restaurant: np.ndarray | None = None, given: dict[int, np.ndarray] | None = None,
+) -> np.ndarray:
+    """Mean tables per dish over the sweeps after ``burn``, for c >= 1 customers and ``others`` other dishes in the
+    restaurant; ``name`` is the hash that a dish's random numbers come from.
+
+    ``restaurant`` numbers the dishes' restaurants; without it the dishes of one stand together and are all here.
+    ``given`` has the variables, by sweep, of restaurants of which only some dishes are here.
+    """
+    t = np.ones(len(c))
+    if restaurant is None:
+        restaurant, at = np.zeros(len(c), np.int64), 0
+        while at < len(c):
+            at += int(others[at]) + 1
+            restaurant[at:] += 1
+    movable = np.flatnonzero(c > 1)
+    if len(movable):
+        here, own = np.unique(restaurant[movable], return_inverse=True)
+        dishes = np.empty(len(here))
+        dishes[own] = others[movable] + 1
+        inside = {i: given[r] for i, r in enumerate(here.tolist()) if r in given} if given else None
+        t[movable], _ = gibbs(c[movable], log_parent[movable], own, dishes, name[movable], burn, samples, inside)
     return t
 
 
@@ -134,6 +221,8 @@ ASK = _Rows("bucket int, chunk bigint, size int, n_contexts int, pairs int, cont
 UP = _Rows("kind int, part int, bucket int, size int, keys binary, customers binary, tables binary")
 #: The sums over all buckets, in the order of the keys that came up, and once per part its totals.
 DOWN = _Rows("round int, kind int, part int, bucket int, size int, customers binary, tables binary, n_words bigint, n_customers bigint, n_tables bigint")
+#: Of a split context in one bucket: its number of dishes anywhere, and the dishes here with more than one customer.
+SHARE = _Rows("context bigint, bucket int, size int, dishes bigint, names binary, customers binary, parents binary")
 TELL = _Rows("chunk bigint, train_tokens bigint, owners binary, known binary, base binary, score binary, ids array<bigint>, tokens array<bigint>")
 SCALE = 1000.0
 
@@ -241,15 +330,38 @@ class _Bucket:
                     found[kind][1][i] = _wide(r["tables"], r["size"]) / SCALE
         return found
 
-    def seated(self, answers: list[dict], parts: int) -> tuple[np.ndarray, dict]:
-        """Mean tables of every dish (0 for those without customers) under the first round's parent."""
+    def _parents(self, answers: list[dict], parts: int) -> tuple[dict, np.ndarray, np.ndarray]:
+        """The first round's sums, and of the dishes with customers the parent's log probability and the
+        number of other dishes in the restaurant."""
         first = self.down(answers, parts, 1)
         total = max(1.0, next(r["all_tables"] for r in answers if r["round"] == 1) / SCALE)
-        t, k = np.zeros(len(self.c)), self.known
+        k = self.known
         tables = np.bincount(self.restaurant[k], minlength=len(self.contexts)).astype(np.float64)
         tables[self.split] = first[CONTEXTS][1]
         parent = (first[WORDS][1][self.word[k]] - DISCOUNT) / (CONCENTRATION + total)
-        t[k] = seat(self.c[k], np.log(parent), tables[self.restaurant[k]] - 1.0, self.name[k])
+        return first, np.log(parent), tables[self.restaurant[k]] - 1.0
+
+    def shares(self, bucket: int, answers: list[dict], parts: int) -> list[tuple]:
+        """Of every split context the dishes here with more than one customer."""
+        _, log_parent, others = self._parents(answers, parts)
+        k, rows = self.known, []
+        c, of, name = self.c[k], self.restaurant[k], self.name[k]
+        i = np.flatnonzero((c > 1) & np.isin(of, self.split))
+        i = i[np.argsort(of[i], kind="stable")]
+        cuts = np.flatnonzero(np.append(True, np.diff(of[i]) != 0)) if len(i) else []
+        for a, z in zip(cuts, [*cuts[1:], len(i)]):
+            j = i[a:z]
+            context = int(self.contexts[of[j[0]]].astype(np.int64))
+            rows.append((context, bucket, len(j), int(others[j[0]]) + 1, name[j].tobytes(), _small(c[j].astype(np.int64)), log_parent[j].tobytes()))
+        return rows
+
+    def seated(self, answers: list[dict], parts: int) -> tuple[np.ndarray, dict]:
+        """Mean tables of every dish (0 for those without customers) under the first round's parent."""
+        first, log_parent, others = self._parents(answers, parts)
+        t, k = np.zeros(len(self.c)), self.known
+        drawn = {r["customers"]: np.frombuffer(r["tables"]) for r in answers if r["round"] == DRAWN}
+        given = {int(s): drawn[key] for s in self.split if (key := self.contexts[s].tobytes()) in drawn}
+        t[k] = seat(self.c[k], log_parent, others, self.name[k], restaurant=self.restaurant[k], given=given)
         return t, first
 
     def tell(self, answers: list[dict], parts: int, asked: pa.Table) -> list[tuple]:
@@ -304,6 +416,16 @@ def _sum_part(up: pa.Table, number: int, later: pa.Table | None = None) -> pa.Ta
     return DOWN.table(out)
 
 
+def _draw_split(shares: pa.Table) -> pa.Table:
+    """One split context's variables of all sweeps, for every bucket with dishes of it."""
+    rows = shares.sort_by("bucket").to_pylist()
+    c = np.concatenate([_wide(r["customers"], r["size"]) for r in rows])
+    name, log_parent = (np.concatenate([np.frombuffer(r[k], kind) for r in rows]) for k, kind in (("names", np.uint64), ("parents", np.float64)))
+    _, variables = gibbs(c, log_parent, np.zeros(len(c), np.int64), np.array([float(rows[0]["dishes"])]), name, BURN, SAMPLES)
+    key = np.int64(rows[0]["context"]).astype(np.uint64).tobytes()
+    return DOWN.table([(DRAWN, CONTEXTS, 0, r["bucket"], 1, key, variables[:, 0].tobytes(), 0, 0, 0) for r in rows])
+
+
 def _gather(told: pa.Table) -> pa.Table:
     """One chunk's documents with the sums of all buckets."""
     rows = told.to_pylist()
@@ -379,6 +501,12 @@ def score_documents(docs: DataFrame, chunk_chars: int = 1 << 23, chunk_docs: int
         b = _Bucket(asked, shared.value)
         return UP.table(b.up(asked["bucket"][0].as_py(), parts, (b.c > 0).astype(np.float64), True) if len(b.c) else [])
 
+    def split_shares(asked: pa.Table, answers: pa.Table) -> pa.Table:
+        b = _Bucket(asked, shared.value) if asked.num_rows and len(shared.value[0]) else None
+        if b is None or not len(b.split):
+            return SHARE.table([])
+        return SHARE.table(b.shares(asked["bucket"][0].as_py(), answers.to_pylist(), parts))
+
     def mean_seats(asked: pa.Table, answers: pa.Table) -> pa.Table:
         b = _Bucket(asked, shared.value) if asked.num_rows else None
         if b is None or not len(b.c):
@@ -397,6 +525,9 @@ def score_documents(docs: DataFrame, chunk_chars: int = 1 << 23, chunk_docs: int
     asked = own.mapInArrow(ask, ASK.text)
     up = asked.groupBy("bucket").applyInArrow(first_seats, UP.text)
     first = with_totals(up.groupBy("kind", "part").applyInArrow(lambda t: _sum_part(t, 1), DOWN.text))
+    shares = asked.groupBy("bucket").cogroup(first.groupBy("bucket")).applyInArrow(split_shares, SHARE.text)
+    drawn = shares.groupBy("context").applyInArrow(_draw_split, DOWN.text).drop("n_words", "n_customers", "n_tables")
+    first = first.unionByName(drawn, allowMissingColumns=True)
     later = asked.groupBy("bucket").cogroup(first.groupBy("bucket")).applyInArrow(mean_seats, UP.text)
     second = with_totals(up.groupBy("kind", "part").cogroup(later.groupBy("kind", "part")).applyInArrow(lambda a, b: _sum_part(a, 2, b), DOWN.text))
     told = asked.groupBy("bucket").cogroup(first.unionByName(second).groupBy("bucket")).applyInArrow(tell, TELL.text)
