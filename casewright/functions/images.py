@@ -42,7 +42,10 @@ def resize(image: np.ndarray, height: int = SIZE, width: int = SIZE) -> np.ndarr
     (r0, r1, fr), (c0, c1, fc) = weights(image.shape[0], height), weights(image.shape[1], width)
     image = image.astype(np.float64)
     rows = image[r0] * (1 - fr)[:, None] + image[r1] * fr[:, None]
-    return np.rint(rows[:, c0] * (1 - fc) + rows[:, c1] * fc).astype(np.uint8)
+    columns = np.ascontiguousarray(rows.T)  # whole lines are gathered much faster than single numbers
+    wide = columns[c0] * (1 - fc)[:, None]
+    wide += columns[c1] * fc[:, None]
+    return np.ascontiguousarray(np.rint(wide, out=wide).astype(np.uint8).T)
 
 
 def fingerprint(image: np.ndarray) -> str:

@@ -60,14 +60,24 @@ def template_similarity(template: np.ndarray, height: Column, width: Column, cha
     return kernel(height, width, channels, data)
 
 
-def judged_images(images: DataFrame, template: np.ndarray, hashes: DataFrame, similar: float = I.SIMILAR) -> DataFrame:
-    """``images`` of the image source with ``digest``, ``seen``, ``is_template`` and ``is_valid``.
+def measured_images(images: DataFrame, template: np.ndarray) -> DataFrame:
+    """``images`` of the image source with ``digest`` and ``similarity`` in place of their pixels: all that is ever asked of
+    them, so that a caller who needs it twice keeps it instead of reading the images again."""
+    hashed = images.withColumn("digest", I.image_hash("height", "width", "nChannels", "data"))
+    likeness = template_similarity(template, F.col("height"), F.col("width"), F.col("nChannels"), F.col("data"))
+    return hashed.withColumn("similarity", likeness).drop("data")
+
+
+def judged(measured: DataFrame, hashes: DataFrame, similar: float = I.SIMILAR) -> DataFrame:
+    """Measured images with ``seen``, ``is_template`` and ``is_valid``.
 
     ``hashes`` is the registry with the column NAME; an image is valid that can be read, is not seen and like no template.
     """
-    whole = F.col("height") > 0
-    hashed = images.withColumn("digest", I.image_hash("height", "width", "nChannels", "data"))
-    likeness = template_similarity(template, F.col("height"), F.col("width"), F.col("nChannels"), F.col("data"))
-    flagged = member_flag(hashed.withColumn("similarity", likeness), "digest", hashes, "seen", ignore_case=False)
+    flagged = member_flag(measured, "digest", hashes, "seen", ignore_case=False)
     marked = flagged.withColumn("is_template", F.coalesce(F.col("similarity") > similar, F.lit(False)))
-    return marked.withColumn("is_valid", whole & valid_new("seen", "is_template"))
+    return marked.withColumn("is_valid", (F.col("height") > 0) & valid_new("seen", "is_template"))
+
+
+def judged_images(images: DataFrame, template: np.ndarray, hashes: DataFrame, similar: float = I.SIMILAR) -> DataFrame:
+    """``images`` of the image source, measured and judged."""
+    return judged(measured_images(images, template), hashes, similar)

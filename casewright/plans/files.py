@@ -152,10 +152,9 @@ def template_images(spark, sf_dir):
     template = templates.read_template(spark, f"{place}/template.png", _SIDE)
     number = F.regexp_extract("origin", r"(\d+)\.png$", 1).cast("bigint")
     found = listings.images(spark, folder).drop("is_valid")
-    from casewright.functions.images import image_hash
-
-    known = found.where((number % 7 == 3) & (F.col("height") > 0)).select(image_hash("height", "width", "nChannels", "data").alias("NAME"))
-    judged = templates.judged_images(found, template, known, _SIMILAR)
+    measured = kept_in(scratch(spark, "measured"))(templates.measured_images(found, template), "images")  # images are read once
+    known = measured.where((number % 7 == 3) & (F.col("height") > 0)).select(F.col("digest").alias("NAME"))
+    judged = templates.judged(measured, known, _SIMILAR)
     return judged.select(number.alias("vec_id"), (F.col("height") > 0).alias("readable"), (F.round("similarity", 4) + F.lit(0.0)).alias("similarity"), "is_template", "seen", "is_valid")
 
 

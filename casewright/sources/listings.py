@@ -52,6 +52,10 @@ def playable_videos(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def images(spark: SparkSession, folder: str) -> DataFrame:
-    """Decoded images: origin, height, width, nChannels, data; ``is_valid`` is false for one that cannot be read."""
+    """Decoded images: origin, height, width, nChannels, data; ``is_valid`` is false for one that cannot be read.
+
+    The source deals a task some thirty images (see ``_listed``); a few tasks a core take them one after another.
+    """
     read = spark.read.format("image").option("dropInvalid", "false").option("recursiveFileLookup", "true").load(folder)
+    read = read.coalesce(4 * spark.sparkContext.defaultParallelism)
     return read.select("image.origin", "image.height", "image.width", "image.nChannels", "image.data").withColumn("is_valid", F.col("height") > 0)
