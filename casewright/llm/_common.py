@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casewright.session import ship_package
+from casewright.session import ship_package, short_batches
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _LOWER = {c: c + 32 for c in range(65, 91)}
@@ -26,17 +26,6 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
-BATCH_ROWS = 1000
-
-
-def short_batches(spark: SparkSession) -> None:
-    """Batches of ``BATCH_ROWS`` rows to and from Python where the session leaves the default of ten thousand:
-    rows here are whole texts, and a batch stands in memory on both sides, several times over."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(name) == "10000":
-        spark.conf.set(name, str(BATCH_ROWS))
-
-
 def lower_ascii(text: str) -> str:
     return text.translate(_LOWER)
 

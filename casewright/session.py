@@ -32,6 +32,17 @@ def build_session(master: str | None = None, app: str = "casewright", **conf: st
     return builder.getOrCreate()
 
 
+BATCH_ROWS = 1000
+
+
+def short_batches(spark: SparkSession) -> None:
+    """Batches of ``BATCH_ROWS`` rows to and from Python where the session leaves the default of ten thousand:
+    rows here are whole texts or files, and a batch stands in memory on both sides, several times over."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder for what one run writes, in the folder that all executors share; it goes when the interpreter ends."""
     context = spark.sparkContext

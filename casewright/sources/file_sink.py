@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
+from casewright.session import short_batches
+
 SCHEMA = "archive string, name string, part int, content binary"
 PART = 1 << 22
 MOVERS = 16
@@ -177,6 +179,7 @@ def write_files(files: DataFrame, path: str, mode: str = "append") -> None:
 def write_rows(parts: DataFrame, path: str, mode: str = "append") -> None:
     """Writes ``parts(archive, name, part, content)`` as they are dealt and ordered; part 0 begins a file."""
     spark: SparkSession = parts.sparkSession
+    short_batches(spark)
     spark.dataSource.register(FileSink)
     parts.write.format("casewright_files").mode(mode).option("path", path).save()
 
