@@ -19,8 +19,9 @@ one row to each bucket of contexts that it has words for: its distinct (context,
 has them how often, so rows are never more than those pairs.  Buckets exchange with parts of the parent one row
 each way per part they have words for: customers and tables up, counts and probabilities back.  A context with
 more than a quarter of a bucket is split by its words over several buckets, which exchange their tables in the
-same way; its sweeps are run in one task, to which every bucket sends the context's words that follow it more than
-once, each word once as about 20 bytes whatever its count, and which sends one number per sweep back.  A bucket holds about ``bucket_bytes`` of text, a part as many words.
+same way; its sweeps are run in one task, to which every bucket sends the words that follow it more than once, each
+once as about 20 bytes whatever its count, and which sends one number per sweep back.  A bucket holds about
+``bucket_bytes`` of text, a part as many words.
 
 Edge cases: null and empty texts are one end token; equal rows are all kept and all count; without training
 documents every word is unseen and both scores are 0; a null id is scored and trains as the empty text's fold says.
