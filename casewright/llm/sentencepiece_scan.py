@@ -264,6 +264,23 @@ def boundary_states(matrices: list[np.ndarray], enters: int = 0, leaves: int | N
 
 def encode_documents(docs: DataFrame, model: bytes, chunk: int = CHUNK, fan: int = FAN) -> DataFrame:
     """``doc_id``, ``ids`` (little-endian 32-bit) and ``decoded`` (UTF-8 bytes) of ``docs(doc_id, text)``."""
+    return _encoded(docs, model, chunk, fan, _checked_rows, "doc_id bigint, ids binary, decoded binary")
+
+
+def _checked_rows(doc_id: pa.Array, ids: list[bytes], decoded: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([doc_id, pa.array(ids, pa.binary()), pa.array(decoded, pa.binary())], ["doc_id", "ids", "decoded"])
+
+
+def _token_rows(doc_id: pa.Array, ids: list[bytes], _decoded: list[bytes]) -> pa.RecordBatch:
+    sizes = np.fromiter((len(x) // 4 for x in ids), np.int32, len(ids))
+    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    tokens = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), "<i4")))
+    return pa.RecordBatch.from_arrays([doc_id, pa.array(sizes.astype(np.int64)), tokens], ["doc_id", "n_tokens", "ids"])
+
+
+def _encoded(docs: DataFrame, model: bytes, chunk: int, fan: int, rows, schema: str) -> DataFrame:
+    """Every text encoded, as ``rows(doc_id, ids, decoded)`` puts it: in the task that encodes it, since a second Python
+    function behind the first would take a second Python worker for every task, with a vocabulary of its own."""
     own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # the vocabulary file, half a megabyte
 
@@ -273,11 +290,10 @@ def encode_documents(docs: DataFrame, model: bytes, chunk: int = CHUNK, fan: int
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
                 found = [vocabulary.encode_checked(t) for t in part["text"].to_pylist()]
-                columns = (pa.array([f[k] for f in found], pa.binary()) for k in (0, 1))
-                yield pa.RecordBatch.from_arrays([part["doc_id"], *columns], ["doc_id", "ids", "decoded"])
+                yield rows(part["doc_id"], [f[0] for f in found], [f[1] for f in found])
 
-    small = own.where(F.char_length("text") <= chunk).mapInArrow(whole, "doc_id bigint, ids binary, decoded binary")
-    return small.unionByName(_encode_giants(own.where(F.char_length("text") > chunk), shared, chunk, fan))
+    small = own.where(F.char_length("text") <= chunk).mapInArrow(whole, schema)
+    return small.unionByName(_encode_giants(own.where(F.char_length("text") > chunk), shared, chunk, fan, rows, schema))
 
 
 _vocabularies: dict[bytes, Vocabulary] = {}
@@ -309,7 +325,7 @@ def _matrices(found: list[np.ndarray]) -> pa.Array:
     return pa.array([_pack(m) | {"columns": m.shape[1]} for m in found], _MATRIX_TYPE)
 
 
-def _encode_giants(giants: DataFrame, shared, chunk: int, fan: int) -> DataFrame:
+def _encode_giants(giants: DataFrame, shared, chunk: int, fan: int, rows, schema: str) -> DataFrame:
     longest = _vocabulary(shared.value).longest
     if chunk < 2 * longest:
         raise ValueError(f"a chunk holds {2 * longest} code points at least")
@@ -361,7 +377,7 @@ def _encode_giants(giants: DataFrame, shared, chunk: int, fan: int) -> DataFrame
 
     def join(group: pa.Table) -> pa.Table:
         ids = b"".join(group.sort_by("chunk_no")["ids"].to_pylist())
-        return pa.table([group["doc_id"].slice(0, 1), pa.array([ids], pa.binary()), pa.array([_vocabulary(shared.value).decode(ids)], pa.binary())], names=["doc_id", "ids", "decoded"])
+        return pa.Table.from_batches([rows(group["doc_id"].slice(0, 1).combine_chunks(), [ids], [_vocabulary(shared.value).decode(ids)])])
 
     dealt = chunks.select("row", "block", "chunk_no", "lead", "size", "part").repartition("row", "chunk_no")
     matrices = staged(dealt.mapInArrow(transfer, f"row bigint, block int, chunk_no int, matrix {_MATRIX}"), "matrices")
@@ -374,7 +390,7 @@ def _encode_giants(giants: DataFrame, shared, chunk: int, fan: int) -> DataFrame
         .select("doc_id", "row", "chunk_no", "lead", "size", "part", "enters", "leaves")
         .mapInArrow(trace, "doc_id bigint, row bigint, chunk_no int, ids binary")
         .groupBy("row")
-        .applyInArrow(join, "doc_id bigint, ids binary, decoded binary")
+        .applyInArrow(join, schema)
     )
 
 
@@ -384,16 +400,7 @@ def default_model() -> bytes:
 
 def token_rows(docs: DataFrame, model: bytes, chunk: int = CHUNK) -> DataFrame:
     """``doc_id, n_tokens, ids`` with the ids as an array."""
-
-    def run(batches):
-        for batch in batches:
-            raw = batch["ids"].to_pylist()
-            sizes = np.fromiter((len(x) // 4 for x in raw), np.int32, len(raw))
-            offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(raw), "<i4")))
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(sizes.astype(np.int64)), ids], ["doc_id", "n_tokens", "ids"])
-
-    return encode_documents(docs, model, chunk).select("doc_id", "ids").mapInArrow(run, "doc_id bigint, n_tokens bigint, ids array<int>")
+    return _encoded(docs, model, chunk, FAN, _token_rows, "doc_id bigint, n_tokens bigint, ids array<int>")
 
 
 def query(spark, sf_dir) -> DataFrame:

@@ -242,11 +242,11 @@ def similar_classes(docs: DataFrame, similarity: float = 0.8, hot: int = 16, dis
     texts = docs.select("doc_id", "text", _text_key().alias("key_text"))
     prints = staged(texts.mapInArrow(run, "doc_id bigint, key_text bigint, fp bigint, sim bigint, size int, keys array<bigint>"), "minima")
     nodes = prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key_text")).alias("row"), F.first("size").alias("size"), F.first("keys").alias("keys"))
-    keyed = nodes.select("fp", "row", "size", F.explode("keys").alias("key"))
+    keyed = nodes.select("fp", "size", F.explode("keys").alias("key"))
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     met = staged(keyed.join(sizes, "key"), "bands")
     # One row of each set that meets another: its shingles are made again.
-    wanted = met.select(F.col("row.doc_id").alias("#id"), F.col("row.key_text").alias("#text")).distinct()
+    wanted = nodes.join(met.select("fp"), "fp", "left_semi").select(F.col("row.doc_id").alias("#id"), F.col("row.key_text").alias("#text"))
     again = texts.join(wanted, (F.col("key_text") == F.col("`#text`")) & F.col("doc_id").eqNullSafe(F.col("`#id`")), "left_semi")
     sets = staged(again.mapInArrow(remake, "fp bigint, shingles binary").groupBy("fp").agg(F.first("shingles").alias("shingles")), "sets")
     small = met.where(F.col("n") <= hot).select("key", "fp", "size")
