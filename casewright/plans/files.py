@@ -18,7 +18,7 @@ from casewright.session import kept_in, scratch
 from casewright.schemas import INTAKE_FORM
 from casewright.sources import crowd, dicom, listings, registry_json
 from casewright.sources.case_sheet import CaseSheetSource, write_sheets
-from casewright.sources.file_sink import write_files, zip_members
+from casewright.sources.file_sink import write_each, write_files, zip_members
 from casewright.sources.png import label_image, png_bytes
 from casewright.sources.tables import table
 from casewright.streaming.new_hashes import new_hash_stream
@@ -214,7 +214,7 @@ def file_listing(spark, sf_dir):
     ext = F.when(k == 0, ".dcm").when(k == 1, ".DCM").when(k == 2, "").when(k == 3, ".jpg").when(k == 4, ".JPEG").otherwise(".mp4")
     head = F.when(F.col("doc_id") % 12 == 5, F.concat(F.lit(b"\0\0\0\x18ftypisom"), F.col("text").cast("binary"))).otherwise(F.coalesce(F.col("text").cast("binary"), F.lit(b"")))
     d = table(spark, sf_dir, "documents").select(F.concat(F.lit("s"), (F.col("doc_id") % 5).cast("string"), F.lit("/f"), F.col("doc_id").cast("string"), ext).alias("name"), head.alias("content"))
-    write_files(d.select(F.lit(None).cast("string").alias("archive"), "name", "content"), folder)
+    write_each(d, folder)
     number = F.regexp_extract("path", r"/f(\d+)(\.\w+)?$", 1).cast("bigint").alias("doc_id")
     dicoms = listings.dicom_files(spark, folder).select(number, F.lit("DICOM").alias("type"), F.lit(None).cast("boolean").alias("playable"))
     media = listings.at_least_one(listings.media_files(spark, folder), "MP4").select(number, "type")

@@ -15,10 +15,13 @@ import hashlib
 import io
 import uuid
 import zipfile
+from collections import deque
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from itertools import batched
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -40,17 +43,39 @@ def file_system(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
 
 
-def _move_all(system: pafs.FileSystem, moves: list[tuple[str, str]]) -> None:
-    for source, target in moves:
-        system.move(source, target)
-
-
 @dataclass
 class Written(WriterCommitMessage):
-    """What one task attempt has written, relative to its folder."""
+    """What one task attempt has written: its folder, and the names in it as one text, which no object a name takes."""
 
     folder: str
-    names: list[str]
+    names: str
+    count: int
+
+    def each(self) -> Iterator[str]:
+        """The names, one after another."""
+        start = 0
+        for _ in range(self.count):
+            end = self.names.find("\0", start)
+            yield self.names[start:end]
+            start = end + 1
+
+
+def _one_name_twice(written: list[Written]) -> bool:
+    """Whether two tasks wrote one file.  Names are held by their hashes, and compared where these are equal."""
+    hashes = np.concatenate([np.fromiter(map(hash, m.each()), np.int64, m.count) for m in written] or [np.empty(0, np.int64)])
+    hashes.sort()
+    again = set(hashes[1:][hashes[1:] == hashes[:-1]].tolist())
+    seen: set[str] = set()
+    for name in (n for m in written if again for n in m.each() if hash(n) in again):
+        if name in seen:
+            return True
+        seen.add(name)
+    return False
+
+
+def _move_all(system: pafs.FileSystem, source: str, target: str, names: list[str]) -> None:
+    for name in names:
+        system.move(f"{source}/{name}", f"{target}/{name}")
 
 
 class FileWriter(DataSourceArrowWriter):
@@ -115,24 +140,41 @@ class FileWriter(DataSourceArrowWriter):
             if target is not None:
                 target.close()
             raise
-        return Written(folder, list(names))
+        return Written(folder, "".join(f"{n}\0" for n in names), len(names))
 
     def commit(self, messages: list[Written | None]) -> None:
         system, base, parts = self._open()
-        moves = [(f"{m.folder}/{n}", f"{base}/{n}") for m in messages if m for n in m.names]
-        twice = len({target for _, target in moves}) < len(moves)
-        there = [] if self.overwrite else [x.path for x in system.get_file_info([target for _, target in moves]) if x.type != pafs.FileType.NotFound]
-        if twice or there:
+        written = [m for m in messages if m]
+        folders = sorted({f"{base}/{n}".rpartition("/")[0] for m in written for n in m.each()})
+        there = [] if self.overwrite else self._there(system, base, folders, written)
+        if there or _one_name_twice(written):
             self.abort(messages)
             raise FileExistsError(f"files are there already: {there[:3]}" if there else "two tasks wrote one file")
-        for folder in sorted({target.rpartition("/")[0] for _, target in moves}):
+        for folder in folders:
             system.create_dir(folder, recursive=True)
         # A rename on a disk takes microseconds; a store that answers slowly gets many moves at once.
-        with ThreadPoolExecutor(1 if isinstance(system, pafs.LocalFileSystem) else MOVERS) as pool:
-            for done in [pool.submit(_move_all, system, moves[i : i + 1024]) for i in range(0, len(moves), 1024)]:
+        movers = 1 if isinstance(system, pafs.LocalFileSystem) else MOVERS
+        with ThreadPoolExecutor(movers) as pool:
+            under_way: deque = deque()
+            for m in written:
+                for names in batched(m.each(), 1024):
+                    if len(under_way) == 2 * movers:
+                        under_way.popleft().result()
+                    under_way.append(pool.submit(_move_all, system, m.folder, base, names))
+            for done in under_way:
                 done.result()
         self.abort(messages)
 
+    @staticmethod
+    def _there(system: pafs.FileSystem, base: str, folders: list[str], written: list[Written]) -> list[str]:
+        """Some files that are there already, of one batch; in a folder that is not there none can be."""
+        old = {f for f in folders if system.get_file_info(f).type != pafs.FileType.NotFound}
+        for m in written if old else []:
+            for names in batched((t for n in m.each() if (t := f"{base}/{n}").rpartition("/")[0] in old), 1024):
+                if found := [x.path for x in system.get_file_info(list(names)) if x.type != pafs.FileType.NotFound]:
+                    return found
+        return []
+
     def abort(self, messages: list[Written | None]) -> None:
         """Nothing of this write stays but what was moved into place."""
         system, base, parts = self._open()
@@ -176,6 +218,20 @@ def write_files(files: DataFrame, path: str, mode: str = "append") -> None:
     write_rows(in_parts(files).repartition(tasks, whole).sortWithinPartitions(whole, "name", "part"), path, mode)
 
 
+def write_each(files: DataFrame, path: str, mode: str = "append") -> None:
+    """Writes ``files(name, content)``, every row a file of its own.
+
+    The rows of each task are counted first, which reads no content.  Where none has over one and a half times the share of a core, they
+    are written as they are dealt, without a shuffle of all contents; else they are dealt anew by ``write_files``.
+    """
+    dealt = [r["count"] for r in files.select(F.spark_partition_id().alias("task")).groupBy("task").count().collect()]
+    own = files.select(F.lit(None).cast("string").alias("archive"), "name", "content")
+    if 2 * max(dealt, default=0) * files.sparkSession.sparkContext.defaultParallelism <= 3 * sum(dealt):
+        write_rows(in_parts(own), path, mode)
+    else:
+        write_files(own, path, mode)
+
+
 def write_rows(parts: DataFrame, path: str, mode: str = "append") -> None:
     """Writes ``parts(archive, name, part, content)`` as they are dealt and ordered; part 0 begins a file."""
     spark: SparkSession = parts.sparkSession

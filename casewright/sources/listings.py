@@ -1,4 +1,4 @@
-"""File listings through Spark's binary source; listing queries never read the bytes."""
+"""File listings by tasks, or through Spark's binary source; listing queries never read the bytes."""
 
 from __future__ import annotations
 
@@ -7,18 +7,23 @@ from pyspark.sql import functions as F
 
 from casewright.functions.text import extension
 from casewright.operators.positions import numbered
-from casewright.sources.file_heads import file_heads
+from casewright.sources.file_heads import file_heads, is_folder, listed
 
 
-def _files(spark: SparkSession, folder: str, glob: str | None = None) -> DataFrame:
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    return (reader.option("pathGlobFilter", glob) if glob else reader).load(folder)
+def _files(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
 
 
-def _listed(spark: SparkSession, folder: str, glob: str | None = None) -> DataFrame:
-    """Files without their bytes.  The source reckons each as four megabytes to open and deals a task some thirty; a
-    listing opens none, so a few tasks a core hold them all."""
-    return _files(spark, folder, glob).select("path", "modificationTime", "length").coalesce(4 * spark.sparkContext.defaultParallelism)
+def _listed(spark: SparkSession, folder: str, *suffixes: str) -> DataFrame:
+    """Files without their bytes, with one of these suffixes in any case, or all.
+
+    Tasks list the folders, so the driver holds no file of theirs.  Where only Spark's file systems lead, and for a pattern
+    of paths, the driver lists them; that source reckons each file as four megabytes to open and deals a task some thirty,
+    but none is opened, so a few tasks a core hold them all.
+    """
+    found = listed(spark, folder, ",".join(suffixes)) if is_folder(folder) else _files(spark, folder).select("path", "modificationTime", "length")
+    held = found.where(F.lower(extension(F.col("path"))).isin(*suffixes)) if suffixes else found
+    return held.coalesce(4 * spark.sparkContext.defaultParallelism)
 
 
 def dicom_files(spark: SparkSession, folder: str, content: bool = False) -> DataFrame:
@@ -33,10 +38,10 @@ def media_files(spark: SparkSession, folder: str) -> DataFrame:
 
     The time is that of the last change, the only one that Spark's file systems give.
     """
-    images = _listed(spark, folder, "*.{[jJ][pP][gG],[jJ][pP][eE][gG]}").select("path", "modificationTime", "length", F.lit("JPG").alias("type"))
-    videos = _listed(spark, folder, "*.[mM][pP]4").select("path", "modificationTime", "length", F.lit("MP4").alias("type"))
+    kind = F.when(F.lower(extension(F.col("path"))) == ".mp4", "MP4").otherwise("JPG")
+    found = _listed(spark, folder, ".jpg", ".jpeg", ".mp4").select("path", "modificationTime", "length", kind.alias("type"))
     day = F.concat_ws("|", "type", F.date_format("modificationTime", "yyyy-MM-dd"))
-    return numbered(images.unionByName(videos), "position", day, "type", "modificationTime", "path").orderBy("type", "modificationTime", "path")
+    return numbered(found, "position", day, "type", "modificationTime", "path").orderBy("type", "modificationTime", "path")
 
 
 def at_least_one(files: DataFrame, kind: str) -> DataFrame:
