@@ -1,8 +1,9 @@
-"""The digest of an ordered text that no task holds."""
+"""The digests of ordered texts that no task holds."""
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -43,3 +44,32 @@ def ordered_digest(lines: DataFrame, line: Column, *order: str, separator: str,
     own.orderBy(*order, "#line").select("#line").write.option("lineSep", separator).text(folder)
     digest = spark.range(1).select(_file_digest(F.lit(folder), F.lit(len(separator.encode()))).alias("digest"))
     return lines.agg(F.count("*").alias("n")).crossJoin(digest)
+
+
+def grouped_digests(lines: DataFrame, key: str, line: Column, *order: str, separator: str) -> DataFrame:
+    """``key, n, digest`` of every group: how many rows, and the SHA-256 of their texts in ``order`` with the separator
+    between them.
+
+    A group's rows go to one task, sorted, and pass its digest one batch after another.  Null texts are empty.
+    """
+    tasks = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own = lines.select(F.col(key).cast("string").alias(key), *order, F.coalesce(line, F.lit("")).alias("#line")).repartition(tasks, key).sortWithinPartitions(key, *order, "#line")
+    between = separator.encode()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, n, digest = None, 0, hashlib.sha256()
+
+        def done() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([group], pa.string()), pa.array([n], pa.int64()), pa.array([digest.hexdigest()])], ["key", "n", "digest"])
+
+        for batch in batches:
+            for name, text in zip(*(c.to_pylist() for c in batch.columns)):
+                if n and name != group:
+                    yield done()
+                    n, digest = 0, hashlib.sha256()
+                digest.update(between + text.encode() if n else text.encode())
+                group, n = name, n + 1
+        if n:
+            yield done()
+
+    return own.select(key, "#line").mapInArrow(run, "key string, n bigint, digest string").withColumnRenamed("key", key)

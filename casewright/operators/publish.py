@@ -15,8 +15,10 @@ from pyspark.sql.window import Window
 from casewright.functions.uids import derived_uid
 from casewright.operators.paths import build_path, conflicts, source_label
 from casewright.operators.registry import orphans
-from casewright.sources.file_sink import write_files
+from casewright.sources.file_heads import is_folder, listed
+from casewright.sources.file_sink import write_files, zip_members
 from casewright.sources.registry_json import backup_name, document_text
+from casewright.sources.zip_members import members
 
 
 def payload_plan(files: DataFrame, project: str) -> DataFrame:
@@ -194,6 +196,15 @@ def published_zips(spark: SparkSession, root: str) -> DataFrame:
     return zips.load(f"{root}/{PUBLICATIONS}").select("path", "content")
 
 
+def published_members(spark: SparkSession, root: str) -> DataFrame:
+    """``path, position, name, size, digest`` of the members of every published zip, which are read as streams.  Where only
+    Spark's file systems lead, a zip is still one row."""
+    folder = f"{root}/{PUBLICATIONS}"
+    if is_folder(folder):
+        return members(listed(spark, folder, ".zip").where(F.col("path").endswith(".zip")))
+    return published_zips(spark, root).select("path", F.posexplode(zip_members(F.col("content"))).alias("position", "m")).select("path", F.col("position").cast("bigint").alias("position"), "m.*")
+
+
 def download_plan(spark: SparkSession, root: str, subjects: DataFrame, target: str) -> DataFrame:
     """What to copy where for ``subjects(subject)``, in order: source, target and position within the subject."""
     wanted = published(spark, root, "TARGETS", TARGETS_ROW).join(subjects.select("subject").distinct(), "subject", "left_semi")

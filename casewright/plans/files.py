@@ -12,13 +12,13 @@ from casewright.operators import headers as H
 from casewright.operators import known_ids, templates
 from casewright.operators import labels as L
 from casewright.operators import publish as P
-from casewright.operators.digest import ordered_digest
+from casewright.operators.digest import grouped_digests, ordered_digest
 from casewright.plans._register import Plans
 from casewright.session import kept_in, scratch
 from casewright.schemas import INTAKE_FORM
 from casewright.sources import crowd, dicom, listings, registry_json
 from casewright.sources.case_sheet import CaseSheetSource, write_sheets
-from casewright.sources.file_sink import write_each, write_files, zip_members
+from casewright.sources.file_sink import write_each, write_files
 from casewright.sources.png import label_image, png_bytes
 from casewright.sources.tables import table
 from casewright.streaming.new_hashes import new_hash_stream
@@ -110,12 +110,11 @@ def publish_catalog(spark, sf_dir):
         F.lit("site").alias("site"), F.lit("group").alias("group"), "content",
     )
     P.publish_sessions(files, root, "demo", "2_25_1", F.lit("2024-01-01"))
-    zips = P.published_zips(spark, root).select(F.regexp_extract("path", r"/files(/project/.*)$", 1).alias("archive"), zip_members(F.col("content")).alias("m"))
-    line = lambda m: F.concat(m["name"], F.lit(":"), m["digest"])
-    read = zips.select(
-        F.regexp_extract("archive", "/subject/([^/]*)/", 1).alias("subject"), "archive", F.size("m").cast("bigint").alias("n_files"),
-        F.aggregate("m", F.lit(0).cast("bigint"), lambda s, m: s + m["size"]).alias("n_bytes"), F.sha2(F.array_join(F.transform("m", line), "\n").cast("binary"), 256).alias("members"),
-    )
+    keep = kept_in(scratch(spark, "members"))  # digests are made once
+    members = keep(P.published_members(spark, root).withColumn("archive", F.regexp_extract("path", r"/files(/project/.*)$", 1)), "members")
+    digests = grouped_digests(members, "archive", F.concat("name", F.lit(":"), "digest"), "position", separator="\n").select("archive", F.col("digest").alias("members"))
+    sums = members.groupBy("archive").agg(F.count("*").alias("n_files"), F.sum("size").alias("n_bytes")).join(digests, "archive")
+    read = sums.select(F.regexp_extract("archive", "/subject/([^/]*)/", 1).alias("subject"), "archive", "n_files", "n_bytes", "members")
     hashes = P.published(spark, root, "IMAGE_HASHES", P.HASHES_ROW).groupBy(F.col("SUBJECT").alias("subject")).agg(F.count("*").alias("n"))
     subjects = P.published(spark, root, "SUBJECTS", P.SUBJECTS_ROW).groupBy(F.col("NAME").alias("subject")).agg(F.count("*").cast("int").alias("n_subjects"))
     return read.join(hashes, "subject", "left").join(subjects, "subject", "left").select("subject", "archive", "n_files", "n_bytes", "members", F.coalesce("n", F.lit(0)).alias("n_hashes"), "n_subjects")

@@ -30,6 +30,7 @@ from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
 from casewright.session import short_batches
+from casewright.sources.zip_writer import BLOCK, ZipWriter
 
 SCHEMA = "archive string, name string, part int, content binary"
 PART = 1 << 22
@@ -91,25 +92,18 @@ class FileWriter(DataSourceArrowWriter):
         folder = f"{parts}/{uuid.uuid4().hex}"
         names: dict[str, None] = {}  # in order, and looked up once per file
         made: set[str] = set()
-        target = archive = member = None
+        target = archive = None
         now: tuple | None = None
 
-        def end_member() -> None:
-            nonlocal member
-            if member is not None and archive is not None:
-                member.close()
-            member = None
-
         def end_target() -> None:
             nonlocal target, archive
-            end_member()
             if archive is not None:
                 archive.close()
             if target is not None:
                 target.close()
             target = archive = None
 
-        def open_target(name: str):
+        def open_target(name: str, buffer: int | None):
             if name in names:
                 raise ValueError(f"the rows of {name} are not together")
             names[name] = None
@@ -117,7 +111,7 @@ class FileWriter(DataSourceArrowWriter):
             if (parent := at.rpartition("/")[0]) not in made:
                 system.create_dir(parent, recursive=True)
                 made.add(parent)
-            return system.open_output_stream(at)
+            return system.open_output_stream(at, buffer_size=buffer)
 
         try:
             for batch in iterator:
@@ -128,13 +122,12 @@ class FileWriter(DataSourceArrowWriter):
                     if key != now:
                         if now is None or key[0] is None or key[0] != now[0]:
                             end_target()
-                            target = open_target(key[1] if key[0] is None else key[0])
-                            archive = None if key[0] is None else zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED)
-                        end_member()
-                        # Members are dated alike, so that equal input gives equal bytes.
-                        member = target if archive is None else archive.open(zipfile.ZipInfo(key[1]), "w", force_zip64=True)
+                            target = open_target(key[1], None) if key[0] is None else open_target(key[0], BLOCK)
+                            archive = None if key[0] is None else ZipWriter(target)
+                        if archive is not None:
+                            archive.begin(key[1])
                         now = key
-                    member.write(content.as_buffer() if content.is_valid else b"")
+                    (archive or target).write(content.as_buffer() if content.is_valid else b"")
             end_target()
         except BaseException:
             if target is not None:
