@@ -216,7 +216,8 @@ def file_listing(spark, sf_dir):
     write_each(d, folder)
     number = F.regexp_extract("path", r"/f(\d+)(\.\w+)?$", 1).cast("bigint").alias("doc_id")
     dicoms = listings.dicom_files(spark, folder).select(number, F.lit("DICOM").alias("type"), F.lit(None).cast("boolean").alias("playable"))
-    media = listings.at_least_one(listings.media_files(spark, folder), "MP4").select(number, "type")
+    keep = kept_in(scratch(spark, "media"))  # listed once
+    media = listings.at_least_one(keep(listings.media_files(spark, folder), "files"), "MP4").select(number, "type")
     videos = listings.playable_videos(spark, folder).select(number, F.col("is_valid").alias("playable"))
     return dicoms.unionByName(media.join(videos, "doc_id", "left"))
 
