@@ -132,9 +132,9 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def members(zips: DataFrame) -> DataFrame:
     """``path, position, name, size, digest`` of the members of ``zips(path, length)``, with SHA-256 digests.
 
-    Every directory is walked once and cut into ranges, which are dealt over a few tasks a core; a task holds a block of a
-    member and the rows of a range.  A member that does not have its checksum is an error.
+    Every directory is walked once and cut into ranges; zips, and then ranges, are dealt over a few tasks a core.  A task
+    holds a block of a member and the rows of a range.  A member that does not have its checksum is an error.
     """
-    ranges = zips.select("path", F.col("length").cast("bigint")).mapInArrow(_ranges, "path string, first bigint, start bigint, stop bigint")
-    dealt = ranges.repartition(4 * zips.sparkSession.sparkContext.defaultParallelism)
-    return dealt.mapInArrow(_digests, "path string, position bigint, name string, size bigint, digest string")
+    tasks = 4 * zips.sparkSession.sparkContext.defaultParallelism
+    ranges = zips.select("path", F.col("length").cast("bigint")).repartition(tasks).mapInArrow(_ranges, "path string, first bigint, start bigint, stop bigint")
+    return ranges.repartition(tasks).mapInArrow(_digests, "path string, position bigint, name string, size bigint, digest string")
